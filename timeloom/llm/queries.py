@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import bpe, chat, decontam, exact, langid, neardup, substring, tokencount, toxicity
+from timeloom.llm import bpe, chat, decontam, exact, langid, lm, neardup, substring, tokencount, toxicity
 
 #: The turn texts of the conversation that is added to the table.
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -47,6 +47,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id)}
 
 
 OP1_SQL = r"""
