@@ -1,10 +1,35 @@
-"""Operators on ordered rows of a key: runs, gaps, windows. Every one shuffles once, on its keys."""
+"""Operators on the ordered rows of a key (recording, track): runs, gaps, smoothing, state. Each shuffles once, on its keys, and never looks across them.
+
+`keys` are the partition columns, `order` the column of time. Rows of null keys form a partition of their own; null values are gaps. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+
+def over(keys: list[str], order: str, before: int | None = None, after: int | None = None) -> WindowSpec:
+    """Window of rows: whole partition in order, or `before` rows back to `after` rows ahead."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return w if before is None else w.rowsBetween(-before, after)
+
+
+def whole(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys)
+
+
+def up_to(keys: list[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def from_here(keys: list[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
 
 
 def frame_index(df: DataFrame, keys: list[str], order: list[str], name: str = "frame") -> DataFrame:
@@ -12,10 +37,384 @@ def frame_index(df: DataFrame, keys: list[str], order: list[str], name: str = "f
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
+def island(changed: Column, keys: list[str], order: str) -> Column:
+    """Running count of changes: rows between two changes share a number, from 0."""
+    return (F.sum(F.when(changed, 1).otherwise(0)).over(up_to(keys, order)) - 1).cast("long")
+
+
+# Windows of vectors
+
+
+def trailing_window(df: DataFrame, keys: list[str], order: str, vec: str, width: int, size: int, out: str = "window") -> DataFrame:
+    """The last `width` vectors, this row's included, oldest first; zero vectors stand for rows before the first."""
+    rows = F.collect_list(vec).over(over(keys, order, width - 1, 0))
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0).cast("double"), size), width)
+    return df.withColumn(out, F.concat(F.slice(zeros, F.lit(1), F.lit(width) - F.size(rows)), rows.cast("array<array<double>>")))
+
+
+def window_pool(df: DataFrame, window: str, width: int, how: str = "mean", out: str = "pooled") -> DataFrame:
+    """mean: per dimension, divided by width whatever was padded; concat: all vectors in a row."""
+    if how == "concat":
+        return df.withColumn(out, F.flatten(window))
+    if how != "mean":
+        raise ValueError(f"unknown pool {how!r}")
+    total = F.aggregate(F.slice(window, 2, width), F.col(window)[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return df.withColumn(out, F.transform(total, lambda x: x / width))
+
+
+def first_difference(df: DataFrame, keys: list[str], order: str, vec: str, out: str = "delta") -> DataFrame:
+    """Vector less the previous row's; zeros on the first row."""
+    last = F.lag(vec).over(over(keys, order))
+    zero = F.transform(vec, lambda x: F.lit(0.0))
+    return df.withColumn(out, F.coalesce(F.zip_with(vec, last, lambda a, b: (a - b).cast("double")), zero))
+
+
+def centered_moving_average(df: DataFrame, keys: list[str], order: str, values: list[str], width: int = 3) -> DataFrame:
+    """Means over a centred window of odd width; beyond an end the end's value is repeated. Adds <value>_smooth for each value."""
+    if width < 1 or width % 2 == 0:
+        raise ValueError("width must be odd")
+    r, w = width // 2, over(keys, order)
+    before, after = F.row_number().over(w) - 1, F.count(F.lit(1)).over(whole(keys)) - F.row_number().over(w)
+    left, right = F.greatest(F.lit(0), F.lit(r) - before), F.greatest(F.lit(0), F.lit(r) - after)
+    first, last = lambda c: F.first(c).over(up_to(keys, order)), lambda c: F.last(c).over(from_here(keys, order))
+    return df.withColumns({f"{c}_smooth": (F.sum(c).over(over(keys, order, r, r)) + left * first(c) + right * last(c)) / width for c in values})
+
+
+# Runs
+
+
 def run_length_segments(df: DataFrame, keys: list[str], order: str, value: str, half_open: bool = False) -> DataFrame:
     """Maximal runs of equal values: keys, run (from 0), start_frame, end_frame, label, length. Null is a value like any other. Ends are included unless half_open."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("__new", changed).withColumn("run", (F.sum("__new").over(w) - 1).cast("long"))
+    w = over(keys, order)
+    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
+    runs = df.withColumn("__new", changed)
+    runs = runs.withColumn("run", island(F.col("__new"), keys, order))
     end = F.max(order) + (1 if half_open else 0)
     return runs.groupBy(*keys, "run").agg(F.min(order).alias("start_frame"), end.alias("end_frame"), F.first(value).alias("label"), F.count(F.lit(1)).alias("length"))
+
+
+def true_runs(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
+    """Runs of consecutive integers of `order` whose flag is true: keys, start_frame, end_frame, length."""
+    on = df.where(F.col(flag)).withColumn("__k", F.col(order) - F.row_number().over(over(keys, order)))
+    return on.groupBy(*keys, "__k").agg(F.min(order).alias("start_frame"), F.max(order).alias("end_frame"), F.count(F.lit(1)).alias("length")).drop("__k")
+
+
+def merge_runs(runs: DataFrame, keys: list[str], bridge: int, min_frames: int = 1) -> DataFrame:
+    """Runs that at most `bridge` frames part become one; what is then shorter than min_frames goes."""
+    reach = F.max("end_frame").over(Window.partitionBy(*keys).orderBy("start_frame").rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col("start_frame") - reach - 1
+    merged = runs.withColumn("__new", gap.isNull() | (gap > bridge)).withColumn("run", island(F.col("__new"), keys, "start_frame"))
+    out = merged.groupBy(*keys, "run").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
+    return out.withColumn("length", F.col("end_frame") - F.col("start_frame") + 1).where(F.col("length") >= min_frames).drop("run")
+
+
+def run_id(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
+    """df with __run: the number of the run of equal flags that a row is in."""
+    w = over(keys, order)
+    mark = df.withColumn("__new", ~F.col(flag).eqNullSafe(F.lag(flag).over(w)) | (F.row_number().over(w) == 1))
+    return mark.withColumn("__run", island(F.col("__new"), keys, order)).drop("__new")
+
+
+def suppress_short_runs(df: DataFrame, keys: list[str], order: str, flag: str, min_frames: int) -> DataFrame:
+    """True runs of fewer than min_frames rows become false."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__run"))
+    return run_id(df, keys, order, flag).withColumn(flag, F.col(flag) & (n >= min_frames)).drop("__run")
+
+
+def fill_short_gaps(df: DataFrame, keys: list[str], order: str, flag: str, max_gap: int) -> DataFrame:
+    """False rows between true ones at most max_gap rows apart become true; the ends stay."""
+    at = F.when(F.col(flag), F.col(order))
+    last, following = F.last(at, ignorenulls=True).over(up_to(keys, order)), F.first(at, ignorenulls=True).over(from_here(keys, order))
+    return df.withColumn(flag, F.col(flag) | F.coalesce(following - last - 1 <= max_gap, F.lit(False)))
+
+
+def expand_bad_runs(df: DataFrame, keys: list[str], order: str, bad: str, ratio: str, recovery: float, track: str) -> DataFrame:
+    """A bad row spreads to its neighbours while their ratio is under `recovery` and the track is the same."""
+    w, low = over(keys, order), (F.col(ratio) < recovery) | F.col(bad)
+    mark = df.withColumn("__low", F.coalesce(low, F.lit(False)))
+    same = F.col("__low") & F.lag("__low").over(w) & F.col(track).eqNullSafe(F.lag(track).over(w))
+    mark = mark.withColumn("__new", ~F.coalesce(same, F.lit(False))).withColumn("__run", island(F.col("__new"), keys, order))
+    hit = F.max(F.col(bad).cast("int")).over(Window.partitionBy(*keys, "__run")) == 1
+    return mark.withColumn(bad, F.col("__low") & hit).drop("__low", "__new", "__run")
+
+
+# Gaps in values
+
+
+def neighbours(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """df with structs __prev and __next (t, v): the nearest rows, this one included, with a value."""
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
+    return df.withColumns({"__prev": F.last(known, ignorenulls=True).over(up_to(keys, order)), "__next": F.first(known, ignorenulls=True).over(from_here(keys, order))})
+
+
+def interpolate_linear(df: DataFrame, keys: list[str], order: str, value: str, max_gap: int | None = None, edges: bool = True, least: int = 2) -> DataFrame:
+    """Nulls between values become linear; before the first and after the last the nearest value holds if `edges`. Partitions with fewer than `least` values stay as they
+    are. max_gap: only gaps of at most so many rows are filled."""
+    span = F.col("__next.t") - F.col("__prev.t")
+    line = F.col("__prev.v") + (F.col("__next.v") - F.col("__prev.v")) * (F.col(order) - F.col("__prev.t")) / span
+    inner = F.col("__prev").isNotNull() & F.col("__next").isNotNull()
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(inner if max_gap is None else inner & (span - 1 <= max_gap), line)
+    if edges:
+        filled = filled.when(~inner, F.coalesce("__prev.v", "__next.v"))
+    enough = F.count(value).over(whole(keys)) >= least
+    return neighbours(df, keys, order, value).withColumn(value, F.when(enough, filled).otherwise(F.col(value))).drop("__prev", "__next")
+
+
+def interpolate_bounded(df: DataFrame, keys: list[str], order: str, value: str, max_gap: int, width: int = 5) -> DataFrame:
+    """Interior gaps of at most max_gap rows become linear, then a centred median over known rows; rows still unknown stay null."""
+    filled = interpolate_linear(df, keys, order, value, max_gap=max_gap, edges=False)
+    return filled.withColumn(value, F.when(F.col(value).isNotNull(), F.percentile(value, 0.5).over(over(keys, order, width // 2, width // 2))))
+
+
+def hold_last_valid(df: DataFrame, keys: list[str], order: str, value: str, fill: float = 0.0) -> DataFrame:
+    """A null repeats the last value; nulls before the first become `fill`."""
+    return df.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(up_to(keys, order)), F.lit(fill)))
+
+
+def nearest_clean_donor(df: DataFrame, keys: list[str], order: str, value: str, valid: str, fallback: str | None = None) -> DataFrame:
+    """Adds donor and donor_at: the value of the nearest valid row, the earlier of two equally near; the fallback column where there is none."""
+    clean = df.withColumn("__v", F.when(F.col(valid), F.col(value)))
+    n = neighbours(clean, keys, order, "__v")
+    back, ahead = F.col(order) - F.col("__prev.t"), F.col("__next.t") - F.col(order)
+    pick = F.when(F.col("__next").isNull() | (back <= ahead), F.col("__prev")).otherwise(F.col("__next"))
+    donor = F.coalesce(pick["v"], F.col(fallback)) if fallback else pick["v"]
+    return n.withColumns({"donor": donor, "donor_at": pick["t"]}).drop("__v", "__prev", "__next")
+
+
+def ranked_donors(invalid: DataFrame, frames: DataFrame, weight: float = 0.002) -> DataFrame:
+    """For each (recording, target frame, pixel) that is invalid: the best donor frame in which the pixel is valid.
+
+    invalid: recording, frame, pixel. frames: recording, frame. Donors rank by the share of the target's invalid pixels that are invalid there too plus
+    weight * distance, then by frame. Columns: recording, frame, pixel, donor, score. Donor candidates pair frames of one recording, which are bounded in number.
+    """
+    bad = invalid.groupBy("recording", "frame").agg(F.count(F.lit(1)).alias("n"))
+    pairs = bad.join(frames.withColumnRenamed("frame", "donor"), "recording").where("frame <> donor")
+    both = invalid.join(invalid.withColumnRenamed("frame", "donor"), ["recording", "pixel"]).groupBy("recording", "frame", "donor").agg(F.count(F.lit(1)).alias("both"))
+    score = F.coalesce(F.col("both"), F.lit(0)) / F.col("n") + weight * F.abs(F.col("frame") - F.col("donor"))
+    scored = pairs.join(both, ["recording", "frame", "donor"], "left").select("recording", "frame", "donor", score.alias("score"))
+    free = invalid.join(scored, ["recording", "frame"]).join(invalid.withColumnRenamed("frame", "donor"), ["recording", "donor", "pixel"], "left_anti")
+    best = free.groupBy("recording", "frame", "pixel").agg(F.min(F.struct("score", "donor")).alias("best"))
+    return best.select("recording", "frame", "pixel", F.col("best.donor").alias("donor"), F.col("best.score").alias("score"))
+
+
+# Smoothing
+
+
+def centered_median(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str | None = None) -> DataFrame:
+    """Median of known values over width // 2 rows before and width - width // 2 - 1 after, cut at the ends."""
+    return df.withColumn(out or value, F.percentile(value, 0.5).over(over(keys, order, width // 2, width - width // 2 - 1)))
+
+
+def same_track_median(df: DataFrame, keys: list[str], order: str, value: str, track: str, radius: int, out: str) -> DataFrame:
+    """Median over the rows within `radius` that are of the same track as this one."""
+    near = F.collect_list(F.struct(F.col(track).alias("k"), F.col(value).alias("v"))).over(over(keys, order, radius, radius))
+    own = F.array_sort(F.transform(F.filter("__near", lambda x: x["k"].eqNullSafe(F.col(track)) & x["v"].isNotNull()), lambda x: x["v"]))
+    n = F.size("__own")
+    middle = (F.col("__own")[F.floor((n - 1) / 2).cast("int")] + F.col("__own")[F.floor(n / 2).cast("int")]) / 2
+    return df.withColumn("__near", near).withColumn("__own", own).withColumn(out, F.when(n > 0, middle)).drop("__near", "__own")
+
+
+def centered_prior(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str = "prior") -> DataFrame:
+    """0.7 * median + 0.3 * 70 % quantile over a centred window."""
+    w = over(keys, order, width // 2, width // 2)
+    return df.withColumn(out, 0.7 * F.percentile(value, 0.5).over(w) + 0.3 * F.percentile(value, 0.7).over(w))
+
+
+def scale_clip(df: DataFrame, keys: list[str], order: str, value: str, width: int, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Centred median, held within [low, high] times the partition's median."""
+    mid = F.percentile(value, 0.5).over(whole(keys))
+    smooth = F.percentile(value, 0.5).over(over(keys, order, width // 2, width // 2))
+    return df.withColumn(f"{value}_scaled", F.least(F.greatest(smooth, low * mid), high * mid))
+
+
+def savgol_weights(window: int, poly: int) -> np.ndarray:
+    """Row i: the weights that give the polynomial fit over a window its value at place i."""
+    x = np.arange(window) - window // 2
+    a = np.vander(x, poly + 1, increasing=True)
+    return a @ np.linalg.pinv(a)
+
+
+def median_then_savgol(df: DataFrame, keys: list[str], order: str, value: str, window: int, poly: int = 2, median: int = 1) -> DataFrame:
+    """Interpolate, median with zeros beyond the ends, then Savitzky-Golay; the ends take the fit of the first and last window.
+
+    The window is cut to the odd number that fits the partition, and smoothing is left out below poly + 2 rows. Adds <value>_smooth. One partition is one task's work.
+    """
+    out = f"{value}_smooth"
+
+    def smooth(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        v = part[value].astype(float).interpolate(limit_direction="both").to_numpy()
+        n = len(v)
+        if median > 1 and n:
+            wide = np.concatenate([np.zeros(median // 2), v, np.zeros(median // 2)])
+            v = np.median(np.lib.stride_tricks.sliding_window_view(wide, median), axis=1)
+        size = min(window, n if n % 2 else n - 1)
+        size -= 1 - size % 2
+        if size >= poly + 2:
+            weights, half = savgol_weights(size, poly), size // 2
+            inner = np.lib.stride_tricks.sliding_window_view(v, size) @ weights[half]
+            v = np.concatenate([weights[:half] @ v[:size], inner, weights[half + 1 :] @ v[n - size :]])
+        return part.assign(**{out: v})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
+    return df.groupBy(*keys).applyInPandas(smooth, f"{kinds}, `{out}` double")
+
+
+def quaternion_unwrap(df: DataFrame, keys: list[str], order: str, quat: str) -> DataFrame:
+    """Signs flipped so that neighbouring quaternions don't point apart, each of length 1. An exact zero product starts anew with the sign as given."""
+    last = F.lag(quat).over(over(keys, order))
+    dot = F.aggregate(F.zip_with(quat, last, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    mark = df.withColumn("__dot", F.coalesce(dot, F.lit(0.0))).withColumn("__part", island(F.col("__dot") == 0, keys, order))
+    turns = F.sum((F.col("__dot") < 0).cast("int")).over(up_to([*keys, "__part"], order))
+    size = F.sqrt(F.aggregate(quat, F.lit(0.0), lambda a, x: a + x * x))
+    sign = F.when(F.col("__turns") % 2 == 1, -1.0).otherwise(1.0)
+    return mark.withColumn("__turns", turns).withColumn("__size", size).withColumn(quat, F.transform(quat, lambda x: sign * x / F.col("__size"))).drop("__dot", "__part", "__turns", "__size")
+
+
+def temporal_majority(df: DataFrame, keys: list[str], order: str, flag: str, radius: int) -> DataFrame:
+    """True if more than half of the rows within `radius` are."""
+    w = over(keys, order, radius, radius)
+    return df.withColumn(flag, F.sum(F.col(flag).cast("int")).over(w) * 2 > F.count(F.lit(1)).over(w))
+
+
+# Labels
+
+
+def boundary_ambiguous(df: DataFrame, keys: list[str], order: str, label: str, radius: int, out: str = "ambiguous") -> DataFrame:
+    """Labelled rows (label >= 0) that have another label within `radius` rows."""
+    w, known = over(keys, order, radius, radius), F.when(F.col(label) >= 0, F.col(label))
+    return df.withColumn(out, F.coalesce((F.col(label) >= 0) & (F.min(known).over(w) != F.max(known).over(w)), F.lit(False)))
+
+
+def tolerant_correct(df: DataFrame, keys: list[str], order: str, label: str, prediction: str, radius: int, out: str = "correct") -> DataFrame:
+    """Labelled rows whose prediction is the label of some labelled row within `radius`."""
+    near = F.collect_set(F.when(F.col(label) >= 0, F.col(label))).over(over(keys, order, radius, radius))
+    return df.withColumn(out, F.coalesce((F.col(label) >= 0) & F.array_contains(near, F.col(prediction)), F.lit(False)))
+
+
+def best_epoch(history: DataFrame, keys: list[str], order: str, score: str, patience: int, min_delta: float = 0.0, min_epochs: int = 0) -> DataFrame:
+    """keys, best_epoch (first of the best scores), best_score, stop_epoch: the first epoch, min_epochs at least, with `patience` epochs since the last that beat all
+    before by more than min_delta; null if never."""
+    before = F.max(score).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    h = history.withColumn("__better", before.isNull() | (F.col(score) > before + min_delta))
+    h = h.withColumn("__since", F.col(order) - F.last(F.when(F.col("__better"), F.col(order)), ignorenulls=True).over(up_to(keys, order)))
+    stop = F.min(F.when((F.col("__since") >= patience) & (F.col(order) >= min_epochs), F.col(order)))
+    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("e")))
+    return h.groupBy(*keys).agg(best.alias("b"), stop.alias("stop_epoch")).select(*keys, (-F.col("b.e")).alias("best_epoch"), F.col("b.s").alias("best_score"), "stop_epoch")
+
+
+# State: a fold over the sorted rows of a key
+
+
+def fold(df: DataFrame, keys: list[str], order: str, columns: list[str], start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
+    """One row for each key: keys and `out`, what `finish` makes of the state after `step` has seen the key's rows in order.
+
+    A row is a struct of order and columns. JVM-side; a key's rows are one array, so keys with very many rows should be cut at resets first.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, F.aggregate("__rows", start, step, finish).alias("out"))
+
+
+def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, on: float, off: float, min_on: int, hold: int) -> DataFrame:
+    """keys, order, active: on after min_on rows in a row at `on` or more (these rows included), off after more than `hold` rows in a row under `off`. Null and NaN are 0."""
+    row = lambda x: F.coalesce(F.nanvl(x[value].cast("double"), F.lit(0.0)), F.lit(0.0))
+    start = F.struct(F.lit(False).alias("active"), F.lit(0).alias("above"), F.lit(0).alias("below"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        above = F.when(row(x) >= on, s["above"] + 1).otherwise(0)
+        below = F.when(row(x) < off, s["below"] + 1).otherwise(0)
+        begins = ~s["active"] & (above >= min_on)
+        stays = s["active"] & (below <= hold)
+        done = F.when(begins, F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - (min_on - 1)), F.array_repeat(F.lit(True), min_on)))
+        done = done.otherwise(F.concat(s["out"], F.array(stays)))
+        return F.struct(F.coalesce(begins | stays, F.lit(False)).alias("active"), F.when(begins | stays, 0).otherwise(above).alias("above"), F.when(begins, 0).otherwise(below).alias("below"), done.alias("out"))
+
+    rows = F.array_sort(F.collect_list(F.struct(order, value)))
+    got = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
+    return got.select(*keys, F.explode(F.arrays_zip(F.col(f"__rows.{order}").alias("t"), F.col("__out").alias("a"))).alias("z")).select(*keys, F.col("z.t").alias(order), F.col("z.a").alias("active"))
+
+
+def ema_dual_threshold(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28) -> DataFrame:
+    """keys, order, ema, active: ema = alpha * x + (1 - alpha) * ema from 0; active if at `off` or more while active, else at `on` or more."""
+    kind = "array<struct<ema:double,active:boolean>>"
+    start = F.struct(F.lit(0.0).alias("ema"), F.lit(False).alias("active"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        ema = alpha * x[value] + (1 - alpha) * s["ema"]
+        active = ema >= F.when(s["active"], off).otherwise(on)
+        return F.struct(ema.alias("ema"), active.alias("active"), F.concat(s["out"], F.array(F.struct(ema.alias("ema"), active.alias("active")))).alias("out"))
+
+    rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))))
+    got = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
+    zipped = F.explode(F.arrays_zip(F.col(f"__rows.{order}").alias("t"), F.col("__out").alias("a"))).alias("z")
+    return got.select(*keys, zipped).select(*keys, F.col("z.t").alias(order), F.col("z.a.ema").alias("ema"), F.col("z.a.active").alias("active"))
+
+
+def rate_limit(df: DataFrame, keys: list[str], order: str, value: str, step_limit: float, low: float, high: float) -> DataFrame:
+    """keys, order, limited: the first value as it is, then each moves at most step_limit from the last output and stays within [low, high]."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.least(F.greatest(x[value], s["last"] - step_limit), s["last"] + step_limit)
+        y = F.when(s["last"].isNull(), x[value]).otherwise(F.least(F.greatest(near, F.lit(low)), F.lit(high)))
+        return F.struct(y.alias("last"), F.concat(s["out"], F.array(y)).alias("out"))
+
+    rows = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias(value))))
+    got = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
+    return got.select(*keys, F.explode(F.arrays_zip(F.col(f"__rows.{order}").alias("t"), F.col("__out").alias("a"))).alias("z")).select(*keys, F.col("z.t").alias(order), F.col("z.a").alias("limited"))
+
+
+def find_episodes(df: DataFrame, keys: list[str], order: str, value: str, sigma: float = 2.0, distance: int = 5, prominence: float = 0.1, most: int = 10) -> DataFrame:
+    """keys, episode, start_frame, end_frame, peak: Gaussian smoothing (ends mirrored), local maxima `distance` apart at least and `prominence` above their surroundings, the
+    `most` most prominent ones, parted halfway between neighbours. One partition is one task's work."""
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        t, v = part[order].to_numpy(), part[value].fillna(0).to_numpy(float)
+        radius = max(1, int(4 * sigma + 0.5))
+        kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+        smooth = np.convolve(np.pad(v, radius, mode="symmetric"), kernel / kernel.sum(), mode="valid")
+        peaks = [i for i in range(1, len(smooth) - 1) if smooth[i - 1] < smooth[i] >= smooth[i + 1]]
+        kept: list[int] = []
+        for i in sorted(peaks, key=lambda i: (-smooth[i], i)):
+            if all(abs(i - j) >= distance for j in kept):
+                kept.append(i)
+
+        def rise(i: int) -> float:
+            left, right = i, i
+            while left > 0 and smooth[left - 1] <= smooth[i]:
+                left -= 1
+            while right + 1 < len(smooth) and smooth[right + 1] <= smooth[i]:
+                right += 1
+            return smooth[i] - max(smooth[left : i + 1].min(), smooth[i : right + 1].min())
+
+        good = sorted((i for i in kept if rise(i) >= prominence), key=lambda i: (-rise(i), i))[:most]
+        good.sort()
+        rows = []
+        for k, i in enumerate(good):
+            a = t[(good[k - 1] + i) // 2 + 1] if k else t[0]
+            b = t[(i + good[k + 1]) // 2] if k + 1 < len(good) else t[-1]
+            rows.append((*part[keys].iloc[0], k, int(a), int(b), int(t[i])))
+        return pd.DataFrame(rows, columns=[*keys, "episode", "start_frame", "end_frame", "peak"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(find, f"{kinds}, episode int, start_frame long, end_frame long, peak long")
+
+
+def bridge_mask_gaps(mask: DataFrame, max_gap: int, radius: int, eligible: DataFrame | None = None) -> DataFrame:
+    """Pixels that a gap of at most max_gap frames parts from the same label on both sides, within `radius` of a pixel there, are added: recording, label, frame, y, x.
+
+    mask: recording, label, frame, y, x (sparse). Frames of a gap come from the gap's own length, so rows grow with max_gap * disk, not with the recording.
+    """
+    seen = mask.select("recording", "label", "frame").distinct()
+    following = F.lead("frame").over(Window.partitionBy("recording", "label").orderBy("frame"))
+    gaps = seen.withColumn("after", following).where((F.col("after") - F.col("frame") > 1) & (F.col("after") - F.col("frame") - 1 <= max_gap)).withColumnRenamed("frame", "before")
+    gaps = gaps.withColumn("frame", F.explode(F.sequence(F.col("before") + 1, F.col("after") - 1)))
+    moves = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+    disk = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in moves])).alias("m")
+    grown = mask.select("recording", "label", "frame", "y", "x", disk).select("recording", "label", "frame", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x")).distinct()
+    side = lambda name: gaps.select("recording", "label", "frame", F.col(name).alias("side")).join(grown.withColumnRenamed("frame", "side"), ["recording", "label", "side"]).select("recording", "label", "frame", "y", "x")
+    added = side("before").intersect(side("after"))
+    if eligible is not None:
+        added = added.join(eligible, ["recording", "frame", "y", "x"], "left_semi").select("recording", "label", "frame", "y", "x")
+    return mask.select("recording", "label", "frame", "y", "x").union(added).distinct()
