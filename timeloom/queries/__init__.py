@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("segments",)
+MODULES = ("segments", "sequences", "joining")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
