@@ -234,17 +234,26 @@ def mad_threshold(df: DataFrame, keys: list[str], value: str, floor: float, scal
     return mad.select(*keys, F.greatest(F.lit(floor), F.col("m") + scale * 1.4826 * F.col("mad")).alias("threshold"))
 
 
-def drop_worst(df: DataFrame, keys: list[str], item: str, value: str, floor: float, least: int, scale: float = 3.5, most_rounds: int = 50) -> DataFrame:
-    """df without the worst item of each key, again and again, while it is above the key's threshold and more than `least` items are left. Errors are as given."""
-    for _ in range(most_rounds):
-        t = mad_threshold(df, keys, value, floor, scale)
-        w = Window.partitionBy(*keys).orderBy(F.desc(value), item)
-        ranked = df.join(t, keys).withColumns({"__k": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-        bad = ranked.where((F.col("__k") == 1) & (F.col(value) > F.col("threshold")) & (F.col("__n") > least)).select(*keys, item)
-        if bad.isEmpty():
-            break
-        df = df.join(bad, [*keys, item], "left_anti")
-    return df
+def drop_worst(df: DataFrame, keys: list[str], item: str, value: str, floor: float, least: int, scale: float = 3.5) -> DataFrame:
+    """keys, item, value without the worst item of each key, again and again, while it is above the key's mad_threshold() and more than `least` items are left.
+
+    Errors are as given. What is left is always the smallest ones, so the loop runs along one sorted array; keys (a camera's views) have few items.
+    """
+
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        return (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor((n + 2) / 2).cast("int"))) / 2
+
+    def step(kept: Column, _: Column) -> Column:
+        v = F.transform(kept, lambda x: x["v"])
+        m = middle(v)
+        limit = F.greatest(F.lit(floor), m + scale * 1.4826 * middle(F.array_sort(F.transform(v, lambda x: F.abs(x - m)))))
+        return F.when((F.size(kept) > least) & (F.element_at(v, -1) > limit), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+
+    # Of equal values the larger item stands first, so that the smaller one goes first.
+    rows = F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), (-F.col(item)).alias("less"), F.col(item).alias("item"))))
+    got = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(rows.alias("rows")).withColumn("kept", F.aggregate(F.sequence(F.lit(1), F.size("rows")), F.col("rows"), step))
+    return got.select(*keys, F.explode("kept").alias("x")).select(*keys, F.col("x.item").alias(item), F.col("x.v").alias(value))
 
 
 def top_fraction_mean(df: DataFrame, keys: list[str], value: str, fraction: float, min_points: int) -> DataFrame:
@@ -272,16 +281,17 @@ def contingency(df: DataFrame, cluster: str, label: str) -> DataFrame:
 def cluster_metrics(table: DataFrame) -> DataFrame:
     """purity, ari, homogeneity, completeness, v_measure (= nmi, arithmetic) from cluster, label, n."""
     pairs = lambda c: F.sum(c * (c - 1) / 2)
-    total = table.agg(F.sum("n").alias("N"))
-    cells = table.crossJoin(F.broadcast(total)).agg(pairs(F.col("n")).alias("s"), F.first("N").cast("double").alias("N"), F.sum(-(F.col("n") / F.col("N")) * F.ln(F.col("n") / F.col("N"))).alias("h"))
+    total = table.agg(F.sum("n").cast("double").alias("all"))  # one row
+    share = F.col("n") / F.col("all")
+    cells = table.crossJoin(F.broadcast(total)).agg(pairs(F.col("n")).alias("s"), F.first("all").alias("all"), F.sum(-share * F.ln(share)).alias("h"))
     side = lambda k, p: table.groupBy(k).agg(F.sum("n").alias("n"), F.max("n").alias("top")).crossJoin(F.broadcast(total)).agg(
-        pairs(F.col("n")).alias(f"{p}s"), F.sum(-(F.col("n") / F.col("N")) * F.ln(F.col("n") / F.col("N"))).alias(f"{p}h"), F.sum("top").alias(f"{p}top"))
+        pairs(F.col("n")).alias(f"{p}s"), F.sum(-share * F.ln(share)).alias(f"{p}h"), F.sum("top").alias(f"{p}top"))
     one = cells.crossJoin(side("cluster", "c")).crossJoin(side("label", "l"))
-    expected = F.col("cs") * F.col("ls") / (F.col("N") * (F.col("N") - 1) / 2)
+    expected = F.col("cs") * F.col("ls") / (F.col("all") * (F.col("all") - 1) / 2)
     ari = F.coalesce(F.try_divide(F.col("s") - expected, (F.col("cs") + F.col("ls")) / 2 - expected), F.lit(1.0))
     hom = F.when(F.col("lh") > 0, 1 - (F.col("h") - F.col("ch")) / F.col("lh")).otherwise(1.0)
     com = F.when(F.col("ch") > 0, 1 - (F.col("h") - F.col("lh")) / F.col("ch")).otherwise(1.0)
-    out = one.select((F.col("ctop") / F.col("N")).alias("purity"), ari.alias("ari"), hom.alias("homogeneity"), com.alias("completeness"))
+    out = one.select((F.col("ctop") / F.col("all")).alias("purity"), ari.alias("ari"), hom.alias("homogeneity"), com.alias("completeness"))
     return out.withColumn("v_measure", ratio(2 * F.col("homogeneity") * F.col("completeness"), F.col("homogeneity") + F.col("completeness")))
 
 
