@@ -48,10 +48,10 @@ def sample_tokens(recordings: DataFrame, keys: list[str], sample_fps: float, tub
 
 def stride_filter(df: DataFrame, keys: list[str], frame: str, n: int, keep_last: bool = False) -> DataFrame:
     """Every n-th frame, and the key's last if asked for."""
-    keep = F.col(frame) % n == 0
-    if keep_last:
-        keep = keep | (F.col(frame) == F.max(frame).over(Window.partitionBy(*keys)))
-    return df.where(keep)
+    if not keep_last:
+        return df.where(F.col(frame) % n == 0)
+    marked = df.withColumn("__last", F.max(frame).over(Window.partitionBy(*keys)))
+    return marked.where((F.col(frame) % n == 0) | (F.col(frame) == F.col("__last"))).drop("__last")
 
 
 def prefix_trim(frames: DataFrame, annotated: DataFrame, keys: list[str], frame: str = "frame") -> tuple[DataFrame, DataFrame]:

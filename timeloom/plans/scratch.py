@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a written table: later jobs start there, whichever executors are lost. The folder is spark.checkpoint.dir, a temporary one only where that is unset."""
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timeloom-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a written table: later jobs start there, whichever executors are lost."""
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def annotation_json(segments: DataFrame, recordings: DataFrame, keys: list[str], source: str = "timeloom") -> DataFrame:
     """keys and value: the annotation file of each recording, segments in order, with where they come from."""
-    s = F.array_sort(F.collect_list(F.struct(F.col("start_frame").cast("int"), F.col("end_frame").cast("int"), "label")))
+    s = F.array_sort(F.collect_list(F.struct(F.col("start_frame").cast("int").alias("start_frame"), F.col("end_frame").cast("int").alias("end_frame"), "label")))
     body = segments.groupBy(*keys).agg(s.alias("segments")).join(recordings, keys)
     return body.select(*keys, F.to_json(F.struct(F.col(keys[0]).cast("string").alias("episode"), "num_frames", "fps", "segments", F.struct(F.lit(source).alias("source")).alias("provenance"))).alias("value"))
 
