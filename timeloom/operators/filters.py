@@ -38,8 +38,8 @@ def sample_tokens(recordings: DataFrame, keys: list[str], sample_fps: float, tub
     `pad`. center = floor(mean + 0.5).
     """
     most = F.floor((F.col("num_frames") - 1) * sample_fps / F.col("fps") + 1e-9)
-    k = recordings.where("num_frames > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most)))
-    frames = k.select(*keys, F.least(F.rint(F.col("k") * F.col("fps") / sample_fps).cast("long"), F.col("num_frames").cast("long") - 1).alias("frame")).distinct()
+    k = recordings.where("num_frames > 0").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), most)))
+    frames = k.select(*keys, F.least(F.rint(F.col("__k") * F.col("fps") / sample_fps).cast("long"), F.col("num_frames").cast("long") - 1).alias("frame")).distinct()
     n = frames.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("frame")) - 1)
     got = n.groupBy(*keys, F.floor(F.col("__i") / tubelet).alias("token_index")).agg(F.array_sort(F.collect_list("frame")).alias("frames"))
     got = got.withColumn("frames", F.concat("frames", F.array_repeat(F.element_at("frames", -1), F.lit(tubelet) - F.size("frames")))) if pad else got.where(F.size("frames") == tubelet)

@@ -199,7 +199,7 @@ def segment_matches(predicted: DataFrame, truth: DataFrame, keys: list[str], thr
     t = truth.select(*keys, F.col("start_frame").alias("__s"), F.col("end_frame").alias("__e"), F.col("label").alias("label"))
     common = F.least("end_frame", "__e") - F.greatest("start_frame", "__s")
     union = F.greatest("end_frame", "__e") - F.least("start_frame", "__s")
-    both = predicted.join(t, [*keys, "label"], "left").withColumn("__iou", F.coalesce(F.greatest(common, F.lit(0)) / union, F.lit(0.0)))
+    both = predicted.join(t, [*keys, "label"], "left").withColumn("__iou", F.when(F.col("__s").isNull(), 0.0).otherwise(F.greatest(common, F.lit(0)) / union))
     best = both.groupBy(*keys, "label", "start_frame", "end_frame").agg(F.max(F.struct("__iou", (-F.col("__s")).alias("s"))).alias("b"))
     claim = Window.partitionBy(*keys, "label", "b.s").orderBy(F.col("b.__iou") < threshold, "start_frame")
     hit = (F.col("b.__iou") >= threshold) & (F.row_number().over(claim) == 1)

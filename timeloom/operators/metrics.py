@@ -348,11 +348,11 @@ def value_range(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99
 
 
 def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], frame: str, value: str, most: int, least: int = 3) -> DataFrame:
-    """keys, lag, n, correlation of a[t] with b[t + lag] for every lag from -most to most; null with fewer than `least` pairs."""
+    """keys, lag, n, correlation of a[t] with b[t + lag] for every lag from -most to most; null with fewer than `least` pairs or if a side is constant."""
     x = a.select(*keys, F.col(frame), F.col(value).alias("x")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
     y = b.select(*keys, F.col(frame).alias("__at"), F.col(value).alias("y"))
-    both = x.withColumn("__at", F.col(frame) + F.col("lag")).join(y, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("c"))
-    return both.select(*keys, "lag", "n", F.when((F.col("n") >= least) & ~F.isnan("c"), F.col("c")).alias("correlation"))
+    both = x.withColumn("__at", F.col(frame) + F.col("lag")).join(y, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("__c"))
+    return both.select(*keys, "lag", "n", F.when(F.col("n") >= least, F.col("__c")).alias("correlation"))
 
 
 def estimate_offset(lags: DataFrame, keys: list[str], min_correlation: float, min_prominence: float, exclude: int = 1) -> DataFrame:

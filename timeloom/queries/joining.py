@@ -217,7 +217,7 @@ SEG = f"""{FRAMES}, tn AS (SELECT user_id, frame, cls, CASE WHEN cls = lag(cls)
 truth AS (SELECT user_id, any_value(cls) AS label, min(frame) AS s, max(frame) + 1 AS e, i FROM tr GROUP BY user_id, i),
 pn AS (SELECT user_id, frame, pred, CASE WHEN pred = lag(pred) OVER w THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY user_id ORDER BY frame)), pr AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY frame) AS i FROM pn),
 pre AS (SELECT user_id, any_value(pred) AS label, min(frame) AS start_frame, max(frame) + 1 AS end_frame, i FROM pr GROUP BY user_id, i),
-x AS (SELECT pre.user_id, pre.label, start_frame, end_frame, s, coalesce(greatest(least(end_frame, e) - greatest(start_frame, s), 0) / (greatest(end_frame, e) - least(start_frame, s)), 0.0) AS iou FROM pre LEFT JOIN truth ON pre.user_id = truth.user_id AND pre.label = truth.label),
+x AS (SELECT pre.user_id, pre.label, start_frame, end_frame, s, CASE WHEN s IS NULL THEN 0.0 ELSE greatest(least(end_frame, e) - greatest(start_frame, s), 0) / (greatest(end_frame, e) - least(start_frame, s)) END AS iou FROM pre LEFT JOIN truth ON pre.user_id = truth.user_id AND pre.label = truth.label),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, label, start_frame ORDER BY iou DESC, s) AS q FROM x) WHERE q = 1),
 m AS (SELECT user_id, label, start_frame, end_frame, iou, iou >= 0.25 AND row_number() OVER (PARTITION BY user_id, label, s ORDER BY iou < 0.25, start_frame) = 1 AS hit FROM best)"""
 BOX = """box AS (SELECT l_orderkey AS frame, 'n' || (l_partkey % 3) AS name, l_extendedprice AS score, CAST(l_partkey % 7 AS DOUBLE) AS x0, CAST(l_suppkey % 5 AS DOUBLE) AS y0, l_partkey % 7 + 4 + l_quantity % 9 AS x1, l_suppkey % 5 + 3 + l_quantity % 8 AS y1 FROM lineitem)"""
