@@ -227,7 +227,7 @@ def _score(bits: int, limit: float, shared):
     return run
 
 
-def score_documents(docs: DataFrame, mod: int = 10, block_bytes: int = 16 << 20, bucket_entries: int = 500_000) -> DataFrame:
+def score_documents(docs: DataFrame, mod: int = 10, block_bytes: int = 6 << 20, bucket_entries: int = 500_000) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Tokens are lower-cased words and one end; the first one's context is the text's beginning. Counts are those of all documents outside the held-out fold. The lower
