@@ -118,14 +118,15 @@ def train_classifier(docs: DataFrame, labels: DataFrame, positives: int = POSITI
     prior = min(0.5, max(1e-3, p / n))
     total = docs.count()
     share = lambda k, of: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(min(1.0, k / max(1, of)) * (1 << 24))
-    chosen = marks.where((F.col("toxic") == 1) & share(positives, p)).select("doc_id").withColumn("positive", F.lit(True))
+    rank = F.xxhash64("doc_id")
+    chosen = marks.where("toxic = 1").orderBy(rank, "doc_id").limit(positives).select("doc_id").withColumn("positive", F.lit(True))  # at most `positives` rows
     pool = docs.where(F.col("text").isNotNull() & ~held_out(mod)).select("doc_id", "text")
     plain = pool.where(share(unlabelled, total)).withColumn("positive", F.lit(False))  # from all texts, so that the prior is theirs
-    sample = pool.join(chosen, "doc_id").select("text", "positive").unionByName(plain.select("text", "positive"))
+    sample = pool.join(F.broadcast(chosen), "doc_id").select("text", "positive").unionByName(plain.select("text", "positive"))
     kind = pa.schema([("positive", pa.bool_()), ("f", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("words", pa.int64())])
 
     def describe(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=1 << 18):
             who, h, n_words = features(part.column("text"))
             order = np.lexsort((h, who))
             who, h = who[order], h[order]
@@ -174,7 +175,7 @@ def toxicity_score(classifier: Classifier, spark) -> Column:
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        parts = [shared.value.score(part.column("text")) for part in slices([pa.RecordBatch.from_arrays([text], ["text"])])]
+        parts = [shared.value.score(part.column("text")) for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], most=1 << 19)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score
