@@ -84,12 +84,11 @@ def pair_four_way(pairs: DataFrame, first: DataFrame, second: DataFrame, keys: l
 
 
 def nearest_center(frames: DataFrame, tokens: DataFrame, keys: list[str], frame: str = "frame", center: str = "center", token: str = "token_index") -> DataFrame:
-    """keys, frame, token: the token whose centre is nearest, the lower token of two. Each token owns the frames up to halfway to its neighbours: an interval join."""
-    w = Window.partitionBy(*keys).orderBy(token)
-    low = F.floor((F.lag(center).over(w) + F.col(center)) / 2) + 1
-    high = F.floor((F.col(center) + F.lead(center).over(w)) / 2)
-    owns = tokens.select(*keys, token, F.coalesce(low, F.lit(-(1 << 40))).alias("__low"), F.coalesce(high, F.lit(1 << 40)).alias("__high"))
-    return frames.join(owns, keys).where(F.col(frame).between(F.col("__low"), F.col("__high"))).select(*keys, frame, token)
+    """keys, frame, token: the token whose centre is nearest, the lower token of two. One sort of frames and centres together; keys without tokens have no rows."""
+    asked = frames.select(*keys, F.col(frame).cast("long").alias("__t"), F.col(frame).alias("__frame"))
+    centers = tokens.select(*keys, F.col(center).cast("long").alias("__t"), F.col(token).alias("__token"))
+    near = nearest_candidates(asked, centers, keys, "__t", "__frame", "__token").where("__token is not null")
+    return near.select(*keys, F.col("__frame").alias(frame), F.col("__token").alias(token))
 
 
 def interval_labels(frames: DataFrame, segments: DataFrame, keys: list[str], frame: str, start: str, end: str, label: str, position: str | None = None, missing=None) -> DataFrame:
@@ -199,7 +198,8 @@ def segment_matches(predicted: DataFrame, truth: DataFrame, keys: list[str], thr
     t = truth.select(*keys, F.col("start_frame").alias("__s"), F.col("end_frame").alias("__e"), F.col("label").alias("label"))
     common = F.least("end_frame", "__e") - F.greatest("start_frame", "__s")
     union = F.greatest("end_frame", "__e") - F.least("start_frame", "__s")
-    both = predicted.join(t, [*keys, "label"], "left").withColumn("__iou", F.when(F.col("__s").isNull(), 0.0).otherwise(F.greatest(common, F.lit(0)) / union))
+    meets = [predicted[k].eqNullSafe(t[k]) for k in [*keys, "label"]] + [predicted["start_frame"] < t["__e"], t["__s"] < predicted["end_frame"]]
+    both = predicted.join(t, meets, "left").select(*[predicted[c] for c in [*keys, "label", "start_frame", "end_frame"]], "__s", "__e").withColumn("__iou", F.when(F.col("__s").isNull(), 0.0).otherwise(F.greatest(common, F.lit(0)) / union))
     best = both.groupBy(*keys, "label", "start_frame", "end_frame").agg(F.max(F.struct("__iou", (-F.col("__s")).alias("s"))).alias("b"))
     claim = Window.partitionBy(*keys, "label", "b.s").orderBy(F.col("b.__iou") < threshold, "start_frame")
     hit = (F.col("b.__iou") >= threshold) & (F.row_number().over(claim) == 1)

@@ -294,7 +294,7 @@ CASE WHEN h <= o THEN 'front' WHEN h > greatest(o + 0.1, o + 0.05) THEN 'behind'
     "ablation_boxes": f"WITH {PIXELS} SELECT recording, frame, coalesce(CAST((max(y) FILTER (v > 0.2) - min(y) FILTER (v > 0.2) + 1) * (max(x) FILTER (v > 0.2) - min(x) FILTER (v > 0.2) + 1) AS DOUBLE), 0.0) AS cells FROM px GROUP BY recording, frame",
     "ablation_shuffle": f"""WITH {TOKENS}, h AS (SELECT recording, token_index, row_number() OVER (PARTITION BY recording ORDER BY token_index) AS a, row_number() OVER (PARTITION BY recording ORDER BY sha256('s1:' || recording || ':' || token_index), token_index) AS b FROM t)
 SELECT x.recording, x.token_index, y.token_index AS shuffled_token_index FROM h x JOIN h y ON x.recording = y.recording AND x.b = y.a""",
-    "jitter_parameters": "SELECT n_name, round(1 - 0.2 + 2 * 0.2 * (CAST(CAST('0x' || substr(sha256('42:' || n_name || ':brightness'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496), 6) AS brightness, NULL AS hue, round(1 - 0.4 + 2 * 0.4 * (CAST(CAST('0x' || substr(sha256('42:' || n_name || ':contrast'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496), 6) AS contrast FROM nation",
+    "jitter_parameters": "SELECT n_name, round(1 - 0.2 + 2 * 0.2 * (CAST(CAST('0x' || substr(sha256('42:' || n_name || ':brightness'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496), 6) AS brightness, CAST(NULL AS DOUBLE) AS hue, round(1 - 0.4 + 2 * 0.4 * (CAST(CAST('0x' || substr(sha256('42:' || n_name || ':contrast'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496), 6) AS contrast FROM nation",
     "provenance": "SELECT page_id % 7 AS rec, count(*) AS files, min(url) AS first, max(url) AS last, CAST(sum(length(html)) AS BIGINT) AS bytes, max(page_id) AS modified FROM pages GROUP BY 1",
     "natural_top": f"SELECT url, 'validation' AS split FROM (SELECT DISTINCT url FROM pages) ORDER BY {NAT.format('url')} DESC, url DESC LIMIT 20",
     "balanced_cap": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, lang FROM k WHERE k <= (SELECT floor(quantile_cont(n, 0.5)) FROM n)",

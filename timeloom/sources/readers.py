@@ -85,10 +85,11 @@ def read_pairs_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(PAIRS).option("header", True).csv(paths)
 
 
-def check_pairs(pairs: DataFrame) -> DataFrame:
-    """Violations: output_index that isn't its row's number from 0."""
-    rows = pairs.withColumn("expected", F.row_number().over(Window.orderBy("output_index")) - 1)
-    return rows.where("output_index is null or output_index <> expected").select("output_index", "expected", F.lit("not_contiguous").alias("reason"))
+def check_pairs(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Violations: output_index that isn't its row's number from 0 within the keys (none: pairs of one recording)."""
+    w = Window.partitionBy(*(keys or [])).orderBy("output_index")
+    rows = pairs.withColumn("expected", F.row_number().over(w) - 1)
+    return rows.where("output_index is null or output_index <> expected").select(*(keys or []), "output_index", "expected", F.lit("not_contiguous").alias("reason"))
 
 
 def parse_key_values(text: Column) -> Column:
@@ -178,12 +179,13 @@ def read_history_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(HISTORY).option("header", True).csv(paths).withColumn("source", source_path())
 
 
-def policy_frames(frames: DataFrame, episodes: DataFrame, index: str = "index") -> DataFrame:
-    """frames with episode_index: half-open ranges [dataset_from_index, dataset_to_index). Ranges don't overlap, so the last that begins before decides: one sort."""
-    marks = episodes.select(F.col("dataset_from_index").alias("__i"), F.struct("episode_index", "dataset_to_index").alias("__e"))
-    cols = [c for c in frames.columns if c != index]
-    rows = frames.select(F.col(index).alias("__i"), F.struct(*cols).alias("__f")).join(F.broadcast(marks.select(F.col("__i").alias("__from"), "__e")), (F.col("__i") >= F.col("__from")) & (F.col("__i") < F.col("__e.dataset_to_index")))
-    return rows.select(F.col("__i").alias(index), "__f.*", F.col("__e.episode_index").alias("episode_index"))
+def policy_frames(frames: DataFrame, episodes: DataFrame, index: str = "index", bucket: int = 4096) -> DataFrame:
+    """frames with episode_index: half-open ranges [dataset_from_index, dataset_to_index). Ranges are cut at multiples of `bucket`, so the join has an equal key and
+    neither side needs to be small."""
+    low, high = F.floor(F.col("dataset_from_index") / bucket), F.floor((F.col("dataset_to_index") - 1) / bucket)
+    cut = episodes.where("dataset_to_index > dataset_from_index").select("episode_index", F.col("dataset_from_index").alias("__from"), F.col("dataset_to_index").alias("__to"), F.explode(F.sequence(low, high)).alias("__bucket"))
+    rows = frames.withColumn("__bucket", F.floor(F.col(index) / bucket)).join(cut, "__bucket")
+    return rows.where((F.col(index) >= F.col("__from")) & (F.col(index) < F.col("__to"))).drop("__bucket", "__from", "__to")
 
 
 def read_policy_dataset(spark: SparkSession, root: str) -> DataFrame:
