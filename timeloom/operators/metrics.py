@@ -128,8 +128,8 @@ def seed_summary(df: DataFrame, keys: list[str], metric: str, population: bool =
     return df.groupBy(*keys).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), std.alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"))
 
 
-def holdout_summary(df: DataFrame, branch: str, metric: str, recalls: str) -> DataFrame:
-    """branch, mean and population std of the metric; recall_<class> columns would grow with classes, so per-class rows are in class_holdout()."""
+def holdout_summary(df: DataFrame, branch: str, metric: str) -> DataFrame:
+    """branch, n, mean and population std of the metric; rows by class are class_holdout()'s."""
     return df.groupBy(branch).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"))
 
 

@@ -244,6 +244,21 @@ FROM f LEFT JOIN m ON m.user_id = f.user_id AND m.frame = f.frame LEFT JOIN n s
 b AS (SELECT phrase, name, CASE WHEN n = prompt THEN 1000 + length(prompt) ELSE least(length(n), length(prompt)) END AS match_score FROM p JOIN q ON contains(n, prompt) OR contains(prompt, n)),
 m AS (SELECT phrase, name, match_score FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY match_score DESC, name DESC) AS k FROM b) WHERE k = 1)
 SELECT p_partkey, p_name AS phrase, name, match_score FROM part LEFT JOIN m ON p_name = m.phrase""",
+    "box_nms": f"""WITH RECURSIVE {BOX}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, name) AS k FROM box), p AS (
+  SELECT frame, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(name VARCHAR, score DOUBLE, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM r GROUP BY frame
+  UNION ALL SELECT r.frame, r.k, CASE WHEN len(list_filter(p.kept, lambda b: b.name <> r.name AND greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0)
+      >= 0.5 * ((b.x1 - b.x0) * (b.y1 - b.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0)))) > 0 THEN p.kept
+    ELSE list_append(p.kept, struct_pack(name := r.name, score := r.score, x0 := r.x0, y0 := r.y0, x1 := r.x1, y1 := r.y1)) END FROM p JOIN r ON r.frame = p.frame AND r.k = p.k + 1),
+e AS (SELECT frame, unnest(arg_max(kept, k)) AS b FROM p GROUP BY frame) SELECT frame, b.name AS name, b.score AS score FROM e""",
+    "asof_four_way": """WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) AS t, event_id AS id, event_type AS k FROM events),
+c AS (SELECT a.user_id, a.id AS a, a.t, b.id AS b, b.t AS bt, row_number() OVER (PARTITION BY a.user_id, a.id ORDER BY abs(b.t - a.t), b.t, b.id) AS n FROM s a JOIN s b ON a.user_id = b.user_id AND a.k = 'click' AND b.k = 'view'),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id, b ORDER BY t, a) AS j FROM c WHERE n = 1 AND abs(bt - t) <= 86400000000), p AS (SELECT user_id, t AS t1, bt AS t2, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM q WHERE j = 1),
+x AS (SELECT p.user_id, i, s.id, abs(s.t - t1) AS d, row_number() OVER (PARTITION BY p.user_id, i ORDER BY abs(s.t - t1), s.t, s.id) AS n FROM p JOIN s ON s.user_id = p.user_id AND s.k = 'purchase'), y AS (SELECT p.user_id, i, s.id, abs(s.t - t2) AS d, row_number() OVER (PARTITION BY p.user_id, i ORDER BY abs(s.t - t2), s.t, s.id) AS n FROM p JOIN s ON s.user_id = p.user_id AND s.k = 'signup'),
+z AS (SELECT p.user_id, p.i, x.id AS d1, y.id AS d2, coalesce(x.d > 86400000000, true) AS far1, coalesce(y.d > 86400000000, true) AS far2 FROM p LEFT JOIN x ON x.user_id = p.user_id AND x.i = p.i AND x.n = 1 LEFT JOIN y ON y.user_id = p.user_id AND y.i = p.i AND y.n = 1),
+w AS (SELECT user_id, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS l1, CAST(NULL AS BIGINT) AS l2, CAST(NULL AS BIGINT) AS d1, CAST(NULL AS BIGINT) AS d2, '' AS reasons FROM z GROUP BY user_id
+  UNION ALL SELECT user_id, i, CASE WHEN why = '' THEN d1 ELSE l1 END, CASE WHEN why = '' THEN d2 ELSE l2 END, d1, d2, why FROM (SELECT z.*, w.l1, w.l2, concat_ws(',', CASE WHEN far1 THEN 'camera_1_depth_delta' END, CASE WHEN NOT far1 AND z.d1 <= w.l1 THEN 'camera_1_depth_non_unique' END,
+    CASE WHEN far2 THEN 'camera_2_depth_delta' END, CASE WHEN NOT far2 AND z.d2 <= w.l2 THEN 'camera_2_depth_non_unique' END) AS why FROM w JOIN z ON z.user_id = w.user_id AND z.i = w.i + 1) v)
+SELECT user_id, i AS output_index, d1 AS depth_1, d2 AS depth_2, reasons = '' AS accepted, reasons FROM w WHERE i >= 0""",
     "topk_detections": f"WITH {BOX}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame, name ORDER BY score DESC, x0) AS INTEGER) AS rank FROM box) SELECT frame, name, score, rank FROM r WHERE rank <= CASE name WHEN 'n1' THEN 2 ELSE 1 END",
     "grounding_rank": """WITH det AS (SELECT l_orderkey AS frame, l_partkey * 100 + l_linenumber AS box_id, l_discount AS score, l_partkey % 7 AS x0, l_suppkey % 5 AS y0, l_partkey % 7 + 4 + l_quantity AS x1, l_suppkey % 5 + 3 + l_quantity AS y1 FROM lineitem),
 r AS (SELECT frame, box_id, 2 * exp(-4 * sqrt(pow(greatest(x0 - o_custkey % 60, 0, o_custkey % 60 - x1), 2) + pow(greatest(y0 - o_custkey % 40, 0, o_custkey % 40 - y1), 2)) / 80.0)

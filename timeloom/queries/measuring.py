@@ -98,7 +98,7 @@ def seed_summary(spark, d):
 
 
 def holdout_summary(spark, d):
-    return rounded(metrics.holdout_summary(results(spark, d), "variant", "metric", "fold"), "mean", "std")
+    return rounded(metrics.holdout_summary(results(spark, d), "variant", "metric"), "mean", "std")
 
 
 def class_holdout(spark, d):
@@ -302,6 +302,9 @@ SQL = {
     "class_accuracy": f"WITH {FRAMES} SELECT gt AS class, count(*) FILTER (gt = pred) AS correct, count(*) AS total FROM f WHERE gt >= 0 GROUP BY gt",
     "conditional_accuracy": f"WITH {FRAMES} SELECT round(count(*) FILTER (gt = 4 AND pred = 4) / count(*) FILTER (gt = 4), 6) AS transition_accuracy, round(count(*) FILTER (gt >= 0 AND gt <> 4 AND pred = gt) / count(*) FILTER (gt >= 0 AND gt <> 4), 6) AS skill_accuracy FROM f",
     "pooled_accuracy": f"WITH {FRAMES} SELECT user_id, count(*) FILTER (gt >= 0) AS evaluated, count(*) FILTER (gt >= 0 AND gt = pred) AS correct, round(count(*) FILTER (gt >= 0 AND gt = pred) / nullif(count(*) FILTER (gt >= 0), 0), 6) AS accuracy FROM f GROUP BY ROLLUP (user_id)",
+    "pooled_edit_score": f"""WITH {FRAMES}, s AS (SELECT cls, pred, row_number() OVER (ORDER BY user_id, frame) AS p FROM f), a AS (SELECT pred AS x, CASE WHEN pred = lag(pred) OVER (ORDER BY p) THEN 0 ELSE 1 END AS n, p FROM s), b AS (SELECT cls AS x, CASE WHEN cls = lag(cls) OVER (ORDER BY p) THEN 0 ELSE 1 END AS n, p FROM s),
+t AS (SELECT (SELECT string_agg(chr(CAST(x + 65 AS INTEGER)), '' ORDER BY p) FROM a WHERE n = 1) AS a, (SELECT string_agg(chr(CAST(x + 65 AS INTEGER)), '' ORDER BY p) FROM b WHERE n = 1) AS b)
+SELECT 0 AS "all", length(a) AS runs_a, length(b) AS runs_b, round(100 * (1 - levenshtein(a, b) / greatest(length(a), length(b), 1)), 6) AS edit_score FROM t""",
     "class_weights": f"WITH {FRAMES}, n AS (SELECT range AS class, count(gt) AS n FROM range(6) LEFT JOIN f ON gt = range GROUP BY range) SELECT class, round(sqrt(sum(n) OVER () / (6 * greatest(n, 1))), 6) AS weight FROM n",
     "calibration_right": f"WITH {BIN('>')} SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM h",
     "calibration_left": f"WITH {BIN('>=')} SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM h",
@@ -323,6 +326,9 @@ SQL = {
     "policy_error": "WITH e AS (SELECT vec_id // 50 AS episode, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) - CAST(embedding[i + 4] AS DOUBLE) AS d FROM (SELECT *, unnest(range(1, 5)) AS i FROM embeddings)) SELECT dim, episode, round(avg(d * d), 6) AS mse, round(avg(abs(d)), 6) AS mae FROM e GROUP BY GROUPING SETS ((dim), (episode), ())",
     "robust_location": f"WITH {ROBUST} SELECT u.user_id, round(CASE WHEN n_inlier >= 20 THEN location END, 6) AS location, coalesce(q.n, 0) AS n_valid, coalesce(n_inlier, 0) AS n_inlier FROM (SELECT DISTINCT user_id FROM f) u LEFT JOIN q USING (user_id) LEFT JOIN i USING (user_id)",
     "mad_threshold": f"WITH {FRAMES}, m AS (SELECT event_type, quantile_cont(value, 0.5) AS m FROM f GROUP BY event_type) SELECT event_type, round(greatest(10.0, any_value(m) + 3.5 * 1.4826 * quantile_cont(abs(value - m), 0.5)), 6) AS threshold FROM f JOIN m USING (event_type) GROUP BY event_type",
+    "drop_worst": f"""WITH {FRAMES}, v AS (SELECT user_id, list(value ORDER BY value, frame DESC) AS v, list(frame ORDER BY value, frame DESC) AS t FROM f WHERE frame < 12 GROUP BY user_id), m AS (SELECT *, unnest(range(1, len(v) + 1)) AS m FROM v), c AS (SELECT *, list_median(v[1:m]) AS mid FROM m),
+s AS (SELECT user_id, any_value(t) AS t, any_value(v) AS v, max(m) AS m FROM c WHERE m <= 8 OR v[m] <= greatest(50.0, mid + 3.5 * 1.4826 * list_median(list_transform(v[1:m], lambda x: abs(x - mid)))) GROUP BY user_id)
+SELECT user_id, t[k] AS frame, v[k] AS value FROM (SELECT *, unnest(range(1, m + 1)) AS k FROM s)""",
     "top_fraction_mean": "WITH r AS (SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, max(n) AS n, round(CASE WHEN max(n) >= 10 THEN avg(c) FILTER (k <= greatest(10, ceil(n * 0.05))) ELSE 0.0 END, 4) AS score FROM r GROUP BY l_suppkey",
     "group_mean_max": f"WITH {FRAMES} SELECT user_id, event_type, round(avg(CAST(round(value * 100) AS BIGINT)), 6) AS mean, CAST(max(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS max FROM f GROUP BY user_id, event_type",
     "zbuffer_min": "SELECT vec_id // 50 AS recording, CAST(round_even(CAST(embedding[1] AS DOUBLE) * 20, 0) AS BIGINT) AS px, CAST(round_even(CAST(embedding[2] AS DOUBLE) * 20, 0) AS BIGINT) AS py, round(min(CAST(embedding[3] AS DOUBLE) + 0.3), 6) AS depth FROM embeddings WHERE CAST(embedding[3] AS DOUBLE) + 0.3 > 0 GROUP BY ALL",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeloom.operators import filters, graph, metrics, ml, sequence
 from timeloom.queries.base import FRAMES, TOKENS, frames, rounded, table, tokens
+from timeloom.queries.joining import TOK
 from timeloom.queries.measuring import PIXELS, sparse
 
 
@@ -142,6 +143,11 @@ REACH = """WITH RECURSIVE {0}, reach AS (SELECT recording, frame, n AS a, n AS b
 comp AS (SELECT recording, frame, a, min(b) AS component FROM reach GROUP BY recording, frame, a)"""
 PIX = f"{PIXELS}, m AS (SELECT recording, frame, y, x, y * 8 + x AS n, v FROM px WHERE v > 0.1), edges AS (SELECT a.recording, a.frame, a.n AS u, b.n AS v FROM m a JOIN m b ON a.recording = b.recording AND a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.n <> b.n)"
 SQL = {
+    "token_labels": f"WITH {TOK} SELECT tok.user_id, token_index, CASE WHEN a.cls = b.cls THEN c.cls ELSE -1 END AS label FROM tok JOIN f a ON a.user_id = tok.user_id AND a.frame = f0 JOIN f b ON b.user_id = tok.user_id AND b.frame = f1 JOIN f c ON c.user_id = tok.user_id AND c.frame = center",
+    "bridge_mask_gaps": f"""WITH {PIXELS}, m AS (SELECT recording, frame, y, x FROM px WHERE v > 0.15 AND frame % 4 <> 2), fr AS (SELECT DISTINCT recording, frame FROM m), g AS (SELECT recording, frame AS a, lead(frame) OVER (PARTITION BY recording ORDER BY frame) AS b FROM fr),
+h AS (SELECT recording, a, b, unnest(range(a + 1, b)) AS frame FROM g WHERE b - a - 1 BETWEEN 1 AND 2), d AS (SELECT DISTINCT recording, frame, y + dy AS y, x + dx AS x FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS k(dy, dx)),
+n AS (SELECT h.recording, h.frame, p.y, p.x FROM h JOIN d p ON p.recording = h.recording AND p.frame = h.a JOIN d q ON q.recording = h.recording AND q.frame = h.b AND q.y = p.y AND q.x = p.x)
+SELECT recording, 0 AS label, frame, y, x FROM m UNION SELECT recording, 0, frame, y, x FROM n""",
     "prototypes": """WITH u AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x, CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda q: CAST(q AS DOUBLE) * CAST(q AS DOUBLE)))) AS w FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)), p AS (SELECT label, i, avg(w) AS p FROM u GROUP BY label, i),
 s AS (SELECT u.vec_id, p.label, 10 * sum(u.x * p.p) / (sqrt(sum(u.x * u.x)) * sqrt(sum(p.p * p.p))) AS similarity FROM u JOIN p USING (i) GROUP BY ALL) SELECT vec_id, label, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, label) AS k FROM s) WHERE k = 1""",
     "exact_silhouette": """WITH e AS (SELECT vec_id AS i, label AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 300), d AS (SELECT a.i, a.c, b.c AS o, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY ALL),

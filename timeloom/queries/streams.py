@@ -99,7 +99,10 @@ def stream_dedup(spark, d):
 
 QUERIES = {f.__name__: f for f in (stream_pairs, stream_nearest, stream_hysteresis, stream_ema, stream_rate_limit, stream_windows, stream_sessions, stream_stats, stream_dedup)}
 PAIR = "p AS (SELECT a.user_id, a.event_id AS left_id, a.ts AS lt, b.event_id AS right_id, b.ts AS rt FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR)"
+#: Of the batch result, all rows but a last one that may still be filled: not active, at the threshold or more.
+SETTLED = BATCH["hysteresis"].replace("SELECT user_id, frame, active OR", "SELECT user_id, frame, active FROM (SELECT user_id, frame, NOT active AND above > 0 AND lead(frame) OVER (PARTITION BY user_id ORDER BY frame) IS NULL AS open, active OR") + ") x WHERE NOT open"
 SQL = {
+    "stream_hysteresis": SETTLED,
     "stream_pairs": f"WITH {PAIR} SELECT user_id, left_id, right_id FROM p",
     "stream_nearest": f"""WITH {PAIR}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, left_id ORDER BY abs(epoch_us(rt) - epoch_us(lt)), rt, right_id) AS k FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY user_id, right_id ORDER BY lt, left_id) AS j FROM n WHERE k = 1) SELECT user_id, left_id AS a, right_id AS b FROM q WHERE j = 1""",
     "stream_ema": BATCH["ema_dual_threshold"],

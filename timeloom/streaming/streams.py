@@ -48,7 +48,6 @@ def stream_hysteresis(df: DataFrame, key: str, order: str, value: str, on: float
                     out.append((t, True))
                     continue
                 active, above = False, 0
-                above = 0
             above = above + 1 if v >= on else 0
             waiting.append(t)
             if above >= min_on:
