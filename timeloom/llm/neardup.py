@@ -163,10 +163,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     entries = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("member"))
     leaders = entries.groupBy("key").agg(F.min("member").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
     groups = cut(entries.join(leaders, "key").select("leader", "member").distinct())
-    sizes = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = cut(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))  # cut, so that the join can split a large group
     own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     dealt = groups.join(sizes, "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.where("blocks = 1 or other <> own or blocks > 1").select("leader", "member", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("leader", "member", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     wanted = groups.select(F.col("member").alias("doc_id")).distinct().hint("merge")  # grows with the corpus: never broadcast
     sets = small.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary")
     edges = dealt.join(sets, "member").select("leader", "i", "j", "member", "hashes").groupBy("leader", "i", "j").applyInArrow(_verify(percent), "u long, v long")
