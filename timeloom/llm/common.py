@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeloom.plans.scratch import cut, scratch_dir  # noqa: F401
+
 #: What separates words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -24,21 +24,6 @@ WORD_BASE = 0xD6E8FEB86659FD93
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timeloom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: later jobs start there, whichever executors are lost."""
-    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -190,7 +175,7 @@ def keep_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__gone"]), "left_anti")
 
 
-def packed_blocks(docs: DataFrame, total: int, block_bytes: int = 8 << 20, flush: int = 32 << 20) -> DataFrame:
+def packed_blocks(docs: DataFrame, total: int, block_bytes: int = 8 << 20, flush: int = 12 << 20) -> DataFrame:
     """(block, payload): the rows of docs, dealt out to blocks by a hash of id and text, as compressed Arrow streams; one row for each task and block.
 
     Compressed on the way, whole texts cross the shuffle at about a third of their size.

@@ -97,9 +97,12 @@ class Pairs:
         order = np.argsort(np.asarray(totals.column("bucket")))
         packed = totals.column("totals").to_pylist()
         count = np.concatenate([unpack_small(packed[i]) for i in order])
+        del tokens
         before = np.concatenate([[0], token_word[:-1]])
         before[at[:-1]] = len(values)
-        key, inverse = np.unique(before * np.int64(len(values) + 1) + token_word, return_inverse=True)
+        before = before * np.int64(len(values) + 1) + token_word
+        key, inverse = np.unique(before, return_inverse=True)
+        del before
         times = np.bincount(inverse, train, len(key)).astype(np.int64)
         left, right = key // (len(values) + 1), key % (len(values) + 1)
         hot = np.append(count > limit, True)[left]
@@ -108,6 +111,7 @@ class Pairs:
         order = np.lexsort((word, context, bucket))
         place = np.empty(len(key), np.int64)
         place[order] = np.arange(len(key))
+        del key, left
         bucket, context = bucket[order], context[order]
         starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])]))
         return cls(count, token_word, place[inverse], at, bucket, context, word[order], count[right][order], times[order], hot[order], starts)
