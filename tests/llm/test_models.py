@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,19 @@ def test_leaks_equal_the_check_of_all_anchored_windows(spark):
     assert decontam.find_leaks(df.where("false"), bench).count() == 0 and decontam.find_leaks(df, bench.where("false")).count() == 0
 
 
+def index_of(items):
+    h, at = decontam.word_ids(pa.array([" ".join(x) for x in items]))
+    return [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def test_window_whose_shared_runs_all_stand_off_its_place():
+    item = [f"a{i}" for i in range(1, 13)]
+    text = "x0 x1 a1 a2 q a3 a4 a5 a6 a7 a8 a9 a11 a12 y0 y1"
+    index = decontam.Index(np.array([7]), index_of([item]), 64)
+    assert edit(text.split()[2:14], item) == 2 == index.most[0]
+    assert index.search(pa.array([text])) == [[{"item_id": 7, "first_word": 2, "n_words": 12, "distance": 2}]]
+
+
 def test_verbatim_passages_are_found(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import LOWER, mix, slices, utf8, word_hashes
+from timeloom.llm.common import LOWER, mix, ragged, slices, utf8, word_hashes
 
 #: A window is a leak if its edit distance to an item, in words, is at most RATE of the item's words.
 RATE, RECALL, ANCHOR = 0.2, 0.999, 3
@@ -86,6 +86,7 @@ class Index:
 
     def __post_init__(self):
         self.most = [int(self.rate * len(x)) for x in self.items]
+        self.size, self.limit = np.array([len(x) for x in self.items], np.int64), np.array(self.most, np.int64)
         self.tables = {}
         for length in range(1, ANCHOR + 1):
             key, item, place = [], [], []
@@ -115,8 +116,13 @@ class Index:
         return key
 
     def anchors(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rows (text, item, first word) of all windows to look at: where a run of words shared with an item puts the item's beginning."""
-        rows = [np.zeros((0, 3), np.int64)]
+        """Rows (text, item, first word) of all windows that can be within the limit of an item, and few others.
+
+        An edit breaks at most `length` of an item's runs, so a window within the limit holds at least runs - limit * length of them, one at least by the choice of
+        `length`. As insertions and deletions cancel out in a full window, a run's place there differs by at most half the limit; where the text ends within the window,
+        up to the whole limit may be deleted before it. So each shared run speaks for a range of first words, and those that enough runs speak for are looked at.
+        """
+        rows, n = [np.zeros((0, 3), np.int64)], len(h) + 2
         for length, (key, item, place, sieve) in self.tables.items():
             g = runs(h, length)
             where = np.flatnonzero(sieve[(g >> np.uint64(42)).astype(np.int64)])
@@ -127,8 +133,20 @@ class Index:
             text = np.searchsorted(at, where, "right") - 1
             whole = where + length <= at[text + 1]  # a run lies in one text
             where, hit, text = where[whole], hit[whole], text[whole]
-            rows.append(np.column_stack([text, item[hit], np.maximum(where - place[hit], at[text])]))
-        return np.unique(np.concatenate(rows), axis=0)
+            item, size, most = item[hit], self.size[item[hit]], self.limit[item[hit]]
+            start = where - place[hit]
+            most = np.where(start + most + size > at[text + 1], most, most // 2)
+            first = np.maximum(np.maximum(start - self.limit[item] // 2, where + length - size), at[text])
+            last = np.minimum(start + most, where)
+            fit = first <= last
+            item, first, last = item[fit], first[fit], last[fit]
+            spot, inverse = np.unique(np.concatenate([item * n + first, item * n + last + 1]), return_inverse=True)
+            votes = np.cumsum(np.bincount(inverse, np.repeat([1, -1], len(item)), len(spot)).astype(np.int64))
+            need = np.maximum(1, self.size - length + 1 - self.limit * length)[spot // n]
+            kept = np.flatnonzero(votes >= need)
+            spots = ragged(spot[kept], spot[kept + 1] - spot[kept])
+            rows.append(np.column_stack([np.searchsorted(at, spots % n, "right") - 1, spots // n, spots % n]))
+        return np.concatenate(rows)
 
     def search(self, text: pa.Array) -> list[list[dict]]:
         """For each text: its leaks, the nearest window of each item, then the first."""
@@ -204,8 +222,8 @@ def leak_columns(spark: SparkSession, parts: list[Index]) -> list[Column]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
     """A row for each (row of docs, item) with a leak: doc_id, item_id, first_word, n_words, distance; of an item's windows the nearest, then the first.
 
-    Windows have the item's length in words and begin where a run of ANCHOR words (fewer for items of a few words) that the text shares with the item puts the item's
-    first word: an item within the distance always shares such a run. CGK and LSH pick windows at the stated recall, exact edit distance decides. Null and empty texts
+    Windows have the item's length in words, less where the text ends. All that share enough runs of ANCHOR words (fewer for items of a few words) with the item near
+    their places in it are looked at, and no other can be within the distance. CGK and LSH pick windows at the stated recall, exact edit distance decides. Null and empty texts
     have no leaks; rows stay in their partitions.
     """
     text = F.coalesce("text", F.lit(""))
