@@ -172,11 +172,32 @@ def index_of(items):
 def test_window_whose_shared_runs_all_stand_off_its_place():
     item = [f"a{i}" for i in range(1, 13)]
     text = "x0 x1 a1 a2 q a3 a4 a5 a6 a7 a8 a9 a11 a12 y0 y1"
-    index = decontam.Index(np.array([7]), index_of([item]), 64)
+    index = decontam.Index(np.array([7]), index_of([item]))
     assert edit(text.split()[2:14], item) == 2 == index.most[0]
     assert index.search(pa.array([text])) == [[{"item_id": 7, "first_word": 2, "n_words": 12, "distance": 2}]]
 
 
+def test_no_leak_at_the_largest_distance_is_lost(spark):
+    import random
+
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (40, 60, 100, 150, 200)]
+    docs, want = [], set()
+    for i in range(150):
+        k = i % len(items)
+        x = list(items[k])
+        for n in range(2 * (len(x) // 10)):  # as many insertions as deletions
+            at = rng.randrange(len(x))
+            x[at : at + n % 2] = [rng.choice(vocab)] * (1 - n % 2)
+        docs.append((i, " ".join(["before", *x, "after"])))
+        if edit(x, items[k]) <= decontam.RATE * len(items[k]):
+            want.add((i, k))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert len(want) == 150 and {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()} == want
+
+
 def test_verbatim_passages_are_found(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}

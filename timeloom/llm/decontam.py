@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding of item-sized word windows, bit-sampling LSH, exact edit distance."""
+"""Benchmark decontamination: item-sized word windows that share enough runs of words with an item, exact edit distance."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from timeloom.llm.common import LOWER, mix, ragged, slices, utf8, word_hashes
 
 #: A window is a leak if its edit distance to an item, in words, is at most RATE of the item's words.
-RATE, RECALL, ANCHOR = 0.2, 0.999, 3
-BITS, MOST_REPEATS = 3, 64
+RATE, ANCHOR = 0.2, 3
 #: Items go to the executors in parts of at most so many words, each with a pass of its own over the documents.
 PART_WORDS = 1_000_000
 WORD = np.zeros(256, bool)
@@ -43,23 +42,6 @@ def runs(h: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def cgk(windows: np.ndarray, repeats: int, steps: int) -> np.ndarray:
-    """The CGK embedding of each row (words, 0 behind the end) by `repeats` random walks: step j writes the word under the pointer, then moves on if that word's
-    random bit for (walk, step) is 1. Two rows walk together again soon after an edit, so a small edit distance becomes a small Hamming distance."""
-    n, width = windows.shape
-    wide = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    out = np.zeros((n, repeats, steps), np.uint32)
-    at = np.zeros((n, repeats), np.int64)
-    walk = (np.arange(repeats, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
-    row = np.arange(n)[:, None]
-    for j in range(steps):
-        word = wide[row, at]
-        out[:, :, j] = (word >> np.uint64(32)).astype(np.uint32)
-        bit = (mix(word ^ (walk + np.uint64((j + 1) * 0x9FB21C651E98DF25 % (1 << 64)))) >> np.uint64(63)).astype(np.int64)
-        at = np.minimum(at + bit, width)
-    return out
-
-
 def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Edit distance in words of each row to the item; all rows at once, a column of the table at a time."""
     size = (windows != PAD).sum(axis=1)
@@ -77,11 +59,10 @@ def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items as word hashes, the table of their anchors (short runs of words), and each item's sampled bits."""
+    """Items as word hashes, and the table of their anchors (short runs of words)."""
 
     ids: np.ndarray
     items: list[np.ndarray]
-    repeats: int
     rate: float = RATE
 
     def __post_init__(self):
@@ -100,20 +81,6 @@ class Index:
                 sieve = np.zeros(1 << 22, bool)
                 sieve[(key >> np.uint64(42)).astype(np.int64)] = True
                 self.tables[length] = key[order], item[order], place[order], sieve
-        self.keys = [self.keys_of(x[None, :], k) for k, x in enumerate(self.items)]
-
-    def samples(self, k: int) -> np.ndarray:
-        """The BITS embedding positions that each repetition looks at, below twice the item's length: about where the walk has read it all."""
-        return np.random.default_rng([7, len(self.items[k])]).integers(0, max(1, 2 * len(self.items[k])), (self.repeats, BITS))
-
-    def keys_of(self, windows: np.ndarray, k: int) -> np.ndarray:
-        """LSH keys: windows by repetitions."""
-        at = self.samples(k)
-        seen = cgk(windows, self.repeats, int(at.max()) + 1)
-        key = np.zeros((len(windows), self.repeats), np.uint64)
-        for j in range(BITS):
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + seen[:, np.arange(self.repeats), at[:, j]])
-        return key
 
     def anchors(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (text, item, first word) of all windows that can be within the limit of an item, and few others.
@@ -160,9 +127,7 @@ class Index:
                 place = part[:, 2:3] + np.arange(len(item))[None, :]
                 end = at[part[:, 0] + 1][:, None]
                 windows = np.where(place < end, h[np.minimum(place, len(h) - 1)], PAD)
-                close = (self.keys_of(windows, k) == self.keys[k]).any(axis=1)
-                part, windows = part[close], windows[close]
-                far = edit_distances(windows, item) if len(part) else np.zeros(0, np.int64)
+                far = edit_distances(windows, item)
                 for (doc, _, first), d, n in zip(part.tolist(), far.tolist(), (windows != PAD).sum(axis=1).tolist(), strict=True):
                     if d <= self.most[k]:
                         found = (d, first - int(at[doc]), n)
@@ -173,24 +138,7 @@ class Index:
         return out
 
 
-def repeats_for(items: list[np.ndarray], rate: float, recall: float) -> int:
-    """How many repetitions reach the recall for windows at the largest distance: the agreement of embeddings is measured on items with random edits."""
-    rng, same, n = np.random.default_rng(11), 0.0, 0
-    for x in [x for x in items if len(x) >= 5][:64]:
-        y = list(x)
-        for _ in range(int(rate * len(x))):
-            at, kind = int(rng.integers(0, len(y))), int(rng.integers(0, 3))
-            word = np.uint64(rng.integers(1, 1 << 63))
-            y[at : at + (kind > 0)] = [word] if kind < 2 else []
-        y = np.array((y + [PAD] * len(x))[: len(x)], np.uint64)
-        steps = 2 * len(x)
-        agree = (cgk(x[None, :], 16, steps) == cgk(y[None, :], 16, steps))[0].mean(axis=1)
-        same, n = same + float((agree**BITS).mean()), n + 1
-    p = min(0.99, max(0.02, same / n if n else 0.5))
-    return int(min(MOST_REPEATS, max(4, np.ceil(np.log(1 - recall) / np.log(1 - p)))))
-
-
-def indexes(benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, part_words: int = PART_WORDS) -> list[Index]:
+def indexes(benchmark: DataFrame, rate: float = RATE, part_words: int = PART_WORDS) -> list[Index]:
     """The benchmark as indexes of bounded size. Items without words match nothing."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
@@ -199,7 +147,7 @@ def indexes(benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, pa
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
         h, at = word_ids(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
         every = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        out.append(Index(np.asarray(rows.column("item_id")), every, repeats_for(every, rate, recall), rate))
+        out.append(Index(np.asarray(rows.column("item_id")), every, rate))
     return out
 
 
@@ -219,23 +167,23 @@ def leak_columns(spark: SparkSession, parts: list[Index]) -> list[Column]:
     return [column(index) for index in parts]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """A row for each (row of docs, item) with a leak: doc_id, item_id, first_word, n_words, distance; of an item's windows the nearest, then the first.
 
     Windows have the item's length in words, less where the text ends. All that share enough runs of ANCHOR words (fewer for items of a few words) with the item near
-    their places in it are looked at, and no other can be within the distance. CGK and LSH pick windows at the stated recall, exact edit distance decides. Null and empty texts
+    their places in it are looked at, and no other can be within the distance; exact edit distance decides. Null and empty texts
     have no leaks; rows stay in their partitions.
     """
     text = F.coalesce("text", F.lit(""))
     out = None
-    for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate, recall)):
+    for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate)):
         one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(text)).alias("leak")).select("doc_id", "leak.*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """docs without the rows that hold a leak."""
-    for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate, recall)):
+    for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate)):
         docs = docs.where(F.size(leaks(F.coalesce("text", F.lit("")))) == 0)
     return docs
