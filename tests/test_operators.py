@@ -249,3 +249,27 @@ def test_episodes_have_their_peaks(spark):
     f = track(spark, [bump(i, 20) + bump(i, 60) for i in range(80)])
     got = rows(sequence.find_episodes(f, ["k"], "t", "x", 2.0, 5, 0.3), "episode", "start_frame", "end_frame", "peak")
     assert got == [(0, 0, 40, 20), (1, 41, 79, 60)]
+
+
+def test_exact_silhouette_over_blocks_and_over_all_rows(spark):
+    import numpy as np
+    from timeloom import queries
+
+    def brute(x, c):
+        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        total = 0.0
+        for i in range(len(x)):
+            mean = {k: d[i, (c == k) & (np.arange(len(x)) != i)].mean() for k in set(c.tolist()) if ((c == k) & (np.arange(len(x)) != i)).any()}
+            a, b = mean.pop(int(c[i]), None), min(mean.values())
+            total += (b - a) / max(a, b) if a is not None and max(a, b) else 0.0
+        return total / len(x)
+
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(90, 3)) + 100, np.append(rng.integers(0, 4, 89), 9)
+    x[:20] = x[0]
+    df = spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), c, strict=True))], "id long, v array<double>, c int")
+    assert abs(ml.exact_silhouette(df, "id", "v", "c", block_rows=17).first()[0] - brute(x, c)) < 1e-9
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").toPandas()
+    assert len(rows) > 300
+    want = brute(np.array(rows["embedding"].tolist(), float), rows["label"].to_numpy())
+    assert abs(queries.queries()["exact_silhouette_all"](spark, "/root/testdata/sf0.001").first()[0] - want) < 1e-5

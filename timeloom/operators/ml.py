@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
@@ -104,13 +106,50 @@ def silhouette(df: DataFrame, vec: str, cluster: str, sample: int = 5000) -> flo
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(rows)
 
 
-def exact_silhouette(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
-    """silhouette with Euclidean distances over all pairs: for a sample whose size was checked before."""
-    a, b = df.select(F.col(key).alias("i"), F.col(vec).alias("x"), F.col(cluster).alias("c")), df.select(F.col(key).alias("j"), F.col(vec).alias("y"), F.col(cluster).alias("o"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q).cast("double") * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    mean = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i", "c", "o").agg(F.avg(d).alias("d"))
-    sides = mean.groupBy("i").agg(F.max(F.when(F.col("c") == F.col("o"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("o"), F.col("d"))).alias("b"))
-    return sides.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x to all rows of y; near pairs, where products would lose digits, by their differences."""
+    far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    square = far - 2 * (x @ y.T)
+    near = np.argwhere(square <= 1e-5 * far)
+    for i, j in (part.T for part in np.array_split(near, -(-len(near) // 10_000) or 1)):
+        square[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+    return np.sqrt(square)
+
+
+def _cluster_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each row of left and cluster of right: the sum of its distances to that cluster's rows, and how many they are."""
+    kind = pa.schema([("i", left.schema.field("i").type), ("c", left.schema.field("c").type), ("o", left.schema.field("c").type), ("s", pa.float64()), ("n", pa.int64())])
+    if not left.num_rows or not right.num_rows:
+        return kind.empty_table()
+    x, y = (t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t in (left, right))
+    names = right.column("c").combine_chunks().dictionary_encode(null_encoding="encode")
+    code = names.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    y, first, size = y[order], np.searchsorted(code[order], np.arange(len(names.dictionary))), np.bincount(code)
+    sums = np.concatenate([np.add.reduceat(distances(part, y), first, axis=1) for part in np.array_split(x, -(-len(x) // 512))])
+    at = pa.array(np.repeat(np.arange(len(x)), len(size)))
+    other = pa.array(np.tile(np.arange(len(size)), len(x)))
+    return pa.table([left.column("i").take(at), left.column("c").take(at), names.dictionary.take(other), pa.array(sums.ravel()), pa.array(np.tile(size, len(x)))], schema=kind)
+
+
+def exact_silhouette(df: DataFrame, key: str, vec: str, cluster: str, block_rows: int = 4096) -> DataFrame:
+    """silhouette with Euclidean distances over all pairs of rows; a key is one row, and rows without a vector are left out.
+
+    Blocks of about block_rows rows meet block by block and leave sums by (row, cluster). The work is the square of the rows, no task holds more than two blocks.
+    """
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).alias("i"), F.col(vec).alias("x"), F.col(cluster).alias("c"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    own, every = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select(own.alias("p"), every.alias("q"), "i", "x", "c").groupBy("p", "q")
+    right = rows.select(every.alias("p"), own.alias("q"), "x", "c").groupBy("p", "q")
+    kind = dict(rows.dtypes)
+    sums = left.cogroup(right).applyInArrow(_cluster_sums, f"i {kind['i']}, c {kind['c']}, o {kind['c']}, s double, n long")
+    same = F.col("c").eqNullSafe(F.col("o"))
+    mean = sums.groupBy("i", "c", "o").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("n", F.col("n") - same.cast("int")).where("n > 0").withColumn("d", F.col("s") / F.col("n"))
+    ends = mean.groupBy("i").agg(F.max(F.when(same, F.col("d"))).alias("a"), F.min(F.when(~same, F.col("d"))).alias("b"))
+    # A row without others has no mean, and counts as 0 as well.
+    sides = rows.select("i").join(ends, "i", "left")
+    return sides.agg(F.avg(F.when(F.greatest("a", "b") > 0, F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).otherwise(0.0)).alias("silhouette"))
 
 
 def grid_evaluation(spark, settings: dict[str, list], done: DataFrame | None, fit_and_score) -> DataFrame:

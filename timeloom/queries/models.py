@@ -49,6 +49,11 @@ def exact_silhouette(spark, d):
     return rounded(ml.exact_silhouette(e, "vec_id", "v", "label"), "silhouette")
 
 
+def exact_silhouette_all(spark, d):
+    """exact_silhouette over all embeddings."""
+    return rounded(ml.exact_silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label"), "silhouette")
+
+
 def pca_points(spark, d):
     out = ml.pca(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 2)
     return out.select("vec_id", F.round(F.abs(F.col("pca")[0]), 5).alias("first"), F.round(F.abs(F.col("pca")[1]), 5).alias("second"))
@@ -136,7 +141,7 @@ def token_labels(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, bridge_mask_gaps,
+    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, exact_silhouette_all, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, bridge_mask_gaps,
               mesh_components, pixel_components, seeded_components, token_labels)
 }
 REACH = """WITH RECURSIVE {0}, reach AS (SELECT recording, frame, n AS a, n AS b FROM m UNION SELECT r.recording, r.frame, r.a, e.v FROM reach r JOIN edges e ON e.recording = r.recording AND e.frame = r.frame AND e.u = r.b),
