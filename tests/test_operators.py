@@ -273,3 +273,37 @@ def test_exact_silhouette_over_blocks_and_over_all_rows(spark):
     assert len(rows) > 300
     want = brute(np.array(rows["embedding"].tolist(), float), rows["label"].to_numpy())
     assert abs(queries.queries()["exact_silhouette_all"](spark, "/root/testdata/sf0.001").first()[0] - want) < 1e-5
+
+
+def test_drop_worst_of_a_long_key_and_whole_recordings(spark):
+    import random
+    from statistics import median
+
+    from timeloom import queries
+
+    def kept(rows, floor, least):
+        rows = sorted(rows, key=lambda r: (r[1], -r[0]))
+        while len(rows) > least:
+            m = median(v for _, v in rows)
+            if rows[-1][1] <= max(floor, m + 3.5 * 1.4826 * median(abs(v - m) for _, v in rows)):
+                break
+            rows.pop()
+        return set(rows)
+
+    rng = random.Random(2)
+    rows = {k: [(i, float(round(rng.lognormvariate(0, 2), 1))) for i in range(n)] for k, n in enumerate((1, 2, 7, 8, 40, 900, 901))}
+    df = spark.createDataFrame([(k, i, v) for k, r in rows.items() for i, v in r], "k int, v int, item double")
+    for floor, least in ((0.1, 3), (1.0, 8)):
+        got = {(r.k, r.v, r.item) for r in metrics.drop_worst(df, ["k"], "v", "item", floor, least).collect()}
+        assert got == {(k, *x) for k, r in rows.items() for x in kept(r, floor, least)} and len(got) < 1800
+    from timeloom.queries.base import frames
+
+    d, want = "/root/testdata/sf0.001", {}
+    for r in frames(spark, d).where("value IS NOT NULL").select("user_id", "frame", "value").collect():
+        want.setdefault(r.user_id, []).append((r.frame, r.value))
+    got = {(r.user_id, r.frame, r.value) for r in queries.queries()["drop_worst_all"](spark, d).collect()}
+    assert got == {(k, *x) for k, r in want.items() for x in kept(r, 50.0, 8)}
+    assert max(x[1] for x in got) >= 12
+    q = queries.queries()
+    assert q["stereo_rows_all"](spark, d).where("output_index >= 30").count() + q["stereo_rows"](spark, d).count() == q["stereo_rows_all"](spark, d).count()
+    assert q["ranked_donors_all"](spark, d).where("frame >= 12 AND donor >= 12").count() > 0

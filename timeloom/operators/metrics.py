@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -234,26 +235,39 @@ def mad_threshold(df: DataFrame, keys: list[str], value: str, floor: float, scal
     return mad.select(*keys, F.greatest(F.lit(floor), F.col("m") + scale * 1.4826 * F.col("mad")).alias("threshold"))
 
 
+def kept_of(v: np.ndarray, floor: float, least: int, scale: float) -> int:
+    """How many of the sorted values drop_worst() leaves. The deviations of a sorted prefix are two sorted sides, so each median is found by halving, without a copy."""
+
+    def deviation(n: int, m: float, k: int) -> float:
+        """The k-th smallest (from 0) of |v[:n] - m|: the k + 1 nearest values stand side by side."""
+        low, high = 0, n - k - 1
+        while low < high:
+            at = (low + high) // 2
+            low, high = (low, at) if v[at + k] - m >= m - v[at] else (at + 1, high)
+        return min(max(m - v[x], v[x + k] - m) for x in (low - 1, low) if x >= 0)
+
+    n = len(v)
+    while n > least:
+        m = (v[(n - 1) // 2] + v[n // 2]) / 2
+        if v[n - 1] <= max(floor, m + scale * 1.4826 * ((deviation(n, m, (n - 1) // 2) + deviation(n, m, n // 2)) / 2)):
+            break
+        n -= 1
+    return n
+
+
 def drop_worst(df: DataFrame, keys: list[str], item: str, value: str, floor: float, least: int, scale: float = 3.5) -> DataFrame:
     """keys, item, value without the worst item of each key, again and again, while it is above the key's mad_threshold() and more than `least` items are left.
 
-    Errors are as given. What is left is always the smallest ones, so the loop runs along one sorted array; keys (a camera's views) have few items.
+    Errors are as given. What is left is always the smallest ones, so the loop runs down one sorted array, in about n log n for a key's n items.
     """
 
-    def middle(v: Column) -> Column:
-        n = F.size(v)
-        return (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor((n + 2) / 2).cast("int"))) / 2
-
-    def step(kept: Column, _: Column) -> Column:
-        v = F.transform(kept, lambda x: x["v"])
-        m = middle(v)
-        limit = F.greatest(F.lit(floor), m + scale * 1.4826 * middle(F.array_sort(F.transform(v, lambda x: F.abs(x - m)))))
-        return F.when((F.size(kept) > least) & (F.element_at(v, -1) > limit), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    def run(table: pa.Table) -> pa.Table:
+        v, x = (table.column(c).to_numpy() for c in ("__v", "__item"))
+        order = np.lexsort((-x, v))  # of equal values the larger item stands first, so that the smaller one goes first
+        return table.take(order[: kept_of(v[order], floor, least, scale)])
 
-    # Of equal values the larger item stands first, so that the smaller one goes first.
-    rows = F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), (-F.col(item)).alias("less"), F.col(item).alias("item"))))
-    got = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(rows.alias("rows")).withColumn("kept", F.aggregate(F.sequence(F.lit(1), F.size("rows")), F.col("rows"), step))
-    return got.select(*keys, F.explode("kept").alias("x")).select(*keys, F.col("x.item").alias(item), F.col("x.v").alias(value))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(item).alias("__item"), F.col(value).cast("double").alias("__v"))
+    return rows.groupBy(*keys).applyInArrow(run, rows.schema).withColumnsRenamed({"__item": item, "__v": value})
 
 
 def top_fraction_mean(df: DataFrame, keys: list[str], value: str, fraction: float, min_points: int) -> DataFrame:

@@ -174,6 +174,11 @@ def drop_worst(spark, d):
     return metrics.drop_worst(f, KEY, "frame", "value", 50.0, 8)
 
 
+def drop_worst_all(spark, d):
+    """drop_worst over all frames."""
+    return metrics.drop_worst(frames(spark, d).select("user_id", "frame", "value"), KEY, "frame", "value", 50.0, 8)
+
+
 def top_fraction_mean(spark, d):
     return rounded(metrics.top_fraction_mean(table(spark, d, "lineitem").select("l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")), ["l_suppkey"], "cents", 0.05, 10), "score", places=4)
 
@@ -279,7 +284,7 @@ QUERIES = {
     f.__name__: f
     for f in (confusion_matrix, class_metrics, f1_scores, label_confusion, accuracy_report, class_accuracy, conditional_accuracy, pooled_accuracy, pooled_edit_score, class_weights, calibration_right, calibration_left,
               expected_calibration_error, brier_score, log_loss, ensemble_sweep, best_weight, seed_summary, holdout_summary, class_holdout, fold_mean, finite_summary, validity_contingency, mask_ab, mask_diff, pixel_error,
-              track_confidence, policy_error, robust_location, mad_threshold, drop_worst, top_fraction_mean, group_mean_max, zbuffer_min, cluster_table, cluster_metrics, centroid_similarity, bbox_from_points, estimated_fps,
+              track_confidence, policy_error, robust_location, mad_threshold, drop_worst, drop_worst_all, top_fraction_mean, group_mean_max, zbuffer_min, cluster_table, cluster_metrics, centroid_similarity, bbox_from_points, estimated_fps,
               histogram, lag_correlation, estimate_offset, fit_line, rigid_fit, visible_fraction, reliable_frames, occupancy, motion_energy, motion_energy_top, background_plate, cleanest_plate)
 }
 

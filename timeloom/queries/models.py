@@ -110,6 +110,12 @@ def ranked_donors(spark, d):
     return rounded(sequence.ranked_donors(bad, fr), "score")
 
 
+def ranked_donors_all(spark, d):
+    """ranked_donors over all frames and donors."""
+    bad = sparse(spark, d, 0.15).select("recording", "frame", (F.col("y") * 8 + F.col("x")).alias("pixel"))
+    return rounded(sequence.ranked_donors(bad, tokens(spark, d).select("recording", F.col("token_index").alias("frame"))), "score")
+
+
 def bridge_mask_gaps(spark, d):
     m = sparse(spark, d, 0.15).withColumn("label", F.lit(0)).select("recording", "label", "frame", "y", "x")
     return sequence.bridge_mask_gaps(m.where("frame % 4 <> 2"), 2, 1)
@@ -141,7 +147,7 @@ def token_labels(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, exact_silhouette_all, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, bridge_mask_gaps,
+    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, exact_silhouette_all, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, ranked_donors_all, bridge_mask_gaps,
               mesh_components, pixel_components, seeded_components, token_labels)
 }
 REACH = """WITH RECURSIVE {0}, reach AS (SELECT recording, frame, n AS a, n AS b FROM m UNION SELECT r.recording, r.frame, r.a, e.v FROM reach r JOIN edges e ON e.recording = r.recording AND e.frame = r.frame AND e.u = r.b),
@@ -176,3 +182,5 @@ SELECT recording, frame, pixel, donor, round(score, 6) AS score FROM c WHERE k =
 e AS (SELECT g, u, v FROM e0 UNION SELECT g, v, u FROM e0), edges AS (SELECT e.* FROM e JOIN m p ON e.g = p.g AND e.u = p.n JOIN m q ON e.g = q.g AND e.v = q.n), reach AS (SELECT g, n AS a, n AS b FROM m UNION SELECT r.g, r.a, edges.v FROM reach r JOIN edges ON edges.g = r.g AND edges.u = r.b),
 c AS (SELECT g, a, min(b) AS component FROM reach GROUP BY g, a), s AS (SELECT *, count(*) OVER (PARTITION BY g, component) AS size FROM c) SELECT g AS c_nationkey, a AS node, component, size FROM s WHERE size >= 3""",
 }
+#: Over all frames.
+SQL["ranked_donors_all"] = SQL["ranked_donors"].replace(" AND frame < 12", "").replace(" WHERE frame < 12", "")

@@ -117,6 +117,11 @@ def exclude_by_label(spark, d):
     return filters.exclude_by_label(s, KEY, ["SIGNUP"])
 
 
+def exclude_by_label_all(spark, d):
+    """exclude_by_label over all frames."""
+    return filters.exclude_by_label(sequence.run_length_segments(frames(spark, d), KEY, "frame", "event_type"), KEY, ["SIGNUP"])
+
+
 def status_filter(spark, d):
     log = table(spark, d, "pages").select(F.col("page_id").alias("id"))
     cur = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "denied").otherwise("curated").alias("status"), F.col("quality").alias("clips"))
@@ -205,7 +210,15 @@ def annotation_json(spark, d):
 
 
 def stereo_rows(spark, d):
-    a = frames(spark, d).where("frame < 30")
+    return stereo(frames(spark, d).where("frame < 30"))
+
+
+def stereo_rows_all(spark, d):
+    """stereo_rows over all frames."""
+    return stereo(frames(spark, d))
+
+
+def stereo(a):
     t = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1000000).alias(c)
     p = joins.paired(a.where("user_id % 2 = 0").select((F.col("user_id") / 2).cast("int").alias("recording"), F.col("frame").alias("output_index"), F.col("event_id").alias("source_index"), t("ts")),
                      a.where("user_id % 2 = 1").select(F.floor(F.col("user_id") / 2).cast("int").alias("recording"), F.col("frame").alias("output_index"), F.col("event_id").alias("source_index"), t("ts")), ["recording", "output_index"])
@@ -257,8 +270,8 @@ def union_results(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (check_segments, check_coverage, check_increasing, check_bundle, check_subset, check_nested, check_partition, check_domains, check_same, check_equal_fields, check_limits, check_units, check_count_is_integer, label_index,
-              stride_filter, prefix_trim, exclude_by_label, status_filter, split_observations, dilate_pixels, depth_gates, ablation_boxes, ablation_shuffle, jitter_parameters, provenance, natural_top, spaced_top_k, balanced_cap,
-              evenly_spaced, stratified_cap, leave_one_out, next_free_id, manifest_upsert, annotation_json, stereo_rows, key_values, frame_index_rules, topic_counts, natural_frames, contact_index, policy_frames, union_results)
+              stride_filter, prefix_trim, exclude_by_label, exclude_by_label_all, status_filter, split_observations, dilate_pixels, depth_gates, ablation_boxes, ablation_shuffle, jitter_parameters, provenance, natural_top, spaced_top_k, balanced_cap,
+              evenly_spaced, stratified_cap, leave_one_out, next_free_id, manifest_upsert, annotation_json, stereo_rows, stereo_rows_all, key_values, frame_index_rules, topic_counts, natural_frames, contact_index, policy_frames, union_results)
 }
 NAT = r"array_to_string(list_transform(regexp_extract_all(lower({0}), '\d+|\D+'), lambda x: CASE WHEN regexp_full_match(x, '\d+') THEN lpad(x, 20, '0') ELSE x END), '')"
 SQL = {
@@ -318,3 +331,6 @@ w AS (SELECT DISTINCT u.user_id, t.event_type FROM f u, (SELECT DISTINCT event_t
     "policy_frames": "SELECT vec_id AS index, label, vec_id // 50 AS episode_index FROM embeddings",
     "union_results": """WITH o AS (SELECT o_custkey, o_orderpriority FROM orders), b AS (SELECT o_orderpriority, count(*) AS n FROM (SELECT DISTINCT * FROM o) GROUP BY 1), e AS (SELECT o_orderpriority, count(*) AS only_first FROM o WHERE o_custkey % 3 = 2 GROUP BY 1) SELECT * FROM b JOIN e USING (o_orderpriority)""",
 }
+#: Over all frames.
+SQL["exclude_by_label_all"] = SQL["exclude_by_label"].replace(" WHERE frame < 8", "")
+SQL["stereo_rows_all"] = SQL["stereo_rows"].replace(" WHERE a.frame < 30", "")
