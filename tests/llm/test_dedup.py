@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from timeloom.llm import exact, neardup, substring
-from timeloom.llm.common import pack, pack_small, unpack, unpack_small
+from timeloom.llm.common import pack, pack_small, unpack, unpack_small, word_hashes
 from timeloom.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,3 +147,29 @@ def test_packing():
     rng = np.random.default_rng(1)
     v = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (unpack(pack(v)) == v).all() and (unpack_small(pack_small(v.astype(np.int64) % 70000)) == v.astype(np.int64) % 70000).all()
+
+
+def test_words_made_to_cancel_out_have_different_hashes(spark):
+    """Thue-Morse words and their complements, on which polynomials modulo 2**64 agree."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+    rows = [(1, " ".join([one] * 40)), (2, " ".join([two] * 40))]
+    pattern = [(one, two)[x] for x in signs[:32]]
+    rows += [(3, " ".join(["x", *pattern, "y", "z", "u"])), (4, " ".join(["x", *((two, one)[x] for x in signs[:32]), "y", "z", "u"]))]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeated_windows(frame(spark, rows)).collect()}
+    assert got == {1: 40, 2: 40, 3: 0, 4: 0}  # 1 and 2 repeat themselves
+    alone = [(1, " ".join(f"{one}{i}" for i in range(40))), (2, " ".join(f"{two}{i}" for i in range(40)))]
+    assert [r.n_removed for r in substring.remove_repeated_windows(frame(spark, alone)).collect()] == [0, 0]
+
+
+def test_hashes_with_one_value_and_two_checks_stay_apart():
+    values = np.array([7, 5, 7, 5, 7], np.uint64)
+    v, c, inverse, count = substring.distinct(values, np.array([1, 1, 2, 1, 1], "<u4"))
+    assert v.tolist() == [5, 7, 7] and c.tolist() == [1, 1, 2] and inverse.tolist() == [1, 0, 2, 0, 1] and count.tolist() == [2, 2, 1]
+
+
+def test_word_hashes_tell_lengths_and_contents_apart():
+    words = [b"", b"a", b"a\0", b"\0", b"\0\0", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"x" * 64, b"x" * 65, b"x" * 66, b"x" * 64 + b"y"]
+    ends = np.cumsum([len(w) for w in words])
+    h = word_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert len(set(h.tolist())) == len(words)

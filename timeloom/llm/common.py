@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BYTE_BASE = 0x9E3779B97F4A7C55
-WORD_BASE = 0xD6E8FEB86659FD93
+#: Three primes just below 2**32 and a base for each; a Rabin-Karp hash is taken modulo each of them.
+PRIMES = (4294967291, 4294967279, 4294967231)
+BASES = (2891336453, 1181783497, 3266489917)
+#: Words of more bytes are hashed by BLAKE2b.
+LONG_WORD = 64
+BYTE_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -82,17 +87,6 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i up to n at least."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[base] = got = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return got
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -103,24 +97,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
-    """s[i]: sum of values[j] * base**j for j < i. A Rabin-Karp hash of any range is one difference of two entries."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=sums[1:])
-    return sums
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word. Eight bytes at a time pass through a mixing that isn't linear in them, so that no pattern of bytes cancels out; it keeps off chance, not an attacker who knows it."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64)))
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), np.dtype("<u8"), room, strides=(1,))
+    todo, k = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        block = blocks[starts[todo] + k] & BYTE_MASKS[np.minimum(size[todo] - k, 8)]
+        out[todo] = mix(out[todo] ^ block)
+        k += 8
+        todo = todo[size[todo] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little"))
+    return out
 
 
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    return (sums[ends] - sums[starts]) * powers(base, len(sums))[1][starts]
+def modulo(x: np.ndarray, prime: int) -> np.ndarray:
+    return x - x // np.uint64(prime) * np.uint64(prime)
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(data.astype(np.uint64) + np.uint64(1), BYTE_BASE)
+def prime_powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASES[k]**i and BASES[k]**-i modulo PRIMES[k], for i up to n at least."""
+    got = _powers.get(k)
+    if got is None or len(got[0]) <= n:
+        both = []
+        for base in (BASES[k], pow(BASES[k], -1, PRIMES[k])):
+            table = np.ones(1, np.uint64)
+            while len(table) <= max(n, 1 << 16):
+                table = np.concatenate([table, modulo(table * np.uint64(pow(base, len(table), PRIMES[k])), PRIMES[k])])
+            both.append(table)
+        _powers[k] = got = both[0], both[1]
+    return got
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of each word."""
-    return mix(range_hash(byte_sums(data) if sums is None else sums, starts, ends, BYTE_BASE) + (ends - starts).astype(np.uint64))
+def rabin_karp(values: np.ndarray, starts: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Of each range values[s : s + length]: sum of values[s + j] * BASES[k]**j modulo PRIMES[k], as one difference of prefix sums."""
+    up, down = prime_powers(k, len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(modulo(modulo(values, PRIMES[k]) * up[: len(values)], PRIMES[k]), out=sums[1:])
+    return modulo(modulo(sums[starts + length] - sums[starts], PRIMES[k]) * down[starts], PRIMES[k])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -159,9 +176,14 @@ def unpack_small(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def grown(each: int, total: int, most: int, since: int = 30 << 30) -> int:
+    """each, more for an input over `since` bytes: it grows as the root of the input, `most` times at the utmost. With blocks and buckets that both grow so, what a block sends to a bucket stays well above a row's own size."""
+    return int(each * min(most, max(1.0, (total / since) ** 0.5)))
+
+
 def in_blocks(docs: DataFrame, total: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with a column `block`: a hash of id and text deals the rows out to blocks of about block_bytes."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // block_bytes)))))
+    """docs with a column `block`: rows are dealt out to blocks of about block_bytes by a hash of id, text and the partition they are read in, so that a fully repeated row doesn't fill one block."""
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(max(1, -(-total // block_bytes)))))
 
 
 def bucket_bits(total: int, each: int) -> int:

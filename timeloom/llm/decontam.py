@@ -1,4 +1,4 @@
-"""Benchmark decontamination: item-sized word windows that share enough runs of words with an item, exact edit distance."""
+"""Benchmark decontamination: item-sized word windows meet the items by bit-sampling LSH over CGK embeddings; exact edit distance decides."""
 
 from __future__ import annotations
 
@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from timeloom.llm.common import LOWER, mix, ragged, slices, utf8, word_hashes
 
-#: A window is a leak if its edit distance to an item, in words, is at most RATE of the item's words.
-RATE, ANCHOR = 0.2, 3
+#: A window is a leak if its edit distance to an item, in words, is at most RATE of the item's words. RUN: words in a run, see Index.screen.
+RATE, RUN = 0.2, 3
+#: Coordinates that one repetition samples, and the recall that repetitions are added for, at the largest distance.
+COORDINATES, RECALL = 3, 0.995
+#: A walk of 2n steps passes n words on average; coordinates are sampled from the first 1.8n, where few walks have ended.
+STEPS = 1.8
 #: Items go to the executors in parts of at most so many words, each with a pass of its own over the documents.
 PART_WORDS = 1_000_000
 WORD = np.zeros(256, bool)
@@ -57,81 +61,205 @@ def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
     return result
 
 
+def walks(windows: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
+    """CGK embedding: of each window (rows of `windows`, word hashes, PAD behind the end) and each seed, the place of its pointer at every step, as (step, window, seed).
+
+    A pointer writes the word it stands at and goes on to the next one if a coin says so, which is a hash of seed, step and word: equal words at equal steps move alike,
+    so that two walks that once stand at the same word of an alignment stay together until the next edit. Places behind the last word are that of the first PAD.
+    """
+    steps = int(STEPS * size)
+    wide = np.concatenate([windows, np.full((len(windows), 1), PAD)], axis=1)
+    row = (np.arange(len(wide)) * wide.shape[1])[:, None]
+    flat, last = wide.ravel(), wide.shape[1] - 1
+    out = np.empty((steps, len(windows), len(seeds)), np.int16 if last < 1 << 15 else np.int32)
+    place = np.zeros((len(windows), len(seeds)), np.int64)
+    for t in range(steps):
+        out[t] = place
+        coin = flat[row + place] * (mix(seeds + np.uint64(t)) | np.uint64(1)) >> np.uint64(63)
+        place = np.minimum(place + coin.astype(np.int64), last)
+    return out
+
+
+def sampled(size: int, seeds: np.ndarray) -> np.ndarray:
+    """The steps that each seed samples: COORDINATES of them."""
+    draw = mix(seeds[:, None] ^ np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.sort((draw % np.uint64(max(1, int(STEPS * size)))).astype(np.int64), axis=1)
+
+
+def bucket_keys(windows: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
+    """LSH keys of windows (rows) for each seed (columns): the words at the sampled coordinates of the embedding. 0, which meets nothing, if one lies behind the end."""
+    path = walks(windows, size, seeds)
+    wide = np.concatenate([windows, np.full((len(windows), 1), PAD)], axis=1)
+    at = sampled(size, seeds)
+    key = np.broadcast_to(mix(seeds ^ np.uint64(size)), (len(windows), len(seeds))).copy()
+    ended = np.zeros(key.shape, bool)
+    for j in range(COORDINATES):
+        word = np.take_along_axis(wide, path[at[:, j], :, np.arange(len(seeds))].T.astype(np.int64), axis=1)
+        ended |= word == PAD
+        key = mix(key ^ word) + np.uint64(j + 1)
+    key[ended] = 0
+    return key
+
+
+def seeds_of(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def length_class(size: int) -> int:
+    """Repetitions are measured once for all lengths of a class: a power of 1.2, rounded up."""
+    n = 1
+    while n < size:
+        n = max(n + 1, int(n * 1.2))
+    return n
+
+
+_repetitions: dict[tuple[int, float], int] = {}
+
+
+def repetitions(size: int, rate: float, scripts: int = 200, tries: int = 96) -> int:
+    """How many repetitions find an item of `size` different words with expected probability RECALL when as much is edited as the limit lets.
+
+    Measured on random edit scripts (substitutions, and insertions and deletions in equal number) of the class's largest length, each with its own chance p of meeting in
+    one repetition: the least R at which the mean of 1 - (1 - p)**R is RECALL. There is no upper bound on R. Repeated words can only make walks meet oftener.
+    """
+    size = length_class(size)
+    if (size, rate) in _repetitions:
+        return _repetitions[size, rate]
+    rng = np.random.default_rng(size)
+    edits = int(rate * size)
+    item = mix(np.arange(1, size + 1, dtype=np.uint64))
+    made = np.full((scripts, size), PAD)
+    for i in range(scripts):
+        x = item.tolist()
+        swaps = int(rng.integers(0, edits // 2 + 1)) if edits > 1 else 0
+        for j in range(edits - 2 * swaps):
+            x[rng.integers(len(x))] = int(rng.integers(1, 1 << 63))
+        for j in range(swaps):
+            del x[rng.integers(len(x))]
+            x.insert(rng.integers(len(x) + 1), int(rng.integers(1, 1 << 63)))
+        made[i] = np.array(x, np.uint64)
+    seeds = mix(np.arange(1, tries + 1, dtype=np.uint64) << np.uint64(20))
+    own, hits = bucket_keys(item[None, :], size, seeds), np.zeros(scripts)
+    for part in np.array_split(np.arange(scripts), max(1, int(scripts * tries * size * STEPS) >> 22)):
+        keys = bucket_keys(made[part], size, seeds)
+        hits[part] = ((keys == own) & (keys != 0)).sum(axis=1)
+    p, n = (hits + 0.5) / (tries + 1), 1
+    while np.mean(1 - (1 - p) ** n) < RECALL:
+        n += max(1, n // 16)
+    _repetitions[size, rate] = n
+    return n
+
+
 @dataclass
 class Index:
-    """Items as word hashes, and the table of their anchors (short runs of words)."""
+    """Items as word hashes, the runs that stand in items, and the LSH tables of all items of one length."""
 
     ids: np.ndarray
     items: list[np.ndarray]
     rate: float = RATE
 
     def __post_init__(self):
-        self.most = [int(self.rate * len(x)) for x in self.items]
-        self.size, self.limit = np.array([len(x) for x in self.items], np.int64), np.array(self.most, np.int64)
-        self.tables = {}
-        for length in range(1, ANCHOR + 1):
-            key, item, place = [], [], []
-            for k, x in enumerate(self.items):
-                if len(x) and length == min(ANCHOR, len(x), -(-(len(x) - self.most[k]) // (self.most[k] + 1))):
-                    g = runs(x, length)
-                    key.append(g), item.append(np.full(len(g), k)), place.append(np.arange(len(g)))
-            if key:
-                key, item, place = map(np.concatenate, (key, item, place))
-                order = np.argsort(key, kind="stable")
-                sieve = np.zeros(1 << 22, bool)
-                sieve[(key >> np.uint64(42)).astype(np.int64)] = True
-                self.tables[length] = key[order], item[order], place[order], sieve
-
-    def anchors(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rows (text, item, first word) of all windows that can be within the limit of an item, and few others.
-
-        An edit breaks at most `length` of an item's runs, so a window within the limit holds at least runs - limit * length of them, one at least by the choice of
-        `length`. As insertions and deletions cancel out in a full window, a run's place there differs by at most half the limit; where the text ends within the window,
-        up to the whole limit may be deleted before it. So each shared run speaks for a range of first words, and those that enough runs speak for are looked at.
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        self.most = (self.rate * self.size).astype(np.int64)
+        self.runs, self.tables = {}, {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            own = np.flatnonzero(self.size == size)
+            length = self.run_length(size)
+            self.runs.setdefault(length, []).append((np.unique(np.concatenate([runs(self.items[k], length) for k in own])), size))
+            seeds = seeds_of(repetitions(size, self.rate))
+            keys = bucket_keys(np.stack([self.items[k] for k in own]), size, seeds)
+            item = np.repeat(own, len(seeds))
+            key, item = keys.ravel()[keys.ravel() != 0], item[keys.ravel() != 0]
+            order = np.argsort(key, kind="stable")
+            self.tables[size] = seeds, key[order], item[order]
+        for length, found in self.runs.items():
+            key, size = np.concatenate([x for x, _ in found]), np.concatenate([np.full(len(x), n) for x, n in found])
+            order = np.argsort(key, kind="stable")
+            sieve = np.zeros(1 << 22, bool)
+            sieve[(key >> np.uint64(42)).astype(np.int64)] = True
+            self.runs[length] = key[order], size[order], sieve
+
+    def run_length(self, size: int) -> int:
+        most = int(self.rate * size)
+        return min(RUN, size, -(-(size - most) // (most + 1)))
+
+    def screen(self, h: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item length, the first words of all windows of that length that hold enough runs of items of that length; others can't be within the limit of one.
+
+        An edit breaks at most `length` of an item's runs, so a window within the limit holds at least runs - length * limit of them, one at least by the choice of
+        `length`. Which item a run is from isn't asked, so a run that very many items share costs once for each of their lengths.
         """
-        rows, n = [np.zeros((0, 3), np.int64)], len(h) + 2
-        for length, (key, item, place, sieve) in self.tables.items():
+        out, hits = {}, {}
+        for length, (key, sizes, sieve) in self.runs.items():
             g = runs(h, length)
             where = np.flatnonzero(sieve[(g >> np.uint64(42)).astype(np.int64)])
             low, high = np.searchsorted(key, g[where], "left"), np.searchsorted(key, g[where], "right")
-            where, low, high = where[high > low], low[high > low], high[high > low]
-            hit = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
-            where = np.repeat(where, high - low)
             text = np.searchsorted(at, where, "right") - 1
-            whole = where + length <= at[text + 1]  # a run lies in one text
-            where, hit, text = where[whole], hit[whole], text[whole]
-            item, size, most = item[hit], self.size[item[hit]], self.limit[item[hit]]
-            start = where - place[hit]
-            most = np.where(start + most + size > at[text + 1], most, most // 2)
-            first = np.maximum(np.maximum(start - self.limit[item] // 2, where + length - size), at[text])
-            last = np.minimum(start + most, where)
-            fit = first <= last
-            item, first, last = item[fit], first[fit], last[fit]
-            spot, inverse = np.unique(np.concatenate([item * n + first, item * n + last + 1]), return_inverse=True)
-            votes = np.cumsum(np.bincount(inverse, np.repeat([1, -1], len(item)), len(spot)).astype(np.int64))
-            need = np.maximum(1, self.size - length + 1 - self.limit * length)[spot // n]
-            kept = np.flatnonzero(votes >= need)
-            spots = ragged(spot[kept], spot[kept + 1] - spot[kept])
-            rows.append(np.column_stack([np.searchsorted(at, spots % n, "right") - 1, spots // n, spots % n]))
-        return np.concatenate(rows)
+            count = np.where(where + length <= at[text + 1], high - low, 0)  # a run lies in one text
+            size, where = sizes[ragged(low, count)], np.repeat(where, count)
+            for n in np.unique(size).tolist():
+                hits[n] = where[size == n]
+        for size, where in hits.items():
+            length = self.run_length(size)
+            need = max(1, size - length + 1 - length * int(self.rate * size))
+            if len(where) < need:
+                continue
+            first, last = where[: len(where) - need + 1], where[need - 1 :]  # `need` hits in a row: windows from last + length - size to first hold them
+            text = np.searchsorted(at, first, "right") - 1
+            low = np.maximum(last + length - size, at[text])
+            good = (low <= first) & (last < at[text + 1])
+            low, first = low[good], first[good]
+            low[1:] = np.maximum(low[1:], first[:-1] + 1)  # both rise: each start once
+            out[size] = ragged(low, np.maximum(0, first - low + 1))
+        return out
+
+    def windows(self, h: np.ndarray, at: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Words of the windows from starts, PAD where the text ends before."""
+        place = starts[:, None] + np.arange(size)[None, :]
+        end = at[np.searchsorted(at, starts, "right")][:, None]
+        return np.where(place < end, h[np.minimum(place, len(h) - 1)], PAD)
+
+    def meet(self, h: np.ndarray, at: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of all windows that share an LSH bucket with an item of their length."""
+        seeds, key, item = self.tables[size]
+        found = [np.zeros(0, np.int64)]
+        for part in np.array_split(starts, max(1, int(len(starts) * len(seeds) * size * STEPS) >> 22)):
+            keys = bucket_keys(self.windows(h, at, part, size), size, seeds)
+            spot = np.minimum(np.searchsorted(key, keys), len(key) - 1) if len(key) else np.zeros(keys.shape, np.int64)
+            w, r = np.nonzero((key[spot] == keys) & (keys != 0)) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            spot = spot[w, r]
+            n = np.searchsorted(key, key[spot], "right") - spot
+            found.append(np.unique(np.repeat(part[w], n) * len(self.items) + item[ragged(spot, n)]))
+        both = np.concatenate(found)
+        return both // len(self.items), both % len(self.items)
+
+    def distances(self, h: np.ndarray, at: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edit distance to item k and number of words of the windows from starts."""
+        far, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in np.array_split(starts, max(1, -(-len(starts) // 1000))):
+            window = self.windows(h, at, part, len(self.items[k]))
+            far.append(edit_distances(window, self.items[k])), words.append((window != PAD).sum(axis=1))
+        return np.concatenate(far), np.concatenate(words)
 
     def search(self, text: pa.Array) -> list[list[dict]]:
         """For each text: its leaks, the nearest window of each item, then the first."""
         h, at = word_ids(text)
-        spots = self.anchors(h, at)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in np.unique(spots[:, 1]).tolist():
-            item = self.items[k]
-            own = spots[spots[:, 1] == k]
-            for part in np.array_split(own, -(-len(own) // 1000)):
-                place = part[:, 2:3] + np.arange(len(item))[None, :]
-                end = at[part[:, 0] + 1][:, None]
-                windows = np.where(place < end, h[np.minimum(place, len(h) - 1)], PAD)
-                far = edit_distances(windows, item)
-                for (doc, _, first), d, n in zip(part.tolist(), far.tolist(), (windows != PAD).sum(axis=1).tolist(), strict=True):
-                    if d <= self.most[k]:
-                        found = (d, first - int(at[doc]), n)
-                        best[doc, k] = min(best.get((doc, k), found), found)
+        for size, starts in self.screen(h, at).items():
+            start, item = self.meet(h, at, starts, size)
+            for k in np.unique(item).tolist():
+                own, most = start[item == k], int(self.most[k])
+                far, _ = self.distances(h, at, own, k)
+                good = own[far <= most]
+                if len(good):  # around each leak, every window that overlaps it: the nearest may share no bucket
+                    near = np.searchsorted(good, starts, "right")
+                    gap = np.minimum(np.where(near > 0, starts - good[near - 1], size), np.where(near < len(good), good[np.minimum(near, len(good) - 1)] - starts, size))
+                    around = starts[gap <= most]
+                    far, words = self.distances(h, at, around, k)
+                    doc = np.searchsorted(at, around, "right") - 1
+                    for i in np.flatnonzero(far <= most).tolist():
+                        found = (int(far[i]), int(around[i] - at[doc[i]]), int(words[i]))
+                        best[int(doc[i]), k] = min(best.get((int(doc[i]), k), found), found)
         out = [[] for _ in range(len(at) - 1)]
         for (doc, k), (d, first, n) in sorted(best.items()):
             out[doc].append({"item_id": int(self.ids[k]), "first_word": first, "n_words": n, "distance": d})
@@ -170,9 +298,13 @@ def leak_columns(spark: SparkSession, parts: list[Index]) -> list[Column]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """A row for each (row of docs, item) with a leak: doc_id, item_id, first_word, n_words, distance; of an item's windows the nearest, then the first.
 
-    Windows have the item's length in words, less where the text ends. All that share enough runs of ANCHOR words (fewer for items of a few words) with the item near
-    their places in it are looked at, and no other can be within the distance; exact edit distance decides. Null and empty texts
-    have no leaks; rows stay in their partitions.
+    Windows have the item's length in words, less where the text ends; a leak is one within an edit distance of `rate` of the item's words. Every window that can be
+    that near is embedded (Index.screen passes over those that can't), searches the items' LSH tables in as many repetitions as RECALL asks for at the largest
+    distance, and is compared in full with each item it meets. So all rows are true, and a leak edited to the limit is missed with a chance of about 1 - RECALL.
+
+    Null and empty texts and items have no leaks; a row or item that stands twice gives its leaks twice; items of equal text are found alike; texts may have any length;
+    an empty table gives no rows; other columns, whatever their names, are ignored. Rows of docs stay in their partitions; the benchmark reaches the executors in
+    parts of PART_WORDS.
     """
     text = F.coalesce("text", F.lit(""))
     out = None
@@ -183,7 +315,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without the rows that hold a leak."""
+    """docs without the rows that hold a leak, all columns and repeated rows as they are. Rows with null or empty text stay; with an empty benchmark all rows stay."""
     for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate)):
         docs = docs.where(F.size(leaks(F.coalesce("text", F.lit("")))) == 0)
     return docs

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import LOWER, byte_sums, cut, held_out, slices, utf8, word_hashes
+from timeloom.llm.common import LOWER, cut, held_out, slices, utf8, word_hashes
 
 #: Bounds of the training sample (documents, chosen by a hash of their ids) and of the features kept.
 POSITIVES, UNLABELLED, FEATURES = 6000, 12000, 20000
@@ -32,11 +32,10 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(np.concatenate([[False], inside[:-1]]) & (~inside | first))
     owner = np.searchsorted(off, starts, "right") - 1
-    sums = byte_sums(data)
-    out, who = [word_hashes(data, starts, ends, sums)], [owner]
+    out, who = [word_hashes(data, starts, ends)], [owner]
     for n in BEGINNINGS:
         long = ends - starts > n
-        out.append(word_hashes(data, starts[long], starts[long] + n, sums) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        out.append(word_hashes(data, starts[long], starts[long] + n, seed=1))
         who.append(owner[long])
     return np.concatenate(who), np.concatenate(out), np.bincount(owner, minlength=len(text))
 
@@ -107,7 +106,7 @@ def nnpu_fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, positive: n
 def train_classifier(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most: int = FEATURES, mod: int = 5) -> Classifier:
     """A classifier from confirmed toxic documents and unlabelled text, both outside the held-out fold.
 
-    Labels of clean documents only set the class prior (the toxic share of labelled rows); their texts count as unlabelled. The sample is bounded; a feature is kept if it
+    A document whose id stands twice counts as often as it stands; of labels that contradict each other, toxic counts. Labels of clean documents only set the class prior (the toxic share of labelled rows); their texts count as unlabelled. The sample is bounded; a feature is kept if it
     stands in LEAST_DOCS positives, LEAST_LIFT times as often there as in unlabelled text, and its log-likelihood gain is more than chance gives among millions.
     """
     marks = labels.where(~held_out(mod) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -182,7 +181,11 @@ def toxicity_score(classifier: Classifier, spark) -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, classifier: Classifier | None = None, mod: int = 5) -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, score, predicted (score >= 0.5). Null and empty texts get the score of a text without features."""
+    """A row for each row of docs: doc_id, held_out, score, predicted (score >= 0.5).
+
+    Null and empty texts get the score of a text without features; whole texts of any length are scored; rows that stand twice get the same score twice; an empty table
+    of documents gives no rows; without toxic labels nothing is predicted toxic; other columns, whatever their names, are ignored.
+    """
     classifier = train_classifier(docs, labels, mod=mod) if classifier is None else classifier
     score = toxicity_score(classifier, docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(mod).alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
@@ -190,6 +193,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, classifier: Classifier |
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, mod: int = 5) -> DataFrame:
-    """docs without the rows that a classifier trained on them and their labels rejects."""
+    """docs without the rows that a classifier trained on them and their labels rejects, all columns as they are.
+
+    Rows with null or empty text are scored as texts without features; rows that stand twice go or stay together; an empty table stays empty.
+    """
     score = toxicity_score(train_classifier(docs, labels, mod=mod), docs.sparkSession)
     return docs.where(score(F.coalesce("text", F.lit(""))) < 0.5)
