@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timeloom.llm import exact, neardup, substring
 from timeloom.llm.common import pack, pack_small, unpack, unpack_small, word_hashes
@@ -62,6 +63,18 @@ def test_exact_filter_keeps_one_row_of_each_group_with_its_columns(spark):
     assert len(texts) == len(set(texts)) and set(texts) == {re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows}
 
 
+def test_exact_ties_and_many_runs(spark):
+    rows = [(1, "a b"), (1, "ab "), (1, " ab"), (1, "a b"), (2, "a  b"), (None, "zz"), (None, "zz"), (3, "zz")] * 3 + [(9, f"t{i % 7}") for i in range(100)]
+    df = frame(spark, rows).repartition(27)
+    for fan_in in (2, 3, 8):
+        kept = exact.drop_exact_duplicates(df.withColumn("row", F.lit("r")).withColumn("run", F.lit(0)), fan_in).collect()
+        assert sorted((r.doc_id, r.text, r.row) for r in kept if r.doc_id != 9) == [(2, "a  b", "r"), (3, "zz", "r")] and sorted(r.text for r in kept if r.doc_id == 9) == [f"t{i}" for i in range(7)]
+        assert {(r.keep_id, r.group_size) for r in exact.exact_duplicates(df, fan_in).collect() if r.doc_id != 9} == {(2, 15), (3, 9)}
+    same = [(1, "b a"), (1, "ba "), (1, " ba")]
+    first = {exact.drop_exact_duplicates(frame(spark, order)).first().text for order in (same, same[::-1], same[1:] + same[:1])}
+    assert len(first) == 1
+
+
 def shingles(text):
     w = WORD.findall(lower(text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
