@@ -111,6 +111,41 @@ def test_near_components(spark, block):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_a_large_group_is_checked_in_parts(spark):
+    """Copies with edits of one text, some of them too far from all others: every check stays small, links are those of brute force."""
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2]) if i % 10 else 4):
+            words[rng.randrange(60)] = f"u{rng.randrange(10_000)}"
+        rows.append((1000 - i, " ".join(words)))
+    want = components(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), block=8).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_near_filter_keeps_one_row_of_a_repeated_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (3, "alone here"), (3, "alone here"), (None, "x"), (None, "x"), (4, None), (5, "")]
+    kept = neardup.drop_near_duplicates(frame(spark, rows))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "x"), (0, "x"), (1, text + " more"), (3, "alone here"), (4, ""), (5, "")]
+    assert kept.columns == [c.split()[0] for c in KIND.split(", ")] and neardup.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_components_of_a_hub_and_its_rims(spark):
+    import timeloom.llm.components as module
+
+    old, module.HEAVY = module.HEAVY, 4
+    try:
+        edges = [(0, i) for i in range(1, 300)] + [(i, 1000 + i) for i in range(1, 50)] + [(5000, 5001), (5001, 5002), (5002, 5000), (7, 7)]
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    finally:
+        module.HEAVY = old
+    assert all(got[i] == 0 for i in [*range(300), *range(1001, 1050)]) and {got[i] for i in (5000, 5001, 5002)} == {5000} and len(got) == 300 + 49 + 3
+
+
 def test_near_filter(spark):
     rows = [r for r in corpus(2) if r[0] is not None]
     want = components(rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import LOWER, cut, mix, slices, utf8, word_hashes, words
+from timeloom.llm.common import LOWER, cut, keep_rows, mix, slices, utf8, word_hashes, words
 from timeloom.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
@@ -149,12 +149,56 @@ def _verify(percent: int):
     return run
 
 
+def _checked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) of a spanning forest of each check's links; dealt: (check columns.., member), sets: (member, hashes)."""
+    names = [c for c in dealt.columns if c != "member"]
+    return dealt.join(sets, "member").select(*names, "member", "hashes").groupBy(*names).applyInArrow(_verify(percent), "u long, v long")
+
+
+def _open_checks(groups: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(leader, i, j, member): what is still to be checked in the groups of more than `block` members, after their blocks' own checks have given `found`.
+
+    In a group, members of one component need no check among themselves. Components of `block` members or more fill blocks of their own, numbered on; smaller ones share
+    blocks. Two blocks are checked together unless both are of one component. So a group that the first checks have joined leaves nothing, and one with a few outsiders
+    as many checks as it has blocks.
+    """
+    large = cut(groups.where("blocks > 1").join(found, F.col("member") == F.col("node"), "left").select("leader", "member", F.coalesce("component", "member").alias("part")))
+    parts = large.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") >= block
+    own = cut(parts.where(share).select("leader", "part", F.ceil(F.col("n") / block).cast("long").alias("blocks")))
+    rest = parts.where(~share).groupBy("leader").agg(F.ceil(F.sum("n") / block).cast("long").alias("rest"))
+    sizes = own.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"))
+    open_groups = cut(rest.join(sizes, "leader", "full_outer").select("leader", F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("parts", F.lit(0)).alias("parts")).where("rest > 0 or parts > 1"))
+    # A block's name: the component's or "-" for shared ones, and its number.
+    block_name = lambda part, k: F.concat_ws(":", part.cast("string"), k.cast("string"))
+    placed = large.join(open_groups, "leader").join(own, ["leader", "part"], "left")
+    name = F.when(F.col("blocks").isNull(), block_name(F.lit("-"), F.pmod(F.xxhash64("part", F.lit(5)), F.col("rest")))).otherwise(block_name(F.col("part"), F.pmod(F.xxhash64("member", F.lit(3)), F.col("blocks"))))
+    mine = placed.select("leader", "member", name.alias("own"))
+    # Pairs of blocks, from numbers of blocks: shared with shared, shared with each component's, and those of two components.
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    shared = open_groups.where("rest > 0")
+    among = shared.select("leader", "rest", numbers("rest").alias("a")).select("leader", "a", numbers("rest").alias("b")).where("a <= b")
+    among = among.select("leader", block_name(F.lit("-"), F.col("a")).alias("i"), block_name(F.lit("-"), F.col("b")).alias("j"))
+    beside = own.join(shared, "leader").select("leader", "part", "rest", numbers("blocks").alias("b")).select("leader", "part", "b", numbers("rest").alias("a"))
+    beside = beside.select("leader", block_name(F.lit("-"), F.col("a")).alias("i"), block_name(F.col("part"), F.col("b")).alias("j"))
+    several = own.join(open_groups.where("parts > 1").select("leader"), "leader")
+    across = several.join(several.select("leader", F.col("part").alias("part2"), F.col("blocks").alias("blocks2")), "leader").where("part < part2")
+    across = across.select("leader", "part", "part2", "blocks2", numbers("blocks").alias("a")).select("leader", "part", "part2", "a", numbers("blocks2").alias("b"))
+    across = across.select("leader", block_name(F.col("part"), F.col("a")).alias("i"), block_name(F.col("part2"), F.col("b")).alias("j"))
+    meets = among.unionByName(beside).unionByName(across)
+    meets = meets.select("leader", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    return mine.join(meets, ["leader", "own"]).select("leader", "i", "j", "member")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts of equal sets stand for each other as one representative. In each bucket of a band, the least representative leads; all that meet under one leader form a
-    group, which holds every pair of its buckets. A group of more than `block` members is cut into blocks, and each pair of blocks is checked by itself, all pairs
-    exactly; only edges of a spanning forest leave a check. Null and empty texts have no shingles and stand alone. Rows that share a doc_id are one node.
+    group, which holds every pair of its buckets. A group is cut into blocks of about `block` members, and each block is checked together with the leader, all pairs
+    exactly; only edges of a spanning forest leave a check. In groups of several blocks, whatever these checks haven't joined is then checked across blocks.
+
+    Null and empty texts have no shingles and stand alone. Rows that share a doc_id are one node, rows without one stand alone. Texts may have any length. An empty table
+    gives no rows; other columns, whatever their names, are ignored.
     """
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sig = cut(small.mapInArrow(_describe(width, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
@@ -164,13 +208,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     leaders = entries.groupBy("key").agg(F.min("member").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
     groups = cut(entries.join(leaders, "key").select("leader", "member").distinct())
     sizes = cut(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))  # cut, so that the join can split a large group
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    dealt = groups.join(sizes, "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", "member", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    groups = cut(groups.join(sizes, "leader"))
+    own = F.when(F.col("member") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
+    first = groups.select("leader", F.explode(own).alias("i"), "member")
     wanted = groups.select(F.col("member").alias("doc_id")).distinct().hint("merge")  # grows with the corpus: never broadcast
     sets = small.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary")
-    edges = dealt.join(sets, "member").select("leader", "i", "j", "member", "hashes").groupBy("leader", "i", "j").applyInArrow(_verify(percent), "u long, v long")
+    edges = cut(_checked(first, sets, percent))
     found = connected_components(edges)
+    if groups.where("blocks > 1").limit(1).count():
+        found = cut(found)
+        rest = cut(_open_checks(groups, found, block))
+        again = rest.select(F.col("member").alias("doc_id")).distinct().hint("merge")
+        later = _checked(rest, small.join(again, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary"), percent)
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(later))
     named = reps.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -178,7 +228,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest doc_id."""
-    from timeloom.llm.common import keep_rows
+    """docs with one row of each group of near-duplicates: the one with the smallest doc_id; all columns as they are, whatever their names.
 
-    return keep_rows(docs, near_duplicates(docs, **options).where("not kept"))
+    Rows that share a doc_id are one node, so one of them stays at most: that of the longest text, then the largest hash of the text; rows equal in that too may differ in other
+    columns, and which stays then isn't defined. Rows without a doc_id stand alone and stay, as do rows with null or empty text under ids of their own.
+    """
+    found = cut(near_duplicates(docs, **options).select("doc_id", "kept"))
+    kept = keep_rows(docs, found.where("not kept").select("doc_id"))
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    if not twice.limit(1).count():
+        return kept
+    single = kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti")
+    several = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi")
+    best = F.max(F.struct(F.length(F.coalesce("text", F.lit(""))).alias("n"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    return single.unionByName(several.groupBy("doc_id").agg(best.alias("best")).select(*[F.col("best.row").getField(c).alias(c) for c in docs.columns]))
