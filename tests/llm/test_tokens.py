@@ -55,6 +55,34 @@ def test_token_counts_equal_the_library(spark):
         assert (r.n_tokens, r.n_bytes) == (len(lib.encode(text, add_special_tokens=False).ids), len(text.encode())) and r.over_limit == (r.n_tokens > 2048)
 
 
+@pytest.mark.parametrize("change", ["bracket", "plain", "no normalizer", "replace", "no pre-tokenizer", "lstrip", "word"])
+def test_token_counts_by_other_rules(spark, tmp_path, change):
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    spec = json.load(open(P.path("word_bpe_49k.json")))
+    extra = {"id": 49408, "content": "[EOS]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    if change in ("bracket", "lstrip", "word"):
+        spec["added_tokens"].append(extra | {"lstrip": change == "lstrip", "normalized": change == "lstrip", "single_word": change == "word"})
+    elif change == "plain":
+        spec["added_tokens"] = []
+    elif change == "no normalizer":
+        spec["normalizer"] = None
+    elif change == "no pre-tokenizer":
+        spec["pre_tokenizer"] = None
+    else:
+        spec["normalizer"]["normalizers"][1]["content"] = "x"
+    path = str(tmp_path / "own.json")
+    json.dump(spec, open(path, "w"))
+    lib = tokenizers.Tokenizer.from_file(path)
+    texts = ["hello [EOS] world", "a[EOS]b", "x  [EOS]", "[eos] Hello", "Two  words\nthree", "", None, "<|endoftext|>[EOS]", "the THE"]
+    got = tokencount.count_tokens(frame(spark, texts), path).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        text = (texts[r.doc_id] if r.doc_id is not None else "null id") or ""
+        assert r.n_tokens == len(lib.encode(text, add_special_tokens=False).ids), text
+
+
 def test_empty_tables(spark):
     none = frame(spark).where("false")
     assert bpe.encode_documents(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == tokencount.count_tokens(none, P.path("word_bpe_49k.json")).count() == 0

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
+from itertools import chain, repeat
 
-from collections import Counter
-
-
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -16,31 +15,52 @@ from timeloom.llm.common import cut, slices
 
 #: Broadcast: at most so many of the commonest pre-tokens, of at most so many bytes each. All others go through the join.
 COMMON, COMMON_BYTES = 1 << 18, 48
+#: Texts go through the first pass in slabs of about so many bytes, each with a dictionary of its own.
+SLAB_BYTES = 2 << 20
 #: Texts of these characters alone are already in NFC, and both regular expression engines class them alike.
 PLAIN = regex.compile("[\t-\r -~ -¬®-ſ]*")
+#: The rules, beside the pattern of the split, for which plain texts are cut without the library.
+PLAIN_RULES = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [{"type": "Split", "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+)
 
 
 class PreTokenizer:
-    """The tokenizer file's own normalizer and pre-tokenizer; plain texts take the same steps by a compiled pattern, the others go through the library."""
+    """A tokenizer file's own normalizer and pre-tokenizer. Where the file has the very rules of PLAIN_RULES, plain texts take them by a compiled pattern; all else goes through the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation(), self.whole.no_padding()
         with open(path) as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        added = spec.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        self.odd = any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        norm = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        rules = (spec.get("normalizer") or {}).get("normalizers", []), [{k: v for k, v in s.items() if k != "pattern"} for s in steps]
         self.pattern = None
-        if norm == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
+        if rules == PLAIN_RULES and set(steps[0]["pattern"]) == {"Regex"} and not self.odd:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
 
+    def normal(self, text: str) -> str:
+        return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special) or self.odd and any(s in self.normal(text) or self.normal(s) in self.normal(text) for s in self.special)
+
     def pieces(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of a text, in the library's byte letters or for plain texts as they stand, and how many special strings it holds."""
+        """Pre-tokens of a text, in the library's byte letters (after a 0) or for plain texts as they stand, and how many tokens it has beside them.
+
+        A special string is one token and cuts the text; by rules other than the plain ones, a text that holds one is left to the library as a whole.
+        """
         parts, special = [text], 0
-        if self.cut and "<" in text:
+        if self.special and self.has_special(text):
+            if not self.pattern:
+                return [], len(self.whole.encode(text, add_special_tokens=False).ids)
             parts = self.cut.split(text)
             special = len(parts) - 1
         out: list[str] = []
@@ -48,7 +68,8 @@ class PreTokenizer:
             if self.pattern and PLAIN.fullmatch(part):
                 out += self.pattern.findall(part.lower())
             elif part:
-                out += ["\0" + p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))]
+                normal = self.normal(part)
+                out += ["\0" + p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)] if self.whole.pre_tokenizer else ["\0" + normal] * bool(normal)
         return out, special
 
     def count(self, pieces: list[str]) -> list[int]:
@@ -69,18 +90,28 @@ def pre_tokenizer(path: str) -> PreTokenizer:
     return _own[path]
 
 
-def _distinct(path: str):
-    kind = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+SLAB = pa.schema([
+    ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())),
+    ("place", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("pieces", pa.list_(pa.string())),
+])
+SLAB_SQL = "doc_id array<long>, n_bytes array<long>, known array<long>, size array<int>, place array<int>, times array<int>, pieces array<string>"
+
+
+def _slabs(path: str):
+    """A row for each slab of documents: its dictionary of pre-tokens, and for each document the places there of its pre-tokens with their frequencies."""
 
     def run(batches):
-        own, seen = pre_tokenizer(path), Counter()
-        for part in slices(batches):
-            for text in part.column("text").to_pylist():
-                seen.update(own.pieces(text)[0])
-            if len(seen) > 400_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=kind)
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=kind)
+        own = pre_tokenizer(path)
+        for part in slices(batches, most=SLAB_BYTES):
+            both = [own.pieces(t) for t in part.column("text").to_pylist()]
+            n = np.array([len(p) for p, _ in both], np.int64)
+            flat = list(chain.from_iterable(p for p, _ in both))
+            index = dict(zip(dict.fromkeys(flat), range(len(flat)), strict=False))
+            place = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+            pair, times = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(index)) + place, return_counts=True)
+            size = np.bincount(pair // max(1, len(index)), minlength=len(n))
+            columns = part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), [s for _, s in both], size, pair % max(1, len(index)), times, list(index)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(columns, SLAB, strict=True)], schema=SLAB)
 
     return run
 
@@ -95,47 +126,61 @@ def _pieces_of(path: str):
     return run
 
 
-def _frequencies(path: str, common):
+def _frequencies(common):
     """Of each document: tokens of special strings and common pre-tokens, and the frequencies of its other pre-tokens."""
     entry = pa.struct([("piece", pa.string()), ("n", pa.int32())])
-    kind = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("rest", pa.list_(entry))])
+    kind = pa.schema([("slab", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("rest", pa.list_(entry))])
 
     def run(batches):
-        own, get = pre_tokenizer(path), common.value.get
-        for part in slices(batches):
-            known, rest = [], []
-            for text in part.column("text").to_pylist():
-                pieces, total = own.pieces(text)
-                other = []
-                for piece, n in Counter(pieces).items():
-                    tokens = get(piece)
-                    if tokens is None:
-                        other.append({"piece": piece, "n": n})
-                    else:
-                        total += tokens * n
-                known.append(total), rest.append(other)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "n_bytes")), pa.array(known, pa.int64()), pa.array(rest, pa.list_(entry))], schema=kind)
+        get = common.value.get
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_id, n_bytes, known, size, place, times, pieces = (batch.column(c).slice(i, 1).flatten() for c in SLAB.names)
+                size, place, times = (np.asarray(x).astype(np.int64) for x in (size, place, times))
+                tokens = np.fromiter(map(get, pieces.to_pylist(), repeat(-1)), np.int64, len(pieces))
+                owner, found = np.repeat(np.arange(len(size)), size), tokens[place]
+                total = np.asarray(known) + np.bincount(owner, np.where(found < 0, 0, found) * times, len(size)).astype(np.int64)
+                other = np.flatnonzero(found < 0)
+                off = np.searchsorted(owner[other], np.arange(len(size) + 1)).astype(np.int32)
+                rest = pa.StructArray.from_arrays([pieces.take(pa.array(place[other])), pa.array(times[other].astype(np.int32))], fields=list(entry))
+                rows = pa.array(np.arange(len(size), dtype=np.int32))
+                slab = pa.array(np.full(len(size), batch.column("slab")[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([slab, rows, doc_id, n_bytes, pa.array(total), pa.ListArray.from_arrays(pa.array(off), rest)], schema=kind)
 
     return run
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of counts (piece, n, tokens), those of the largest n; of the n at the bound, none. A histogram of n finds the bound, so nothing is sorted."""
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect()  # 8 a power of two at most
+    room, least = most, None
+    for r in steps:
+        if r["rows"] > room:
+            break
+        room, least = room - r["rows"], r["step"]
+    return counts.where(F.lit(False) if least is None else F.floor(F.log2("n") * 8) >= least)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, common: int = COMMON) -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
-    path: a tokenizers file that every executor can read. Null is an empty text without tokens. A special string inside a text is one token, as the library's default has it.
-    First pass: distinct pre-tokens with their corpus frequency, counted once each by the file's model. Second pass: each document's frequencies meet these counts; the
-    commonest pre-tokens (bounded in number and length) by broadcast, all others by a shuffled join.
+    path: a tokenizers file that every executor can read. Texts are cut into pre-tokens once: a written table holds the frequencies of every document, by places in the
+    dictionary of its slab. The model counts each distinct pre-token of the corpus once, and the frequencies meet these counts: the commonest pre-tokens (bounded in
+    number and length) by broadcast, all others by a shuffled join.
+
+    Null is an empty text, without tokens. A special string inside a text is one token, as the library's default has it. A text of any length is cut as a whole; a row
+    that stands twice is counted twice. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = small.select("text").mapInArrow(_distinct(path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    slabs = cut(small.mapInArrow(_slabs(path), SLAB_SQL).withColumn("slab", F.monotonically_increasing_id()))
+    found = slabs.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # n: in how many slabs
     counts = cut(found.mapInArrow(_pieces_of(path), "piece string, n long, tokens long"))
-    rows = counts.where(F.octet_length("piece") <= COMMON_BYTES).orderBy(F.desc("n"), "piece").limit(common).select("piece", "tokens").toArrow()
+    rows = commonest(counts.where(F.octet_length("piece") <= COMMON_BYTES), common).select("piece", "tokens").toArrow()
     table = dict(zip(rows.column("piece").to_pylist(), rows.column("tokens").to_pylist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    numbered = small.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    each = numbered.mapInArrow(_frequencies(path, shared), "row long, doc_id long, n_bytes long, known long, rest array<struct<piece:string,n:int>>")
-    each = each.select("row", "doc_id", "n_bytes", "known", F.explode_outer("rest").alias("e"))
-    joined = each.select("row", "doc_id", "n_bytes", "known", F.col("e.piece").alias("piece"), F.col("e.n").alias("times")).join(counts.select("piece", "tokens"), "piece", "left")
-    total = joined.groupBy("row", "doc_id", "n_bytes", "known").agg(F.sum(F.coalesce(F.col("times") * F.col("tokens"), F.lit(0))).alias("more"))
+    each = slabs.mapInArrow(_frequencies(shared), "slab long, row int, doc_id long, n_bytes long, known long, rest array<struct<piece:string,n:int>>")
+    each = each.select("slab", "row", "doc_id", "n_bytes", "known", F.explode_outer("rest").alias("e"))
+    joined = each.select("slab", "row", "doc_id", "n_bytes", "known", F.col("e.piece").alias("piece"), F.col("e.n").alias("times")).join(counts.select("piece", "tokens"), "piece", "left")
+    total = joined.groupBy("slab", "row", "doc_id", "n_bytes", "known").agg(F.sum(F.coalesce(F.col("times") * F.col("tokens"), F.lit(0))).alias("more"))
     n = F.col("known") + F.col("more")
     return total.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
