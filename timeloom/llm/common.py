@@ -33,6 +33,12 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a table as read, in as many partitions as the cluster has cores at least: a file of one row group would else be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def held_out(mod: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, divisible by mod; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(mod)) == 0, F.lit(False))
