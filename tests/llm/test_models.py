@@ -85,41 +85,76 @@ def test_nnpu_risk_separates_a_known_mixture():
     assert (said[400:] == toxic[400:]).mean() > 0.95
 
 
-def test_katz_scores(spark):
-    rows = [(i, t) for i, t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()][:80] + [(900, None), (901, ""), (902, "never seen words"), (903, "the of the of"), (903, "the of the of")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
-    got = lm.score_documents(df, block_bytes=40_000, bucket_entries=3000).collect()
-    tokens = [(i, [*WORD.findall(lower(t or "")), "</s>"]) for i, t in rows]
-    train = [w for i, w in tokens if zlib.crc32(str(i).encode()) % 10]
-    c = collections.Counter(x for w in train for x in w)
-    n, v = sum(c.values()), len(c)
-    pairs = collections.Counter(p for w in train for p in zip(["<s>", *w[:-1]], w, strict=True))
-    of = collections.defaultdict(list)
-    for (h, w), k in pairs.items():
-        of[h].append((w, k))
-    seen = collections.Counter(pairs.values())
-    d = lm.good_turing([seen[r] for r in range(1, lm.LAST + 2)])
-    base = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    cut = lambda k: d[min(k, lm.LAST + 1)]
-
-    def p(h, w):
-        if h not in of:
-            return base(w)
-        total = sum(k for _, k in of[h])
-        mass = sum(cut(k) * k for _, k in of[h]) / total
+class PlainKatz:
+    """Katz backoff from dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.c = order, [collections.Counter() for _ in range(order)]
+        for words in texts:
+            padded = ["<s>"] * (order - 1) + words
+            for i in range(len(words)):
+                for m in range(order):
+                    self.c[m][tuple(padded[i + order - 1 - m : i + order])] += 1
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        self.of, self.d = [collections.defaultdict(list) for _ in range(order)], [None]
+        for m in range(1, order):
+            for gram, k in self.c[m].items():
+                self.of[m][gram[:-1]].append((gram[-1], k))
+            seen = collections.Counter(self.c[m].values())
+            self.d.append(lm.good_turing([seen[r] for r in range(1, lm.LAST + 2)]))
+
+    def base(self, w):
+        return (self.c[0][(w,)] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p(self, h, w):
+        m = len(h)
+        if not m:
+            return self.base(w)
+        if h not in self.of[m]:
+            return self.p(h[1:], w)
+        cut = lambda k: self.d[m][min(k, lm.LAST + 1)] * k
+        total = sum(k for _, k in self.of[m][h])
+        mass = sum(cut(k) for _, k in self.of[m][h]) / total
         scale = min(1, (1 - 0.5 / (total + 1)) / mass)
-        if (h, w) in pairs:
-            return scale * cut(pairs[h, w]) * pairs[h, w] / total
-        return (1 - scale * mass) / (1 - sum(base(x) for x, _ in of[h])) * base(w)
-
-    want = collections.Counter()
-    for i, w in tokens:
-        score = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True))
-        want[i, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(base(x)) for x in w), 6), round(score, 6)] += 1
-    assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
-    h = max(of, key=lambda k: len(of[k]))
-    assert abs(sum(p(h, w) for w in c) + p(h, "\0") - 1) < 1e-9
-    assert lm.score_documents(df.where("false")).count() == 0
+        if (*h, w) in self.c[m]:
+            return scale * cut(self.c[m][(*h, w)]) / total
+        return (1 - scale * mass) / (1 - sum(self.p(h[1:], x) for x, _ in self.of[m][h])) * self.p(h[1:], w)
+
+    def score(self, words):
+        padded = ["<s>"] * (self.order - 1) + words
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), w)) for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_scores(spark, order, tmp_path):
+    rows = [(i, t) for i, t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows, new = rows[:50] + [(900, None), (901, ""), (902, "never seen words"), (903, "the of the of"), (903, "the of the of"), (None, "x y")], rows[50:70] + [(904, "quite new words the of the")]
+    frame = lambda x: spark.createDataFrame([(i, t, 1, "b") for i, t in x], "doc_id long, text string, score int, block string")
+    tokens = lambda t: [*WORD.findall(lower(t or "")), "</s>"]
+    model = PlainKatz([tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10], order)
+
+    def want(part):
+        out = collections.defaultdict(list)
+        for i, t in part:
+            w = tokens(t)
+            out[i, len(w), sum(model.c[0][(x,)] > 0 for x in w), model.n].append((sum(math.log10(model.base(x)) for x in w), model.score(w)))
+        return out
+
+    def same(got, part):
+        left = want(part)
+        assert len(got) == len(part)
+        for r in got:
+            scores = left[r.doc_id, r.n_tokens, r.n_known, r.train_tokens]
+            assert any(abs(r.base_score - a) < 1e-6 and abs(r.score - b) < 1e-5 * max(1, abs(b)) for a, b in scores)
+
+    folder = f"{tmp_path}/model"
+    same(lm.score_documents(frame(rows), order=order, path=folder, block_bytes=40_000, bucket_entries=3000).collect(), rows)
+    same(lm.score_with(frame(new), folder, block_bytes=30_000).collect(), new)
+    same(lm.score_with(frame(rows), folder).collect(), rows)
+    if order > 1:
+        h = max(model.of[order - 1], key=lambda k: len(model.of[order - 1][k]))
+        assert abs(sum(model.p(h, w) for (w,) in model.c[0]) + model.p(h, "\0") - 1) < 1e-9
+    assert lm.score_documents(frame(rows).where("doc_id < 0"), order=order).count() == 0
 
 
 def edit(a, b):
