@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, the language model against a plain Katz model, decontamination against all windows, chat templates by round trip."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -96,6 +97,7 @@ class PlainKatz:
                 for m in range(order):
                     self.c[m][tuple(padded[i + order - 1 - m : i + order])] += 1
         self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        self.p = functools.cache(self.p)
         self.of, self.d = [collections.defaultdict(list) for _ in range(order)], [None]
         for m in range(1, order):
             for gram, k in self.c[m].items():
@@ -128,7 +130,7 @@ class PlainKatz:
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_katz_scores(spark, order, tmp_path):
     rows = [(i, t) for i, t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    rows, new = rows[:50] + [(900, None), (901, ""), (902, "never seen words"), (903, "the of the of"), (903, "the of the of"), (None, "x y")], rows[50:70] + [(904, "quite new words the of the")]
+    rows, new = rows[:25] + [(900, None), (901, ""), (902, "never seen words"), (903, "the of the of"), (903, "the of the of"), (None, "x y")], rows[50:60] + [(904, "quite new words the of the")]
     frame = lambda x: spark.createDataFrame([(i, t, 1, "b") for i, t in x], "doc_id long, text string, score int, block string")
     tokens = lambda t: [*WORD.findall(lower(t or "")), "</s>"]
     model = PlainKatz([tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10], order)
@@ -148,7 +150,7 @@ def test_katz_scores(spark, order, tmp_path):
             assert any(abs(r.base_score - a) < 1e-6 and abs(r.score - b) < 1e-5 * max(1, abs(b)) for a, b in scores)
 
     folder = f"{tmp_path}/model"
-    same(lm.score_documents(frame(rows), order=order, path=folder, block_bytes=40_000, bucket_entries=3000).collect(), rows)
+    same(lm.score_documents(frame(rows), order=order, path=folder, block_bytes=40_000, bucket_entries=6000).collect(), rows)
     same(lm.score_with(frame(new), folder, block_bytes=30_000).collect(), new)
     same(lm.score_with(frame(rows), folder).collect(), rows)
     if order > 1:

@@ -42,6 +42,34 @@ def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
+_zstd = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Compressed by an entropy coder, which what Spark compresses its shuffles with has not."""
+    return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return _zstd.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
+def put(values: np.ndarray) -> bytes:
+    return squeeze(pack(values))
+
+
+def get(raw: bytes) -> np.ndarray:
+    return unpack(unsqueeze(raw))
+
+
+def put_small(values: np.ndarray) -> bytes:
+    return squeeze(pack_small(values))
+
+
+def get_small(raw: bytes) -> np.ndarray:
+    return unpack_small(unsqueeze(raw))
+
+
 def _leading(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -120,7 +148,7 @@ def _send_words(bits: int):
         values, inverse = np.unique(tokens, return_inverse=True)
         count = np.bincount(inverse, train, len(values)).astype(np.int64)
         block = table.column("block")[0].as_py()
-        return _rows([(b, block, pack(values[i:j]), pack_small(count[i:j])) for b, i, j in zip(*_cuts(_leading(values, bits)), strict=True)], kind)
+        return _rows([(b, block, put(values[i:j]), put_small(count[i:j])) for b, i, j in zip(*_cuts(_leading(values, bits)), strict=True)], kind)
 
     return run
 
@@ -136,15 +164,15 @@ def _answer_words(bits: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, lists = table.column("bucket")[0].as_py(), [unpack(x) for x in table.column("hashes").to_pylist()]
+        bucket, lists = table.column("bucket")[0].as_py(), [get(x) for x in table.column("hashes").to_pylist()]
         values, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpack_small(x) for x in table.column("counts").to_pylist()])).astype(np.int64)
+        total = np.bincount(inverse, np.concatenate([get_small(x) for x in table.column("counts").to_pylist()])).astype(np.int64)
         number = np.empty(len(values), np.int64)
         number[np.lexsort((values, -total))] = (np.arange(len(values)) << bits) + bucket + 1
         ends = np.cumsum([len(x) for x in lists])[:-1]
-        rows = [(bucket, block, pack_small(t), pack_small(k), None, 0, 0) for block, t, k in zip(table.column("block").to_pylist(), np.split(total[inverse], ends), np.split(number[inverse], ends), strict=True)]
+        rows = [(bucket, block, put_small(t), put_small(k), None, 0, 0) for block, t, k in zip(table.column("block").to_pylist(), np.split(total[inverse], ends), np.split(number[inverse], ends), strict=True)]
         known = total > 0
-        rows.append((bucket, -1, pack_small(total[known]), pack_small(number[known]), pack(values[known]), int(total.sum()), int(known.sum())))
+        rows.append((bucket, -1, put_small(total[known]), put_small(number[known]), put(values[known]), int(total.sum()), int(known.sum())))
         return _rows(rows, WORD_ANSWERS)
 
     return run
@@ -154,14 +182,14 @@ def _look_up_words(asked: pa.Table, table: pa.Table) -> pa.Table:
     """As _answer_words, from the stored table."""
     if not asked.num_rows:
         return WORD_ANSWERS.empty_table()
-    values, total, number = (f(table.column(c)[0].as_py()) for f, c in ((unpack, "hashes"), (unpack_small, "totals"), (unpack_small, "numbers"))) if table.num_rows else (np.zeros(0, d) for d in (np.uint64, np.int64, np.int64))
+    values, total, number = (f(table.column(c)[0].as_py()) for f, c in ((get, "hashes"), (get_small, "totals"), (get_small, "numbers"))) if table.num_rows else (np.zeros(0, d) for d in (np.uint64, np.int64, np.int64))
     values, total, number = np.append(values, np.uint64(0)), np.append(total, 0), np.append(number, UNKNOWN)
     rows = []
     for bucket, block, packed in zip(*(asked.column(c).to_pylist() for c in ("bucket", "block", "hashes")), strict=True):
-        own = unpack(packed)
+        own = get(packed)
         at = np.searchsorted(values[:-1], own)
         at = np.where(values[at] == own, at, len(values) - 1)
-        rows.append((bucket, block, pack_small(total[at]), pack_small(number[at]), None, 0, 0))
+        rows.append((bucket, block, put_small(total[at]), put_small(number[at]), None, 0, 0))
     return _rows(rows, WORD_ANSWERS)
 
 
@@ -188,7 +216,7 @@ class Grams:
 def _first(values: np.ndarray, token: np.ndarray, answers: pa.Table, model: Model) -> tuple[Grams, np.ndarray]:
     """The block's words as n-grams of order 1, and their numbers."""
     order = np.argsort(np.asarray(answers.column("bucket")))
-    join = lambda name: np.concatenate([unpack_small(x) for x in answers.column(name).take(pa.array(order)).to_pylist()])
+    join = lambda name: np.concatenate([get_small(x) for x in answers.column(name).take(pa.array(order)).to_pylist()])
     total, number = join("totals"), join("numbers")
     if len(total) != len(values):
         raise RuntimeError("rows were dealt out otherwise when they were read again")
@@ -220,10 +248,10 @@ def _next(below: Grams, number: np.ndarray, word: np.ndarray, at: np.ndarray, tr
 def _answered(grams: Grams, answers: pa.Table, level: Level) -> Grams:
     """grams with totals and probabilities."""
     answers = answers.take(pa.array(np.argsort(np.asarray(answers.column("bucket")))))
-    join = lambda lists: np.concatenate([unpack_small(x) for x in lists])
+    join = lambda lists: np.concatenate([get_small(x) for x in lists])
     packed = answers.column("stats").to_pylist()
     stats = np.stack([join([x[s] for x in packed]) for s in range(STATS)])
-    lower = np.concatenate([np.frombuffer(x, np.float64) for x in answers.column("lower").to_pylist()])
+    lower = np.concatenate([_unplanes(x, np.float64) for x in answers.column("lower").to_pylist()])
     hot = grams.hot[grams.starts]
     at = np.minimum(np.searchsorted(level.hot, grams.context[grams.starts][hot]), max(0, len(level.hot) - 1))
     if len(level.hot):
@@ -259,12 +287,12 @@ MESSAGE_SQL = "bucket long, block long, contexts binary, hot binary, sizes binar
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte plane by byte plane: leading bytes are alike, and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
 def _unplanes(raw: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _send(order: int, shared):
@@ -277,7 +305,10 @@ def _send(order: int, shared):
         for b, i, j in zip(*_cuts(g.bucket), strict=True):
             x, y = np.searchsorted(g.starts, [i, j])
             own = g.starts[x:y]
-            rows.append((b, block, pack(g.context[own]), np.packbits(g.hot[own]).tobytes(), pack_small(size[x:y]), pack_small(g.word[i:j]), pack_small(g.times[i:j]), _planes(g.lower[i:j])))
+            lower = g.lower[i:j]
+            if order == 2:  # of each distinct word once
+                lower = lower[np.unique(g.word[i:j], return_index=True)[1]]
+            rows.append((b, block, put(g.context[own]), np.packbits(g.hot[own]).tobytes(), put_small(size[x:y]), put_small(g.word[i:j]), put_small(g.times[i:j]), _planes(lower)))
         return _rows(rows, MESSAGE)
 
     return run
@@ -297,40 +328,47 @@ def _asked(table: pa.Table, names: np.ndarray) -> tuple[list[np.ndarray], list[n
     """Of each message: places of its contexts among names (len(names) if not there), and a key for each n-gram."""
     spots, keys = [], []
     for contexts, sizes, own in zip(*(table.column(c).to_pylist() for c in ("contexts", "sizes", "words")), strict=True):
-        context = unpack(contexts)
+        context = get(contexts)
         at = np.searchsorted(names, context)
         at[at < len(names)] = np.where(names[at[at < len(names)]] == context[at < len(names)], at[at < len(names)], len(names))
         spots.append(at)
-        keys.append(np.repeat(at, unpack_small(sizes)) << WORD_BITS | unpack_small(own))
+        keys.append(np.repeat(at, get_small(sizes)) << WORD_BITS | get_small(own))
     return spots, keys
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(order: int):
     """Of one bucket: to each block the totals of its n-grams and the stats of their contexts; the row of block -1 is the bucket's part of the table."""
-    names = np.unique(np.concatenate([unpack(x) for x in table.column("contexts").to_pylist()]))
-    spots, keys = _asked(table, names)
-    values, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([unpack_small(x) for x in table.column("times").to_pylist()])).astype(np.int64)
-    lower = np.concatenate([_unplanes(x, np.float32) for x in table.column("lower").to_pylist()])[first].astype(np.float64)
-    owner = values >> WORD_BITS
-    stats = np.zeros((STATS, len(names)), np.int64)
-    for r in range(1, LAST + 1):
-        stats[r - 1] = np.bincount(owner[total == r], minlength=len(names))
-    over = total > LAST
-    stats[LAST], stats[LAST + 1] = np.bincount(owner[over], minlength=len(names)), np.bincount(owner[over], total[over], len(names))
-    lower_sum = np.bincount(owner[total > 0], lower[total > 0], len(names))
-    each = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-    bucket, blank = table.column("bucket")[0].as_py(), [None] * 3 + [[]] * 4
-    rows = [(bucket, block, pack_small(t), [pack_small(x[s]) for x in stats], lower_sum[s].tobytes(), *blank) for block, t, s in zip(table.column("block").to_pylist(), each, spots, strict=True)]
-    hot = np.unique(np.concatenate([s[np.unpackbits(np.frombuffer(h, np.uint8), count=len(s)).astype(bool)] for s, h in zip(spots, table.column("hot").to_pylist(), strict=True)]))
-    known = total > 0
-    size = np.bincount(owner[known], minlength=len(names))
-    own = size > 0
-    rows.append((
-        bucket, -1, pack_small(total[known]), [pack_small(x[own]) for x in stats], lower_sum[own].tobytes(), pack(names[own]), pack_small(size[own]), pack_small(values[known] & UNKNOWN),
-        names[hot].view(np.int64).tolist(), stats[:, hot].T.ravel().tolist(), lower_sum[hot].tolist(), [int((total == r).sum()) for r in range(1, LAST + 2)],
-    ))
-    return _rows(rows, ANSWERS)
+
+    def run(table: pa.Table) -> pa.Table:
+        names = np.unique(np.concatenate([get(x) for x in table.column("contexts").to_pylist()]))
+        spots, keys = _asked(table, names)
+        values, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([get_small(x) for x in table.column("times").to_pylist()])).astype(np.int64)
+        lowers = [_unplanes(x, np.float32) for x in table.column("lower").to_pylist()]
+        if order == 2:
+            lowers = [x[np.unique(k & UNKNOWN, return_inverse=True)[1]] for x, k in zip(lowers, keys, strict=True)]
+        lower = np.concatenate(lowers)[first].astype(np.float64)
+        owner = values >> WORD_BITS
+        stats = np.zeros((STATS, len(names)), np.int64)
+        for r in range(1, LAST + 1):
+            stats[r - 1] = np.bincount(owner[total == r], minlength=len(names))
+        over = total > LAST
+        stats[LAST], stats[LAST + 1] = np.bincount(owner[over], minlength=len(names)), np.bincount(owner[over], total[over], len(names))
+        lower_sum = np.bincount(owner[total > 0], lower[total > 0], len(names))
+        each = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        bucket, blank = table.column("bucket")[0].as_py(), [None] * 3 + [[]] * 4
+        rows = [(bucket, block, put_small(t), [put_small(x[s]) for x in stats], _planes(lower_sum[s]), *blank) for block, t, s in zip(table.column("block").to_pylist(), each, spots, strict=True)]
+        hot = np.unique(np.concatenate([s[np.unpackbits(np.frombuffer(h, np.uint8), count=len(s)).astype(bool)] for s, h in zip(spots, table.column("hot").to_pylist(), strict=True)]))
+        known = total > 0
+        size = np.bincount(owner[known], minlength=len(names))
+        own = size > 0
+        rows.append((
+            bucket, -1, put_small(total[known]), [put_small(x[own]) for x in stats], _planes(lower_sum[own]), put(names[own]), put_small(size[own]), put_small(values[known] & UNKNOWN),
+            names[hot].view(np.int64).tolist(), stats[:, hot].T.ravel().tolist(), lower_sum[hot].tolist(), [int((total == r).sum()) for r in range(1, LAST + 2)],
+        ))
+        return _rows(rows, ANSWERS)
+
+    return run
 
 
 def _look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
@@ -339,8 +377,8 @@ def _look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
         return ANSWERS.empty_table()
     if table.num_rows:
         row = table.to_pylist()[0]
-        names, size, own, total = unpack(row["contexts"]), unpack_small(row["sizes"]), unpack_small(row["words"]), unpack_small(row["totals"])
-        stats, lower = np.stack([unpack_small(x) for x in row["stats"]]), np.frombuffer(row["lower"], np.float64)
+        names, size, own, total = get(row["contexts"]), get_small(row["sizes"]), get_small(row["words"]), get_small(row["totals"])
+        stats, lower = np.stack([get_small(x) for x in row["stats"]]), _unplanes(row["lower"], np.float64)
     else:
         names, size, own, total, stats, lower = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros((STATS, 0), np.int64), np.zeros(0)
     keys = np.append(np.repeat(np.arange(len(size)), size) << WORD_BITS | own, -1)
@@ -348,7 +386,7 @@ def _look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
     rows = []
     for bucket, block, spots, want in zip(asked.column("bucket").to_pylist(), asked.column("block").to_pylist(), *_asked(asked, names), strict=True):
         at = np.searchsorted(keys[:-1], want)
-        rows.append((bucket, block, pack_small(np.where(keys[at] == want, total[at], 0)), [pack_small(x[spots]) for x in stats], lower[spots].tobytes(), *[None] * 3, *[[]] * 4))
+        rows.append((bucket, block, put_small(np.where(keys[at] == want, total[at], 0)), [put_small(x[spots]) for x in stats], _planes(lower[spots]), *[None] * 3, *[[]] * 4))
     return _rows(rows, ANSWERS)
 
 
@@ -428,7 +466,7 @@ def _run(blocks: DataFrame, order: int, bits: int, path: str, stored: str | None
             table = _answers(spark, f"{stored}/order={m}", ANSWERS_SQL).where("block = -1")
             done = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_look_up, ANSWERS_SQL)
         else:
-            done = asked.groupBy("bucket").applyInArrow(_answer, ANSWERS_SQL)
+            done = asked.groupBy("bucket").applyInArrow(_answer(m), ANSWERS_SQL)
         done.write.parquet(f"{path}/order={m}")
         level = _level(_answers(spark, f"{stored or path}/order={m}", ANSWERS_SQL))
         model = Model(model.tokens, model.words, bits, [*model.levels, level])
@@ -443,7 +481,7 @@ def _scores(blocks: DataFrame, model: Model, answers: DataFrame) -> DataFrame:
     return out
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, mod: int = 10, path: str | None = None, block_bytes: int = 6 << 20, bucket_entries: int = 500_000) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, mod: int = 10, path: str | None = None, block_bytes: int = 6 << 20, bucket_entries: int = 1_000_000) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Tokens are lower-cased words and one end; a text's first ones follow its beginning. Counts are those of all documents outside the held-out fold (a null id is outside).
