@@ -212,14 +212,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     own = F.when(F.col("member") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
     first = groups.select("leader", F.explode(own).alias("i"), "member")
     wanted = groups.select(F.col("member").alias("doc_id")).distinct().hint("merge")  # grows with the corpus: never broadcast
-    sets = small.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary")
+    sets = cut(small.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary"))  # whole texts move once
     edges = cut(_checked(first, sets, percent))
     found = connected_components(edges)
     if groups.where("blocks > 1").limit(1).count():
         found = cut(found)
         rest = cut(_open_checks(groups, found, block))
-        again = rest.select(F.col("member").alias("doc_id")).distinct().hint("merge")
-        later = _checked(rest, small.join(again, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary"), percent)
+        later = _checked(rest, sets, percent)
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(later))
     named = reps.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
