@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timeloom.functions.scalars import box_iou, normalize_phrase
+from timeloom.operators.sequence import scan
 
 
 class JoinError(ValueError):
@@ -63,24 +65,21 @@ def pair_four_way(pairs: DataFrame, first: DataFrame, second: DataFrame, keys: l
     both = both.join(second.select(*keys, "output_index", F.col("depth_id").alias("d2"), F.col("depth_time").alias("dt2")), [*keys, "output_index"], "left")
     far = lambda d, a, b: d.isNull() | (F.abs(a.cast("double") - b.cast("double")) > max_delta)
     row = F.struct(
-        "output_index", F.col("d1").cast("long").alias("d1"), F.col("d2").cast("long").alias("d2"),
+        F.col("d1").cast("long").alias("d1"), F.col("d2").cast("long").alias("d2"),
         far(F.col("d1"), F.col("dt1"), F.col("t1")).alias("far1"), far(F.col("d2"), F.col("dt2"), F.col("t2")).alias("far2"),
     )
-    kind = "array<struct<output_index:bigint,depth_1:bigint,depth_2:bigint,accepted:boolean,reasons:array<string>>>"
-    start = F.struct(F.lit(None).cast("long").alias("last1"), F.lit(None).cast("long").alias("last2"), F.array().cast(kind).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        again = lambda n: ~x[f"far{n}"] & s[f"last{n}"].isNotNull() & (x[f"d{n}"] <= s[f"last{n}"])
-        why = F.array_compact(F.array(
-            F.when(x["far1"], F.lit("camera_1_depth_delta")), F.when(again(1), F.lit("camera_1_depth_non_unique")),
-            F.when(x["far2"], F.lit("camera_2_depth_delta")), F.when(again(2), F.lit("camera_2_depth_non_unique")),
-        ))
-        ok = F.size(why) == 0
-        done = F.struct(x["output_index"].cast("long").alias("output_index"), x["d1"].alias("depth_1"), x["d2"].alias("depth_2"), ok.alias("accepted"), why.alias("reasons"))
-        return F.struct(F.when(ok, x["d1"]).otherwise(s["last1"]).alias("last1"), F.when(ok, x["d2"]).otherwise(s["last2"]).alias("last2"), F.concat(s["out"], F.array(done)).alias("out"))
+    def step(last, row):
+        own, again = (row["d1"], row["d2"]), []
+        for n in (0, 1):
+            if row[f"far{n + 1}"]:
+                again.append(f"camera_{n + 1}_depth_delta")
+            elif last[n] is not None and own[n] <= last[n]:
+                again.append(f"camera_{n + 1}_depth_non_unique")
+        return last if again else own, (*own, not again, again)
 
-    got = both.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("out", F.aggregate("rows", start, step, lambda s: s["out"]))
-    return got.select(*keys, F.explode("out").alias("x")).select(*keys, "x.*")
+    kinds = [("depth_1", pa.int64()), ("depth_2", pa.int64()), ("accepted", pa.bool_()), ("reasons", pa.list_(pa.string()))]
+    return scan(both.select(*keys, F.col("output_index").cast("long").alias("output_index"), row.alias("row")), keys, "output_index", ["row"], lambda: (None, None), step, kinds)
 
 
 def nearest_center(frames: DataFrame, tokens: DataFrame, keys: list[str], frame: str = "frame", center: str = "center", token: str = "token_index") -> DataFrame:
@@ -91,12 +90,24 @@ def nearest_center(frames: DataFrame, tokens: DataFrame, keys: list[str], frame:
     return near.select(*keys, F.col("__frame").alias(frame), F.col("__token").alias(token))
 
 
+def segment_width(segments: DataFrame, start: str, end: str) -> float:
+    """The mean length of segments, 1 at least: cut into cells of this width, all segments together are at most thrice as many rows, however uneven they are."""
+    mean = segments.agg(F.avg(F.col(end).cast("double") - F.col(start).cast("double")).alias("w")).first()["w"]
+    return max(1.0, mean or 1.0)
+
+
+def cells(start: Column, end: Column, width: float) -> Column:
+    """A row for each cell of time that a segment touches, so that a segment meets the rows and segments near it by equality."""
+    return F.explode(F.when(start <= end, F.sequence(F.floor(start / width), F.floor(end / width))).otherwise(F.array().cast("array<bigint>")))
+
+
 def interval_labels(frames: DataFrame, segments: DataFrame, keys: list[str], frame: str, start: str, end: str, label: str, position: str | None = None, missing=None) -> DataFrame:
     """frames with the label of the segment that covers them (ends included); where several do, the last by position (or start). Uncovered rows get `missing`."""
     rank = position or start
-    part = segments.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(rank).alias("__rank"), F.col(label).alias("__label"))
-    key = [F.col(f"f.{k}") == F.col(f"s.{k}") for k in keys]
-    hit = frames.select(*keys, frame).distinct().alias("f").join(part.alias("s"), [*key, F.col(f"f.{frame}").between(F.col("s.__s"), F.col("s.__e"))])
+    width = segment_width(segments, start, end)
+    part = segments.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(rank).alias("__rank"), F.col(label).alias("__label"), cells(F.col(start), F.col(end), width).alias("__cell"))
+    key = [F.col(f"f.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("f.__cell") == F.col("s.__cell"), F.col(f"f.{frame}").between(F.col("s.__s"), F.col("s.__e"))]
+    hit = frames.select(*keys, frame, F.floor(F.col(frame) / width).alias("__cell")).distinct().alias("f").join(part.alias("s"), key)
     found = hit.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], F.col(f"f.{frame}").alias(frame)).agg(F.max_by("__label", "__rank").alias("__label"))
     return frames.join(found, [*keys, frame], "left").withColumn(label, F.coalesce("__label", F.lit(missing)) if missing is not None else F.col("__label")).drop("__label")
 
@@ -198,8 +209,13 @@ def segment_matches(predicted: DataFrame, truth: DataFrame, keys: list[str], thr
     t = truth.select(*keys, F.col("start_frame").alias("__s"), F.col("end_frame").alias("__e"), F.col("label").alias("label"))
     common = F.least("end_frame", "__e") - F.greatest("start_frame", "__s")
     union = F.greatest("end_frame", "__e") - F.least("start_frame", "__s")
-    meets = [predicted[k].eqNullSafe(t[k]) for k in [*keys, "label"]] + [predicted["start_frame"] < t["__e"], t["__s"] < predicted["end_frame"]]
-    both = predicted.join(t, meets, "left").select(*[predicted[c] for c in [*keys, "label", "start_frame", "end_frame"]], "__s", "__e").withColumn("__iou", F.when(F.col("__s").isNull(), 0.0).otherwise(F.greatest(common, F.lit(0)) / union))
+    width = segment_width(truth, "start_frame", "end_frame")
+    p = predicted.withColumn("__cell", cells(F.col("start_frame"), F.col("end_frame"), width))
+    t = t.withColumn("__cell", cells(F.col("__s"), F.col("__e"), width))
+    meets = [p[k].eqNullSafe(t[k]) for k in [*keys, "label", "__cell"]] + [p["start_frame"] < t["__e"], t["__s"] < p["end_frame"], p["__cell"] == F.floor(F.greatest(p["start_frame"], t["__s"]) / width)]  # in the first cell they share
+    names = [*keys, "label", "start_frame", "end_frame"]
+    both = p.join(t, meets).select(*[p[c] for c in names], "__s", "__e").withColumn("__iou", F.greatest(common, F.lit(0)) / union).select(*names, "__s", "__iou")
+    both = both.unionByName(predicted.select(*names, F.lit(None).cast(truth.schema["start_frame"].dataType).alias("__s"), F.lit(0.0).alias("__iou")))
     best = both.groupBy(*keys, "label", "start_frame", "end_frame").agg(F.max(F.struct("__iou", (-F.col("__s")).alias("s"))).alias("b"))
     claim = Window.partitionBy(*keys, "label", "b.s").orderBy(F.col("b.__iou") < threshold, "start_frame")
     hit = (F.col("b.__iou") >= threshold) & (F.row_number().over(claim) == 1)

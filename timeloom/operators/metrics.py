@@ -437,19 +437,39 @@ def tolerance_sweep(df: DataFrame, keys: list[str], order: str, label: str, pred
     return out.withColumns({"tolerant_accuracy": F.try_divide("tolerant_correct", "labelled"), "core_accuracy": F.try_divide("core_correct", core), "core_coverage": F.try_divide(core, "labelled")})
 
 
+#: Labels stand for each other as characters from here on, which leaves room for 900,000 labels a key.
+FIRST_CHARACTER = 0x20000
+
+
 def edit_score(df: DataFrame, keys: list[str], order: str, a: str, b: str) -> DataFrame:
-    """keys, runs_a, runs_b, edit_score = 100 (1 - distance / longer) of the run labels (small integers) of two columns."""
+    """keys, runs_a, runs_b, edit_score = 100 (1 - distance / longer) of the run labels of two columns, whatever values the labels have."""
 
-    def text(c: str, name: str) -> DataFrame:
-        runs = run_length_segments(df.where(F.col(c).isNotNull()), keys, order, c)
-        letters = F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda x: F.char(x["label"] + 65))
-        return runs.groupBy(*keys).agg(F.array_join(letters, "").alias(name))
+    def runs(c: str, side: int) -> DataFrame:
+        return run_length_segments(df.where(F.col(c).isNotNull()), keys, order, c).select(*keys, "run", "label", F.lit(side).alias("side"))
 
-    both = text(a, "__a").join(text(b, "__b"), keys, "full_outer").na.fill("", ["__a", "__b"])
+    code = F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")) + FIRST_CHARACTER
+    letter = F.expr("decode(unhex(lpad(hex(__code), 8, '0')), 'UTF-32')")
+    every = runs(a, 0).unionByName(runs(b, 1)).withColumn("__code", code).withColumn("letter", letter)
+    text = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("run", "letter")))), lambda x: x["letter"]), "")
+    both = every.groupBy(*keys).agg(text(0).alias("__a"), text(1).alias("__b"))
     longest = F.greatest(F.length("__a"), F.length("__b"), F.lit(1))
     return both.select(*keys, F.length("__a").alias("runs_a"), F.length("__b").alias("runs_b"), (100 * (1 - F.levenshtein("__a", "__b") / longest)).alias("edit_score"))
 
 
+def pooled_edit_score(df: DataFrame, keys: list[str], order: str, a: str, b: str, most: int = 50_000) -> DataFrame:
+    """runs_a, runs_b, edit_score of all recordings as one sequence, in the order of keys. Runs are made recording by recording; only these come together, and more than `most` of them are an error, as the distance takes the square of them."""
+
+    def runs(c: str) -> DataFrame:
+        return run_length_segments(df.where(F.col(c).isNotNull()), keys, order, c).select(*keys, "run", "label")
+
+    sides = [runs(a), runs(b)]
+    count = [side.count() for side in sides]
+    if max(count) > most:
+        raise ValueError(f"{max(count)} runs are too many for one edit distance; take edit_score of each recording")
+    flat = [side.withColumn("position", F.row_number().over(Window.orderBy(*keys, "run"))).select("position", F.col("label").alias(name)) for side, name in zip(sides, ("a", "b"), strict=True)]
+    return edit_score(flat[0].join(flat[1], "position", "full_outer").withColumn("all", F.lit(0)), ["all"], "position", "a", "b").drop("all")
+
+
 def segment_f1(matches: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """keys, tp, fp, fn, f1 = 100 * 2 TP / max(2 TP + FP + FN, 1) from segment_matches() and the truth segments."""
     p = matches.groupBy(*keys).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))

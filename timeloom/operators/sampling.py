@@ -21,17 +21,22 @@ def top_k(df: DataFrame, keys: list[str], group: str, score: str, limits: DataFr
     return ranked.join(F.broadcast(limits.select(group, "max_instances")), group).where("rank <= max_instances").drop("max_instances")
 
 
-def spaced_top_k(df: DataFrame, keys: list[str], frame: str, score: str, gap: int, most: int, candidates: int = 1000) -> DataFrame:
-    """keys, frame, score: best first, each at least `gap` frames from those taken, `most` in all; looked for among the best `candidates` of each key."""
-    best = df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), frame))).where(F.col("__k") <= candidates)
-    row = F.struct((-F.col(score)).alias("less"), F.col(frame).alias("f"))
+def spaced_top_k(df: DataFrame, keys: list[str], frame: str, score: str, gap: int, most: int) -> DataFrame:
+    """keys, frame (whole numbers), score: best first (the later frame of two), each at least `gap` frames from those taken, `most` in all.
+
+    A taken frame bars 2 * gap - 1 frames at most, its own included, so the best (most - 1) * (2 * gap - 1) + 1 frames of a key hold all that can be taken.
+    """
+    enough = max(most, (most - 1) * (2 * gap - 1) + 1)
+    frames = df.where(F.col(score).isNotNull()).groupBy(*keys, frame).agg(F.max(score).alias(score)) if gap > 0 else df
+    best = frames.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), F.desc(frame)))).where(F.col("__k") <= enough)
+    row = F.struct((-F.col(score)).alias("less"), (-F.col(frame)).alias("f"))
     got = best.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     none = F.slice("rows", 1, 0)
 
     def step(kept: Column, x: Column) -> Column:
         return F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: F.abs(k["f"] - x["f"]) < gap), F.concat(kept, F.array(x))).otherwise(kept)
 
-    return got.select(*keys, F.explode(F.aggregate("rows", none, step)).alias("x")).select(*keys, F.col("x.f").alias(frame), (-F.col("x.less")).alias(score))
+    return got.select(*keys, F.explode(F.aggregate("rows", none, step)).alias("x")).select(*keys, (-F.col("x.f")).alias(frame), (-F.col("x.less")).alias(score))
 
 
 def balanced_cap(df: DataFrame, label: str, key: str, epoch: int, cap: str | int = "mean") -> DataFrame:

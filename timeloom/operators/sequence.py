@@ -9,8 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -303,65 +306,79 @@ def best_epoch(history: DataFrame, keys: list[str], order: str, score: str, pati
     return h.groupBy(*keys).agg(best.alias("b"), stop.alias("stop_epoch")).select(*keys, (-F.col("b.e")).alias("best_epoch"), F.col("b.s").alias("best_score"), "stop_epoch")
 
 
-# State: a fold over the sorted rows of a key
+# State: one pass over the sorted rows of a key
 
 
-def fold(df: DataFrame, keys: list[str], order: str, columns: list[str], start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
-    """One row for each key: keys and `out`, what `finish` makes of the state after `step` has seen the key's rows in order.
+def scan(df: DataFrame, keys: list[str], order: str, values: list[str], start: Callable[[], object], step: Callable, out: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """keys, order and `out`: step(state, *values) gives (next state, values of out) for each row in order; start() is a key's first state.
 
-    A row is a struct of order and columns. JVM-side; a key's rows are one array, so keys with very many rows should be cut at resets first.
+    Rows are dealt out by key and sorted once, then pass by in Arrow batches: time grows with the rows, and of a key no more than the state is held.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, F.aggregate("__rows", start, step, finish).alias("out"))
+    kinds = [(k, df.schema[k].dataType) for k in [*keys, order]]
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds] + [T.StructField(n, from_arrow_type(t)) for n, t in out])
+    n_keys = len(keys)
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            names = list(zip(*[c.to_pylist() for c in batch.columns[:n_keys]], strict=True)) if n_keys else [()] * batch.num_rows
+            rows = []
+            for own, row in zip(names, zip(*[c.to_pylist() for c in batch.columns[n_keys + 1 :]], strict=True), strict=True):
+                if own != key:
+                    key, state = own, start()
+                state, made = step(state, *row)
+                rows.append(made)
+            made = list(zip(*rows, strict=True)) if rows else [[]] * len(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n_keys + 1], *(pa.array(x, t) for x, (_, t) in zip(made, out, strict=True))], names=[*keys, order, *(n for n, _ in out)])
+
+    sorted_rows = df.select(*keys, order, *values).repartition(*keys).sortWithinPartitions(*keys, order, *values) if keys else df.select(order, *values).repartition(1).sortWithinPartitions(order, *values)
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, on: float, off: float, min_on: int, hold: int) -> DataFrame:
-    """keys, order, active: on after min_on rows in a row at `on` or more (these rows included), off after more than `hold` rows in a row under `off`. Null and NaN are 0."""
-    row = lambda x: F.coalesce(F.nanvl(x[value].cast("double"), F.lit(0.0)), F.lit(0.0))
-    start = F.struct(F.lit(False).alias("active"), F.lit(0).alias("above"), F.lit(0).alias("below"), F.array().cast("array<boolean>").alias("out"))
+    """keys, order, active: on after min_on rows in a row at `on` or more (these rows included), off after more than `hold` rows in a row under `off`. Values that aren't finite are 0.
 
-    def step(s: Column, x: Column) -> Column:
-        above = F.when(row(x) >= on, s["above"] + 1).otherwise(0)
-        below = F.when(row(x) < off, s["below"] + 1).otherwise(0)
-        begins = ~s["active"] & (above >= min_on)
-        stays = s["active"] & (below <= hold)
-        done = F.when(begins, F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - (min_on - 1)), F.array_repeat(F.lit(True), min_on)))
-        done = done.otherwise(F.concat(s["out"], F.array(stays)))
-        return F.struct(F.coalesce(begins | stays, F.lit(False)).alias("active"), F.when(begins | stays, 0).otherwise(above).alias("above"), F.when(begins, 0).otherwise(below).alias("below"), done.alias("out"))
-
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    got = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
-    return got.select(*keys, F.explode(F.arrays_zip(F.col(f"__rows.{order}").alias("t"), F.col("__out").alias("a"))).alias("z")).select(*keys, F.col("z.t").alias(order), F.col("z.a").alias("active"))
+    As off <= on, a row at `on` ends every run under `off` and the other way round; so the state is what the last event said: a run long enough to switch on, or one
+    long enough to switch off. Windows of one sort.
+    """
+    if off > on:
+        raise ValueError("off must not be above on")
+    x = F.col(value).cast("double")
+    x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+    so_far, here = up_to(keys, order), over(keys, order)
+    rank = F.row_number().over(here)
+    run = lambda broken: F.col("__k") - F.coalesce(F.last(F.when(broken, F.col("__k")), ignorenulls=True).over(so_far), F.lit(0))
+    out = df.select(*keys, order, x.alias("__x")).withColumn("__k", rank).withColumns({"__above": run(F.col("__x") < on), "__below": run(F.col("__x") >= off)})
+    event = F.when(F.col("__above") >= min_on, True).when(F.col("__below") > hold, False)
+    out = out.withColumn("__on", F.coalesce(F.last(event, ignorenulls=True).over(so_far), F.lit(False)))
+    out = out.withColumn("__begins", F.col("__on") & ~F.coalesce(F.lag("__on").over(here), F.lit(False)))
+    return out.select(*keys, order, (F.col("__on") | F.coalesce(F.max("__begins").over(over(keys, order, 0, max(0, min_on - 1))), F.lit(False))).alias("active"))
 
 
 def ema_dual_threshold(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28) -> DataFrame:
-    """keys, order, ema, active: ema = alpha * x + (1 - alpha) * ema from 0; active if at `off` or more while active, else at `on` or more."""
-    kind = "array<struct<ema:double,active:boolean>>"
-    start = F.struct(F.lit(0.0).alias("ema"), F.lit(False).alias("active"), F.array().cast(kind).alias("out"))
+    """keys, order, ema, active: ema = alpha * x + (1 - alpha) * ema from 0; active if at `off` or more while active, else at `on` or more. Null is 0."""
 
-    def step(s: Column, x: Column) -> Column:
-        ema = alpha * x[value] + (1 - alpha) * s["ema"]
-        active = ema >= F.when(s["active"], off).otherwise(on)
-        return F.struct(ema.alias("ema"), active.alias("active"), F.concat(s["out"], F.array(F.struct(ema.alias("ema"), active.alias("active")))).alias("out"))
+    def step(state, x):
+        ema = alpha * (x or 0.0) + (1 - alpha) * state[0]
+        state = ema, ema >= (off if state[1] else on)
+        return state, state
 
-    rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))))
-    got = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
-    zipped = F.explode(F.arrays_zip(F.col(f"__rows.{order}").alias("t"), F.col("__out").alias("a"))).alias("z")
-    return got.select(*keys, zipped).select(*keys, F.col("z.t").alias(order), F.col("z.a.ema").alias("ema"), F.col("z.a.active").alias("active"))
+    plain = df.select(*keys, order, F.col(value).cast("double").alias(value))
+    return scan(plain, keys, order, [value], lambda: (0.0, False), step, [("ema", pa.float64()), ("active", pa.bool_())])
 
 
 def rate_limit(df: DataFrame, keys: list[str], order: str, value: str, step_limit: float, low: float, high: float) -> DataFrame:
-    """keys, order, limited: the first value as it is, then each moves at most step_limit from the last output and stays within [low, high]."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+    """keys, order, limited: the first value as it is, then each moves at most step_limit from the last output and stays within [low, high]. Null keeps the last output, within the bounds."""
 
-    def step(s: Column, x: Column) -> Column:
-        near = F.least(F.greatest(x[value], s["last"] - step_limit), s["last"] + step_limit)
-        y = F.when(s["last"].isNull(), x[value]).otherwise(F.least(F.greatest(near, F.lit(low)), F.lit(high)))
-        return F.struct(y.alias("last"), F.concat(s["out"], F.array(y)).alias("out"))
+    def step(last, x):
+        if last is None:
+            return x, (x,)
+        near = min(max(last if x is None else x, last - step_limit), last + step_limit)
+        y = min(max(near, low), high)
+        return y, (y,)
 
-    rows = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias(value))))
-    got = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
-    return got.select(*keys, F.explode(F.arrays_zip(F.col(f"__rows.{order}").alias("t"), F.col("__out").alias("a"))).alias("z")).select(*keys, F.col("z.t").alias(order), F.col("z.a").alias("limited"))
+    plain = df.select(*keys, order, F.col(value).cast("double").alias(value))
+    return scan(plain, keys, order, [value], lambda: None, step, [("limited", pa.float64())])
 
 
 def find_episodes(df: DataFrame, keys: list[str], order: str, value: str, sigma: float = 2.0, distance: int = 5, prominence: float = 0.1, most: int = 10) -> DataFrame:

@@ -46,8 +46,7 @@ def pooled_accuracy(spark, d):
 
 def pooled_edit_score(spark, d):
     """Edit score over all users as one sequence."""
-    f = metrics.concatenated(frames(spark, d), "user_id", "frame").withColumn("all", F.lit(0))
-    return rounded(metrics.edit_score(f, ["all"], "position", "pred", "cls"), "edit_score")
+    return rounded(metrics.pooled_edit_score(frames(spark, d), ["user_id"], "frame", "pred", "cls").withColumn("all", F.lit(0)), "edit_score")
 
 
 def class_weights(spark, d):

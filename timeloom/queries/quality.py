@@ -310,7 +310,7 @@ SELECT x.recording, x.token_index, y.token_index AS shuffled_token_index FROM h
     "jitter_parameters": "SELECT n_name, round(1 - 0.2 + 2 * 0.2 * (CAST(CAST('0x' || substr(sha256('42:' || n_name || ':brightness'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496), 6) AS brightness, CAST(NULL AS DOUBLE) AS hue, round(1 - 0.4 + 2 * 0.4 * (CAST(CAST('0x' || substr(sha256('42:' || n_name || ':contrast'), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496), 6) AS contrast FROM nation",
     "provenance": "SELECT page_id % 7 AS rec, count(*) AS files, min(url) AS first, max(url) AS last, CAST(sum(length(html)) AS BIGINT) AS bytes, max(page_id) AS modified FROM pages GROUP BY 1",
     "natural_top": f"SELECT url, 'validation' AS split FROM (SELECT DISTINCT url FROM pages) ORDER BY {NAT.format('url')} DESC, url DESC LIMIT 20",
-    "spaced_top_k": f"""WITH RECURSIVE {FRAMES}, r AS (SELECT user_id, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, frame) AS k FROM f),
+    "spaced_top_k": f"""WITH RECURSIVE {FRAMES}, r AS (SELECT user_id, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, frame DESC) AS k FROM f),
 p AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM r GROUP BY user_id UNION ALL SELECT r.user_id, r.k, CASE WHEN len(p.kept) < 3 AND len(list_filter(p.kept, lambda q: abs(q - r.frame) < 10)) = 0 THEN list_append(p.kept, r.frame) ELSE p.kept END FROM p JOIN r ON r.user_id = p.user_id AND r.k = p.k + 1),
 e AS (SELECT user_id, arg_max(kept, k) AS kept FROM p GROUP BY user_id), u AS (SELECT user_id, unnest(kept) AS frame FROM e) SELECT u.user_id, u.frame, f.value FROM u JOIN f ON f.user_id = u.user_id AND f.frame = u.frame""",
     "balanced_cap": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, lang FROM k WHERE k <= (SELECT floor(quantile_cont(n, 0.5)) FROM n)",
