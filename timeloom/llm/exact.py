@@ -41,9 +41,12 @@ def merge_runs(runs: DataFrame, fan_in: int = 8) -> DataFrame:
     order = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "raw", "row")
     merged = runs.groupBy("run", *KEY).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best"))
     nodes, step = (runs.agg(F.max("run")).first()[0] or 0) + 1, 1
+    size = 1
+    while size < nodes:
+        size *= fan_in
+    home = F.pmod(F.xxhash64("digest", F.lit(7)), F.lit(size))
     while step < nodes:
         digit = lambda x, step=step: F.pmod(F.floor(x / F.lit(step)), F.lit(fan_in))
-        home = F.shiftrightunsigned(F.xxhash64("digest", F.lit(7)), 1)
         goes_to = F.col("run") + (digit(home) - digit(F.col("run"))) * step
         sorted_runs = merged.withColumn("run", goes_to).repartition("run").sortWithinPartitions("run", *KEY)
         merged = sorted_runs.groupBy("run", *KEY).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
