@@ -152,6 +152,7 @@ def _verify(percent: int):
 def _checked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) of a spanning forest of each check's links; dealt: (check columns.., member), sets: (member, hashes)."""
     names = [c for c in dealt.columns if c != "member"]
+    dealt = dealt.hint("merge")  # both sides grow with the corpus: never broadcast, at no size
     return dealt.join(sets, "member").select(*names, "member", "hashes").groupBy(*names).applyInArrow(_verify(percent), "u long, v long")
 
 
