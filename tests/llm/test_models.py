@@ -309,6 +309,13 @@ def test_template_language():
     for bad in ("{% for x %}{% endfor %}", "{{ x. }}", "{{ f(1) }}", "{% if a %}", "{{ x | eval }}", "{{ 'a' 'b' }}", "{{ § }}"):
         with pytest.raises(chat.TemplateError):
             run(bad, x=1, f=print, a=1)
+    assert run("a  {%- if true -%}  b  {%- endif %}  c{{- ' d' }} {# note }} #}e") == "ab  c d e"
+    assert run("{{ '}}' }}{% if '%}' == x %}{{ \"{%\" }}{% endif %}", x="%}") == "}}{%"
+    assert run("{% if y is defined %}y{% elif x is not none and 2 not in x %}{{ x[-1] }}{% endif %}{{ 7 % 4 - -1 }}{{ 2 * 3 }}", x=[1, 5]) == "546"
+    assert run("{% if m.role is defined and m.name is not defined %}{{ m.role is string }}{% endif %}", m={"role": "user"}) == "true"
+    for bad in ("{{ 1 + 'a' }}", "{% for x in 3 %}{% endfor %}", "{{ 'a' * 9 }}", "{{ '%s' % x }}", "{{ none | length }}", "{{ x < 'a' }}", "{{ 1 % 0 }}", "{{ x", "{% if x", "{{ x is odd }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{{ " + "not " * 5000 + "1 }}", "{% if x %}" * 3000):
+        with pytest.raises(chat.TemplateError):
+            run(bad, x=1)
     for deny in ("{{ x.__class__ }}", "{{ x['__class__'] }}", "{{ y.append }}"):
         with pytest.raises(chat.TemplateError):
             run(deny, x="s", y=[1])

@@ -1,7 +1,9 @@
 """Chat formatting: a small sandboxed template language, compiled to Python closures that render conversations and mark what the model is to learn.
 
 Language: text, {{ expression }}, {% for x in e %}..{% endfor %}, {% if e %}..{% elif e %}..{% else %}..{% endif %}, {% set x = e %}, {% generation %}..{% endgeneration %}.
-Expressions: literals, names, a.b and a['b'] on mappings, a[0] on lists, not/and/or, == != < > <= >= in, + and ~ (join as text), x if c else y, filters with |.
+A minus inside a tag's bracket ({%- -%}, {{- -}}) takes away the white space on that side; {# #} is a comment; strings may hold any bracket.
+Expressions: literals, names, a.b and a['b'] on mappings, a[0] and a[-1] on lists, not/and/or, == != < > <= >= in, not in, is (not) defined/none/string, + - * % and ~ (join as
+text), x if c else y, filters with |. Whatever goes wrong, when a template is read or rendered, is a TemplateError.
 Nothing else of Python can be reached: no calls, no attributes of objects, no imports.
 """
 
@@ -65,14 +67,36 @@ class Node:
     parts: list = field(default_factory=list)
 
 
-TOKEN = re.compile(r"\s*(?:(?P<number>\d+)|(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[<>|+~.\[\]()]))")
+#: A tag, up to the bracket that closes it outside strings.
+TAG = re.compile(
+    r"(?P<show>\{\{(?:[^'\"}]|\}(?!\})|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")*\}\})|(?P<tag>\{%(?:[^'\"%]|%(?!\})|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")*%\})|(?P<note>\{#.*?#\})", re.S
+)
+#: Parts within parts, at most.
+DEPTH = 100
+TOKEN = re.compile(r"\s*(?:(?P<number>\d+)|(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[-<>|+~*%.\[\]()]))")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 class Parser:
     def __init__(self, source: str):
-        self.pieces = [p for p in re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S) if p]
-        self.at = 0
+        self.pieces, self.at, self.depth, end, trim = [], 0, 0, 0, False
+        for m in [*TAG.finditer(source), None]:
+            text = source[end : m.start() if m else len(source)]
+            if "{{" in text or "{%" in text:
+                raise TemplateError("a tag isn't closed")
+            text = text.lstrip() if trim else text
+            inside = m[0][2:-2] if m else ""
+            text = text.rstrip() if inside[:1] == "-" else text
+            if text:
+                self.pieces.append(("text", text))
+            if m and m.lastgroup != "note":
+                self.pieces.append((m.lastgroup, inside.removeprefix("-").removesuffix("-")))
+            end, trim = m.end() if m else end, inside[-1:] == "-"
+
+    def deeper(self, by: int) -> None:
+        self.depth += by
+        if self.depth > DEPTH:
+            raise TemplateError(f"parts within parts more than {DEPTH} deep")
 
     def template(self) -> Node:
         tree, end = self.body(())
@@ -80,22 +104,25 @@ class Parser:
 
     def body(self, stops: tuple[str, ...]) -> tuple[Node, list]:
         parts = []
+        self.deeper(1)
         while self.at < len(self.pieces):
-            piece = self.pieces[self.at]
+            kind, piece = self.pieces[self.at]
             self.at += 1
-            if piece.startswith("{{"):
-                parts.append(Node("show", parts=[self.expression(piece[2:-2])]))
-            elif piece.startswith("{%"):
-                words = self.tokens(piece[2:-2])
+            if kind == "show":
+                parts.append(Node("show", parts=[self.expression(piece)]))
+            elif kind == "tag":
+                words = self.tokens(piece)
                 if not words:
                     raise TemplateError("empty tag")
                 if words[0][1] in stops:
+                    self.deeper(-1)
                     return Node("body", parts=parts), words
                 parts.append(self.tag(words))
             else:
                 parts.append(Node("text", piece))
         if stops:
             raise TemplateError(f"missing {' or '.join(stops)}")
+        self.deeper(-1)
         return Node("body", parts=parts), []
 
     def tag(self, words: list) -> Node:
@@ -125,7 +152,7 @@ class Parser:
 
     @staticmethod
     def tokens(source: str) -> list[tuple[str, object]]:
-        out, at, source = [], 0, source.strip().strip("-").strip()
+        out, at, source = [], 0, source.strip()
         while at < len(source):
             m = TOKEN.match(source, at)
             if m:
@@ -167,11 +194,13 @@ class Parser:
             raise TemplateError(f"missing {value}")
 
     def choice(self) -> Node:
+        self.deeper(1)
         node = self.either()
         if self.take("if"):
             test = self.either()
             self.need("else")
-            return Node("choice", parts=[test, node, self.choice()])
+            node = Node("choice", parts=[test, node, self.choice()])
+        self.deeper(-1)
         return node
 
     def either(self) -> Node:
@@ -188,14 +217,32 @@ class Parser:
 
     def negated(self) -> Node:
         if self.take("not"):
-            return Node("not", parts=[self.negated()])
+            self.deeper(1)
+            node = Node("not", parts=[self.negated()])
+            self.deeper(-1)
+            return node
         node = self.joined()
+        if self.take("is"):
+            no, name = self.take("not"), self.next("name")
+            if name not in TESTS:
+                raise TemplateError(f"unknown test {name}")
+            node = Node("test", name, [node])
+            return Node("not", parts=[node]) if no else node
+        if self.take("not"):
+            self.need("in")
+            return Node("not", parts=[Node("compare", "in", [node, self.joined()])])
         sign = self.take("==", "!=", "<=", ">=", "<", ">", "in")
         return Node("compare", sign, [node, self.joined()]) if sign else node
 
     def joined(self) -> Node:
+        node = self.product()
+        while sign := self.take("+", "-", "~"):
+            node = Node("join", sign, [node, self.product()])
+        return node
+
+    def product(self) -> Node:
         node = self.filtered()
-        while sign := self.take("+", "~"):
+        while sign := self.take("*", "%"):
             node = Node("join", sign, [node, self.filtered()])
         return node
 
@@ -226,6 +273,8 @@ class Parser:
             node = self.choice()
             self.need(")")
             return node
+        if self.take("-"):
+            return Node("constant", -self.next("number"))
         if self.pos >= len(self.words):
             raise TemplateError("expression expected")
         kind, value = self.words[self.pos]
@@ -241,6 +290,22 @@ COMPARE = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
     "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b,
 }
+TESTS = {"defined": lambda v: True, "none": lambda v: v is None, "string": lambda v: isinstance(v, str)}
+
+
+def modulo(a, b):
+    if isinstance(a, str):
+        raise TemplateError("% is for numbers")
+    return a % b
+
+
+def times(a, b):
+    if not (isinstance(a, int) and isinstance(b, int)):
+        raise TemplateError("* is for numbers")
+    return a * b
+
+
+JOIN = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": times, "%": modulo, "~": lambda a, b: as_text(a) + as_text(b)}
 PURE = {"choice", "or", "and", "not", "compare", "join", "item", "filter"}
 
 
@@ -306,10 +371,21 @@ def value_of(node: Node) -> Callable[[dict], object]:
         call, of = FILTERS[node.value], below[0]
         return lambda env: call(of(env))
     if node.kind == "join":
-        a, b = below
-        if node.value == "~":
-            return lambda env: as_text(a(env)) + as_text(b(env))
-        return lambda env: a(env) + b(env)
+        join, (a, b) = JOIN[node.value], below
+        return lambda env: join(a(env), b(env))
+    if node.kind == "test":
+        test, of = TESTS[node.value], below[0]
+
+        def holds(env):
+            try:
+                value = of(env)
+            except TemplateError:
+                if node.value == "defined":
+                    return False
+                raise
+            return test(value)
+
+        return holds
     if node.kind == "compare":
         test, (a, b) = COMPARE[node.value], below
         return lambda env: test(a(env), b(env))
@@ -370,9 +446,16 @@ def writer_of(node: Node) -> Callable[[dict, Callable[[str, bool], None], bool],
     raise TemplateError(f"{node.kind} can't be written")
 
 
+#: What may go wrong in Python where a value isn't of the kind that an operation takes.
+WRONG = (TypeError, ValueError, ArithmeticError, LookupError, AttributeError, RecursionError)
+
+
 def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int, int]]]]:
     """names -> (text, spans under the loss mask as code point ranges, end excluded)."""
-    write = writer_of(fold(Parser(source).template()))
+    try:
+        write = writer_of(fold(Parser(source).template()))
+    except WRONG as error:
+        raise TemplateError(str(error)) from None
 
     def render(names: dict) -> tuple[str, list[tuple[int, int]]]:
         out, spans, size = [], [], 0
@@ -385,7 +468,10 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
                     spans.append((size, size + len(text)))
                 size += len(text)
 
-        write(dict(names), emit, False)
+        try:
+            write(dict(names), emit, False)
+        except WRONG as error:
+            raise TemplateError(str(error)) from None
         return "".join(out), spans
 
     return render
@@ -404,7 +490,8 @@ def format_conversations(rows: DataFrame, source: str = CHATML) -> DataFrame:
     """A row for each conversation: conv_id, n_turns, text, loss_spans (array of start, end).
 
     rows: conv_id, turn, role, text; a null role or text is empty. Turns are in the order of turn, then role and text; rows of a null conv_id are one conversation. An
-    empty table gives no rows. A broken template fails before any task runs.
+    empty table gives no rows; rows that stand twice are two turns; texts may have any length; other columns, whatever their names, are ignored. A broken template fails
+    before any task runs.
     """
     compile_template(source)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
