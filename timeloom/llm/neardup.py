@@ -152,7 +152,6 @@ def _verify(percent: int):
 def _checked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) of a spanning forest of each check's links; dealt: (check columns.., member), sets: (member, hashes)."""
     names = [c for c in dealt.columns if c != "member"]
-    dealt = dealt.hint("merge")  # both sides grow with the corpus: never broadcast, at no size
     return dealt.join(sets, "member").select(*names, "member", "hashes").groupBy(*names).applyInArrow(_verify(percent), "u long, v long")
 
 
@@ -214,12 +213,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     first = groups.select("leader", F.explode(own).alias("i"), "member")
     wanted = groups.select(F.col("member").alias("doc_id")).distinct().hint("merge")  # grows with the corpus: never broadcast
     sets = cut(small.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "member long, hashes binary"))  # whole texts move once
-    edges = cut(_checked(first, sets, percent))
+    edges = cut(_checked(first.hint("merge"), sets, percent))  # both sides grow with the corpus: never broadcast
     found = connected_components(edges)
     if groups.where("blocks > 1").limit(1).count():
         found = cut(found)
         rest = cut(_open_checks(groups, found, block))
-        later = _checked(rest, sets, percent)
+        again = cut(rest.select("member").distinct())  # what is still apart in large groups: Spark broadcasts these numbers if they are few, else the sets move
+        later = _checked(rest, sets.join(again, "member", "left_semi"), percent)
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(later))
     named = reps.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
@@ -234,7 +234,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     columns, and which stays then isn't defined. Rows without a doc_id stand alone and stay, as do rows with null or empty text under ids of their own.
     """
     found = cut(near_duplicates(docs, **options).select("doc_id", "kept"))
-    kept = keep_rows(docs, found.where("not kept").select("doc_id"))
+    kept = keep_rows(docs, cut(found.where("not kept").select("doc_id").distinct()))  # a table of known size: texts only move if it is large
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
     if not twice.limit(1).count():
         return kept
