@@ -41,7 +41,18 @@ def test_language_held_out(spark, docs):
     assert sum(got[i].lang_pred == truth[i] for i in held) / len(held) > 0.97
     assert [got[i].lang_pred for i in (100_000, 100_001, 100_002)] == ["und"] * 3 and got[100_000].score == 0
     assert all(0 <= r.score <= 1 for r in got.values()) and not got[None].held_out
-    assert {r.lang_pred for r in langid.predict_languages(docs.where("false"), langid.learn_filters(docs.where("false"))).collect()} == set()
+    assert langid.predict_languages(docs.where("false")).count() == 0
+    assert {(r.lang_pred, r.score) for r in langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark, docs):
+    few = with_odd(spark, docs).where("doc_id is null or doc_id < 40 or doc_id >= 100000")
+    filters = langid.learn_filters(docs)
+    names = few.unionByName(few).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x")).withColumn("held_out", F.lit("y")).withColumn("gram", F.lit(2)).withColumn("n", F.lit(3))
+    key = lambda r: (r.doc_id is None, r.doc_id, r.lang_pred, r.score, r.held_out)
+    once, twice = (sorted(map(key, langid.predict_languages(x, filters).collect()), key=str) for x in (few, names))
+    assert twice == sorted(once * 2, key=str) and len(once) == few.count()
+    assert langid.learn_filters(names).languages == langid.learn_filters(few).languages
 
 
 def test_filters_have_all_their_ngrams_and_few_others():

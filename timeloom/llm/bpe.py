@@ -216,7 +216,9 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, with_text: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and if asked for ids and decoded_text (from the ids; invalid UTF-8 is replaced).
 
-    path: a rank file that every executor can read. Null is an empty text: no ids. Rows stay in their partitions; nothing is shuffled.
+    path: a rank file that every executor can read. Null is an empty text: no ids, and the digests of nothing. A row that repeats is encoded as often as it stands, a null
+    doc_id stays null. Texts may have any length. Of equal pairs the leftmost merges first. An empty table gives no rows; other columns of docs, whatever their names,
+    are ignored. Rows stay in their partitions; nothing is shuffled.
     """
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded_text", pa.string())] * with_text)
 
@@ -237,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
-    """encoded with a column decoded_text made from token ids; a null list is an empty text."""
+    """encoded with a column decoded_text made from token ids; a null or empty list is an empty text, an empty table stays empty, a column of that name is replaced; all others stay."""
     @F.pandas_udf("string")
     def text(lists):
         own, lists = encoder(path, pattern), [np.asarray([] if x is None else x, np.int64) for x in lists]

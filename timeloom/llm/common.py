@@ -34,9 +34,11 @@ def text_column(name: str = "text") -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, a table as read, in as many partitions as the cluster has cores at least: a file of one row group would else be one task."""
+    """df, a table as read, with rows in as many partitions as the cluster has cores at least: a file of one row group would else be one task. Only few files are looked into."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def held_out(mod: int, name: str = "doc_id") -> Column:

@@ -95,7 +95,7 @@ class Filters:
 
 
 def learn_filters(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, top: int = GRAMS, mod: int = 5) -> Filters:
-    """Filters from text and lang of documents outside the held-out fold; a bounded sample of each language, whole texts."""
+    """Filters from text and lang of documents outside the held-out fold; a bounded sample of each language, whole texts. Without such documents, filters of no language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(mod)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -123,7 +123,9 @@ def learn_filters(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, top: int =
 def predict_languages(docs: DataFrame, filters: Filters | None = None, mod: int = 5) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, lang_pred, score.
 
-    `und` with score 0 if text is null, empty or without a letter. Every n-gram of the whole text counts; lang, source and doc_id don't.
+    `und` with score 0 if text is null, empty or without a letter, and everywhere if there is nothing to learn from. Every n-gram of the whole text counts, however long
+    it is; lang, source and doc_id don't. Ties go to the first name; a text that no filter knows gets the commonest language and score 0. A row that repeats is predicted
+    as often as it stands; a null doc_id stays null and isn't held out. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     filters = learn_filters(docs, mod=mod) if filters is None else filters
     shared = docs.sparkSession.sparkContext.broadcast(filters)
