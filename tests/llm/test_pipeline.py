@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from compare import assert_same, connect
+from test_dedup import components
 from timeloom.llm import queries, toxicity
 
 DATA = "/root/testdata/sf0.001"
@@ -26,6 +27,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, before, seen = docs.columns, {r.doc_id for r in docs.collect()}, {}
     for name, stage in corpus_pipeline.STAGES:
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
         stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         after = {r.doc_id for r in docs.select("doc_id").collect()}
@@ -36,8 +38,16 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if name == "exact_dedup":
             texts = [re.sub(r"\s", "", r.text) for r in docs.collect()]
             assert len(texts) == len(set(texts))
+        if name == "near_dedup":
+            assert after == {i for i, c in components(rows).items() if i == c}
     assert seen["exact_dedup"] and seen["decontamination"] and not seen["byte_bpe"]
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     said = toxicity.score_toxicity(spark.read.parquet(f"{DATA}/documents.parquet"), labels).where("predicted = 1")
     assert {r.doc_id for r in said.collect()} == seen["toxicity"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()} == before
+
+
+def test_stages_on_an_empty_table(spark):
+    none = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, DATA).count() == 0
