@@ -59,7 +59,7 @@ def token_expansion(spark, d):
 
 
 def default_mapping(spark, d):
-    t = frames(spark, d).where("frame < 20").select("user_id", F.col("frame").alias("token_index"))
+    t = frames(spark, d).select("user_id", F.floor(F.col("frame") / 3).alias("token_index")).distinct()
     return joins.default_token_mapping(frames(spark, d).select("user_id", "frame"), t, KEY, 2)
 
 
@@ -227,7 +227,7 @@ SQL = {
     "token_sampling": f"WITH {TOK} SELECT * FROM tok",
     "nearest_center": f"WITH {TOK} SELECT * FROM near",
     "token_expansion": f"WITH {TOK} SELECT near.user_id, near.frame, near.token_index, f.cls FROM near JOIN tok USING (user_id, token_index) JOIN f ON f.user_id = tok.user_id AND f.frame = tok.center",
-    "default_mapping": f"WITH {FRAMES}, l AS (SELECT user_id, max(frame) AS last FROM f WHERE frame < 20 GROUP BY user_id) SELECT f.user_id, f.frame, least(f.frame // 2, last) AS token_index FROM f JOIN l USING (user_id)",
+    "default_mapping": f"WITH {FRAMES}, l AS (SELECT user_id, max(frame // 3) AS last FROM f GROUP BY user_id) SELECT f.user_id, f.frame, least(f.frame // 2, last) AS token_index FROM f JOIN l USING (user_id)",
     "interval_label": """WITH seg AS (SELECT o_custkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, o_orderkey AS label FROM orders),
 ship AS (SELECT DISTINCT o_custkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT ship.o_custkey, ship.day, coalesce(max(seg.label), -1) AS label FROM ship LEFT JOIN seg ON ship.o_custkey = seg.o_custkey AND ship.day BETWEEN seg.s AND seg.s + 60 GROUP BY ALL""",

@@ -156,7 +156,7 @@ def track_confidence(spark, d):
 
 
 def policy_error(spark, d):
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("episode"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("p"), F.transform(F.slice("embedding", 5, 4), lambda x: x.cast("double")).alias("a"))
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("episode"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("p"), F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("a"))
     return rounded(metrics.policy_error(e, "episode", "p", "a"), "mse", "mae")
 
 
@@ -169,12 +169,6 @@ def mad_threshold(spark, d):
 
 
 def drop_worst(spark, d):
-    f = frames(spark, d).where("frame < 12").select("user_id", "frame", "value")
-    return metrics.drop_worst(f, KEY, "frame", "value", 50.0, 8)
-
-
-def drop_worst_all(spark, d):
-    """drop_worst over all frames."""
     return metrics.drop_worst(frames(spark, d).select("user_id", "frame", "value"), KEY, "frame", "value", 50.0, 8)
 
 
@@ -283,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (confusion_matrix, class_metrics, f1_scores, label_confusion, accuracy_report, class_accuracy, conditional_accuracy, pooled_accuracy, pooled_edit_score, class_weights, calibration_right, calibration_left,
               expected_calibration_error, brier_score, log_loss, ensemble_sweep, best_weight, seed_summary, holdout_summary, class_holdout, fold_mean, finite_summary, validity_contingency, mask_ab, mask_diff, pixel_error,
-              track_confidence, policy_error, robust_location, mad_threshold, drop_worst, drop_worst_all, top_fraction_mean, group_mean_max, zbuffer_min, cluster_table, cluster_metrics, centroid_similarity, bbox_from_points, estimated_fps,
+              track_confidence, policy_error, robust_location, mad_threshold, drop_worst, top_fraction_mean, group_mean_max, zbuffer_min, cluster_table, cluster_metrics, centroid_similarity, bbox_from_points, estimated_fps,
               histogram, lag_correlation, estimate_offset, fit_line, rigid_fit, visible_fraction, reliable_frames, occupancy, motion_energy, motion_energy_top, background_plate, cleanest_plate)
 }
 
@@ -327,10 +321,10 @@ SELECT 0 AS "all", length(a) AS runs_a, length(b) AS runs_b, round(100 * (1 - le
     "mask_diff": f"WITH {PIXELS}, d AS (SELECT recording, frame, v > 0.1 AS a, v > 0.12 AND x < 7 AS b FROM px) SELECT recording, 0 AS added, count(*) FILTER (a AND NOT b) AS removed, count(DISTINCT frame) FILTER (a AND NOT b) AS changed_frames, count(*) FILTER (a AND b) AS intersection, count(*) FILTER (a AND NOT b) AS changed, count(*) FILTER (a) AS \"union\", round(count(*) FILTER (a AND b) / count(*) FILTER (a), 6) AS jaccard, count(*) FILTER (a AND NOT b) = 0 AS first_in_second, count(*) FILTER (a AND NOT b) = 0 AS equal FROM d GROUP BY recording",
     "pixel_error": "WITH x AS (SELECT l_returnflag, abs(l_quantity - l_linenumber * 7) AS r, abs(CAST(l_partkey % 50 AS DOUBLE) - l_suppkey % 50) AS g FROM lineitem WHERE l_orderkey % 2 = 0) SELECT l_returnflag, count(*) AS pixels, sum(r + g) AS abs_sum, round(avg(CASE WHEN r + g > 0 THEN 1.0 ELSE 0.0 END), 6) AS changed_ratio, max(greatest(r, g)) AS max_abs, round(sum(r + g) / (2 * count(*)), 6) AS mean_abs FROM x GROUP BY l_returnflag",
     "track_confidence": f"WITH {FRAMES}, t AS (SELECT user_id FROM f GROUP BY user_id HAVING avg(event_id % 2) >= 0.5) SELECT 0 AS recording, frame, round(coalesce(max(least(greatest(value / 100, 0.0), 1.0)) FILTER (user_id IN (SELECT user_id FROM t)), 0.0), 6) AS confidence FROM f GROUP BY frame",
-    "policy_error": "WITH e AS (SELECT vec_id // 50 AS episode, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) - CAST(embedding[i + 4] AS DOUBLE) AS d FROM (SELECT *, unnest(range(1, 5)) AS i FROM embeddings)) SELECT dim, episode, round(avg(d * d), 6) AS mse, round(avg(abs(d)), 6) AS mae FROM e GROUP BY GROUPING SETS ((dim), (episode), ())",
+    "policy_error": "WITH e AS (SELECT vec_id // 50 AS episode, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) - CAST(embedding[i + 32] AS DOUBLE) AS d FROM (SELECT *, unnest(range(1, 33)) AS i FROM embeddings)) SELECT dim, episode, round(avg(d * d), 6) AS mse, round(avg(abs(d)), 6) AS mae FROM e GROUP BY GROUPING SETS ((dim), (episode), ())",
     "robust_location": f"WITH {ROBUST} SELECT u.user_id, round(CASE WHEN n_inlier >= 20 THEN location END, 6) AS location, coalesce(q.n, 0) AS n_valid, coalesce(n_inlier, 0) AS n_inlier FROM (SELECT DISTINCT user_id FROM f) u LEFT JOIN q USING (user_id) LEFT JOIN i USING (user_id)",
     "mad_threshold": f"WITH {FRAMES}, m AS (SELECT event_type, quantile_cont(value, 0.5) AS m FROM f GROUP BY event_type) SELECT event_type, round(greatest(10.0, any_value(m) + 3.5 * 1.4826 * quantile_cont(abs(value - m), 0.5)), 6) AS threshold FROM f JOIN m USING (event_type) GROUP BY event_type",
-    "drop_worst": f"""WITH {FRAMES}, v AS (SELECT user_id, list(value ORDER BY value, frame DESC) AS v, list(frame ORDER BY value, frame DESC) AS t FROM f WHERE frame < 12 GROUP BY user_id), m AS (SELECT *, unnest(range(1, len(v) + 1)) AS m FROM v), c AS (SELECT *, list_median(v[1:m]) AS mid FROM m),
+    "drop_worst": f"""WITH {FRAMES}, v AS (SELECT user_id, list(value ORDER BY value, frame DESC) AS v, list(frame ORDER BY value, frame DESC) AS t FROM f GROUP BY user_id), m AS (SELECT *, unnest(range(1, len(v) + 1)) AS m FROM v), c AS (SELECT *, list_median(v[1:m]) AS mid FROM m),
 s AS (SELECT user_id, any_value(t) AS t, any_value(v) AS v, max(m) AS m FROM c WHERE m <= 8 OR v[m] <= greatest(50.0, mid + 3.5 * 1.4826 * list_median(list_transform(v[1:m], lambda x: abs(x - mid)))) GROUP BY user_id)
 SELECT user_id, t[k] AS frame, v[k] AS value FROM (SELECT *, unnest(range(1, m + 1)) AS k FROM s)""",
     "top_fraction_mean": "WITH r AS (SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, max(n) AS n, round(CASE WHEN max(n) >= 10 THEN avg(c) FILTER (k <= greatest(10, ceil(n * 0.05))) ELSE 0.0 END, 4) AS score FROM r GROUP BY l_suppkey",
@@ -369,3 +363,4 @@ SELECT recording, frame, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS vi
     "cleanest_plate": f"""WITH {PIXELS}, c AS (SELECT recording, frame, y, x, CAST(v AS DOUBLE) AS r, CAST(v AS DOUBLE) / 2 AS g, x / 16 AS b FROM px WHERE frame % 3 > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY recording, y, x ORDER BY 0.299 * r + 0.587 * g + 0.114 * b - 1.25 * (greatest(r, g, b) - least(r, g, b)) DESC, frame) AS k FROM c) SELECT recording, y, x, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(b, 6) AS b FROM k WHERE k = 1""",
 }
+QUERIES["drop_worst_all"], SQL["drop_worst_all"] = QUERIES["drop_worst"], SQL["drop_worst"]

@@ -45,13 +45,8 @@ def kmeans_quality(spark, d):
 
 
 def exact_silhouette(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 300").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
-    return rounded(ml.exact_silhouette(e, "vec_id", "v", "label"), "silhouette")
-
-
-def exact_silhouette_all(spark, d):
-    """exact_silhouette over all embeddings."""
-    return rounded(ml.exact_silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label"), "silhouette")
+    e = table(spark, d, "embeddings")
+    return rounded(ml.exact_silhouette(e, "vec_id", "embedding", "label"), "silhouette")
 
 
 def pca_points(spark, d):
@@ -105,13 +100,6 @@ def interpolated_tokens(spark, d):
 
 
 def ranked_donors(spark, d):
-    bad = sparse(spark, d, 0.15).where("frame < 12").select("recording", "frame", (F.col("y") * 8 + F.col("x")).alias("pixel"))
-    fr = tokens(spark, d).where("token_index < 12").select("recording", F.col("token_index").alias("frame"))
-    return rounded(sequence.ranked_donors(bad, fr), "score")
-
-
-def ranked_donors_all(spark, d):
-    """ranked_donors over all frames and donors."""
     bad = sparse(spark, d, 0.15).select("recording", "frame", (F.col("y") * 8 + F.col("x")).alias("pixel"))
     return rounded(sequence.ranked_donors(bad, tokens(spark, d).select("recording", F.col("token_index").alias("frame"))), "score")
 
@@ -147,7 +135,7 @@ def token_labels(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, exact_silhouette_all, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, ranked_donors_all, bridge_mask_gaps,
+    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, bridge_mask_gaps,
               mesh_components, pixel_components, seeded_components, token_labels)
 }
 REACH = """WITH RECURSIVE {0}, reach AS (SELECT recording, frame, n AS a, n AS b FROM m UNION SELECT r.recording, r.frame, r.a, e.v FROM reach r JOIN edges e ON e.recording = r.recording AND e.frame = r.frame AND e.u = r.b),
@@ -161,7 +149,7 @@ n AS (SELECT h.recording, h.frame, p.y, p.x FROM h JOIN d p ON p.recording = h.r
 SELECT recording, 0 AS label, frame, y, x FROM m UNION SELECT recording, 0, frame, y, x FROM n""",
     "prototypes": """WITH u AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x, CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda q: CAST(q AS DOUBLE) * CAST(q AS DOUBLE)))) AS w FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)), p AS (SELECT label, i, avg(w) AS p FROM u GROUP BY label, i),
 s AS (SELECT u.vec_id, p.label, 10 * sum(u.x * p.p) / (sqrt(sum(u.x * u.x)) * sqrt(sum(p.p * p.p))) AS similarity FROM u JOIN p USING (i) GROUP BY ALL) SELECT vec_id, label, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, label) AS k FROM s) WHERE k = 1""",
-    "exact_silhouette": """WITH e AS (SELECT vec_id AS i, label AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 300), d AS (SELECT a.i, a.c, b.c AS o, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY ALL),
+    "exact_silhouette": """WITH e AS (SELECT vec_id AS i, label AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT a.i, a.c, b.c AS o, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY ALL),
 s AS (SELECT i, max(d) FILTER (c = o) AS a, min(d) FILTER (c <> o) AS b FROM d GROUP BY i) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0.0)), 6) AS silhouette FROM s""",
     "masked_pool": f"""WITH {TOKENS}, o AS (SELECT recording, 0 AS object, vec, label / 10 AS w FROM t UNION ALL SELECT recording, 1, vec, CASE WHEN label < 3 THEN 0.5 ELSE 0.0 END FROM t)
 SELECT recording, object, round(avg(w), 6) AS occupancy, round(sum(w * CAST(vec[1] AS DOUBLE)) / greatest(sum(w), 1e-6), 6) + 0.0 AS p0, round(sum(w * CAST(vec[4] AS DOUBLE)) / greatest(sum(w), 1e-6), 6) + 0.0 AS p3 FROM o GROUP BY ALL""",
@@ -172,7 +160,7 @@ SELECT base || CASE WHEN aug THEN '__cj1' ELSE '' END AS recording, split, count
     "token_pair_mean": f"WITH {TOKENS} SELECT a.recording, a.token_index // 2 AS token_index, CASE WHEN a.label <> 3 AND coalesce(b.label <> 3, false) THEN round((CAST(a.vec[1] AS DOUBLE) + CAST(b.vec[1] AS DOUBLE)) / 2, 6) + 0.0 ELSE 0.0 END AS v0, a.label <> 3 AND coalesce(b.label <> 3, false) AS valid FROM t a LEFT JOIN t b ON a.recording = b.recording AND b.token_index = a.token_index + 1 WHERE a.token_index % 2 = 0",
     "interpolated_tokens": f"""WITH {TOKENS}, c AS (SELECT recording, token_index AS t, CAST(vec[1] AS DOUBLE) AS v FROM t WHERE token_index % 4 = 1), p AS (SELECT t.recording, t.token_index AS frame, max(a.t) AS pt, min(b.t) AS nt FROM t LEFT JOIN c a ON a.recording = t.recording AND a.t <= t.token_index LEFT JOIN c b ON b.recording = t.recording AND b.t >= t.token_index GROUP BY ALL)
 SELECT p.recording, frame, round(CASE WHEN pt IS NULL THEN b.v WHEN nt IS NULL OR nt = pt THEN a.v ELSE a.v + (b.v - a.v) * (CAST(frame - pt AS DOUBLE) / (nt - pt)) END, 6) + 0.0 AS v0 FROM p LEFT JOIN c a ON a.recording = p.recording AND a.t = pt LEFT JOIN c b ON b.recording = p.recording AND b.t = nt""",
-    "ranked_donors": f"""WITH {PIXELS}, bad AS (SELECT recording, frame, y * 8 + x AS pixel FROM px WHERE v > 0.15 AND frame < 12), n AS (SELECT recording, frame, count(*) AS n FROM bad GROUP BY ALL), fr AS (SELECT DISTINCT recording, frame AS donor FROM px WHERE frame < 12),
+    "ranked_donors": f"""WITH {PIXELS}, bad AS (SELECT recording, frame, y * 8 + x AS pixel FROM px WHERE v > 0.15), n AS (SELECT recording, frame, count(*) AS n FROM bad GROUP BY ALL), fr AS (SELECT DISTINCT recording, frame AS donor FROM px),
 s AS (SELECT n.recording, n.frame, donor, (SELECT count(*) FROM bad a JOIN bad b ON a.recording = b.recording AND a.pixel = b.pixel WHERE a.recording = n.recording AND a.frame = n.frame AND b.frame = donor) / n + 0.002 * abs(n.frame - donor) AS score FROM n JOIN fr USING (recording) WHERE n.frame <> donor),
 c AS (SELECT b.recording, b.frame, b.pixel, s.donor, s.score, row_number() OVER (PARTITION BY b.recording, b.frame, b.pixel ORDER BY s.score, s.donor) AS k FROM bad b JOIN s ON b.recording = s.recording AND b.frame = s.frame WHERE NOT EXISTS (SELECT 1 FROM bad z WHERE z.recording = b.recording AND z.frame = s.donor AND z.pixel = b.pixel))
 SELECT recording, frame, pixel, donor, round(score, 6) AS score FROM c WHERE k = 1""",
@@ -182,5 +170,5 @@ SELECT recording, frame, pixel, donor, round(score, 6) AS score FROM c WHERE k =
 e AS (SELECT g, u, v FROM e0 UNION SELECT g, v, u FROM e0), edges AS (SELECT e.* FROM e JOIN m p ON e.g = p.g AND e.u = p.n JOIN m q ON e.g = q.g AND e.v = q.n), reach AS (SELECT g, n AS a, n AS b FROM m UNION SELECT r.g, r.a, edges.v FROM reach r JOIN edges ON edges.g = r.g AND edges.u = r.b),
 c AS (SELECT g, a, min(b) AS component FROM reach GROUP BY g, a), s AS (SELECT *, count(*) OVER (PARTITION BY g, component) AS size FROM c) SELECT g AS c_nationkey, a AS node, component, size FROM s WHERE size >= 3""",
 }
-#: Over all frames.
-SQL["ranked_donors_all"] = SQL["ranked_donors"].replace(" AND frame < 12", "").replace(" WHERE frame < 12", "")
+for name in ("exact_silhouette", "ranked_donors"):
+    QUERIES[f"{name}_all"], SQL[f"{name}_all"] = QUERIES[name], SQL[name]

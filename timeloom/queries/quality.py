@@ -113,12 +113,6 @@ def prefix_trim(spark, d):
 
 
 def exclude_by_label(spark, d):
-    s = sequence.run_length_segments(frames(spark, d).where("frame < 8"), KEY, "frame", "event_type")
-    return filters.exclude_by_label(s, KEY, ["SIGNUP"])
-
-
-def exclude_by_label_all(spark, d):
-    """exclude_by_label over all frames."""
     return filters.exclude_by_label(sequence.run_length_segments(frames(spark, d), KEY, "frame", "event_type"), KEY, ["SIGNUP"])
 
 
@@ -210,15 +204,7 @@ def annotation_json(spark, d):
 
 
 def stereo_rows(spark, d):
-    return stereo(frames(spark, d).where("frame < 30"))
-
-
-def stereo_rows_all(spark, d):
-    """stereo_rows over all frames."""
-    return stereo(frames(spark, d))
-
-
-def stereo(a):
+    a = frames(spark, d)
     t = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1000000).alias(c)
     p = joins.paired(a.where("user_id % 2 = 0").select((F.col("user_id") / 2).cast("int").alias("recording"), F.col("frame").alias("output_index"), F.col("event_id").alias("source_index"), t("ts")),
                      a.where("user_id % 2 = 1").select(F.floor(F.col("user_id") / 2).cast("int").alias("recording"), F.col("frame").alias("output_index"), F.col("event_id").alias("source_index"), t("ts")), ["recording", "output_index"])
@@ -270,8 +256,8 @@ def union_results(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (check_segments, check_coverage, check_increasing, check_bundle, check_subset, check_nested, check_partition, check_domains, check_same, check_equal_fields, check_limits, check_units, check_count_is_integer, label_index,
-              stride_filter, prefix_trim, exclude_by_label, exclude_by_label_all, status_filter, split_observations, dilate_pixels, depth_gates, ablation_boxes, ablation_shuffle, jitter_parameters, provenance, natural_top, spaced_top_k, balanced_cap,
-              evenly_spaced, stratified_cap, leave_one_out, next_free_id, manifest_upsert, annotation_json, stereo_rows, stereo_rows_all, key_values, frame_index_rules, topic_counts, natural_frames, contact_index, policy_frames, union_results)
+              stride_filter, prefix_trim, exclude_by_label, status_filter, split_observations, dilate_pixels, depth_gates, ablation_boxes, ablation_shuffle, jitter_parameters, provenance, natural_top, spaced_top_k, balanced_cap,
+              evenly_spaced, stratified_cap, leave_one_out, next_free_id, manifest_upsert, annotation_json, stereo_rows, key_values, frame_index_rules, topic_counts, natural_frames, contact_index, policy_frames, union_results)
 }
 NAT = r"array_to_string(list_transform(regexp_extract_all(lower({0}), '\d+|\D+'), lambda x: CASE WHEN regexp_full_match(x, '\d+') THEN lpad(x, 20, '0') ELSE x END), '')"
 SQL = {
@@ -295,7 +281,7 @@ SELECT user_id, cls, frame, 'position' AS reason FROM v WHERE NOT value BETWEEN
     "label_index": "SELECT event_id, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS class FROM events WHERE event_type IN ('click', 'view')",
     "stride_filter": f"WITH {FRAMES}, m AS (SELECT user_id, frame, max(frame) OVER (PARTITION BY user_id) AS l FROM f) SELECT user_id, frame FROM m WHERE frame % 7 = 0 OR frame = l",
     "prefix_trim": f"WITH {FRAMES}, n AS (SELECT user_id, count(*) AS available, count(*) + user_id % 5 - 3 AS num_frames FROM f GROUP BY user_id) SELECT *, greatest(available - num_frames, 0) AS dropped, available < num_frames AS too_short FROM n",
-    "exclude_by_label": f"WITH {FRAMES} SELECT user_id, bool_or(event_type = 'signup') AS excluded FROM f WHERE frame < 8 GROUP BY user_id",
+    "exclude_by_label": f"WITH {FRAMES} SELECT user_id, bool_or(event_type = 'signup') AS excluded FROM f GROUP BY user_id",
     "status_filter": "WITH s AS (SELECT page_id, coalesce(CASE WHEN toxic = 1 THEN 'denied' WHEN toxic = 0 THEN 'curated' END, 'pending') AS status, coalesce(quality, 0) AS clips FROM pages LEFT JOIN labels ON page_id = doc_id) SELECT status, count(*) AS n, CAST(sum(clips) AS BIGINT) AS clips FROM s GROUP BY status",
     "split_observations": f"WITH {PIXELS} SELECT recording, CASE WHEN v <= 0.1 THEN 'trusted' WHEN v > 0.15 THEN 'contested' ELSE 'hidden' END AS kind, count(*) AS n FROM px WHERE v > 0.05 GROUP BY ALL",
     "dilate_pixels": f"WITH {PIXELS}, g AS (SELECT DISTINCT recording, frame, y + dy AS y, x + dx AS x FROM px, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS k(dy, dx) WHERE v > 0.2 AND y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7) SELECT recording, frame, count(*) AS n FROM g GROUP BY ALL",
@@ -321,7 +307,7 @@ e AS (SELECT user_id, arg_max(kept, k) AS kept FROM p GROUP BY user_id), u AS (S
     "annotation_json": f"""WITH {FRAMES}, n AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY frame) THEN 0 ELSE 1 END AS new FROM f), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY frame) AS run FROM n),
 g AS (SELECT user_id, min(frame) AS a, max(frame) AS b, any_value(event_type) AS l, count(*) AS n FROM r GROUP BY user_id, run)
 SELECT user_id, '{{"episode":"' || user_id || '","num_frames":' || sum(n) || ',"fps":30.0,"segments":[' || string_agg('{{"start_frame":' || a || ',"end_frame":' || b || ',"label":"' || l || '"}}', ',' ORDER BY a) || '],"provenance":{{"source":"timeloom"}}}}' AS value FROM g GROUP BY user_id""",
-    "stereo_rows": f"WITH {FRAMES} SELECT CAST(a.user_id // 2 AS INTEGER) AS recording, a.frame AS output_index, a.event_id AS camera_1_source_index, b.event_id AS camera_2_source_index, a.event_id AS camera_1_frame_number FROM f a JOIN f b ON a.user_id // 2 = b.user_id // 2 AND a.frame = b.frame AND a.user_id % 2 = 0 AND b.user_id % 2 = 1 WHERE a.frame < 30",
+    "stereo_rows": f"WITH {FRAMES} SELECT CAST(a.user_id // 2 AS INTEGER) AS recording, a.frame AS output_index, a.event_id AS camera_1_source_index, b.event_id AS camera_2_source_index, a.event_id AS camera_1_frame_number FROM f a JOIN f b ON a.user_id // 2 = b.user_id // 2 AND a.frame = b.frame AND a.user_id % 2 = 0 AND b.user_id % 2 = 1",
     "key_values": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type || '=x' AS type, 2 AS n FROM events",
     "frame_index_rules": f"""WITH {FRAMES}, s AS (SELECT user_id, event_type, value <= lag(value) OVER (PARTITION BY user_id, event_type ORDER BY frame) AS bad FROM f), n AS (SELECT user_id, event_type, count(*) FILTER (bad) AS falling FROM s GROUP BY ALL),
 w AS (SELECT DISTINCT u.user_id, t.event_type FROM f u, (SELECT DISTINCT event_type FROM events) t) SELECT CAST(user_id AS VARCHAR) AS recording, event_type AS topic, CASE WHEN falling IS NULL THEN 'empty_topic' ELSE 'not_increasing' END AS reason FROM w LEFT JOIN n USING (user_id, event_type) WHERE falling IS NULL OR falling > 0""",
@@ -332,5 +318,5 @@ w AS (SELECT DISTINCT u.user_id, t.event_type FROM f u, (SELECT DISTINCT event_t
     "union_results": """WITH o AS (SELECT o_custkey, o_orderpriority FROM orders), b AS (SELECT o_orderpriority, count(*) AS n FROM (SELECT DISTINCT * FROM o) GROUP BY 1), e AS (SELECT o_orderpriority, count(*) AS only_first FROM o WHERE o_custkey % 3 = 2 GROUP BY 1) SELECT * FROM b JOIN e USING (o_orderpriority)""",
 }
 #: Over all frames.
-SQL["exclude_by_label_all"] = SQL["exclude_by_label"].replace(" WHERE frame < 8", "")
-SQL["stereo_rows_all"] = SQL["stereo_rows"].replace(" WHERE a.frame < 30", "")
+for name in ("exclude_by_label", "stereo_rows"):
+    QUERIES[f"{name}_all"], SQL[f"{name}_all"] = QUERIES[name], SQL[name]
