@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -235,11 +237,15 @@ def stable_seed(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once: an expression named inside a lambda is worked out again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+    powers = lambda w: let(F.array_max(w), lambda top: F.transform(w, lambda x: F.exp(x - top)))
+    return let(v, lambda w: let(powers(w), shares))
 
 
 def argmax(v: Column) -> Column:
@@ -249,8 +255,7 @@ def argmax(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Zero vectors stay zero."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    return let(F.sqrt(dot(v, v)), lambda size: F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:

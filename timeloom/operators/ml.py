@@ -12,11 +12,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timeloom.functions.scalars import cosine, l2_normalize, softmax
+from timeloom.functions.scalars import cosine, l2_normalize, let, softmax
 from timeloom.operators.joins import not_yet_done
 from timeloom.operators.metrics import class_weights
 
@@ -54,10 +55,11 @@ def prototype_scores(df: DataFrame, prototypes: DataFrame, keys: list[str], vec:
 
 def masked_pool(patches: DataFrame, masks: DataFrame, keys: list[str], vec: str, present: DataFrame | None = None) -> DataFrame:
     """keys, object, pooled (weighted mean vector), occupancy. patches: keys, patch, vec; masks: keys, object, patch, occupancy. Objects that `present` (keys, object, present)
-    denies get zeros."""
-    w = masks.join(patches, [*keys, "patch"]).select(*keys, "object", "occupancy", F.posexplode(vec).alias("d", "v"))
-    dims = w.groupBy(*keys, "object", "d").agg((F.sum(F.col("occupancy") * F.col("v")) / F.greatest(F.sum("occupancy"), F.lit(1e-6))).alias("v"))
-    pooled = dims.groupBy(*keys, "object").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("p")).withColumn("pooled", F.transform("p", lambda x: x["v"])).drop("p")
+    denies get zeros. Null occupancies and null numbers count as 0. One vector sum a group, combined before it is shuffled."""
+    w = masks.join(patches.where(F.col(vec).isNotNull()), [*keys, "patch"]).withColumn("__w", F.coalesce(F.col("occupancy").cast("double"), F.lit(0.0)))
+    w = w.withColumn("__v", array_to_vector(F.transform(vec, lambda x: F.coalesce(x.cast("double") * F.col("__w"), F.lit(0.0)))))
+    sums = w.groupBy(*keys, "object").agg(Summarizer.sum(F.col("__v")).alias("__v"), F.sum("__w").alias("__w"))
+    pooled = sums.select(*keys, "object", F.transform(vector_to_array("__v"), lambda x: x / F.greatest("__w", F.lit(1e-6))).alias("pooled"))
     out = pooled.join(masks.groupBy(*keys, "object").agg(F.avg("occupancy").alias("occupancy")), [*keys, "object"])
     if present is None:
         return out
@@ -73,13 +75,12 @@ def attention_pool(patches: DataFrame, keys: list[str], vec: str, query: list[fl
     q = F.array(*[F.lit(float(x)) for x in query])
 
     def logit(r):
-        mean = total(r["v"]) / d
-        std = F.sqrt(total(F.transform(r["v"], lambda x: (x - mean) * (x - mean))) / d + eps)
-        return total(F.zip_with(r["v"], q, lambda x, k: (x - mean) / std * k)) / (d**0.5)
+        score = lambda c: total(F.zip_with(c, q, lambda x, k: x * k)) / F.sqrt(total(F.transform(c, lambda x: x * x)) / d + eps) / (d**0.5)
+        return let(total(r["v"]) / d, lambda mean: let(F.transform(r["v"], lambda x: x - mean), score))
 
     out = rows.withColumn("weights", softmax(F.transform("rows", logit)))
     scaled = F.zip_with("rows", "weights", lambda r, w: F.transform(r["v"], lambda x: x * w))
-    return out.withColumn("pooled", F.aggregate(F.slice(scaled, F.lit(2), F.greatest(F.size(scaled) - 1, F.lit(0))), scaled[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))).drop("rows")
+    return out.withColumn("pooled", F.aggregate(scaled, F.array_repeat(F.lit(0.0), d), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))).drop("rows")
 
 
 def pca(df: DataFrame, vec: str, k: int, out: str = "pca") -> DataFrame:

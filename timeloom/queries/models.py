@@ -56,16 +56,20 @@ def pca_points(spark, d):
 
 def masked_pool(spark, d):
     """Each recording's tokens as patches; objects are two masks over them."""
-    t = tokens(spark, d).select("recording", F.col("token_index").alias("patch"), F.slice("vec", 1, 4).alias("vec"), "label")
+    t = tokens(spark, d).select("recording", F.col("token_index").alias("patch"), "vec", "label")
     o = t.select("recording", "patch", F.explode(F.array(F.lit(0), F.lit(1))).alias("object"), "label").withColumn("occupancy", F.when(F.col("object") == 0, F.col("label") / 10.0).otherwise(F.when(F.col("label") < 3, 0.5).otherwise(0.0)))
     out = ml.masked_pool(t.select("recording", "patch", "vec"), o.select("recording", "object", "patch", "occupancy"), ["recording"], "vec")
-    return rounded(out.select("recording", "object", "occupancy", F.col("pooled")[0].alias("p0"), F.col("pooled")[3].alias("p3")), "occupancy", "p0", "p3")
+    return rounded(out.select("recording", "object", "occupancy", F.posexplode("pooled").alias("dim", "p")), "occupancy", "p")
+
+
+#: A query vector for 64 dimensions.
+ATTENTION = [(i * 7 % 5 - 2) / 4 for i in range(64)]
 
 
 def attention_pool(spark, d):
-    t = tokens(spark, d).select("recording", F.col("token_index").alias("patch"), F.slice("vec", 1, 4).alias("vec"))
-    out = ml.attention_pool(t, ["recording"], "vec", [0.5, -0.25, 1.0, 0.0])
-    return rounded(out.select("recording", F.col("pooled")[0].alias("p0"), F.col("pooled")[3].alias("p3"), F.col("weights")[0].alias("w0")), "p0", "p3", "w0")
+    t = tokens(spark, d).select("recording", F.col("token_index").alias("patch"), "vec")
+    out = ml.attention_pool(t, ["recording"], "vec", ATTENTION)
+    return rounded(out.select("recording", F.posexplode("pooled").alias("dim", "p"), F.col("weights")[0].alias("w0")), "p", "w0")
 
 
 def grid_evaluation(spark, d):
@@ -87,16 +91,16 @@ def augmented_training_set(spark, d):
 def token_pair_mean(spark, d):
     t = tokens(spark, d)
     pairs = t.where("token_index % 2 = 0").select("recording", F.floor(F.col("token_index") / 2).alias("token_index"), F.array("token_index", F.col("token_index") + 1).alias("frames"), F.col("token_index").alias("center"))
-    f = t.select("recording", F.col("token_index").alias("frame"), F.slice("vec", 1, 2).alias("v"), (F.col("label") != 3).alias("valid"))
-    out = ml.token_pair_mean(pairs, f, ["recording"], "v", 2)
-    return rounded(out.select("recording", "token_index", F.col("v")[0].alias("v0"), "valid"), "v0")
+    f = t.select("recording", F.col("token_index").alias("frame"), F.col("vec").alias("v"), (F.col("label") != 3).alias("valid"))
+    out = ml.token_pair_mean(pairs, f, ["recording"], "v", 64)
+    return rounded(out.select("recording", "token_index", F.posexplode("v").alias("dim", "x"), "valid"), "x")
 
 
 def interpolated_tokens(spark, d):
     t = tokens(spark, d)
-    centers = t.where("token_index % 4 = 1").select("recording", F.col("token_index").alias("center"), F.slice("vec", 1, 2).alias("v"))
+    centers = t.where("token_index % 4 = 1").select("recording", F.col("token_index").alias("center"), F.col("vec").alias("v"))
     out = ml.interpolate_between_centers(t.select("recording", F.col("token_index").alias("frame")), centers, ["recording"], "v")
-    return rounded(out.select("recording", "frame", F.col("v")[0].alias("v0")), "v0")
+    return rounded(out.select("recording", "frame", F.posexplode("v").alias("dim", "x")), "x")
 
 
 def ranked_donors(spark, d):
@@ -152,14 +156,14 @@ s AS (SELECT u.vec_id, p.label, 10 * sum(u.x * p.p) / (sqrt(sum(u.x * u.x)) * sq
     "exact_silhouette": """WITH e AS (SELECT vec_id AS i, label AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT a.i, a.c, b.c AS o, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY ALL),
 s AS (SELECT i, max(d) FILTER (c = o) AS a, min(d) FILTER (c <> o) AS b FROM d GROUP BY i) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0.0)), 6) AS silhouette FROM s""",
     "masked_pool": f"""WITH {TOKENS}, o AS (SELECT recording, 0 AS object, vec, label / 10 AS w FROM t UNION ALL SELECT recording, 1, vec, CASE WHEN label < 3 THEN 0.5 ELSE 0.0 END FROM t)
-SELECT recording, object, round(avg(w), 6) AS occupancy, round(sum(w * CAST(vec[1] AS DOUBLE)) / greatest(sum(w), 1e-6), 6) + 0.0 AS p0, round(sum(w * CAST(vec[4] AS DOUBLE)) / greatest(sum(w), 1e-6), 6) + 0.0 AS p3 FROM o GROUP BY ALL""",
-    "attention_pool": f"""WITH {TOKENS}, v AS (SELECT recording, token_index, CAST(vec[1] AS DOUBLE) AS a, CAST(vec[2] AS DOUBLE) AS b, CAST(vec[3] AS DOUBLE) AS c, CAST(vec[4] AS DOUBLE) AS e FROM t), m AS (SELECT *, (a + b + c + e) / 4 AS mu FROM v), n AS (SELECT *, sqrt((pow(a - mu, 2) + pow(b - mu, 2) + pow(c - mu, 2) + pow(e - mu, 2)) / 4 + 1e-5) AS s FROM m),
-l AS (SELECT *, exp((0.5 * (a - mu) - 0.25 * (b - mu) + (c - mu)) / s / 2) AS x FROM n) SELECT recording, round(sum(x * a) / sum(x), 6) + 0.0 AS p0, round(sum(x * e) / sum(x), 6) + 0.0 AS p3, round(arg_min(x, token_index) / sum(x), 6) AS w0 FROM l GROUP BY recording""",
+SELECT recording, object, CAST(dim AS INTEGER) AS dim, round(avg(w), 6) AS occupancy, round(sum(w * CAST(vec[dim + 1] AS DOUBLE)) / greatest(sum(w), 1e-6), 6) + 0.0 AS p FROM o, range(0, 64) AS r(dim) GROUP BY recording, object, dim""",
+    "attention_pool": f"""WITH {TOKENS}, v AS (SELECT recording, token_index, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM t), m AS (SELECT *, list_avg(v) AS mu FROM v), n AS (SELECT *, sqrt(list_avg(list_transform(v, lambda x: pow(x - mu, 2))) + 1e-5) AS s FROM m),
+l AS (SELECT *, exp(list_dot_product(list_transform(v, lambda x: (x - mu) / s), CAST({ATTENTION} AS DOUBLE[])) / 8) AS x FROM n) SELECT recording, CAST(dim AS INTEGER) AS dim, round(sum(x * v[dim + 1]) / sum(x), 6) + 0.0 AS p, round(arg_min(x, token_index) / sum(x), 6) AS w0 FROM l, range(0, 64) AS r(dim) GROUP BY recording, dim""",
     "augmented_training_set": f"""WITH {FRAMES}, r AS (SELECT 'rec' || (user_id % 20) AS base, user_id % 3 = 0 AS aug, CASE WHEN user_id % 20 < 15 THEN 'train' ELSE 'validation' END AS split FROM f), k AS (SELECT DISTINCT base FROM r WHERE NOT aug)
 SELECT base || CASE WHEN aug THEN '__cj1' ELSE '' END AS recording, split, count(*) AS n FROM r JOIN k USING (base) WHERE NOT aug OR split = 'train' GROUP BY ALL""",
-    "token_pair_mean": f"WITH {TOKENS} SELECT a.recording, a.token_index // 2 AS token_index, CASE WHEN a.label <> 3 AND coalesce(b.label <> 3, false) THEN round((CAST(a.vec[1] AS DOUBLE) + CAST(b.vec[1] AS DOUBLE)) / 2, 6) + 0.0 ELSE 0.0 END AS v0, a.label <> 3 AND coalesce(b.label <> 3, false) AS valid FROM t a LEFT JOIN t b ON a.recording = b.recording AND b.token_index = a.token_index + 1 WHERE a.token_index % 2 = 0",
-    "interpolated_tokens": f"""WITH {TOKENS}, c AS (SELECT recording, token_index AS t, CAST(vec[1] AS DOUBLE) AS v FROM t WHERE token_index % 4 = 1), p AS (SELECT t.recording, t.token_index AS frame, max(a.t) AS pt, min(b.t) AS nt FROM t LEFT JOIN c a ON a.recording = t.recording AND a.t <= t.token_index LEFT JOIN c b ON b.recording = t.recording AND b.t >= t.token_index GROUP BY ALL)
-SELECT p.recording, frame, round(CASE WHEN pt IS NULL THEN b.v WHEN nt IS NULL OR nt = pt THEN a.v ELSE a.v + (b.v - a.v) * (CAST(frame - pt AS DOUBLE) / (nt - pt)) END, 6) + 0.0 AS v0 FROM p LEFT JOIN c a ON a.recording = p.recording AND a.t = pt LEFT JOIN c b ON b.recording = p.recording AND b.t = nt""",
+    "token_pair_mean": f"WITH {TOKENS} SELECT a.recording, a.token_index // 2 AS token_index, CASE WHEN a.label <> 3 AND coalesce(b.label <> 3, false) THEN round((CAST(a.vec[dim + 1] AS DOUBLE) + CAST(b.vec[dim + 1] AS DOUBLE)) / 2, 6) + 0.0 ELSE 0.0 END AS x, CAST(dim AS INTEGER) AS dim, a.label <> 3 AND coalesce(b.label <> 3, false) AS valid FROM t a LEFT JOIN t b ON a.recording = b.recording AND b.token_index = a.token_index + 1, range(0, 64) AS r(dim) WHERE a.token_index % 2 = 0",
+    "interpolated_tokens": f"""WITH {TOKENS}, c AS (SELECT recording, token_index AS t, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM t WHERE token_index % 4 = 1), p AS (SELECT t.recording, t.token_index AS frame, max(a.t) AS pt, min(b.t) AS nt FROM t LEFT JOIN c a ON a.recording = t.recording AND a.t <= t.token_index LEFT JOIN c b ON b.recording = t.recording AND b.t >= t.token_index GROUP BY ALL)
+SELECT p.recording, frame, CAST(dim AS INTEGER) AS dim, round(CASE WHEN pt IS NULL THEN b.v[dim + 1] WHEN nt IS NULL OR nt = pt THEN a.v[dim + 1] ELSE a.v[dim + 1] + (b.v[dim + 1] - a.v[dim + 1]) * (CAST(frame - pt AS DOUBLE) / (nt - pt)) END, 6) + 0.0 AS x FROM p LEFT JOIN c a ON a.recording = p.recording AND a.t = pt LEFT JOIN c b ON b.recording = p.recording AND b.t = nt, range(0, 64) AS r(dim)""",
     "ranked_donors": f"""WITH {PIXELS}, bad AS (SELECT recording, frame, y * 8 + x AS pixel FROM px WHERE v > 0.15), n AS (SELECT recording, frame, count(*) AS n FROM bad GROUP BY ALL), fr AS (SELECT DISTINCT recording, frame AS donor FROM px),
 s AS (SELECT n.recording, n.frame, donor, (SELECT count(*) FROM bad a JOIN bad b ON a.recording = b.recording AND a.pixel = b.pixel WHERE a.recording = n.recording AND a.frame = n.frame AND b.frame = donor) / n + 0.002 * abs(n.frame - donor) AS score FROM n JOIN fr USING (recording) WHERE n.frame <> donor),
 c AS (SELECT b.recording, b.frame, b.pixel, s.donor, s.score, row_number() OVER (PARTITION BY b.recording, b.frame, b.pixel ORDER BY s.score, s.donor) AS k FROM bad b JOIN s ON b.recording = s.recording AND b.frame = s.frame WHERE NOT EXISTS (SELECT 1 FROM bad z WHERE z.recording = b.recording AND z.frame = s.donor AND z.pixel = b.pixel))

@@ -111,7 +111,7 @@ def confidence_score(spark, d):
 
 
 def vector_scalars(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     p, u = S.softmax(F.transform("v", lambda x: x * 10)), S.l2_normalize(F.col("v"))
     return rounded(e.select("vec_id", p[0].alias("p0"), S.argmax(F.col("v")).alias("best"), u[0].alias("u0"), F.array_max(p).alias("top")), "p0", "u0", "top")
 
@@ -158,7 +158,7 @@ round(CASE WHEN abs(a - b) <= 0.2 THEN greatest(a, b) ELSE coalesce(b, a) END, 6
 CAST(coalesce(a > 0.3, frame % 5 = 0) AS INTEGER) + CAST(coalesce(b > 0.5, false) AS INTEGER) + CAST(frame % 2 = 0 AS INTEGER) >= 2 AS vote, round(0.5 * a, 6) AS weighted FROM s""",
     "confidence_score": f"""WITH {SCORES}, r AS (SELECT event_id, coalesce(sign(a / 10 - 0.01) * least(greatest((abs(a / 10 - 0.01) - 0.005) / (CAST(0.03 AS DOUBLE) - CAST(0.005 AS DOUBLE)), 0.0), 1.0), 0.0) AS r, coalesce(least(greatest(b, 0.0), 1.0), 0.0) AS s, 0.5 + 0.5 * coalesce(least(greatest(a, 0.0), 1.0), 0.0) AS g FROM s),
 x AS (SELECT event_id, g * (0.6 * r + 0.4 * s) / (0.6 + 0.4) AS score FROM r) SELECT event_id, round(score, 6) + 0.0 AS score, score >= 0.35 AS active FROM x""",
-    "vector_scalars": """WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), e AS (SELECT *, list_transform(v, lambda x: exp(10 * (x - list_max(v)))) AS e FROM v)
+    "vector_scalars": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), e AS (SELECT *, list_transform(v, lambda x: exp(10 * (x - list_max(v)))) AS e FROM v)
 SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS u0, round(1 / list_sum(e), 6) AS top FROM e""",
     "display_labels": "SELECT event_id, CASE event_type WHEN 'click' THEN 'click - pressed' WHEN 'view' THEN 'view - seen' ELSE event_type END AS shown FROM events",
     "bilinear_sample": "SELECT vec_id, round(0.375 * CAST(embedding[35] AS DOUBLE) + 0.125 * CAST(embedding[36] AS DOUBLE) + 0.375 * CAST(embedding[43] AS DOUBLE) + 0.125 * CAST(embedding[44] AS DOUBLE), 6) + 0.0 AS sample FROM embeddings",

@@ -61,7 +61,7 @@ def scale_clip(spark, d):
 
 def first_difference(spark, d):
     f = sequence.first_difference(tokens(spark, d), ["recording"], "token_index", "vec")
-    return rounded(f.select("recording", "token_index", F.posexplode("delta").alias("dim", "delta")).where("dim < 4"), "delta")
+    return rounded(f.select("recording", "token_index", F.posexplode("delta").alias("dim", "delta")), "delta")
 
 
 def trailing_window(spark, d):
@@ -136,7 +136,7 @@ SELECT user_id, frame, round((sum(value) OVER (PARTITION BY user_id ORDER BY fra
     "same_track_median": f"WITH {GAPS} SELECT a.user_id, a.frame, round(quantile_cont(b.value, 0.5), 6) AS median FROM v a JOIN v b ON a.user_id = b.user_id AND a.track = b.track AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 GROUP BY a.user_id, a.frame",
     "centered_prior": f"WITH {FRAMES} SELECT user_id, frame, round(0.7 * quantile_cont(value, 0.5) OVER w + 0.3 * quantile_cont(value, 0.7) OVER w, 6) AS prior FROM f WINDOW w AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "scale_clip": f"WITH {FRAMES}, q AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY user_id) AS g, quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM f) SELECT user_id, frame, round(least(greatest(m, 0.5 * g), 2 * g), 6) AS value_scaled FROM q",
-    "first_difference": f"WITH {TOKENS}, x AS (SELECT recording, token_index, unnest(range(0, 4)) AS dim, vec FROM t) SELECT recording, token_index, CAST(dim AS INTEGER) AS dim, round(coalesce(CAST(vec[dim + 1] - lag(vec[dim + 1]) OVER (PARTITION BY recording, dim ORDER BY token_index) AS DOUBLE), 0.0), 6) + 0.0 AS delta FROM x",
+    "first_difference": f"WITH {TOKENS}, x AS (SELECT recording, token_index, unnest(range(0, 64)) AS dim, vec FROM t) SELECT recording, token_index, CAST(dim AS INTEGER) AS dim, round(coalesce(CAST(vec[dim + 1] - lag(vec[dim + 1]) OVER (PARTITION BY recording, dim ORDER BY token_index) AS DOUBLE), 0.0), 6) + 0.0 AS delta FROM x",
     "trailing_window": f"""WITH {TOKENS} SELECT recording, token_index, round(sum(CAST(vec[1] AS DOUBLE)) OVER w / 8, 6) AS mean_0, round(sum(CAST(vec[64] AS DOUBLE)) OVER w / 8, 6) AS mean_63,
   round(CASE WHEN count(*) OVER w < 8 THEN 0.0 ELSE CAST(first_value(vec[1]) OVER w AS DOUBLE) END, 6) AS oldest_0, 512 AS size FROM t WINDOW w AS (PARTITION BY recording ORDER BY token_index ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""",
     "quaternion_unwrap": f"""WITH {TOKENS}, q AS (SELECT recording, token_index, list_transform(vec[1:4], lambda x: CAST(x AS DOUBLE)) AS q FROM t),

@@ -75,9 +75,11 @@ def stream_rate_limit(spark, d):
 
 
 def stream_windows(spark, d):
-    e = source(spark, f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).alias("recording"), (F.col("vec_id") % 50).alias("token_index"), F.slice("embedding", 1, 4).alias("vec"))
-    out = drain(streams.stream_trailing_window(e, "recording", "token_index", "vec", 3, 4))
-    return out.select("recording", "token_index", F.round(F.col("window")[0], 6).alias("oldest"), F.round(F.col("window")[8], 6).alias("newest"))
+    e = source(spark, f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).alias("recording"), (F.col("vec_id") % 50).alias("token_index"), F.col("embedding").alias("vec"))
+    out = drain(streams.stream_trailing_window(e, "recording", "token_index", "vec", 3, 64))
+    row = F.arrays_zip(*[F.slice("window", 64 * i + 1, 64).alias(n) for i, n in enumerate(("oldest", "middle", "newest"))])
+    out = out.select("recording", "token_index", F.posexplode(row).alias("dim", "x"))
+    return out.select("recording", "token_index", "dim", *[F.round(F.col("x")[n], 6).alias(n) for n in ("oldest", "middle", "newest")])
 
 
 def stream_sessions(spark, d):
@@ -107,7 +109,7 @@ SQL = {
     "stream_nearest": f"""WITH {PAIR}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, left_id ORDER BY abs(epoch_us(rt) - epoch_us(lt)), rt, right_id) AS k FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY user_id, right_id ORDER BY lt, left_id) AS j FROM n WHERE k = 1) SELECT user_id, left_id AS a, right_id AS b FROM q WHERE j = 1""",
     "stream_ema": BATCH["ema_dual_threshold"],
     "stream_rate_limit": BATCH["rate_limit"],
-    "stream_windows": f"WITH {TOKENS} SELECT recording, token_index, round(coalesce(CAST(lag(vec[1], 2) OVER (PARTITION BY recording ORDER BY token_index) AS DOUBLE), 0.0), 6) AS oldest, round(CAST(vec[1] AS DOUBLE), 6) AS newest FROM t",
+    "stream_windows": f"WITH {TOKENS}, x AS (SELECT recording, token_index, dim, CAST(vec[dim + 1] AS DOUBLE) AS v FROM t, range(0, 64) AS r(dim)) SELECT recording, token_index, CAST(dim AS INTEGER) AS dim, round(coalesce(lag(v, 2) OVER w, 0.0), 6) AS oldest, round(coalesce(lag(v) OVER w, 0.0), 6) AS middle, round(v, 6) AS newest FROM x WINDOW w AS (PARTITION BY recording, dim ORDER BY token_index)",
     "stream_sessions": f"""WITH {FRAMES}, o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM f WHERE event_type IN ('click', 'purchase')), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o),
 g AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, epoch_us(a) AS start, epoch_us(b) AS "end", n FROM g WHERE n >= 3 AND b + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "stream_stats": """WITH w AS (SELECT date_trunc('day', ts) AS s, count(*) AS rows, count(value) AS count, avg(value) AS mean, max(value) AS max, avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) AS valid_rate FROM events GROUP BY 1)
