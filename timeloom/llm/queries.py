@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import bpe, chat, decontam, exact, langid, lm, neardup, substring, tokencount, toxicity
-from timeloom.llm.common import spread
+from timeloom.llm import bpe, chat, decontam, exact, langid, lm, merkle, neardup, substring, tokencount, toxicity
+from timeloom.llm.common import held_out, spread
 
 #: The turn texts of the conversation that is added to the table.
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -72,8 +72,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(documents(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.dataset_manifest(documents(spark, sf_dir), {"text": lower}, held_out(3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id, op12_merkle_manifest)}
 
 
 OP1_SQL = r"""
@@ -149,5 +154,32 @@ SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, d.doc_id = com
 """
 
 
+def op12_sql(levels: int = 7, top_levels: int = 4) -> str:
+    """Trees of fan 8 with at most so many levels, written out level by level."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part('n_chars')} || {part(text)})"
+    crc = "xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295), 4294967295)"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"d AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS claimed FROM documents)",
+        "a0 AS (SELECT tree, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d)",
+    ]
+
+    def climb(name: str, count: int) -> None:
+        for k in range(count):
+            ctes.append(f"{name}{k}r AS (SELECT tree, i // 8 AS r, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {name}{k} GROUP BY ALL)")
+            ctes.append(f"{name}{k + 1} AS (SELECT tree, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, r AS i, CAST(ceil(n / 8) AS BIGINT) AS n FROM {name}{k}r)")
+
+    climb("a", levels)
+    ctes.append(f"b0 AS (SELECT 'all' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM a{levels})")
+    climb("b", top_levels)
+    ctes.append("p0 AS (SELECT d.*, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, '' AS proof, claimed AS cur FROM d)")
+    for k in range(levels + top_levels):
+        name, j = ("a", k) if k < levels else ("b", k - levels)
+        source = f"p{k}" if k != levels else f"(SELECT p{k}.* REPLACE ('all' AS tree, b0.i AS i), b0.h AS subroot FROM p{k} JOIN b0 ON b0.name = p{k}.tree)"
+        ctes.append(f"p{k + 1} AS (SELECT p.* REPLACE (p.i // 8 AS i, CASE WHEN n > 1 THEN proof || array_to_string(hs[: p.i % 8] || hs[p.i % 8 + 2 :], '') ELSE proof END AS proof, CASE WHEN n > 1 THEN sha256(array_to_string(hs[: p.i % 8] || [cur] || hs[p.i % 8 + 2 :], '')) ELSE cur END AS cur) FROM {source} p JOIN {name}{j}r r ON r.tree = p.tree AND r.r = p.i // 8)")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM p{levels + top_levels}, b{top_levels}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op12_merkle_manifest": op12_sql()}
