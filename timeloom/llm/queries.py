@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import bpe, chat, decontam, exact, langid, lm, merkle, neardup, substring, tokencount, toxicity
+from timeloom.llm import bpe, chat, decontam, exact, langid, linededup, lm, merkle, neardup, substring, tokencount, toxicity
 from timeloom.llm.common import held_out, spread
 
 #: The turn texts of the conversation that is added to the table.
@@ -72,13 +72,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeated_lines(documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return merkle.dataset_manifest(documents(spark, sf_dir), {"text": lower}, held_out(3))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id, op11_line_dedup, op12_merkle_manifest)}
 
 
 OP1_SQL = r"""
@@ -154,6 +158,22 @@ SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, d.doc_id = com
 """
 
 
+OP11_SQL = r"""
+WITH s AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM s
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), often AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3
+), m AS (
+  SELECT k.*, coalesce(k.doc_id < often.top, false) AS gone FROM k LEFT JOIN often USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r
+"""
+
+
 def op12_sql(levels: int = 7, top_levels: int = 4) -> str:
     """Trees of fan 8 with at most so many levels, written out level by level."""
     part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
@@ -182,4 +202,4 @@ def op12_sql(levels: int = 7, top_levels: int = 4) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op12_merkle_manifest": op12_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": op12_sql()}
