@@ -244,10 +244,12 @@ def _references(bits: int, least: int):
                 once = np.append(True, (key[1:] != key[:-1]).any(1) | (doc[1:] != doc[:-1]))[: len(doc)]
                 parts.append((key[once, 0], key[once, 1], np.ones(once.sum(), np.int64), _ids(part)[doc[once]]))
             hi, lo, n, top = joined(parts)
+            if not len(hi):
+                continue
             shards = (hi >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hi), np.int64)
             names, first = np.unique(shards, return_index=True)
             rows = [(s, row["slab"], *packed(hi[i:j], lo[i:j], n[i:j], top[i:j])) for s, i, j in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(hi)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, REFS.types, strict=True)], schema=REFS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), REFS.types, strict=True)], schema=REFS)
 
     return run
 

@@ -153,7 +153,7 @@ class Manifest:
 def build(leaves: DataFrame, height: int = 4) -> Manifest:
     """The manifest of a leaf table. A builder's block is 8**height consecutive rows of a tree, numbered by doc_id (null first), then digest."""
     span = FAN**height
-    rows = numbered(leaves, ["tree"], ["doc_id", "leaf"]).withColumnRenamed("leaf", "digest")
+    rows = numbered(cut(leaves), ["tree"], ["doc_id", "leaf"]).withColumnRenamed("leaf", "digest")
     trees = tower(rows, span)
     subroots = numbered(roots(trees, span).select(F.lit(b"").alias("all"), "tree", "root"), ["all"], ["tree"])
     top = tower(subroots.select(F.col("all").alias("tree"), "index", "n", F.col("root").alias("digest"), F.lit(None).cast("long").alias("doc_id"), F.col("tree").alias("claimed")), span)
@@ -162,7 +162,7 @@ def build(leaves: DataFrame, height: int = 4) -> Manifest:
 
 def append_log(manifest: Manifest) -> DataFrame:
     """tree, position, height, digest of every node of the trees: the logs as one postorder log a tree."""
-    up, kind = tree_height(manifest.span), pa.schema([("tree", pa.binary()), ("position", pa.int64()), ("height", pa.int32()), ("digest", pa.binary())])
+    span, up, kind = manifest.span, tree_height(manifest.span), pa.schema([("tree", pa.binary()), ("position", pa.int64()), ("height", pa.int32()), ("digest", pa.binary())])
 
     def rows(tier: int):
         def run(batches):
@@ -171,7 +171,7 @@ def append_log(manifest: Manifest) -> DataFrame:
                 for h in range(1 if tier else 0, r["height"] + 1):
                     n = (r["size"] + (1 << SHIFT * h) - 1) >> SHIFT * h
                     own = nodes[position(h, np.arange(n), r["size"], r["height"])]
-                    at = position(tier * up + h, r["block"] * (manifest.span >> SHIFT * h) + np.arange(n), r["leaves"], tree_height(r["leaves"]))
+                    at = position(tier * up + h, r["block"] * (span >> SHIFT * h) + np.arange(n), r["leaves"], tree_height(r["leaves"]))
                     yield pa.RecordBatch.from_arrays([pa.array([r["tree"]] * n, pa.binary()), pa.array(at), pa.array([tier * up + h] * n, pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], schema=kind)
 
         return run
