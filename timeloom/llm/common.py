@@ -82,9 +82,9 @@ def slices(batches, column: str = "text", most: int = 1 << 20) -> Iterator[pa.Re
             at = stop
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word of every text, and where each text's words begin among them."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word of every text, and where each text's words begin among them. space: which bytes separate words."""
+    inside = ~space[data]
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[off] = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import bpe, chat, decontam, exact, langid, linededup, lm, merkle, neardup, substring, tokencount, toxicity
+from timeloom.llm import bpe, chat, collocation, decontam, exact, langid, linededup, lm, merkle, neardup, substring, tokencount, toxicity
 from timeloom.llm.common import held_out, spread
 
 #: The turn texts of the conversation that is added to the table.
@@ -81,8 +81,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.dataset_manifest(documents(spark, sf_dir), {"text": lower}, held_out(3))
 
 
+def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id, op11_line_dedup, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_lm_scoring, op7_exact_dedup, op8_token_counts, op9_minhash_near_dedup, op10_language_id, op11_line_dedup, op12_merkle_manifest, op13_phrase_collocation)}
 
 
 OP1_SQL = r"""
@@ -201,5 +205,35 @@ def op12_sql(levels: int = 7, top_levels: int = 4) -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM p{levels + top_levels}, b{top_levels}"
 
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, m, p, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS p FROM w, range(1, 5) AS r(m)
+  ) GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, m, p, f AS a, string_split(p, ' ') AS w FROM f WHERE m > 1
+), cuts AS (
+  SELECT c.*, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score
+  FROM c, range(1, 4) AS s(k), f x, f y
+  WHERE k < c.m AND x.lang = c.lang AND x.p = array_to_string(c.w[: k], ' ') AND y.lang = c.lang AND y.p = array_to_string(c.w[k + 1 :], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT DISTINCT s.lang, s.p FROM (
+    SELECT lang, a AS longer, m, unnest(list_concat(list_transform(range(1, m), lambda i: array_to_string(w[i : i + 1], ' ')), CASE WHEN m > 3 THEN list_transform(range(1, m - 1), lambda i: array_to_string(w[i : i + 2], ' ')) ELSE [] END)) AS p FROM c WHERE m > 2
+  ) s JOIN c ON c.lang = s.lang AND c.p = s.p AND c.m < s.m WHERE 100 * s.longer >= 80 * c.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best JOIN sizes USING (lang) ANTI JOIN inner_ USING (lang, p)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": op12_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": op12_sql(), "op13_phrase_collocation": OP13_SQL}
