@@ -302,7 +302,7 @@ def _score(scale: int, a: Column, both: Column) -> Column:
     return F.floor((F.lit(scale).cast("decimal(10,0)") * a.cast("decimal(19,0)") - (F.lit(scale).cast("decimal(10,0)") * a.cast("decimal(19,0)")) % both.cast("decimal(19,0)")) / both.cast("decimal(19,0)")).cast("long")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, inside: int = 80, slab_bytes: int = 4 << 20, part_bytes: int = 2 << 30) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, inside: int = 80, slab_bytes: int = 4 << 20, part_bytes: int = 2 << 30, octave_bytes: int = 64 << 30) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's best `top` phrases of 2 to `longest` words.
 
     Texts are cut into pieces at [.,;:!?\\x0A-\\x0D] and these into words at blanks and tabs, A-Z lowered; a phrase lies within a piece. a: its occurrences, `least` or
@@ -316,7 +316,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     """
     small = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     total = text_bytes(small)
-    pieces, salts = 1 << max(0, math.ceil(math.log(max(1, total) / (64 << 30), 4))), -(-max(1, total) // grown(part_bytes, total, 16))
+    pieces, salts = 1 << max(0, math.ceil(math.log(max(1, total) / octave_bytes, 4))), -(-max(1, total) // grown(part_bytes, total, 16))
     slabs = small.mapInArrow(_slabs(grown(slab_bytes, total, 16)), "lang string, words array<string>, times array<long>, seq binary").withColumn("slab", F.monotonically_increasing_id())
     slabs = cut(slabs.withColumns({"salt": F.pmod(F.xxhash64("slab"), F.lit(1 << 40)), "size": F.size("words")}))
     each = slabs.select("slab", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("place", "w")).select("slab", "lang", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

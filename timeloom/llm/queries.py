@@ -209,13 +209,18 @@ OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), w AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+  SELECT row_number() OVER () AS r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
 ), sizes AS (
   SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), t AS (
+  SELECT r, lang, unnest(range(len(w))) AS i, unnest(w) AS x FROM w
+), g AS (
+  SELECT lang, x, x || ' ' || lead(x) OVER o AS xx, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS xxx, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o AS xxxx FROM t
+  WINDOW o AS (PARTITION BY r ORDER BY i)
 ), f AS (
   SELECT lang, m, p, count(*) AS f FROM (
-    SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS p FROM w, range(1, 5) AS r(m)
-  ) GROUP BY ALL HAVING count(*) >= 30
+    SELECT lang, 1 AS m, x AS p FROM g UNION ALL SELECT lang, 2, xx FROM g UNION ALL SELECT lang, 3, xxx FROM g UNION ALL SELECT lang, 4, xxxx FROM g
+  ) WHERE p IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
 ), c AS (
   SELECT lang, m, p, f AS a, string_split(p, ' ') AS w FROM f WHERE m > 1
 ), cuts AS (
