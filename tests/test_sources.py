@@ -2,15 +2,12 @@
 
 import json
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.operators import sequence
 from timeloom.plans import registry
 from timeloom.plans.flows import experiment_summary, predictions_to_segments, token_table
 from timeloom.sources import readers, writers
-from timeloom.streaming import streams
 
 
 def test_annotations_go_out_and_come_back(spark, tmp_path):
@@ -134,34 +131,6 @@ def test_registry_names_are_unique():
         registry.build("nothing")
 
 
-def run_stream(spark, tmp_path, batches, schema, make):
-    src, out = tmp_path / "in", tmp_path / "out"
-    src.mkdir()
-    for i, b in enumerate(batches):
-        pd.DataFrame(b, columns=[c.split()[0] for c in schema.split(", ")]).to_parquet(src / f"{i}.parquet")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    q = make(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(out)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(str(out))
-
-
-def test_streaming_hysteresis_equals_batch_over_several_batches(spark, tmp_path):
-    import random
-
-    rng = random.Random(5)
-    values = [rng.random() for _ in range(60)]
-    rows = [("a", i, v) for i, v in enumerate(values)]
-    got = run_stream(spark, tmp_path, [rows[:7], rows[7:30], [*rows[30:], ("a", 60, None)]], "k string, t long, x double", lambda s: streams.stream_hysteresis(s, "k", "t", "x", 0.6, 0.4, 3, 2))
-    batch = sequence.hysteresis(spark.createDataFrame(rows, "k string, t long, x double"), ["k"], "t", "x", 0.6, 0.4, 3, 2)
-    assert sorted(map(tuple, got.select("t", "active").collect())) == sorted(map(tuple, batch.select("t", "active").collect()))
-
-
-def test_streaming_windows_carry_over_batches(spark, tmp_path):
-    rows = [("a", i, [float(i)]) for i in range(5)]
-    got = run_stream(spark, tmp_path, [rows[:2], rows[2:]], "k string, t long, v array<double>", lambda s: streams.stream_trailing_window(s, "k", "t", "v", 3, 1))
-    assert [r["window"] for r in got.orderBy("t").collect()] == [[0, 0, 0], [0, 0, 1], [0, 1, 2], [1, 2, 3], [2, 3, 4]]
-
-
 def test_flow_from_frames_to_segments(spark):
     frames = spark.createDataFrame([("r", i, int(i >= 30)) for i in range(60)], "k string, frame long, label int")
     rec = spark.createDataFrame([("r", 60, 30.0)], "k string, num_frames int, fps double")

@@ -10,12 +10,17 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.window import Window, WindowSpec
 
+from timeloom.operators import kernels
+from timeloom.plans.ranges import in_ranges, numbered, with_halo
+from timeloom.plans.scratch import cut
+
 
 def over(keys: list[str], order: str, before: int | None = None, after: int | None = None) -> WindowSpec:
     """Window of rows: whole partition in order, or `before` rows back to `after` rows ahead."""
@@ -355,30 +360,120 @@ def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, on: float
     return out.select(*keys, order, (F.col("__on") | F.coalesce(F.max("__begins").over(over(keys, order, 0, max(0, min_on - 1))), F.lit(False))).alias("active"))
 
 
-def ema_dual_threshold(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28) -> DataFrame:
-    """keys, order, ema, active: ema = alpha * x + (1 - alpha) * ema from 0; active if at `off` or more while active, else at `on` or more. Null is 0."""
+def new_keys(batch: pa.RecordBatch, last: pa.RecordBatch | None, names: list[str]) -> np.ndarray:
+    """Which rows have another key than the row before them; last: the row before the first."""
+    out = np.zeros(batch.num_rows, bool)
+    for n in names:
+        col = pa.chunked_array([*([] if last is None else [last.column(n)]), batch.column(n)]).combine_chunks()
+        a, b = col.slice(1), col.slice(0, len(col) - 1)
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out[batch.num_rows - len(a) :] |= np.asarray(differs)
+    if last is None and batch.num_rows:
+        out[0] = True
+    return out
 
-    def step(state, x):
-        ema = alpha * (x or 0.0) + (1 - alpha) * state[0]
-        state = ema, ema >= (off if state[1] else on)
-        return state, state
 
-    plain = df.select(*keys, order, F.col(value).cast("double").alias(value))
-    return scan(plain, keys, order, [value], lambda: (0.0, False), step, [("ema", pa.float64()), ("active", pa.bool_())])
+def _parts(batches, keys: list[str]):
+    """(part, batch, new): batches cut where a part ends, and which rows begin a key within their part."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.asarray(batch.column("__part"))
+        new = new_keys(batch, last, ["__part", *keys])
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            yield int(part[i]), batch.slice(i, j - i), new[i:j]
+        last = batch.slice(batch.num_rows - 1, 1)
 
 
-def rate_limit(df: DataFrame, keys: list[str], order: str, value: str, step_limit: float, low: float, high: float) -> DataFrame:
-    """keys, order, limited: the first value as it is, then each moves at most step_limit from the last output and stays within [low, high]. Null keeps the last output, within the bounds."""
+def _floats(col: pa.Array) -> np.ndarray:
+    return np.asarray(col.to_numpy(zero_copy_only=False), float)
+
+
+def carried(ends: list, start, follow):
+    """{part: state} that the first key of a part brings along. ends: (part, first key, last key, the last key's map over the part), part by part; follow(map, state)."""
+    out, state, key = {}, start, None
+    for k, (part, first, last, own) in enumerate(sorted(ends, key=lambda e: e[0])):
+        if k and first == key:
+            out[part] = state
+        state, key = follow(own, out.get(part, start) if first == last else start), last
+    return out
+
+
+def ema_dual_threshold(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28) -> DataFrame:
+    """keys, order, ema, active: ema = alpha * x + (1 - alpha) * ema from 0; active if at `off` or more while active, else at `on` or more. Values that aren't finite are 0.
+
+    A parallel prefix scan: rows are dealt out by ranges of key and order, a range is one affine map of its last key's average, and the maps of the ranges, one row each,
+    are composed; then every range runs from its own start. The switch goes likewise, as a map of two states: both outcomes are found, and the ranges' last rows tell which
+    holds. So a key of all rows is spread over all tasks, and no row is a step of Python.
+    """
+    plain = df.select(*keys, order, F.col(value).cast("double").alias("__x"))
+    rows = in_ranges(plain, keys, [order, "__x"]).repartition("__part").sortWithinPartitions("__part", "__at")
+    key, kind = F.struct(*keys, F.lit(0).alias("__none")), pa.schema([("__part", pa.int32()), ("slope", pa.float64()), ("shift", pa.float64())])
+
+    def summary(batches):
+        now, slope, shift = None, 1.0, 0.0
+        for part, batch, new in _parts(batches, keys):
+            if part != now:
+                if now is not None:
+                    yield pa.RecordBatch.from_pydict({"__part": [now], "slope": [slope], "shift": [shift]}, schema=kind)
+                now, slope, shift = part, 1.0, 0.0
+                new[0] = False
+            x, begin = _floats(batch.column("__x")), 0
+            if new.any():
+                begin, slope, shift = int(np.flatnonzero(new)[-1]), 1.0, 0.0
+            run = kernels.ema_run(x[begin:], np.zeros(len(x) - begin, bool), alpha, shift)
+            slope, shift = slope * (1 - alpha) ** len(run), float(run[-1])
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"__part": [now], "slope": [slope], "shift": [shift]}, schema=kind)
+
+    ends = rows.groupBy("__part").agg(F.min_by(key, "__at").alias("first"), F.max_by(key, "__at").alias("last"))
+    ends = ends.join(rows.mapInArrow(summary, "__part int, slope double, shift double"), "__part").collect()  # a row a range
+    averages = carried([(r["__part"], r["first"], r["last"], (r["slope"], r["shift"])) for r in ends], 0.0, lambda m, s: m[0] * s + m[1])
+    key_kinds = ", ".join(f"`{n}` {plain.schema[n].dataType.simpleString()}" for n in [*keys, order])
+
+    def apply(batches):
+        now, ema, no, yes = None, 0.0, False, False
+        for part, batch, new in _parts(batches, keys):
+            if part != now:
+                now, ema, no, yes = part, averages.get(part, 0.0), False, True
+                new[0] = False
+            e = kernels.ema_run(_floats(batch.column("__x")), new, alpha, ema)
+            never, ever = kernels.switch_run(e, new, on, off, no), kernels.switch_run(e, new, on, off, yes)
+            ema, no, yes = float(e[-1]), bool(never[-1]), bool(ever[-1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in [*keys, order, "__part", "__at"]], pa.array(e), pa.array(never), pa.array(ever)], names=[*keys, order, "__part", "__at", "ema", "no", "yes"])
+
+    both = cut(rows.mapInArrow(apply, f"{key_kinds}, __part int, __at long, ema double, no boolean, yes boolean"))
+    tails = both.groupBy("__part").agg(F.min_by(key, "__at").alias("first"), F.max_by(key, "__at").alias("last"), F.max_by(F.struct("no", "yes"), "__at").alias("m")).collect()
+    states = carried([(r["__part"], r["first"], r["last"], r["m"]) for r in tails], False, lambda m, s: m["yes"] if s else m["no"])
+    on_parts = [p for p, s in states.items() if s]
+    return both.select(*keys, order, "ema", F.when(F.col("__part").isin(on_parts), F.col("yes")).otherwise(F.col("no")).alias("active"))
 
-    def step(last, x):
-        if last is None:
-            return x, (x,)
-        near = min(max(last if x is None else x, last - step_limit), last + step_limit)
-        y = min(max(near, low), high)
-        return y, (y,)
 
-    plain = df.select(*keys, order, F.col(value).cast("double").alias(value))
-    return scan(plain, keys, order, [value], lambda: None, step, [("limited", pa.float64())])
+def rate_limit(df: DataFrame, keys: list[str], order: str, value: str, step_limit: float, low: float, high: float) -> DataFrame:
+    """keys, order, limited: the first finite value as it is, then each moves at most step_limit from the last output and stays within [low, high]. Null, NaN and infinite
+    values keep the last output, within the bounds; before the first finite value the output is null."""
+    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in [*keys, order])
+
+    def run(batches):
+        before, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, out = _floats(batch.column("__x")), []
+            edges = [0, *[i for i in np.flatnonzero(new_keys(batch, before, keys)).tolist() if i], batch.num_rows]
+            if before is None or keys and new_keys(batch.slice(0, 1), before, keys)[0]:
+                last = None
+            for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                made, last = kernels.rate_run(x[i:j], step_limit, low, high, None if k else last)
+                out += made
+            before = batch.slice(batch.num_rows - 1, 1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in [*keys, order]], pa.array(out, pa.float64())], names=[*keys, order, "limited"])
+
+    plain = df.select(*keys, order, F.col(value).cast("double").alias("__x"))
+    dealt = plain.repartition(*keys) if keys else plain.repartition(1)
+    return dealt.sortWithinPartitions(*keys, order, "__x").mapInArrow(run, f"{kinds}, limited double")
 
 
 def find_episodes(df: DataFrame, keys: list[str], order: str, value: str, sigma: float = 2.0, distance: int = 5, prominence: float = 0.1, most: int = 10) -> DataFrame:

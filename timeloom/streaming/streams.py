@@ -1,112 +1,171 @@
-"""Causal operators as Structured Streaming. Each has a batch twin in operators/; on the same rows both give the same result."""
+"""Causal operators as Structured Streaming. Each has a batch twin in operators/ and shares its array code: on the same rows both give the same result, in whatever order the rows
+arrive within the delay, null, NaN and infinite values included."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from timeloom.operators import kernels
+from timeloom.streaming.ordered import in_order, keep_state, micros, timestamps, tuples
 
 
 def pair_streams(left: DataFrame, right: DataFrame, key: str, time: str, max_delta: str, delay: str) -> DataFrame:
-    """All pairs of a key within max_delta; rows later than `delay` are dropped. The nearest of each left row: nearest_pairs()."""
+    """All pairs of a key within max_delta; rows later than `delay` are dropped. For one partner each: stream_nearest_pairs()."""
     a = left.withWatermark(time, delay).alias("a")
     b = right.withWatermark(time, delay).alias("b")
     near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.col(f"b.{time}").between(F.col(f"a.{time}") - F.expr(f"interval {max_delta}"), F.col(f"a.{time}") + F.expr(f"interval {max_delta}"))
     return a.join(b, near).select(F.col(f"a.{key}").alias(key), F.col("a.id").alias("left_id"), F.col(f"a.{time}").alias("left_time"), F.col("b.id").alias("right_id"), F.col(f"b.{time}").alias("right_time"))
 
 
-def nearest_pairs(pairs: DataFrame, key: str) -> DataFrame:
-    """Of all pairs (a finished micro-batch, or the sink's table): the nearest right row of each left row, each right row once."""
-    gap = F.abs(F.col("right_time").cast("double") - F.col("left_time").cast("double"))
-    best = pairs.groupBy(key, "left_id", "left_time").agg(F.min(F.struct(gap.alias("gap"), "right_time", "right_id")).alias("b"))
-    first = best.groupBy(key, F.col("b.right_id").alias("right_id")).agg(F.min(F.struct("left_time", "left_id", F.col("b.right_time").alias("right_time"))).alias("x"))
-    return first.select(key, F.col("x.left_id").alias("left_id"), F.col("x.left_time").alias("left_time"), "right_id", F.col("x.right_time").alias("right_time"))
-
-
-def _ordered(parts: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(order)
-
-
-def stream_hysteresis(df: DataFrame, key: str, order: str, value: str, on: float, off: float, min_on: int, hold: int) -> DataFrame:
-    """key, order, active as they are settled: a row that isn't active is held back until it can't be filled any more, at most min_on - 1 rows. A row of value null ends
-    a key's stream and lets the rest out. Rows of a key come in order from batch to batch."""
-
-    def step(keys, parts, state: GroupState):
-        active, above, below, waiting = state.get if state.exists else (False, 0, 0, [])
-        waiting, out = list(waiting), []
-        for t, v in _ordered(parts, order)[[order, value]].itertuples(index=False):
-            if pd.isna(v):
-                out += [(w, False) for w in waiting]
-                active, above, below, waiting = False, 0, 0, []
-                continue
-            if active:
-                below = below + 1 if v < off else 0
-                if below <= hold:
-                    out.append((t, True))
-                    continue
-                active, above = False, 0
-            above = above + 1 if v >= on else 0
-            waiting.append(t)
-            if above >= min_on:
-                out += [(w, False) for w in waiting[: len(waiting) - min_on]] + [(w, True) for w in waiting[len(waiting) - min_on :]]
-                active, above, below, waiting = True, 0, 0, []
-            else:
-                out += [(w, False) for w in waiting[: len(waiting) - above]]
-                waiting = waiting[len(waiting) - above :]
-        state.update((active, above, below, waiting))
-        yield pd.DataFrame({key: [keys[0]] * len(out), order: [t for t, _ in out], "active": [a for _, a in out]})
-
-    k, o = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {k}, {order} {o}, active boolean", f"active boolean, above int, below int, waiting array<{o}>", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_ema_switch(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28) -> DataFrame:
-    def step(keys, parts, state: GroupState):
-        ema, active = state.get if state.exists else (0.0, False)
-        rows = []
-        for t, v in _ordered(parts, order)[[order, value]].itertuples(index=False):
-            ema = alpha * (0.0 if pd.isna(v) else float(v)) + (1 - alpha) * ema
-            active = ema >= (off if active else on)
-            rows.append((keys[0], t, ema, active))
-        state.update((ema, active))
-        yield pd.DataFrame(rows, columns=[key, order, "ema", "active"])
-
-    k, o = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {k}, {order} {o}, ema double, active boolean", "ema double, active boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_rate_limit(df: DataFrame, key: str, order: str, value: str, step_limit: float, low: float, high: float) -> DataFrame:
-    def step(keys, parts, state: GroupState):
-        last = state.get[0] if state.exists else None
-        rows = []
-        for t, v in _ordered(parts, order)[[order, value]].itertuples(index=False):
-            last = float(v) if last is None else min(max(min(max(float(v), last - step_limit), last + step_limit), low), high)
-            rows.append((keys[0], t, last))
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=[key, order, "limited"])
-
-    k, o = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {k}, {order} {o}, limited double", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_trailing_window(df: DataFrame, key: str, order: str, vec: str, width: int, size: int) -> DataFrame:
-    """key, order, window (flat, width * size numbers, zeros before the first row)."""
-
-    def step(keys, parts, state: GroupState):
-        flat = list(state.get[0]) if state.exists else [0.0] * ((width - 1) * size)
-        rows = []
-        for t, v in _ordered(parts, order)[[order, vec]].itertuples(index=False):
-            whole = flat + [float(x) for x in v]
-            rows.append((keys[0], t, whole))
-            flat = whole[size:]
-        state.update((flat,))
-        yield pd.DataFrame(rows, columns=[key, order, "window"])
-
-    k, o = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {k}, {order} {o}, window array<double>", "last array<double>", "append", GroupStateTimeout.NoTimeout)
+def decide(lefts: list[tuple], rights: list[tuple], delta: int) -> list[tuple]:
+    """For each (time, id) of lefts, in order, the nearest of rights (time, id, taken; in order) within delta, the earlier of two, and a reason if there is none or it is
+    taken; marks what is taken."""
+    out = []
+    times = np.array([r[0] for r in rights], np.int64)
+    for t, i in lefts:
+        at = int(np.searchsorted(times, t))
+        ahead = at if at < len(rights) else None
+        back = int(np.searchsorted(times, times[at - 1])) if at else None  # the first of equal times
+        pick = ahead if back is None else back if ahead is None or t - times[back] <= times[ahead] - t else ahead
+        if pick is None or abs(times[pick] - t) > delta:
+            out.append((i, t, None, None, "right_delta"))
+        elif rights[pick][2]:
+            out.append((i, t, None, None, "right_non_unique"))
+        else:
+            rights[pick] = (*rights[pick][:2], True)
+            out.append((i, t, rights[pick][1], rights[pick][0], None))
+    return out
+
+
+class NearestPairs(StatefulProcessor):
+    """Both sides of a key wait in buffers. A left row is decided once the watermark is max_delta past it, as no nearer right row can come then; right rows go when no left
+    row, here or to come, can reach them."""
+
+    def __init__(self, key: str, time: str, delta: int):
+        self.key, self.time, self.delta = key, time, delta
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.lefts, self.rights = handle.getListState("lefts", "t long, id long"), handle.getListState("rights", "t long, id long, taken boolean")
+
+    def _settle(self, key, fresh: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        limit = watermark_ms * 1000
+        held = lambda state: [tuple(r) for r in state.get()] if state.exists() else []
+        lefts = sorted(held(self.lefts) + [r[:2] for r in fresh if r[2]])
+        rights = sorted(held(self.rights) + [(*r[:2], False) for r in fresh if not r[2]])
+        ready, wait = [r for r in lefts if r[0] + self.delta <= limit], [r for r in lefts if r[0] + self.delta > limit]
+        out = decide(ready, rights, self.delta)
+        reach = min([limit, *[r[0] for r in wait]]) - self.delta
+        rights = [r for r in rights if r[0] >= reach]
+        self.lefts.put(wait) if wait else self.lefts.clear()
+        self.rights.put(rights) if rights else self.rights.clear()
+        due = [r[0] + self.delta for r in wait[:1]] + [r[0] + self.delta + 1000 for r in rights[:1]]
+        if due:
+            self.handle.registerTimer(max(watermark_ms + 1, -(-min(due) // 1000)))
+        if out:
+            ids, times, other, other_times, why = zip(*out, strict=True)
+            yield pd.DataFrame({
+                self.key: [key[0]] * len(out), "left_id": list(ids), "left_time": timestamps(list(times)), "right_id": pd.array(other, "Int64"),
+                "right_time": pd.to_datetime(pd.Series(pd.array(other_times, "Int64")), unit="us"), "reason": list(why),
+            })
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, [r for part in rows for r in tuples(part, self.time, ["id", "is_left"])], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_nearest_pairs(left: DataFrame, right: DataFrame, key: str, time: str, max_delta: str, delay: str) -> DataFrame:
+    """key, left_id, left_time, right_id, right_time, reason: each left row once, with its nearest right row within max_delta as joins.pair_nearest has it, or with a reason:
+    right_delta (none so near) or right_non_unique (an earlier left row has it).
+
+    left, right: key, id (long), time. Both sides have a watermark `delay` behind their latest row, and the slower one counts; rows without a time or later than that are
+    dropped. What a key holds is bounded by max_delta and delay.
+    """
+    keep_state(left)
+    side = lambda df, is_left: df.select(key, time, F.col("id").cast("long").alias("id"), F.lit(is_left).alias("is_left")).where(F.col(time).isNotNull()).withWatermark(time, delay)
+    both = side(left, True).union(side(right, False))
+    kind = left.schema[key].dataType.simpleString()
+    return both.groupBy(key).transformWithStateInPandas(NearestPairs(key, time, micros(max_delta)), f"{key} {kind}, left_id long, left_time timestamp, right_id long, right_time timestamp, reason string", "append", "EventTime")
+
+
+def numbers(rows: list[tuple], at: int = -1) -> np.ndarray:
+    return np.array([np.nan if r[at] is None else r[at] for r in rows], float)
+
+
+def stream_hysteresis(df: DataFrame, key: str, time: str, value: str, on: float, off: float, min_on: int, hold: int, delay: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+    """key, time, carry, active as they are settled: a row that isn't active is held back until it can't be filled any more, at most min_on - 1 rows of its key."""
+    if off > on:
+        raise ValueError("off must not be above on")
+
+    def advance(state, rows):
+        active, below, waiting = state
+        rows = [(t, *extra) for t, extra in zip(waiting["t"], waiting["row"], strict=True)] + [(r[0], *r[1:]) for r in rows] if waiting else rows
+        filled, open_, active, below = kernels.hysteresis_run(numbers(rows), on, off, min_on, hold, active, below)
+        end = len(rows) - open_
+        return (active, below, {"t": [r[0] for r in rows[end:]], "row": [r[1:] for r in rows[end:]]}), [(*r[: 1 + len(carry or [])], bool(a)) for r, a in zip(rows[:end], filled[:end].tolist(), strict=True)]
+
+    return _hysteresis_stream(df, key, time, value, advance, delay, carry or [], ttl)
+
+
+def _hysteresis_stream(df: DataFrame, key: str, time: str, value: str, advance, delay: str, carry: list[str], ttl: str | None) -> DataFrame:
+    """The rows held back are part of the state, column by column."""
+    used = [*carry, value]
+    kinds = ", ".join(f"w{i} array<{df.schema[c].dataType.simpleString()}>" for i, c in enumerate(used))
+
+    def packed(state, rows):
+        active, below, t, *columns = state
+        (active, below, waiting), out = advance((active, below, {"t": list(t), "row": list(zip(*columns, strict=True)) if columns else []}), rows)
+        return (active, below, waiting["t"], *[[r[i] for r in waiting["row"]] for i in range(len(used))]), out
+
+    return in_order(df, [key], time, delay, used, [], f"active boolean, below long, t array<long>, {kinds}", lambda: (False, 0, [], *[[] for _ in used]), packed, "active boolean", carry, ttl)
+
+
+def stream_ema_switch(df: DataFrame, key: str, time: str, value: str, delay: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+    """key, time, carry, ema, active as sequence.ema_dual_threshold has them."""
+    carry = carry or []
+
+    def advance(state, rows):
+        ema, active = kernels.ema_switch_run(numbers(rows), np.zeros(len(rows), bool), alpha, on, off, *state)
+        return (float(ema[-1]), bool(active[-1])), [(*r[: 1 + len(carry)], e, a) for r, e, a in zip(rows, ema.tolist(), active.tolist(), strict=True)]
+
+    return in_order(df, [key], time, delay, [*carry, value], [], "ema double, active boolean", lambda: (0.0, False), advance, "ema double, active boolean", carry, ttl)
+
+
+def stream_rate_limit(df: DataFrame, key: str, time: str, value: str, step_limit: float, low: float, high: float, delay: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+    """key, time, carry, limited as sequence.rate_limit has it."""
+    carry = carry or []
+
+    def advance(state, rows):
+        out, last = kernels.rate_run(numbers(rows), step_limit, low, high, state[0])
+        return (last,), [(*r[: 1 + len(carry)], y) for r, y in zip(rows, out, strict=True)]
+
+    return in_order(df, [key], time, delay, [*carry, value], [], "last_output double", lambda: (None,), advance, "limited double", carry, ttl)
+
+
+def stream_trailing_window(df: DataFrame, key: str, time: str, vec: str, width: int, size: int, delay: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+    """key, time, carry, window (flat, width * size numbers): the last rows' vectors as sequence.trailing_window has them, null ones left out, zeros in front."""
+    carry = carry or []
+
+    def advance(state, rows):
+        vectors = [None if v is None else [float(x) for x in v] for v in state[0]] + [None if r[-1] is None else [float(x) for x in r[-1]] for r in rows]
+        out, skip = [], len(vectors) - len(rows)
+        for i, r in enumerate(rows):
+            known = [v for v in vectors[max(0, skip + i - width + 1) : skip + i + 1] if v is not None]
+            out.append((*r[: 1 + len(carry)], [0.0] * (size * (width - len(known))) + [x for v in known for x in v]))
+        return (vectors[len(vectors) - width + 1 :] if width > 1 else [],), out
+
+    return in_order(df, [key], time, delay, [*carry, vec], [], "vectors array<array<double>>", lambda: ([],), advance, "window array<double>", carry, ttl)
 
 
 def stream_episodes(df: DataFrame, key: str, time: str, flag: str, gap: str, delay: str, least: int = 1) -> DataFrame:
