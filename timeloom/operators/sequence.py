@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.window import Window, WindowSpec
 
 from timeloom.operators import kernels
-from timeloom.plans.ranges import in_ranges, numbered, with_halo
+from timeloom.plans.ranges import in_ranges, join_same, numbered, with_halo
 from timeloom.plans.scratch import cut
 
 
@@ -242,30 +242,67 @@ def savgol_weights(window: int, poly: int) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
-def median_then_savgol(df: DataFrame, keys: list[str], order: str, value: str, window: int, poly: int = 2, median: int = 1) -> DataFrame:
-    """Interpolate, median with zeros beyond the ends, then Savitzky-Golay; the ends take the fit of the first and last window.
+#: Rows of a key that one task smooths at once.
+BLOCK = 1 << 16
 
-    The window is cut to the odd number that fits the partition, and smoothing is left out below poly + 2 rows. Adds <value>_smooth. One partition is one task's work.
+
+def fill_over_blocks(df: DataFrame, keys: list[str], value: str, block: int, index: str = "__i") -> DataFrame:
+    """df with value as doubles, gaps (null or NaN) linear by row number and the nearest value at the ends; null where a key has none. A block of rows looks into itself, and
+    at one row of each other block for what it lacks."""
+    v = F.col(value).cast("double")
+    cut_up = df.withColumn("__b", F.floor(F.col(index) / block)).withColumn("__known", F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.col(index).alias("i"), v.alias("v"))))
+    ends = cut_up.groupBy(*keys, "__b").agg(F.max("__known").alias("last"), F.min("__known").alias("first"))
+    w = Window.partitionBy(*keys).orderBy("__b")
+    ends = ends.select(
+        *keys, "__b", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    both = join_same(cut_up, ends, [*keys, "__b"])
+    own = Window.partitionBy(*keys, "__b").orderBy(index)
+    back = F.coalesce(F.last("__known", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), "__before")
+    ahead = F.coalesce(F.first("__known", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing)), "__after")
+    p, n = F.col("__p"), F.col("__n_")
+    line = p["v"] + (n["v"] - p["v"]) * (F.col(index) - p["i"]) / (n["i"] - p["i"])
+    filled = F.when(F.col("__known").isNotNull(), F.col("__known.v")).when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))
+    return both.withColumns({"__p": back, "__n_": ahead}).withColumn(value, filled).drop("__b", "__known", "__before", "__after", "__p", "__n_")
+
+
+def median_then_savgol(df: DataFrame, keys: list[str], order: str, value: str, window: int, poly: int = 2, median: int = 1, block: int = BLOCK) -> DataFrame:
+    """Interpolate, median with zeros beyond the ends, then Savitzky-Golay; the ends take the fit of the first and last window. Adds <value>_smooth, null in a key without values.
+
+    The window is cut to the odd number that fits the key, and smoothing is left out below poly + 2 rows. Rows are numbered over ranges and smoothed in blocks with as many
+    neighbours on both sides as the filters reach, so a long key is spread over tasks. The weights of every window and place are a table of window**2 rows at most.
     """
-    out = f"{value}_smooth"
-
-    def smooth(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        v = part[value].astype(float).interpolate(limit_direction="both").to_numpy()
-        n = len(v)
-        if median > 1 and n:
-            wide = np.concatenate([np.zeros(median // 2), v, np.zeros(median // 2)])
-            v = np.median(np.lib.stride_tricks.sliding_window_view(wide, median), axis=1)
-        size = min(window, n if n % 2 else n - 1)
-        size -= 1 - size % 2
-        if size >= poly + 2:
-            weights, half = savgol_weights(size, poly), size // 2
-            inner = np.lib.stride_tricks.sliding_window_view(v, size) @ weights[half]
-            v = np.concatenate([weights[:half] @ v[:size], inner, weights[half + 1 :] @ v[n - size :]])
-        return part.assign(**{out: v})
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
-    return df.groupBy(*keys).applyInPandas(smooth, f"{kinds}, `{out}` double")
+    out, reach = f"{value}_smooth", median // 2 + window - 1
+    rows = numbered(df.withColumn("__v", F.col(value)), keys, [order], "__i", "__n")
+    halo = with_halo(fill_over_blocks(rows, keys, "__v", block), "__i", reach, reach, block)
+    near = lambda r: Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(-r, r)
+    width = 2 * (median // 2) + 1
+    if width > 1:
+        some = F.collect_list("__v").over(near(width // 2))
+        halo = halo.withColumn("__some", some).withColumn("__v", F.when(F.col("__v").isNotNull(), F.array_sort(F.concat("__some", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("__some"))))[width // 2])).drop("__some")
+    size = F.least(F.lit(window), F.col("__n") - 1 + F.col("__n") % 2).cast("int")
+    size = size - 1 + size % 2
+    first = F.least(F.greatest(F.col("__i") - F.floor(F.col("__size") / 2), F.lit(0)), F.col("__n") - F.col("__size"))
+    halo = halo.withColumns({"__size": size, "__all": F.collect_list("__v").over(near(window - 1))}).where("__own").withColumn("__first", first)
+    halo = halo.withColumns({"__at": (F.col("__i") - F.col("__first")).cast("int"), "__skip": (F.col("__first") - F.greatest(F.lit(0), F.col("__i") - (window - 1))).cast("int")})
+    fits = [(n, i, [float(x) for x in row]) for n in range(1, window + 1, 2) if n >= poly + 2 for i, row in enumerate(savgol_weights(n, poly))]
+    weights = df.sparkSession.createDataFrame(fits or [(0, 0, [0.0])], "__size int, __at int, __w array<double>")
+    both = halo.join(F.broadcast(weights), ["__size", "__at"], "left")
+    fit = F.aggregate(F.zip_with(F.slice("__all", F.col("__skip") + 1, F.greatest(F.col("__size"), F.lit(1))), "__w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.when(F.col("__w").isNull() | F.col("__v").isNull(), F.col("__v")).otherwise(fit).alias(out))
+
+
+def gaussian_smooth(df: DataFrame, keys: list[str], order: str, value: str, sigma: float, out: str = "smooth", block: int = BLOCK) -> DataFrame:
+    """df with index, n and the Gaussian mean over four sigma on both sides, ends mirrored; null and NaN are 0. In blocks with their neighbours."""
+    r = max(1, int(4 * sigma + 0.5))
+    kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    v = F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    halo = with_halo(numbered(df.withColumn("__v", v), keys, [order]), "index", r, r, block)
+    halo = halo.withColumn("__all", F.collect_list("__v").over(Window.partitionBy(*keys, "__block").orderBy("index").rowsBetween(-r, r))).where("__own")
+    mirrored = "cast(least(pmod(index + k - {r}, 2 * n), 2 * n - 1 - pmod(index + k - {r}, 2 * n)) - greatest(0, index - {r}) as int)".format(r=r)
+    weights = F.array(*[F.lit(float(w)) for w in kernel / kernel.sum()])
+    total = F.expr(f"aggregate(transform(__w, (w, k) -> w * __all[{mirrored}]), 0D, (a, x) -> a + x)")
+    return halo.withColumn("__w", weights).withColumn(out, total).drop("__v", "__block", "__own", "__all", "__w")
 
 
 def quaternion_unwrap(df: DataFrame, keys: list[str], order: str, quat: str) -> DataFrame:
@@ -476,41 +513,76 @@ def rate_limit(df: DataFrame, keys: list[str], order: str, value: str, step_limi
     return dealt.sortWithinPartitions(*keys, order, "__x").mapInArrow(run, f"{kinds}, limited double")
 
 
-def find_episodes(df: DataFrame, keys: list[str], order: str, value: str, sigma: float = 2.0, distance: int = 5, prominence: float = 0.1, most: int = 10) -> DataFrame:
-    """keys, episode, start_frame, end_frame, peak: Gaussian smoothing (ends mirrored), local maxima `distance` apart at least and `prominence` above their surroundings, the
-    `most` most prominent ones, parted halfway between neighbours. One partition is one task's work."""
-
-    def find(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        t, v = part[order].to_numpy(), part[value].fillna(0).to_numpy(float)
-        radius = max(1, int(4 * sigma + 0.5))
-        kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-        smooth = np.convolve(np.pad(v, radius, mode="symmetric"), kernel / kernel.sum(), mode="valid")
-        peaks = [i for i in range(1, len(smooth) - 1) if smooth[i - 1] < smooth[i] >= smooth[i + 1]]
-        kept: list[int] = []
-        for i in sorted(peaks, key=lambda i: (-smooth[i], i)):
-            if all(abs(i - j) >= distance for j in kept):
-                kept.append(i)
-
-        def rise(i: int) -> float:
-            left, right = i, i
-            while left > 0 and smooth[left - 1] <= smooth[i]:
-                left -= 1
-            while right + 1 < len(smooth) and smooth[right + 1] <= smooth[i]:
-                right += 1
-            return smooth[i] - max(smooth[left : i + 1].min(), smooth[i : right + 1].min())
-
-        good = sorted((i for i in kept if rise(i) >= prominence), key=lambda i: (-rise(i), i))[:most]
-        good.sort()
+def far_apart(at: list[int], height: list[float], distance: int) -> list[bool]:
+    """Which peaks stay when, from the highest down (of equal ones the later first), each takes out those less than `distance` away."""
+    keep = [True] * len(at)
+    for i in sorted(range(len(at)), key=lambda i: (height[i], i), reverse=True):
+        if keep[i]:
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(at) and abs(at[j] - at[i]) < distance:
+                    keep[j] = False
+                    j += step
+    return keep
+
+
+def prominences(height: list[float], low: list[float]) -> list[float]:
+    """Height of each peak over the higher of its two bases; low[k] is the least value between peak k - 1 and peak k. A stack of falling heights: each peak goes in and out once."""
+
+    def base(heights, lows):
+        out, stack = [], []
+        for h, m in zip(heights, lows, strict=True):
+            while stack and stack[-1][0] <= h:
+                m = min(m, stack.pop()[1])
+            stack.append((h, m))
+            out.append(m)
+        return out
+
+    left, right = base(height, low[:-1]), base(height[::-1], low[:0:-1])[::-1]
+    return [h - max(a, b) for h, a, b in zip(height, left, right, strict=True)]
+
+
+def find_episodes(df: DataFrame, keys: list[str], order: str, value: str, sigma: float = 2.0, distance: int = 5, prominence: float = 0.1, most: int = 10, valid: str | None = None, block: int = BLOCK) -> DataFrame:
+    """keys, episode, start_frame, end_frame, peak: Gaussian smoothing (ends mirrored), local maxima (the middle of a flat top) `distance` apart at least and `prominence` above
+    their surroundings, those at rows that aren't valid left out, the `most` most prominent ones, parted halfway between neighbours.
+
+    Smoothing goes in blocks with their neighbours. What a key's task then holds is its peaks and the valleys between them, not its rows; the work on these is linear but
+    for one sort.
+    """
+    w = over(keys, "index")
+    kept = gaussian_smooth(df.select(*keys, F.col(order).cast("long").alias("__t"), F.col(value).alias("__x"), (F.col(valid) if valid else F.lit(True)).alias("__ok")), keys, "__t", "__x", sigma, block=block)
+    starts = kept.withColumn("__new", ~F.col("smooth").eqNullSafe(F.lag("smooth").over(w)))
+    # a flat run by its first row; its middle row is its place
+    runs = starts.where("__new").withColumns({"__up": F.lag("smooth").over(w) < F.col("smooth"), "__down": F.lead("smooth").over(w) < F.col("smooth"), "__end": F.coalesce(F.lead("index").over(w), F.col("n")) - 1})
+    runs = runs.withColumn("__peak", F.coalesce(F.col("__up") & F.col("__down"), F.lit(False))).withColumn("__at", F.floor((F.col("index") + F.col("__end")) / 2))
+    runs = runs.withColumn("__k", F.sum(F.col("__peak").cast("long")).over(up_to(keys, "index")))
+    sides = runs.groupBy(*keys, "__k").agg(F.max(F.when(F.col("__peak"), F.col("__at"))).alias("at"), F.max(F.when(F.col("__peak"), F.col("smooth"))).alias("height"), F.min(F.when(~F.col("__peak"), F.col("smooth"))).alias("low"))
+    # frames by row number: of the peaks, and of the key's ends
+    spots = kept.select(*keys, "index", "n", "__t", "__ok")
+    sides = join_same(sides, spots.select(*keys, F.col("index").alias("at"), F.col("__ok").alias("ok")), [*keys, "at"], "left")
+    names = [f"k{i}" for i in range(len(keys))]
+    kind = ", ".join([*(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True)), "episode int, first long, last long, peak_at long"])
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__k")
+        low, peaks = part["low"].tolist(), part[part["__k"] > 0]
+        at, height, ok = peaks["at"].astype(int).tolist(), peaks["height"].tolist(), peaks["ok"].tolist()
+        rise = prominences(height, low) if at else []
+        good = [i for i, far in enumerate(far_apart(at, height, distance)) if far and rise[i] >= prominence and ok[i]]
+        good = sorted(sorted(good, key=lambda i: (rise[i], i), reverse=True)[:most])
         rows = []
         for k, i in enumerate(good):
-            a = t[(good[k - 1] + i) // 2 + 1] if k else t[0]
-            b = t[(i + good[k + 1]) // 2] if k + 1 < len(good) else t[-1]
-            rows.append((*part[keys].iloc[0], k, int(a), int(b), int(t[i])))
-        return pd.DataFrame(rows, columns=[*keys, "episode", "start_frame", "end_frame", "peak"])
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(find, f"{kinds}, episode int, start_frame long, end_frame long, peak long")
+            a = (at[good[k - 1]] + at[i]) // 2 + 1 if k else 0
+            b = (at[i] + at[good[k + 1]]) // 2 if k + 1 < len(good) else -1
+            rows.append((*part[keys].iloc[0], k, a, b, at[i]))
+        return pd.DataFrame(rows, columns=[*names, "episode", "first", "last", "peak_at"])
+
+    found = sides.groupBy(*keys).applyInPandas(choose, kind).withColumnsRenamed(dict(zip(names, keys, strict=True)))
+    asked = found.select(*keys, "episode", F.explode(F.map_from_arrays(F.array(F.lit("start_frame"), F.lit("end_frame"), F.lit("peak")), F.array("first", "last", "peak_at"))).alias("what", "index"))
+    at = spots.select(*keys, "index", "__t").unionByName(spots.where("index = n - 1").select(*keys, F.lit(-1).cast("long").alias("index"), "__t"))
+    named = join_same(asked, at, [*keys, "index"])
+    pick = lambda what: F.max(F.when(F.col("what") == what, F.col("__t"))).alias(what)
+    return named.groupBy(*keys, "episode").agg(pick("start_frame"), pick("end_frame"), pick("peak"))
 
 
 def bridge_mask_gaps(mask: DataFrame, max_gap: int, radius: int, eligible: DataFrame | None = None) -> DataFrame:

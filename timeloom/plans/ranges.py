@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timeloom.plans.scratch import cut
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equal in all names, null meeting null."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of right where all names agree, null meeting null; right may come from left."""
+    own = right.select(*[F.col(f"`{n}`").alias(f"__same {n}") for n in names], *[F.col(f"`{c}`") for c in right.columns if c not in names])
+    equal = reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.col(f"`__same {n}`")) for n in names])
+    return left.join(own, equal, how).drop(*[f"__same {n}" for n in names])
 
 
 def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -31,8 +33,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], index: str = "ind
     w = Window.partitionBy(*keys).orderBy("__part")
     before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(*keys, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__rows"))
-    both = placed.join(starts, same(placed, starts, [*keys, "__part"]))
-    return both.select(*[placed[c] for c in df.columns], (placed["__at"] + starts["__shift"]).alias(index), starts["__rows"].alias(n))
+    both = join_same(placed, starts, [*keys, "__part"])
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") + F.col("__shift")).alias(index), F.col("__rows").alias(n))
 
 
 def with_halo(df: DataFrame, index: str, before: int, after: int, block: int) -> DataFrame:

@@ -124,7 +124,12 @@ SWEEP = " UNION ALL ".join(
     f"SELECT {r} AS radius, user_id, frame, gt, pred, gt >= 0 AND coalesce(min(CASE WHEN gt >= 0 THEN gt END) OVER w <> max(CASE WHEN gt >= 0 THEN gt END) OVER w, false) AS amb, gt >= 0 AND list_contains(list(gt) FILTER (gt >= 0) OVER w, pred) AS ok FROM f WINDOW w AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
     for r in (0, 1, 2, 4)
 )
+FITS = ", ".join(f"({n}, {i}, {j}, {float(w)!r})" for n in (5, 7) for i, row in enumerate(sequence.savgol_weights(n, 2)) for j, w in enumerate(row))
 SQL = {
+    "savgol_smooth": f"""WITH {NEAR}, g AS (SELECT user_id, frame, n, CASE WHEN value IS NOT NULL THEN value WHEN pt IS NOT NULL AND nt IS NOT NULL THEN pv + (nv - pv) * (frame - pt) / (nt - pt) ELSE coalesce(pv, nv) END AS v, count(*) OVER (PARTITION BY user_id) AS rows FROM p),
+m AS (SELECT user_id, frame, rows, CASE WHEN v IS NOT NULL THEN list_sort([coalesce(lag(v) OVER w, 0), v, coalesce(lead(v) OVER w, 0)])[2] END AS v, CASE WHEN rows >= 7 THEN 7 WHEN rows >= 5 THEN 5 ELSE 1 END AS size FROM g WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+s AS (SELECT *, least(greatest(frame - size // 2, 0), rows - size) AS first FROM m), fits(size, i, j, w) AS (VALUES {FITS})
+SELECT s.user_id, s.frame, round(coalesce(sum(fits.w * b.v), any_value(s.v)), 6) AS value_smooth FROM s LEFT JOIN fits ON fits.size = s.size AND fits.i = s.frame - s.first LEFT JOIN m b ON b.user_id = s.user_id AND b.frame = s.first + fits.j GROUP BY s.user_id, s.frame""",
     "moving_average": f"""WITH {FRAMES}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER (PARTITION BY user_id ORDER BY frame) AS fv,
   first_value(value) OVER (PARTITION BY user_id ORDER BY frame DESC) AS lv FROM f)
 SELECT user_id, frame, round((sum(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(0, 2 - frame) * fv + greatest(0, 2 - (n - 1 - frame)) * lv) / 5, 6) AS value_smooth FROM c""",
