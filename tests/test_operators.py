@@ -1,6 +1,7 @@
 """Hand-made cases of the operators: exact expectations, faults that must be found, and twins that must agree."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,17 +148,22 @@ def test_offset_join_fills_the_ends(spark):
         assert [r[1] for r in rows(joins.offset_join(f.select("k", "t"), f, o, ["k"], "t", "x", "y", fill=0.0), "t", "y")] == want
 
 
-def test_rotation_at_the_seam(spark):
-    far = 2 * math.pi - 3.13
-    df = spark.createDataFrame([(3.13, 0.0, 0.0), (-far, 0.0, 0.0), (0.0, 0.0, 0.0)], "x double, y double, z double")
-    a, b, c = (r[0] for r in df.select(S.axis_angle_to_rot6d(F.col("x"), F.col("y"), F.col("z"), F.lit(True))).collect())
-    assert all(abs(p - q) < 1e-6 for p, q in zip(a, b, strict=True)) and c == [1, 0, 0, 0, 1, 0]
+def test_a_turn_and_the_turn_back_around_it_are_one_rotation(spark):
+    """Around (0.6, 0.8, 0) by w, and around the opposite axis by 2 pi - w: the first two columns of Rodrigues' matrix."""
+    w = 2.5
+    s, c = math.sin(w), math.cos(w)
+    want = [c + 0.36 * (1 - c), 0.48 * (1 - c), -0.8 * s, 0.48 * (1 - c), c + 0.64 * (1 - c), 0.6 * s]
+    turns = [(0.6 * w, 0.8 * w, 0.0), (-0.6 * (2 * math.pi - w), -0.8 * (2 * math.pi - w), 0.0)]
+    df = spark.createDataFrame(turns, "x double, y double, z double")
+    for r in df.select(S.axis_angle_to_rot6d(F.col("x"), F.col("y"), F.col("z"), F.lit(True)).alias("m")).collect():
+        assert all(abs(p - q) < 1e-9 for p, q in zip(sorted(r["m"]), sorted(want), strict=True))
 
 
-def test_robust_location_trims_and_gives_up_on_few(spark):
-    df = spark.createDataFrame([("g", 0.80)] * 20 + [("g", 0.05), ("g", 4.50), ("g", None), ("h", 1.0)], "k string, v double")
-    got = {r["k"]: r["location"] for r in metrics.robust_location(df, ["k"], "v", 0.02, 5.0, 5).collect()}
-    assert got == {"g": 0.80, "h": None}
+def test_robust_location_by_hand(spark):
+    """Of 1 to 11 the quantiles at a tenth are 2 and 10; the middle of what is left is 6, MAD 2, and nothing lies beyond 3.5 * 1.4826 * 2. 90 is out of range."""
+    df = spark.createDataFrame([("g", float(i)) for i in range(1, 12)] + [("g", 90.0), ("g", None), ("few", 3.0), ("few", 4.0)], "k string, v double")
+    got = {r["k"]: (r["location"], r["n_valid"], r["n_inlier"]) for r in metrics.robust_location(df, ["k"], "v", 0.0, 50.0, 4).collect()}
+    assert got == {"g": (6.0, 11, 9), "few": (None, 2, 0)}
 
 
 def test_fused_scores(spark):
@@ -207,10 +213,31 @@ def test_rules_find_planted_faults_only(spark):
         filters.vocabulary(["a", "a"], spark)
 
 
-def test_allocation_is_whole_and_fair():
-    take = sampling.stratified_allocation({"a": 100, "b": 10, "c": 1}, 20, 1)
-    assert sum(take.values()) == 20 and take["c"] == 1 and take["a"] > take["b"]
-    assert sampling.stratified_allocation({"a": 2, "b": 3}, 50) == {"a": 2, "b": 3}
+def test_allocation_is_whole_and_fair(spark):
+    def take(counts, most, least=1):
+        df = spark.createDataFrame(list(counts.items()), "k string, n long")
+        return {r["k"]: r["take"] for r in sampling.stratified_allocation(df, "k", most, least).collect()}
+
+    def by_hand(counts, most, least):
+        own = {k: min(least, n) for k, n in counts.items()}
+        rest, room = max(0, most - sum(own.values())), {k: n - own[k] for k, n in counts.items()}
+        total = sum(room.values())
+        if total <= rest:
+            return counts
+        out = {k: own[k] + rest * room[k] // total for k in counts}
+        short = most - sum(out.values())
+        for k in sorted((k for k in counts if rest * room[k] % total), key=lambda k: (-(rest * room[k] % total), k))[: max(0, short)]:
+            out[k] += 1
+        return out
+
+    got = take({"a": 100, "b": 10, "c": 1}, 20)
+    assert sum(got.values()) == 20 and got["c"] == 1 and got["a"] > got["b"]
+    assert take({"a": 2, "b": 3}, 50) == {"a": 2, "b": 3}
+    many = {f"s{i:02}": 1 + i * i % 37 for i in range(40)}
+    assert take(many, 133, 2) == by_hand(many, 133, 2)
+    assert take(many, 10, 2) == by_hand(many, 10, 2)  # `least` of each is more than there is room for
+    out = sampling.stratified_cap(spark.createDataFrame([(k, i) for k, n in (("a", 9), (None, 4)) for i in range(n)], "k string, i int"), "k", "i", 6)
+    assert sorted((str(r["k"]), r["i"]) for r in out.collect()) == [("None", 0), ("None", 3), ("a", 0), ("a", 3), ("a", 6), ("a", 8)]
 
 
 def test_results_dont_depend_on_partitions(spark):
@@ -323,8 +350,63 @@ def test_pooled_edit_score_joins_runs_across_recordings(spark):
     e = spark.createDataFrame([("a", 0, 1, 1), ("a", 1, 2, 1), ("b", 0, 2, 3), ("b", 1, 2, 3)], "k string, t long, p int, q int")
     r = metrics.pooled_edit_score(e, ["k"], "t", "p", "q").first()
     assert (r["runs_a"], r["runs_b"], r["edit_score"]) == (2, 2, 50.0)
-    with pytest.raises(ValueError):
-        metrics.pooled_edit_score(e, ["k"], "t", "p", "q", most=1)
+    for tile in (1, 2, 64):
+        rng = random.Random(tile)
+        long = [(k, i, rng.randrange(4), rng.choice([None, 0, 1, 2, 3])) for k in "abc" for i in range(30 if tile > 1 else 4)]
+        text = ["".join(str(x) for k, x in enumerate(side) if not k or x != side[k - 1]) for side in ([r[2] for r in long], [r[3] for r in long if r[3] is not None])]
+        r = metrics.pooled_edit_score(spark.createDataFrame(long, "k string, t long, p int, q int"), ["k"], "t", "p", "q", 16 if tile == 64 else tile * 6).first()
+        far = list(range(len(text[1]) + 1))
+        for i, x in enumerate(text[0], 1):
+            far, before = [i], far
+            for j, y in enumerate(text[1], 1):
+                far.append(min(far[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        assert (r["runs_a"], r["runs_b"]) == (len(text[0]), len(text[1])) and abs(r["edit_score"] - 100 * (1 - far[-1] / max(map(len, text)))) < 1e-9
+
+
+def test_histogram_of_one_value_and_exact_quantiles(spark):
+    df = spark.createDataFrame([(4.0,)] * 3 + [(None,), (float("nan"),)], "x double")
+    assert metrics.value_range(df, "x") == (4.0, 4.0)
+    assert [tuple(r) for r in metrics.histogram(df, [], "x", 4.0, 4.0, 10).collect()] == [(5, 3)]
+    assert metrics.value_range(df.where("false"), "x") == (0.0, 0.0)
+    many = spark.createDataFrame([(float(i * i % 101),) for i in range(200)], "x double").repartition(7)
+    want = many.agg(F.percentile("x", [0.0, 0.33, 0.5, 1.0])).first()[0]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(metrics.quantiles(many, "x", (0.0, 0.33, 0.5, 1.0)), want, strict=True))
+
+
+def test_points_between_pixels(spark):
+    pixels = spark.createDataFrame([("a", y, x, 10.0 * y + x) for y in range(3) for x in range(4) if (y, x) != (2, 3)] + [(None, y, x, 1.0) for y in (0, 1) for x in (0, 1)], "k string, y int, x int, v double")
+    points = spark.createDataFrame([("a", 0, 1.25, 0.5), ("a", 1, -3.0, 0.0), ("a", 2, 9.0, 9.0), ("a", 3, None, 1.0), ("b", 4, 0.0, 0.0), (None, 5, 0.5, 0.5), ("a", 6, 1.25, 0.5)], "k string, id int, u double, v double")
+    got = {r["id"]: r["sample"] for r in metrics.bilinear_sample(pixels, points, ["k"], 4, 3).collect()}
+    assert {i: None if x is None else round(x, 9) for i, x in got.items()} == {0: 6.25, 1: 0.0, 2: None, 3: None, 4: None, 5: 1.0, 6: 6.25}
+
+
+@pytest.mark.parametrize(("tile", "most_edges"), [(1024, 1 << 20), (3, 4)])
+def test_components_within_and_across_tiles(spark, tile, most_edges):
+    rng = random.Random(tile)
+    on = {(k, y, x) for k in ("f", None) for y in range(14) for x in range(11) if rng.random() < 0.45}
+    got = {(r["k"], r["y"], r["x"]): r["component"] for r in graph.pixel_components(spark.createDataFrame(sorted(on, key=str), "k string, y int, x int"), ["k"], 11, tile).collect()}
+
+    def flood(nodes, near):
+        name = {}
+        for n in sorted(nodes, key=lambda n: (str(n[0]), *n[1:])):
+            todo = [n] if n not in name else []
+            while todo:
+                m = todo.pop()
+                if m not in name:
+                    name[m] = n
+                    todo += [o for o in near(m) if o in nodes]
+        return name
+
+    want = flood(on, lambda m: [(m[0], m[1] + dy, m[2] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    assert got == {n: c[1] * 11 + c[2] for n, c in want.items()}
+    edges = [(k, rng.randrange(40), rng.randrange(40)) for k in ("m", "n", None) for _ in range(30)]
+    nodes = {(k, i) for k in ("m", "n", None, "lone") for i in range(40) if i % 7}
+    touching = {}
+    for k, a, b in edges:
+        touching.setdefault((k, a), []).append((k, b)), touching.setdefault((k, b), []).append((k, a))
+    out = graph.components(spark.createDataFrame(edges, "k string, a int, b int"), spark.createDataFrame(sorted(nodes, key=str), "k string, node int"), ["k"], most_edges)
+    want = flood(nodes, lambda m: touching.get(m, []))
+    assert {(r["k"], r["node"]): r["component"] for r in out.collect()} == {n: c[1] for n, c in want.items()}
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timeloom.operators.sequence import boundary_ambiguous, over, run_length_segments, tolerant_correct
+from timeloom.plans.ranges import join_same, numbered
+from timeloom.plans.scratch import cut
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -350,15 +352,31 @@ def estimated_fps(df: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
-    """keys, bin (0 ..), n of values within [low, high]."""
+    """keys, bin (0 ..), n of values within [low, high]. Where both are equal, bins reach half a unit to either side."""
+    if low == high:
+        low, high = low - 0.5, high + 0.5
     b = F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
     return df.where(F.col(value).between(low, high)).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> list[float]:
+    """Exact quantiles, linear between neighbours, by selection of ranks: values are numbered over ranges, and two rows a quantile come to the driver. Null and NaN don't count; no values, no quantiles."""
+    v = F.col(value).cast("double")
+    rows = numbered(df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("__v"), F.lit(0).alias("__one")), ["__one"], ["__v"], "__i", "__n")
+    spots = F.array(*[x for q in shares for x in (F.floor(q * (F.col("__n") - 1)), F.ceil(q * (F.col("__n") - 1)))])
+    found = rows.where(F.array_contains(spots, F.col("__i"))).select("__i", "__n", "__v").collect()
+    at = {r["__i"]: r["__v"] for r in found}
+    out = []
+    for q in shares if found else ():
+        place = q * (found[0]["__n"] - 1)
+        a, b = at[int(np.floor(place))], at[int(np.ceil(place))]
+        out.append(a if a == b else a + (b - a) * (place - np.floor(place)))
+    return out
+
+
 def value_range(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> tuple[float, float]:
     """Global quantiles, for histogram(): two numbers."""
-    q = df.agg(F.percentile(value, [low, high]).alias("q")).first()["q"]
-    return tuple(q) if q else (0.0, 0.0)
+    return tuple(quantiles(df, value, (low, high))) or (0.0, 0.0)
 
 
 def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], frame: str, value: str, most: int, least: int = 3) -> DataFrame:
@@ -456,18 +474,87 @@ def edit_score(df: DataFrame, keys: list[str], order: str, a: str, b: str) -> Da
     return both.select(*keys, F.length("__a").alias("runs_a"), F.length("__b").alias("runs_b"), (100 * (1 - F.levenshtein("__a", "__b") / longest)).alias("edit_score"))
 
 
-def pooled_edit_score(df: DataFrame, keys: list[str], order: str, a: str, b: str, most: int = 50_000) -> DataFrame:
-    """runs_a, runs_b, edit_score of all recordings as one sequence, in the order of keys. Runs are made recording by recording; only these come together, and more than `most` of them are an error, as the distance takes the square of them."""
+def edit_tile(a: np.ndarray, b: np.ndarray, up: int, down: int, top: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """One tile of the table of edit distances between codes a (rows) and b (columns), by bits: up, down: rows whose step along the left side is +1 or -1; top: the steps along
+    the upper side. Gives the same along the right and the lower side."""
+    full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    where: dict[int, int] = {}
+    for code in np.unique(a).tolist():
+        where[code] = int.from_bytes(np.packbits(a == code, bitorder="little").tobytes(), "little")
+    low = np.empty(len(b), np.int8)
+    for j, (code, step) in enumerate(zip(b.tolist(), top.tolist(), strict=True)):
+        same_ = where.get(code, 0)
+        vertical = same_ | down
+        if step < 0:
+            same_ |= 1
+        across = (((same_ & up) + up) ^ up) | same_
+        plus, minus = (down | ~(across | up)) & full, up & across & full
+        low[j] = 1 if plus & high else -1 if minus & high else 0
+        plus, minus = plus << 1 & full | (step > 0), minus << 1 & full | (step < 0)
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
+    return up, down, low
+
+
+def _edit_tiles(batches):
+    size = lambda raw: np.frombuffer(raw, "<i8")
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = batch.slice(k, 1).to_pylist()[0]
+            a, b = size(r["a"]), size(r["b"])
+            wide = -(-len(a) // 8)
+            up = (1 << len(a)) - 1 if r["up"] is None else int.from_bytes(r["up"], "little")
+            down = 0 if r["down"] is None else int.from_bytes(r["down"], "little")
+            top = np.ones(len(b), np.int8) if r["top"] is None else np.frombuffer(r["top"], np.int8)
+            up, down, low = edit_tile(a, b, up, down, top)
+            yield pa.RecordBatch.from_pydict({"i": [r["i"]], "j": [r["j"]], "up": [up.to_bytes(wide, "little")], "down": [down.to_bytes(wide, "little")], "low": [low.tobytes()], "step": [int(low.sum())]}, schema=pa.schema([("i", pa.int64()), ("j", pa.int64()), ("up", pa.binary()), ("down", pa.binary()), ("low", pa.binary()), ("step", pa.int64())]))
+
+
+def _packed_codes(codes: DataFrame, tile: int, name: str, part: str) -> DataFrame:
+    """part, name: codes (index, code) in rows of `tile` of them."""
+
+    def pack(table):
+        table = table.sort_by("index")
+        return pa.table({"part": [table.column("part")[0].as_py()], "codes": [np.asarray(table.column("code")).astype("<i8").tobytes()]}, schema=pa.schema([("part", pa.int64()), ("codes", pa.binary())]))
+
+    split = codes.select("index", F.col("code").cast("long").alias("code"), F.floor(F.col("index") / tile).alias("part"))
+    return cut(split.groupBy("part").applyInArrow(pack, "part long, codes binary").select(F.col("part").alias(part), F.col("codes").alias(name)))
+
+
+def sequence_distance(a: DataFrame, b: DataFrame, tile: int = 1 << 15) -> tuple[int, int, int]:
+    """Lengths and edit distance of two sequences (index, code) of any length, exact. The table of distances is cut into tiles; those of one diagonal need only the tiles
+    before them and go side by side, a round a diagonal. A tile hands on the steps along its sides, so no task holds more than `tile` rows and columns."""
+    n, m = a.count(), b.count()
+    if not n or not m:
+        return n, m, max(n, m)
+    rows, columns = _packed_codes(a, tile, "a", "i"), _packed_codes(b, tile, "b", "j")
+    last_i, last_j, low, done = (n - 1) // tile, (m - 1) // tile, 0, None
+    for d in range(last_i + last_j + 1):
+        here = rows.join(columns.withColumn("i", F.lit(d) - F.col("j")), "i").select("i", "j", "a", "b")
+        if done is None:
+            ready = here.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("up", "down", "top")])
+        else:
+            ready = here.join(done.select("i", (F.col("j") + 1).alias("j"), "up", "down"), ["i", "j"], "left").join(done.select((F.col("i") + 1).alias("i"), "j", F.col("low").alias("top")), ["i", "j"], "left")
+        done = cut(ready.repartition(max(1, min(last_i, last_j) + 1)).mapInArrow(_edit_tiles, "i long, j long, up binary, down binary, low binary, step long"))
+        low += done.where(F.col("i") == last_i).agg(F.sum("step")).first()[0] or 0
+    return n, m, n + low
+
+
+def pooled_edit_score(df: DataFrame, keys: list[str], order: str, a: str, b: str, tile: int = 1 << 15) -> DataFrame:
+    """runs_a, runs_b, edit_score of all recordings as one sequence, in the order of keys. Runs are made recording by recording and numbered over ranges; runs that meet with one
+    label where recordings do are one. The distance takes the square of the runs as work, but in tiles over all tasks: see sequence_distance()."""
 
     def runs(c: str) -> DataFrame:
-        return run_length_segments(df.where(F.col(c).isNotNull()), keys, order, c).select(*keys, "run", "label")
+        own = run_length_segments(df.where(F.col(c).isNotNull()), keys, order, c).select(*keys, "run", F.struct("label").alias("__label"), F.lit(0).alias("__one"))
+        placed = numbered(own, ["__one"], [*keys, "run"]).select("__one", "index", "__label")
+        placed = join_same(placed, placed.select((F.col("index") + 1).alias("index"), F.col("__label").alias("__before")), ["index"], "left")
+        new = placed.where(~F.col("__label").eqNullSafe(F.col("__before"))).select("__one", F.col("index").alias("__at"), "__label")
+        return cut(numbered(new, ["__one"], ["__at"]).select("index", "__label"))
 
     sides = [runs(a), runs(b)]
-    count = [side.count() for side in sides]
-    if max(count) > most:
-        raise ValueError(f"{max(count)} runs are too many for one edit distance; take edit_score of each recording")
-    flat = [side.withColumn("position", F.row_number().over(Window.orderBy(*keys, "run"))).select("position", F.col("label").alias(name)) for side, name in zip(sides, ("a", "b"), strict=True)]
-    return edit_score(flat[0].join(flat[1], "position", "full_outer").withColumn("all", F.lit(0)), ["all"], "position", "a", "b").drop("all")
+    names = sides[0].select("__label").unionByName(sides[1].select("__label")).distinct().withColumn("__one", F.lit(0))
+    codes = cut(numbered(names, ["__one"], ["__label"]).select("__label", F.col("index").alias("code")))
+    n, m, distance = sequence_distance(*[join_same(side, codes, ["__label"]).select("index", "code") for side in sides], tile)
+    return df.sparkSession.createDataFrame([(n, m, 100 * (1 - distance / max(n, m, 1)))], "runs_a int, runs_b int, edit_score double")
 
 
 def segment_f1(matches: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -527,3 +614,18 @@ def cleanest_plate(pixels: DataFrame, keys: list[str], valid: str) -> DataFrame:
     score = lum - 1.25 * (F.greatest("r", "g", "b") - F.least("r", "g", "b"))
     best = pixels.where(F.col(valid)).groupBy(*keys, "y", "x").agg(F.max(F.struct(score.alias("s"), (-F.col("frame")).alias("f"), "r", "g", "b")).alias("p"))
     return best.select(*keys, "y", "x", "p.r", "p.g", "p.b")
+
+
+def bilinear_sample(pixels: DataFrame, points: DataFrame, keys: list[str], width: int, height: int, value: str = "v") -> DataFrame:
+    """points (keys, u, v, any other columns) with sample: the image pixels (keys, y, x, value) around each, weighted. Points are held within the image, a thousandth of a pixel
+    short of its last row and column. A point whose four pixels aren't all there, or without coordinates, has a null sample."""
+    held = lambda c, size: F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.lit(size - 1.001))
+    spots = points.withColumns({"__point": F.monotonically_increasing_id(), "__u": F.when(F.col("u").isNotNull(), held("u", width)), "__v": F.when(F.col("v").isNotNull(), held("v", height))})
+    spots = cut(spots)  # the numbers name points from here on
+    left, top = F.floor("__u"), F.floor("__v")
+    du, dv = F.col("__u") - left, F.col("__v") - top
+    corners = F.array(*[F.struct((top + y).alias("__y"), (left + x).alias("__x"), ((dv if y else 1 - dv) * (du if x else 1 - du)).alias("__w")) for y in (0, 1) for x in (0, 1)])
+    asked = spots.select("__point", *keys, F.explode(corners).alias("c")).select("__point", *keys, "c.__y", "c.__x", "c.__w")
+    image = pixels.select(*keys, F.col("y").cast("long").alias("__y"), F.col("x").cast("long").alias("__x"), F.col(value).cast("double").alias("__value"))
+    hit = join_same(asked, image, [*keys, "__y", "__x"]).groupBy("__point").agg(F.count("__value").alias("__n"), F.sum(F.col("__w") * F.col("__value")).alias("__s"))
+    return spots.join(hit, "__point", "left").select(*[F.col(f"`{c}`") for c in points.columns], F.when(F.col("__n") == 4, F.col("__s")).alias("sample"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timeloom.functions.scalars import natural_key
+from timeloom.plans.ranges import join_same, numbered
 
 
 def natural_sort(df: DataFrame, name: str) -> DataFrame:
@@ -52,19 +53,22 @@ def balanced_cap(df: DataFrame, label: str, key: str, epoch: int, cap: str | int
     return kept.drop("__k", "__cap").withColumnRenamed("__h", "position")
 
 
-def stratified_allocation(counts: dict, most: int, least: int = 1) -> dict:
-    """How many rows of each stratum: `least` (or all), the rest in proportion to what is left, by floor and largest remainder. counts is a finished small aggregate."""
-    take = {k: min(least, n) for k, n in counts.items()}
-    rest = max(0, most - sum(take.values()))
-    room = {k: n - take[k] for k, n in counts.items()}
-    total = sum(room.values())
-    if total <= rest:
-        return dict(counts)
-    share = {k: rest * r / total for k, r in room.items()}
-    take = {k: take[k] + int(share[k]) for k in counts}
-    for k in sorted(counts, key=lambda k: (-(share[k] - int(share[k])), str(k)))[: max(0, most - sum(take.values()))]:
-        take[k] += 1
-    return take
+def stratified_allocation(counts: DataFrame, stratum: str, most: int, least: int = 1) -> DataFrame:
+    """counts (stratum, n) with take: `least` rows of each stratum (or all), the rest of `most` in proportion to what is left, by floor and largest remainder (then by name).
+
+    Whole numbers throughout. Strata are ranked over ranges, so they may be many; only their sums, one row, are broadcast.
+    """
+    base = counts.select(stratum, "n", F.least(F.col("n"), F.lit(least)).alias("__own")).withColumn("__room", F.col("n") - F.col("__own"))
+    sums = base.agg(F.sum("__own").alias("__taken"), F.sum("__room").alias("__total"))
+    rest = F.greatest(F.lit(most) - F.col("__taken"), F.lit(0)).cast("decimal(19,0)")
+    product = rest * F.col("__room").cast("decimal(19,0)")
+    total = F.greatest(F.col("__total"), F.lit(1)).cast("decimal(19,0)")
+    left = product % total
+    part = base.join(F.broadcast(sums)).withColumns({"__whole": ((product - left) / total).cast("long"), "__left": left.cast("decimal(38,0)"), "__all": F.col("__total") <= rest, "__less": -left.cast("decimal(38,0)")})
+    ranked = numbered(part.withColumn("__one", F.lit(0)), ["__one"], ["__less", stratum], "__rank", "__n")
+    given = ranked.agg(F.sum(F.col("__own") + F.col("__whole")).alias("__given"))
+    more = (F.col("__rank") < most - F.col("__given")) & (F.col("__left") > 0)
+    return ranked.join(F.broadcast(given)).select(stratum, "n", F.when(F.col("__all"), F.col("n")).otherwise(F.col("__own") + F.col("__whole") + more.cast("long")).alias("take"))
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: str, most: int | Column) -> DataFrame:
@@ -78,12 +82,10 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: str, most: int | Column
 
 
 def stratified_cap(df: DataFrame, stratum: str, order: str, most: int, least: int = 1) -> DataFrame:
-    """`most` rows over all strata by stratified_allocation(), evenly spread within each."""
-    counts = {r[stratum]: r["n"] for r in df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
-    take = stratified_allocation(counts, most, least)
-    if not take:
-        return df
-    return evenly_spaced(df, [stratum], order, F.element_at(F.create_map(*[F.lit(x) for kv in take.items() for x in kv]), F.col(stratum)))
+    """`most` rows over all strata by stratified_allocation(), evenly spread within each; a null stratum is one of them."""
+    take = stratified_allocation(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")), stratum, most, least)
+    asked = join_same(df, take.select(stratum, F.col("take").alias("__take")), [stratum])
+    return evenly_spaced(asked, [stratum], order, F.col("__take")).drop("__take")
 
 
 def ordered_split(df: DataFrame, name: str, last: int) -> DataFrame:

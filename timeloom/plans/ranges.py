@@ -21,20 +21,20 @@ def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "i
 def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A written table of df, sorted, with __part (its range, ascending) and __at (ascending over all rows). A number of its own for each row is the last column of the sort,
     so neither a large key nor many equal rows stay in one range."""
-    own = df.withColumn("__own", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
-    placed = own.repartitionByRange(*keys, *order, "__own").sortWithinPartitions(*keys, *order, "__own").drop("__own")
+    own = df.withColumn("__tie_number", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
+    placed = own.repartitionByRange(*keys, *order, "__tie_number").sortWithinPartitions(*keys, *order, "__tie_number").drop("__tie_number")
     return cut(placed.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], index: str = "index", n: str = "n") -> DataFrame:
     """df with index, the number from 0 of each row within its keys by `order`, and n, how many rows its keys have. Each range goes on from where those before it end."""
     placed = in_ranges(df, keys, order)
-    sizes = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    sizes = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__num_n"), F.min("__at").alias("__num_first"))
     w = Window.partitionBy(*keys).orderBy("__part")
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*keys, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__rows"))
+    before = F.coalesce(F.sum("__num_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "__part", (before - F.col("__num_first")).alias("__num_shift"), F.sum("__num_n").over(Window.partitionBy(*keys)).alias("__num_rows"))
     both = join_same(placed, starts, [*keys, "__part"])
-    return both.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") + F.col("__shift")).alias(index), F.col("__rows").alias(n))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") + F.col("__num_shift")).alias(index), F.col("__num_rows").alias(n))
 
 
 def with_halo(df: DataFrame, index: str, before: int, after: int, block: int) -> DataFrame:

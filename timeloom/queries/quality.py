@@ -301,6 +301,11 @@ p AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM
 e AS (SELECT user_id, arg_max(kept, k) AS kept FROM p GROUP BY user_id), u AS (SELECT user_id, unnest(kept) AS frame FROM e) SELECT u.user_id, u.frame, f.value FROM u JOIN f ON f.user_id = u.user_id AND f.frame = u.frame""",
     "balanced_cap": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, lang FROM k WHERE k <= (SELECT floor(quantile_cont(n, 0.5)) FROM n)",
     "evenly_spaced": f"WITH {FRAMES}, n AS (SELECT user_id, frame, count(*) OVER (PARTITION BY user_id) AS n FROM f) SELECT user_id, frame FROM n WHERE n <= 6 OR frame = 0 OR floor(frame * 5 / greatest(n - 1, 1) + 1e-9) > floor((frame - 1) * 5 / greatest(n - 1, 1) + 1e-9)",
+    "stratified_cap": """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), b AS (SELECT *, least(n, 1) AS own, n - least(n, 1) AS room FROM c), t AS (SELECT greatest(90 - sum(own), 0) AS rest, sum(room) AS total FROM b),
+s AS (SELECT b.*, rest, total, (rest * room) // greatest(total, 1) AS whole, (rest * room) % greatest(total, 1) AS part FROM b, t), r AS (SELECT *, row_number() OVER (ORDER BY part DESC, source) - 1 AS k, sum(own + whole) OVER () AS given FROM s),
+take AS (SELECT source, n, CASE WHEN total <= rest THEN n ELSE own + whole + CASE WHEN k < 90 - given AND part > 0 THEN 1 ELSE 0 END END AS take FROM r),
+d AS (SELECT doc_id, d.source, n, take, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) - 1 AS i FROM documents d JOIN take ON take.source = d.source)
+SELECT doc_id, source FROM d WHERE n <= take OR i = 0 OR floor(i * (take - 1) / greatest(n - 1, 1) + 1e-9) > floor((i - 1) * (take - 1) / greatest(n - 1, 1) + 1e-9)""",
     "leave_one_out": "SELECT a.label AS holdout, CASE WHEN a.label = b.label THEN 'validation' ELSE 'train' END AS role, count(*) AS n FROM (SELECT DISTINCT label FROM embeddings) a, embeddings b GROUP BY ALL",
     "next_free_id": "SELECT greatest((SELECT max(page_id) FROM pages), (SELECT max(doc_id) FROM labels), 0) + 1 AS next_id",
     "manifest_upsert": "SELECT c_custkey, round(CASE WHEN c_custkey % 10 = 0 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END, 2) AS c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS updated_at FROM customer",

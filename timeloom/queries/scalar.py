@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timeloom.functions import scalars as S
+from timeloom.operators import metrics
 from timeloom.queries.base import FRAMES, frames, rounded, table
 
 
@@ -123,11 +124,12 @@ def display_labels(spark, d):
 
 
 def bilinear_sample(spark, d):
-    """Each vector as an 8 x 8 image, sampled at (2.25, 4.5): four neighbours by join, weighted."""
-    px = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    q = spark.createDataFrame([(4, 2, 0.375), (4, 3, 0.125), (5, 2, 0.375), (5, 3, 0.125)], "y int, x int, w double")
-    hit = px.join(F.broadcast(q), (F.floor(F.col("i") / 8) == F.col("y")) & (F.col("i") % 8 == F.col("x")))
-    return rounded(hit.groupBy("vec_id").agg(F.sum(F.col("w") * F.col("v")).alias("sample")), "sample")
+    """Each vector as an 8 x 8 image, sampled at three points that its number and label give, the last beyond the edge."""
+    e = table(spark, d, "embeddings")
+    px = e.select("vec_id", F.posexplode("embedding").alias("i", "value")).select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), "value")
+    u, v = (F.col("vec_id") % 29) / 4, (F.col("label") * 3 % 8) * 0.9
+    points = e.select("vec_id", F.posexplode(F.array(F.struct(u.alias("u"), v.alias("v")), F.struct(v.alias("u"), u.alias("v")), F.struct((u + 5).alias("u"), (v - 2).alias("v")))).alias("k", "p")).select("vec_id", "k", "p.u", "p.v")
+    return rounded(metrics.bilinear_sample(px, points, ["vec_id"], 8, 8, "value").select("vec_id", "k", "sample"), "sample")
 
 
 QUERIES = {f.__name__: f for f in (rot6d, axis_angle_round_trip, angles, project_pinhole, unproject_world, brown_conrady, rigid_transforms, time_scalars, text_scalars, stable_seed, box_scalars, fused_scores, confidence_score, vector_scalars, display_labels, bilinear_sample)}
@@ -161,5 +163,7 @@ x AS (SELECT event_id, g * (0.6 * r + 0.4 * s) / (0.6 + 0.4) AS score FROM r) SE
     "vector_scalars": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), e AS (SELECT *, list_transform(v, lambda x: exp(10 * (x - list_max(v)))) AS e FROM v)
 SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS u0, round(1 / list_sum(e), 6) AS top FROM e""",
     "display_labels": "SELECT event_id, CASE event_type WHEN 'click' THEN 'click - pressed' WHEN 'view' THEN 'view - seen' ELSE event_type END AS shown FROM events",
-    "bilinear_sample": "SELECT vec_id, round(0.375 * CAST(embedding[35] AS DOUBLE) + 0.125 * CAST(embedding[36] AS DOUBLE) + 0.375 * CAST(embedding[43] AS DOUBLE) + 0.125 * CAST(embedding[44] AS DOUBLE), 6) + 0.0 AS sample FROM embeddings",
+    "bilinear_sample": """WITH p AS (SELECT vec_id, embedding AS e, (vec_id % 29) / 4 AS a, (label * 3 % 8) * 0.9 AS b FROM embeddings), q AS (SELECT vec_id, e, 0 AS k, a AS u, b AS v FROM p UNION ALL SELECT vec_id, e, 1, b, a FROM p UNION ALL SELECT vec_id, e, 2, a + 5, b - 2 FROM p),
+h AS (SELECT vec_id, k, e, least(greatest(CAST(u AS DOUBLE), 0), 6.999) AS u, least(greatest(CAST(v AS DOUBLE), 0), 6.999) AS v FROM q), f AS (SELECT *, CAST(floor(u) AS BIGINT) AS x, CAST(floor(v) AS BIGINT) AS y, u - floor(u) AS du, v - floor(v) AS dv FROM h)
+SELECT vec_id, k, round((1 - dv) * (1 - du) * CAST(e[y * 8 + x + 1] AS DOUBLE) + (1 - dv) * du * CAST(e[y * 8 + x + 2] AS DOUBLE) + dv * (1 - du) * CAST(e[y * 8 + x + 9] AS DOUBLE) + dv * du * CAST(e[y * 8 + x + 10] AS DOUBLE), 6) + 0.0 AS sample FROM f""",
 }

@@ -114,7 +114,7 @@ def read_frame_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def check_frame_index(records: DataFrame, topics: list[str]) -> DataFrame:
-    """Violations by recording and topic: missing, without records, times that don't rise, or other counts than the recording's first topic."""
+    """Violations by recording and topic: without records, times that don't rise. That data and metadata agree in number is check_topic_counts()."""
     w = Window.partitionBy("recording", "topic").orderBy("source_index")
     step = records.withColumn("bad", F.col("timestamp_s") <= F.lag("timestamp_s").over(w))
     n = step.groupBy("recording", "topic").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("falling"))
