@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from timeloom.plans.ranges import numbered  # noqa: F401
 from timeloom.plans.scratch import cut, scratch_dir  # noqa: F401
 
 #: What separates words: [\x20\x09-\x0D].
@@ -245,19 +245,3 @@ def packed_blocks(docs: DataFrame, total: int, block_bytes: int = 8 << 20, flush
 def unpacked(table: pa.Table) -> pa.Table:
     """The rows of one block. Their order depends on the tasks; nothing may depend on it."""
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("payload").to_pylist()])
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with index, the number from 0 of each row within its keys (not null) by `order`, and n, how many rows its keys have.
-
-    Rows are dealt out by ranges of keys and order, with a number of their own as the last column, so neither a large group nor many equal rows stay in one task. The
-    written table's parts are then counted, and each part's rows go on from where the parts before it end.
-    """
-    own = df.withColumn("__own", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
-    placed = own.repartitionByRange(*keys, *order, "__own").sortWithinPartitions(*keys, *order, "__own").drop("__own")
-    placed = cut(placed.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
-    sizes = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    w = Window.partitionBy(*keys).orderBy("__part")
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*keys, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(Window.partitionBy(*keys)).alias("n"))
-    return placed.join(starts, [*keys, "__part"]).withColumn("index", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
