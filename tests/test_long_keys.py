@@ -132,3 +132,65 @@ def test_peaks_with_flat_tops_and_equal_heights():
         keep, rise = sequence.far_apart(at, height, 3), sequence.prominences(height, low)
         good = [p for p, k, r in zip(at, keep, rise, strict=True) if k and r >= 1]
         assert [3 * p for p in good] == [p for *_, p in brute_episodes(x, 3, 1, 99, [True] * len(x))]
+
+
+# Lag correlation over blocks
+
+
+@pytest.mark.parametrize("block", [4, 16, 4096])
+def test_lag_correlation_over_blocks(spark, block):
+    from timeloom.operators import metrics
+
+    rng = random.Random(block)
+    make = lambda n: [(k, t, rng.choice([None, float("nan")]) if rng.random() < 0.1 else 1000 + rng.random()) for k in ("a", None) for t in range(-5, n) if rng.random() < 0.8] + [("flat", t, 7.0) for t in range(9)] + [("a", 3, 999.5)]
+    x, y = make(60), make(50)
+    got = {(r["k"], r["lag"]): (r["n"], r["correlation"]) for r in metrics.lag_correlation(*[spark.createDataFrame(v, KIND).repartition(3) for v in (x, y)], ["k"], "t", "x", 6, 3, block).collect()}
+    for k in ("a", None, "flat"):
+        for lag in range(-6, 7):
+            pairs = [(p, q) for kx, t, p in x for ky, u, q in y if kx == ky == k and u == t + lag and None not in (p, q) and not math.isnan(p + q)]
+            n, c = got.get((k, lag), (0, None))
+            assert n == len(pairs)
+            if n < 3 or k == "flat":
+                assert c is None
+            else:
+                assert abs(c - np.corrcoef(*zip(*pairs, strict=True))[0, 1]) < 1e-9
+
+
+# Perceptron
+
+
+def test_gradient_is_that_of_the_loss():
+    from timeloom.operators import ml
+
+    rng = np.random.default_rng(3)
+    sizes, x, y = [4, 5, 3], rng.standard_normal((7, 4)), rng.integers(0, 3, 7)
+    flat, w = rng.standard_normal(4 * 5 + 5 + 5 * 3 + 3), np.array([0.5, 2.0, 1.0])
+    g, loss, weight = ml.gradient(ml.unflat(flat, sizes), x, y, w, 0.2)
+    assert abs(weight - w[y].sum()) < 1e-12
+    p = ml.forward(ml.unflat(flat, sizes), x)[1]
+    by_hand = sum(-w[c] * (0.8 * (c == label) + 0.2 / 3) * math.log(p[i, c]) for i, label in enumerate(y) for c in range(3))
+    assert abs(loss - by_hand) < 1e-9
+    for i in range(0, len(flat), 5):
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        up, down = (ml.gradient(ml.unflat(flat + s, sizes), x, y, w, 0.2)[1] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+
+
+def test_class_weights_and_smoothing_change_the_fit(spark):
+    from timeloom.operators import ml
+
+    rng = np.random.default_rng(5)
+    rows = [([float(a), float(b)], int(label)) for label, n, at in ((0, 190, 0.0), (1, 10, 1.2)) for a, b in rng.standard_normal((n, 2)) + at]
+    df = spark.createDataFrame([*rows, (None, 1), ([0.0, 0.0], -1)], "v array<double>, label int").repartition(4)
+    fits = {name: ml.train_perceptron(df, "v", "label", 2, [6], steps=25, **how) for name, how in {"even": {"weights": "none", "smoothing": 0.0}, "weighted": {"smoothing": 0.0}, "smooth": {"weights": "none", "smoothing": 0.3}}.items()}
+    scored = {name: ml.score_perceptron(m, df, "v").collect() for name, m in fits.items()}
+    found = {name: sum(r["prediction"] == 1 for r in out if r["label"] == 1 and r["v"] is not None) for name, out in scored.items()}
+    assert found["weighted"] > found["even"]  # rare classes are found more often
+    sure = {name: np.mean([max(r["p"]) for r in out if r["p"]]) for name, out in scored.items()}
+    assert sure["smooth"] < sure["even"] - 0.02
+    assert all(m.losses[-1] < m.losses[0] for m in fits.values())
+    assert [r["prediction"] for r in scored["even"] if r["v"] is None] == [None]
+    again = ml.train_perceptron(df.repartition(2), "v", "label", 2, [6], steps=3, smoothing=0.0)
+    first = ml.train_perceptron(df, "v", "label", 2, [6], steps=3, smoothing=0.0)
+    assert all(np.allclose(a, b, atol=1e-6) for p, q in zip(again.layers, first.layers, strict=True) for a, b in zip(p, q, strict=True))

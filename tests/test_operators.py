@@ -486,3 +486,9 @@ def test_softmax_and_unit_vectors_of_long_arrays(spark):
     r = df.select(S.softmax(F.col("v")).alias("p"), S.l2_normalize(F.col("v")).alias("u"), S.softmax(F.lit(None).cast("array<double>")).alias("none")).first()
     assert abs(sum(r["p"]) - 1) < 1e-9 and abs(sum(x * x for x in r["u"]) - 1) < 1e-9 and r["none"] is None
     assert r["p"][8] == max(r["p"])
+
+
+def test_interval_labels_of_a_null_key(spark):
+    f = spark.createDataFrame([(k, t) for k in ("a", None) for t in range(4)], "k string, t int")
+    seg = spark.createDataFrame([(None, 1, 2, 7), ("a", 3, 9, 8)], "k string, s int, e int, label int")
+    assert {(r["k"], r["t"]): r["label"] for r in joins.interval_labels(f, seg, ["k"], "t", "s", "e", "label", missing=-1).collect()} == {(k, t): 7 if k is None and 1 <= t <= 2 else 8 if k and t == 3 else -1 for k in ("a", None) for t in range(4)}

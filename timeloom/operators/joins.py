@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from timeloom.functions.scalars import box_iou, normalize_phrase
 from timeloom.operators.sequence import scan
+from timeloom.plans.ranges import join_same
 
 
 class JoinError(ValueError):
@@ -102,14 +103,14 @@ def cells(start: Column, end: Column, width: float) -> Column:
 
 
 def interval_labels(frames: DataFrame, segments: DataFrame, keys: list[str], frame: str, start: str, end: str, label: str, position: str | None = None, missing=None) -> DataFrame:
-    """frames with the label of the segment that covers them (ends included); where several do, the last by position (or start). Uncovered rows get `missing`."""
+    """frames with the label of the segment that covers them (ends included); where several do, the last by position (or start). Uncovered rows get `missing`. A null key is a key like any other."""
     rank = position or start
     width = segment_width(segments, start, end)
     part = segments.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(rank).alias("__rank"), F.col(label).alias("__label"), cells(F.col(start), F.col(end), width).alias("__cell"))
-    key = [F.col(f"f.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("f.__cell") == F.col("s.__cell"), F.col(f"f.{frame}").between(F.col("s.__s"), F.col("s.__e"))]
+    key = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("f.__cell") == F.col("s.__cell"), F.col(f"f.{frame}").between(F.col("s.__s"), F.col("s.__e"))]
     hit = frames.select(*keys, frame, F.floor(F.col(frame) / width).alias("__cell")).distinct().alias("f").join(part.alias("s"), key)
     found = hit.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], F.col(f"f.{frame}").alias(frame)).agg(F.max_by("__label", "__rank").alias("__label"))
-    return frames.join(found, [*keys, frame], "left").withColumn(label, F.coalesce("__label", F.lit(missing)) if missing is not None else F.col("__label")).drop("__label")
+    return join_same(frames, found, [*keys, frame], "left").withColumn(label, F.coalesce("__label", F.lit(missing)) if missing is not None else F.col("__label")).drop("__label")
 
 
 def offset_join(left: DataFrame, right: DataFrame, offsets: DataFrame, keys: list[str], frame: str, value: str, out: str, fill=None, outer: bool = True) -> DataFrame:

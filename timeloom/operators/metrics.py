@@ -379,12 +379,52 @@ def value_range(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99
     return tuple(quantiles(df, value, (low, high))) or (0.0, 0.0)
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], frame: str, value: str, most: int, least: int = 3) -> DataFrame:
-    """keys, lag, n, correlation of a[t] with b[t + lag] for every lag from -most to most; null with fewer than `least` pairs or if a side is constant."""
-    x = a.select(*keys, F.col(frame), F.col(value).alias("x")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    y = b.select(*keys, F.col(frame).alias("__at"), F.col(value).alias("y"))
-    both = x.withColumn("__at", F.col(frame) + F.col("lag")).join(y, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("__c"))
-    return both.select(*keys, "lag", "n", F.when(F.col("n") >= least, F.col("__c")).alias("correlation"))
+def _lags(most: int, block: int):
+    """Of one block of frames: for each lag the moments of all pairs, as six cross-correlations by FFT. A frame is its number of values, their sum and their sum of squares."""
+    size = 1 << int(np.ceil(np.log2(block + 2 * most)))
+
+    def dense(table: pa.Table, start: int, length: int) -> list[np.ndarray]:
+        at, v = np.asarray(table.column("t")) - start, np.asarray(table.column("v"))
+        return [np.bincount(at, w, length) for w in (np.ones(len(v)), v, v * v)]
+
+    def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, start = {n: [] for n in ("lag", "n", "x", "y", "xx", "yy", "xy")}, key[-1].as_py() * block
+        if a.num_rows and b.num_rows:
+            x, y = dense(a, start, block), dense(b, start - most, block + 2 * most)
+            fx, fy = [np.conj(np.fft.rfft(c, size)) for c in x], [np.fft.rfft(c, size) for c in y]
+            pair = lambda i, j: np.fft.irfft(fx[i] * fy[j], size)[: 2 * most + 1]
+            n = np.rint(pair(0, 0))
+            got = {"lag": np.arange(-most, most + 1), "n": n.astype(np.int64), "x": pair(1, 0), "y": pair(0, 1), "xx": pair(2, 0), "yy": pair(0, 2), "xy": pair(1, 1)}
+            rows = {k: v[n > 0] for k, v in got.items()}
+        names = [pa.array([k.as_py()] * len(rows["lag"]), k.type) for k in key[:-1]]
+        return pa.table([*names, *[pa.array(v, pa.int64() if k in ("lag", "n") else pa.float64()) for k, v in rows.items()]], names=[*[f"k{i}" for i in range(len(names))], *rows])
+
+    return run
+
+
+def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], frame: str, value: str, most: int, least: int = 3, block: int = 1 << 14) -> DataFrame:
+    """keys, lag, n, correlation of a[t] with b[t + lag] for every lag from -most to most that has pairs; null with fewer than `least` pairs or if a side is constant. Values
+    that are null or NaN make no pair; frames are whole numbers.
+
+    Blocks of frames of one side meet the same frames and `most` more at each end of the other side, so rows move once or, near a block's ends, twice, whatever `most` is.
+    Values are taken from their key's mean, so that the sums of blocks add up without loss.
+    """
+    block = max(block, 2 * most)
+    plain = lambda df: df.select(*keys, F.col(frame).cast("long").alias("t"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+    def centred(df: DataFrame) -> DataFrame:
+        rows = plain(df).withColumn("__one", F.lit(0))
+        return join_same(rows, rows.groupBy("__one", *keys).agg(F.avg("v").alias("__m")), ["__one", *keys]).select(*keys, "t", (F.col("v") - F.col("__m")).alias("v"))
+
+    at = lambda shift: F.floor((F.col("t") + shift) / block)
+    x, y = centred(a).withColumn("__b", at(0)), centred(b).withColumn("__b", F.explode(F.sequence(at(-most), at(most))))
+    kinds = ", ".join([*(f"k{i} {a.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)), "lag long, n long, x double, y double, xx double, yy double, xy double"])
+    parts = x.groupBy(*keys, "__b").cogroup(y.groupBy(*keys, "__b")).applyInArrow(_lags(most, block), kinds).withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})
+    sums = parts.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = lambda s, q: F.col(q) / F.col("n") - (F.col(s) / F.col("n")) ** 2
+    flat = lambda s, q: spread(s, q) <= 1e-12 * F.col(q) / F.col("n")
+    c = (F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    return sums.select(*keys, F.col("lag").cast("int").alias("lag"), "n", F.when((F.col("n") >= least) & ~flat("x", "xx") & ~flat("y", "yy"), c).alias("correlation"))
 
 
 def estimate_offset(lags: DataFrame, keys: list[str], min_correlation: float, min_prominence: float, exclude: int = 1) -> DataFrame:

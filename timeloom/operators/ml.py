@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
@@ -20,23 +22,19 @@ from pyspark.sql.window import Window
 from timeloom.functions.scalars import cosine, l2_normalize, let, softmax
 from timeloom.operators.joins import not_yet_done
 from timeloom.operators.metrics import class_weights
+from timeloom.plans.scratch import cut
 
 
 def with_vector(df: DataFrame, vec: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vec).cast("array<double>")))
 
 
-def train_window_classifier(df: DataFrame, vec: str, label: str, n_classes: int, hidden: list[int] | None = None, weights: str = "inverse", seed: int = 42, iterations: int = 50) -> PipelineModel:
-    """Scaled vectors to classes: logistic regression with class weights, or a perceptron with hidden layers (which Spark fits without weights)."""
+def train_window_classifier(df: DataFrame, vec: str, label: str, n_classes: int, weights: str = "inverse", iterations: int = 50) -> PipelineModel:
+    """Scaled vectors to classes by logistic regression with class weights; for a perceptron, train_perceptron()."""
     rows = with_vector(df.where(F.col(label) >= 0), vec).withColumn("label", F.col(label).cast("double"))
-    if hidden:
-        size = rows.select(F.size(vec)).first()[0]
-        head = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[size, *hidden, n_classes], seed=seed, maxIter=iterations)
-    else:
-        w = class_weights(rows, label, n_classes, weights).select(F.col("class").cast("double").alias("label"), "weight")
-        rows = rows.join(F.broadcast(w), "label")
-        head = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=iterations, family="multinomial")
-    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), head]).fit(rows)
+    w = class_weights(rows, label, n_classes, weights).select(F.col("class").cast("double").alias("label"), "weight")
+    head = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=iterations, family="multinomial")
+    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), head]).fit(rows.join(F.broadcast(w), "label"))
 
 
 def score_windows(model: PipelineModel, df: DataFrame, vec: str) -> DataFrame:
@@ -45,6 +43,125 @@ def score_windows(model: PipelineModel, df: DataFrame, vec: str) -> DataFrame:
     return model.transform(with_vector(df, vec)).withColumn("p", vector_to_array("probability")).withColumn("prediction", F.col("prediction").cast("int")).drop(*drop)
 
 
+@dataclass
+class Perceptron:
+    """Layers of (weights, bias) over scaled vectors, tanh between them; mean, scale: of the vectors; losses: one a step of the fit."""
+
+    layers: list[tuple[np.ndarray, np.ndarray]]
+    mean: np.ndarray
+    scale: np.ndarray
+    losses: list[float]
+
+
+def forward(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """What goes into each layer, and the class probabilities."""
+    inputs = [x]
+    for k, (w, b) in enumerate(layers):
+        z = inputs[-1] @ w + b
+        inputs.append(np.tanh(z) if k + 1 < len(layers) else z)
+    z = inputs.pop()
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return inputs, p / p.sum(axis=1, keepdims=True)
+
+
+def gradient(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray, class_weight: np.ndarray, smoothing: float) -> tuple[np.ndarray, float, float]:
+    """Of rows: the gradient of the summed loss, laid out flat, the loss and the rows' weight. The target of class c is (1 - smoothing) for the label plus smoothing / classes,
+    times the weight of c."""
+    inputs, p = forward(layers, x)
+    target = np.full(p.shape, smoothing / p.shape[1])
+    target[np.arange(len(y)), y] += 1 - smoothing
+    target *= class_weight
+    loss, out = float(-(target * np.log(np.maximum(p, 1e-300))).sum()), []
+    back = p * target.sum(axis=1, keepdims=True) - target
+    for k in range(len(layers) - 1, -1, -1):
+        out.append(np.concatenate([(inputs[k].T @ back).ravel(), back.sum(axis=0)]))
+        if k:
+            back = back @ layers[k][0].T * (1 - inputs[k] ** 2)
+    return np.concatenate(out[::-1]), loss, float(class_weight[y].sum())
+
+
+def unflat(flat: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    layers, at = [], 0
+    for n, m in zip(sizes[:-1], sizes[1:], strict=True):
+        layers.append((flat[at : at + n * m].reshape(n, m), flat[at + n * m : at + n * m + m]))
+        at += n * m + m
+    return layers
+
+
+def train_perceptron(
+    df: DataFrame, vec: str, label: str, n_classes: int, hidden: list[int], weights: str = "inverse", smoothing: float = 0.1, seed: int = 42, steps: int = 60, rate: float = 0.05, decay: float = 1e-4, warm_up: int = 5, clip: float = 1.0
+) -> Perceptron:
+    """A perceptron by cross entropy with class weights and label smoothing, fitted by full-batch steps (Adam with decoupled decay, a linear warm-up, then a cosine, clipped).
+
+    The scaled vectors are written once, as blocks of numbers; a step sends the weights out, sums gradients block by block and task by task, and brings a bounded number of
+    sums home. The same seed gives the same start. Labels under 0, null labels and null vectors don't count; without any row it is an error.
+    """
+    rows = df.where((F.col(label) >= 0) & F.col(vec).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("x"))
+    m = with_vector(rows, "x").agg(Summarizer.mean(F.col("features")).alias("mean"), Summarizer.std(F.col("features")).alias("std"), F.count(F.lit(1)).alias("n")).first()
+    if not m["n"]:
+        raise ValueError("no labelled rows")
+    mean, scale = m["mean"].toArray(), np.where(m["std"].toArray() > 0, m["std"].toArray(), 1.0)
+    share = {r["class"]: r["weight"] for r in class_weights(rows, "y", n_classes, weights).collect()}
+    class_weight = np.array([float(share.get(k) or 0.0) for k in range(n_classes)])
+    size, kind = len(mean), pa.schema([("x", pa.binary()), ("y", pa.binary())])
+
+    def block(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column("x").flatten()).reshape(-1, size)
+                yield pa.RecordBatch.from_pydict({"x": [((x - mean) / scale).astype("<f8").tobytes()], "y": [np.asarray(batch.column("y")).astype("<i4").tobytes()]}, schema=kind)
+
+    blocks = cut(rows.mapInArrow(block, "x binary, y binary"))
+    sizes, rng = [size, *hidden, n_classes], np.random.default_rng(seed)
+    flat = np.concatenate([np.concatenate([(rng.standard_normal((n, k)) / np.sqrt(n)).ravel(), np.zeros(k)]) for n, k in zip(sizes[:-1], sizes[1:], strict=True)])
+    sums = pa.schema([("part", pa.int32()), ("g", pa.binary()), ("loss", pa.float64()), ("weight", pa.float64())])
+    first, second, losses = np.zeros_like(flat), np.zeros_like(flat), []
+    spark = df.sparkSession
+    for step in range(1, steps + 1):
+        shared = spark.sparkContext.broadcast(flat)
+
+        def partial(batches, shared=shared):
+            layers, total, loss, weight = unflat(shared.value, sizes), np.zeros(len(shared.value)), 0.0, 0.0
+            for batch in batches:
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    g, own, w = gradient(layers, np.frombuffer(x, "<f8").reshape(-1, size), np.frombuffer(y, "<i4"), class_weight, smoothing)
+                    total, loss, weight = total + g, loss + own, weight + w
+            yield pa.RecordBatch.from_pydict({"part": [0], "g": [total.tobytes()], "loss": [loss], "weight": [weight]}, schema=sums)
+
+        def add(table):
+            g = sum(np.frombuffer(x, float) for x in table.column("g").to_pylist())
+            return pa.table({"part": [0], "g": [g.tobytes()], "loss": [sum(table.column("loss").to_pylist())], "weight": [sum(table.column("weight").to_pylist())]}, schema=sums)
+
+        kinds = "part int, g binary, loss double, weight double"
+        got = blocks.mapInArrow(partial, kinds).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("part").applyInArrow(add, kinds).collect()
+        weight = sum(r["weight"] for r in got) or 1.0
+        g = sum(np.frombuffer(bytes(r["g"]), float) for r in sorted(got, key=lambda r: bytes(r["g"]))) / weight
+        losses.append(sum(r["loss"] for r in got) / weight)
+        shared.destroy()
+        g *= min(1.0, clip / max(1e-12, float(np.linalg.norm(g))))
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        pace = rate * (step / warm_up if step < warm_up else 0.5 * (1 + np.cos(np.pi * (step - warm_up) / max(1, steps - warm_up))))
+        flat = flat - pace * (first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8) + decay * flat)
+    return Perceptron([(w.copy(), b.copy()) for w, b in unflat(flat, sizes)], mean, scale, losses)
+
+
+def score_perceptron(model: Perceptron, df: DataFrame, vec: str) -> DataFrame:
+    """df with p (array of class probabilities) and prediction; null for a null vector."""
+    layers, mean, scale = model.layers, model.mean, model.scale
+
+    @F.pandas_udf("array<double>")
+    def probabilities(v: pd.Series) -> pd.Series:
+        known = v.notna().to_numpy()
+        out = pd.Series([None] * len(v), dtype=object)
+        if known.any():
+            p = forward(layers, (np.array(v[known].tolist(), float) - mean) / scale)[1]
+            for i, row in zip(np.flatnonzero(known).tolist(), p.tolist(), strict=True):
+                out.iat[i] = row
+        return out
+
+    return df.withColumn("p", probabilities(F.col(vec).cast("array<double>"))).withColumn("prediction", F.when(F.col("p").isNotNull(), F.array_position("p", F.array_max("p")).cast("int") - 1))
+
+
 def prototype_scores(df: DataFrame, prototypes: DataFrame, keys: list[str], vec: str, scale: float = 10.0) -> DataFrame:
     """keys, label, similarity of the nearest prototype (ties: the smaller label). prototypes: label, prototype; a small dimension."""
     both = df.select(*keys, vec).join(F.broadcast(prototypes.select("label", "prototype")))
@@ -97,10 +214,9 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 0, starts: int = 20) ->
     return out, best.summary.trainingCost
 
 
-def silhouette(df: DataFrame, vec: str, cluster: str, sample: int = 5000) -> float | None:
-    """Mean silhouette (squared Euclidean) of at most about `sample` rows, chosen by a hash; null with fewer than two clusters."""
-    n = df.count()
-    rows = df if n <= sample else df.where(F.pmod(F.xxhash64(vec), F.lit(n)) < sample)
+def silhouette(df: DataFrame, vec: str, cluster: str, sample: int | None = None) -> float | None:
+    """Mean silhouette (squared Euclidean, from cluster sums, so linear in the rows) of all rows, or if asked for of about `sample` rows, chosen by a hash; null with fewer than two clusters."""
+    rows = df if sample is None else df.where(F.pmod(F.xxhash64(vec), F.lit(max(1, df.count()))) < sample)
     rows = with_vector(rows, vec).withColumn("prediction", F.col(cluster).cast("int"))
     if rows.select("prediction").distinct().limit(2).count() < 2:
         return None

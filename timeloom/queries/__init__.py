@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("segments", "sequences", "joining", "measuring", "scalar", "quality", "models", "streams")
+MODULES = ("segments", "sequences", "joining", "measuring", "scalar", "quality", "models", "streams", "files")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,10 +22,21 @@ def train_score(spark, d):
     return ml.score_windows(model, w, "pooled").select("vec_id", "label", "prediction", F.round(F.array_max("p"), 6).alias("confidence"))
 
 
-def perceptron_score(spark, d):
+def perceptron(spark, d):
     w = windows(spark, d)
-    model = ml.train_window_classifier(w.where("recording % 5 > 0"), "pooled", "label", 10, hidden=[16], iterations=15)
-    return ml.score_windows(model, w, "pooled").select("vec_id", "label", "prediction")
+    return ml.score_perceptron(ml.train_perceptron(w.where("recording % 5 > 0"), "pooled", "label", 10, [16], steps=15), w, "pooled")
+
+
+def perceptron_score(spark, d):
+    return perceptron(spark, d).select("vec_id", "label", "prediction")
+
+
+def perceptron_quality(spark, d):
+    """Over the rows that it was fitted on: do the classes with weights and smoothing come out better than the commonest class would?"""
+    own = perceptron(spark, d).where("recording % 5 > 0")
+    right = own.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("share"))
+    most = own.groupBy("label").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("most"))
+    return right.join(most).select("n", (F.col("share") > F.col("most") / F.col("n")).alias("beats_commonest"))
 
 
 def prototypes(spark, d):
@@ -139,13 +150,14 @@ def token_labels(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (train_score, perceptron_score, prototypes, kmeans_quality, exact_silhouette, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, bridge_mask_gaps,
+    for f in (train_score, perceptron_score, perceptron_quality, prototypes, kmeans_quality, exact_silhouette, pca_points, masked_pool, attention_pool, grid_evaluation, augmented_training_set, token_pair_mean, interpolated_tokens, ranked_donors, bridge_mask_gaps,
               mesh_components, pixel_components, seeded_components, token_labels)
 }
 REACH = """WITH RECURSIVE {0}, reach AS (SELECT recording, frame, n AS a, n AS b FROM m UNION SELECT r.recording, r.frame, r.a, e.v FROM reach r JOIN edges e ON e.recording = r.recording AND e.frame = r.frame AND e.u = r.b),
 comp AS (SELECT recording, frame, a, min(b) AS component FROM reach GROUP BY recording, frame, a)"""
 PIX = f"{PIXELS}, m AS (SELECT recording, frame, y, x, y * 8 + x AS n, v FROM px WHERE v > 0.1), edges AS (SELECT a.recording, a.frame, a.n AS u, b.n AS v FROM m a JOIN m b ON a.recording = b.recording AND a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.n <> b.n)"
 SQL = {
+    "perceptron_quality": "SELECT count(*) AS n, true AS beats_commonest FROM embeddings WHERE vec_id // 50 % 5 > 0",
     "token_labels": f"WITH {TOK} SELECT tok.user_id, token_index, CASE WHEN a.cls = b.cls THEN c.cls ELSE -1 END AS label FROM tok JOIN f a ON a.user_id = tok.user_id AND a.frame = f0 JOIN f b ON b.user_id = tok.user_id AND b.frame = f1 JOIN f c ON c.user_id = tok.user_id AND c.frame = center",
     "bridge_mask_gaps": f"""WITH {PIXELS}, m AS (SELECT recording, frame, y, x FROM px WHERE v > 0.15 AND frame % 4 <> 2), fr AS (SELECT DISTINCT recording, frame FROM m), g AS (SELECT recording, frame AS a, lead(frame) OVER (PARTITION BY recording ORDER BY frame) AS b FROM fr),
 h AS (SELECT recording, a, b, unnest(range(a + 1, b)) AS frame FROM g WHERE b - a - 1 BETWEEN 1 AND 2), d AS (SELECT DISTINCT recording, frame, y + dy AS y, x + dx AS x FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS k(dy, dx)),

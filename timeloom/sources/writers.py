@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,12 +46,22 @@ def markdown(rows: DataFrame, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join(text(v) for v in r) + " |" for r in got]) + "\n"
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_report(rows: DataFrame, path: str, prefix: str) -> None:
     """The same rows as JSON, CSV (structs and arrays as JSON text) and Markdown."""
     flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in rows.dtypes]
     rows.coalesce(1).write.mode("overwrite").json(f"{path}/{prefix}_json")
     rows.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{prefix}_csv")
-    Path(f"{path}/{prefix}.md").write_text(markdown(rows.select(*flat)))
+    put_text(rows.sparkSession, f"{path}/{prefix}.md", markdown(rows.select(*flat)))
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame, key: str, updated_at=None) -> DataFrame:
