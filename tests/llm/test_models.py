@@ -330,3 +330,35 @@ def test_template_language():
     for deny in ("{{ x.__class__ }}", "{{ x['__class__'] }}", "{{ y.append }}"):
         with pytest.raises(chat.TemplateError):
             run(deny, x="s", y=[1])
+
+
+@pytest.mark.parametrize("size", [12, 20])
+def test_recall_and_cost_with_common_words_and_very_many_items(size):
+    """10,000 items of words by a Zipf law; leaks edited as far as the limit lets, found among windows that share buckets with nearly every item."""
+    import random
+    import time
+
+    rng, numbers = random.Random(size), np.random.default_rng(size)
+    share = 1 / np.arange(1, 20_001)
+    draw = lambda n: [f"w{i}" for i in numbers.choice(20_000, n, p=share / share.sum())]
+    items, most = [draw(size) for _ in range(10_000)], int(decontam.RATE * size)
+    index, texts, want = index_of(items), [], set()
+    for i in range(80):
+        x = edited(rng, items[i], most, 20_000)
+        if edit(x, items[i]) == most:
+            want.add((i, i))
+        texts.append(" ".join(draw(5) + x + draw(5)))
+    found = index.search(pa.array(texts))
+    got = {(i, leak["item_id"]) for i, x in enumerate(found) for leak in x}
+    assert len(want) > 40 and len(want & got) >= 0.97 * len(want)
+    clean = pa.array([" ".join(draw(500)) for _ in range(40)])
+    index.search(clean)
+    began = time.time()
+    index.search(clean)
+    assert time.time() - began < 2
+
+
+def test_shared_words_by_hand():
+    rng = np.random.default_rng(4)
+    windows, items = rng.integers(0, 6, (50, 7)).astype(np.uint64) << np.uint64(8), rng.integers(0, 6, (50, 5)).astype(np.uint64) << np.uint64(8)
+    assert decontam.shared_words(windows, items).tolist() == [sum(x in w for x in i) for w, i in zip(windows.tolist(), items.tolist(), strict=True)]

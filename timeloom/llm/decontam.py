@@ -46,21 +46,33 @@ def runs(h: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Edit distance in words of each row to the item; all rows at once, a column of the table at a time."""
-    size = (windows != PAD).sum(axis=1)
-    steps = np.arange(len(item) + 1)
-    last = np.broadcast_to(steps, (len(windows), len(item) + 1)).copy()
-    result = np.where(size == 0, len(item), 0)
+def edit_distances(windows: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Edit distance in words of each row of windows to the item, one for all or a row for each; all rows at once, a column of the table at a time."""
+    items = np.atleast_2d(items)
+    size, length = (windows != PAD).sum(axis=1), items.shape[1]
+    steps = np.arange(length + 1, dtype=np.int32)
+    last = np.broadcast_to(steps, (len(windows), length + 1)).copy()
+    result = np.where(size == 0, length, 0)
     for i in range(windows.shape[1]):
         new = np.empty_like(last)
         new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(last[:, 1:] + 1, last[:, :-1] + (windows[:, i : i + 1] != item[None, :]))
+        new[:, 1:] = np.minimum(last[:, 1:] + 1, last[:, :-1] + (windows[:, i : i + 1] != items))
         last = np.minimum.accumulate(new - steps, axis=1) + steps
         result = np.where(size == i + 1, last[:, -1], result)
     return result
 
 
+def shared_words(windows: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """How many words of each row of items stand anywhere in the same row of windows."""
+    both = np.concatenate([windows & ~np.uint64(1), items | np.uint64(1)], axis=1)  # a word's window places sort before its item places
+    both.sort(axis=1)
+    new = np.ones(both.shape, bool)
+    new[:, 1:] = both[:, 1:] >> np.uint64(1) != both[:, :-1] >> np.uint64(1)
+    first = np.maximum.accumulate(np.where(new, np.arange(both.shape[1]), 0), axis=1)
+    of_window = np.take_along_axis(both, first, axis=1) & np.uint64(1) == 0
+    return (of_window & (both & np.uint64(1) == 1)).sum(axis=1)
+
+
 def walks(windows: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
     """CGK embedding: of each window (rows of `windows`, word hashes, PAD behind the end) and each seed, the place of its pointer at every step, as (step, window, seed).
 
@@ -241,25 +253,42 @@ class Index:
             far.append(edit_distances(window, self.items[k])), words.append((window != PAD).sum(axis=1))
         return np.concatenate(far), np.concatenate(words)
 
+    def near(self, h: np.ndarray, at: np.ndarray, start: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of a window's first word and an item of that length, those within the item's limit: all pairs in one table of distances, those first left out that share
+        fewer words than any pair within the limit does (each edit takes one of the item's words at most)."""
+        every = np.stack([self.items[k] for k in np.flatnonzero(self.size == size)])
+        place = np.searchsorted(np.flatnonzero(self.size == size), item)
+        kept = []
+        for part in np.array_split(np.arange(len(start)), max(1, -(-len(start) * size // (1 << 19)))):
+            windows, items, most = self.windows(h, at, start[part], size), every[place[part]], self.most[item[part]]
+            enough = np.flatnonzero(shared_words(windows, items) >= size - most)
+            far = edit_distances(windows[enough], items[enough])
+            kept.append(part[enough[far <= most[enough]]])
+        good = np.concatenate(kept)
+        return start[good], item[good]
+
     def search(self, text: pa.Array) -> list[list[dict]]:
         """For each text: its leaks, the nearest window of each item, then the first."""
         h, at = word_ids(text)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for size, starts in self.screen(h, at).items():
-            start, item = self.meet(h, at, starts, size)
-            for k in np.unique(item).tolist():
-                own, most = start[item == k], int(self.most[k])
-                far, _ = self.distances(h, at, own, k)
-                good = own[far <= most]
-                if len(good):  # around each leak, every window that overlaps it: the nearest may share no bucket
-                    near = np.searchsorted(good, starts, "right")
-                    gap = np.minimum(np.where(near > 0, starts - good[near - 1], size), np.where(near < len(good), good[np.minimum(near, len(good) - 1)] - starts, size))
-                    around = starts[gap <= most]
-                    far, words = self.distances(h, at, around, k)
-                    doc = np.searchsorted(at, around, "right") - 1
-                    for i in np.flatnonzero(far <= most).tolist():
-                        found = (int(far[i]), int(around[i] - at[doc[i]]), int(words[i]))
-                        best[int(doc[i]), k] = min(best.get((int(doc[i]), k), found), found)
+            start, item = self.near(h, at, *self.meet(h, at, starts, size), size)
+            if not len(item):
+                continue
+            order = np.lexsort((start, item))
+            start, item = start[order], item[order]
+            names, first_of = np.unique(item, return_index=True)
+            for k, i, j in zip(names.tolist(), first_of.tolist(), [*first_of[1:].tolist(), len(item)], strict=True):
+                # around each leak, every window that overlaps it: the nearest may share no bucket
+                good, most = start[i:j], int(self.most[k])
+                near = np.searchsorted(good, starts, "right")
+                gap = np.minimum(np.where(near > 0, starts - good[near - 1], size), np.where(near < len(good), good[np.minimum(near, len(good) - 1)] - starts, size))
+                around = starts[gap <= most]
+                far, words = self.distances(h, at, around, k)
+                doc = np.searchsorted(at, around, "right") - 1
+                for x in np.flatnonzero(far <= most).tolist():
+                    found = (int(far[x]), int(around[x] - at[doc[x]]), int(words[x]))
+                    best[int(doc[x]), k] = min(best.get((int(doc[x]), k), found), found)
         out = [[] for _ in range(len(at) - 1)]
         for (doc, k), (d, first, n) in sorted(best.items()):
             out[doc].append({"item_id": int(self.ids[k]), "first_word": first, "n_words": n, "distance": d})
