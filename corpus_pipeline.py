@@ -10,24 +10,31 @@ from timeloom.llm import bpe, decontam, exact, neardup, toxicity
 from timeloom.llm.common import scratch_dir, spread
 
 
+# Stages: each takes all its predecessor kept and gives back the same columns (all of documents, whatever their names), the last one excepted. A row that stands twice is judged twice.
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those predicted toxic by a classifier that is fitted on the labelled ones among them; null and empty texts stay, with no labels all stay."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without white space: the longest, then the smallest doc_id (null last). Null and empty texts are one group."""
     return exact.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each component of documents with a Jaccard similarity of 0.75 or more; texts without words stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark item, up to a fifth of its words edited; null and empty texts stay, with an empty benchmark all stay."""
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each row; null is an empty text without tokens."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
