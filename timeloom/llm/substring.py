@@ -157,7 +157,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, with_text: bo
     A window is `window` consecutive words of one text; each word covered by a window whose words also start anywhere else goes. Blocks of documents send every distinct
     hash once to the bucket of its leading bits; a bucket answers with one bit for each hash, and the block applies the answers. A window that stands in a third of all
     texts is one hash of each block. Windows count as equal if their hashes agree modulo three primes of 32 bits: over n windows the chance of any false match is about
-    n**2 / 2**97 (0.002 for 100 TB).
+    n**2 / 2**97 (0.002 for 100 TB), besides that of two words of one 64-bit hash, about w**2 / 2**65 over w different words.
 
     Null is an empty text: no words, nothing removed, the digest of nothing. A row that stands twice is two texts, whose windows repeat each other. A text of fewer words
     than the window keeps all. A text of any length lies in one block as a whole. An empty table gives no rows; other columns of docs, whatever their names, are ignored.
