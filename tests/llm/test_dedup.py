@@ -126,6 +126,52 @@ def test_a_large_group_is_checked_in_parts(spark):
     assert got == want and len(set(want.values())) > 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sets_within_the_limit_share_a_rare_shingle(seed):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 3, 1 << neardup.SLOT_BITS)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2))
+        a, b = (np.sort(rng.permutation(pool)[: rng.integers(1, 60)]) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        for percent in (30, 75, 100):
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                assert len(np.intersect1d(neardup.rarest(a, counts, percent), neardup.rarest(b, counts, percent)))
+    assert len(neardup.rarest(np.zeros(0, np.uint64), counts, 75)) == 0
+
+
+def template_rows(n, links=0, seed=5):
+    """n texts of one template, each with as much of its own (similarity about 0.5); the first `links` of them have a near copy besides."""
+    rng = random.Random(seed)
+    same, rows = " ".join(f"t{i}" for i in range(60)), []
+    for i in range(n):
+        own = [f"o{rng.randrange(1 << 40)}" for _ in range(30)]
+        rows.append((2 * i, same + " " + " ".join(own)))
+        if i < links:
+            rows.append((2 * i + 1, same + " " + " ".join([*own[:-1], "edited"])))
+    return rows
+
+
+def test_members_that_link_with_nothing_are_not_checked_across_blocks(spark, monkeypatch):
+    dealt = []
+    checked = neardup._checked
+    monkeypatch.setattr(neardup, "_checked", lambda rows, *more: dealt.append(rows.count()) or checked(rows, *more))
+    work = {}
+    for n in (1000, 4000):
+        dealt.clear()
+        out = neardup.near_duplicates(frame(spark, template_rows(n)), block=32)
+        assert out.where("kept").count() == n
+        work[n] = sum(dealt)
+        assert dealt[1] == 0
+    assert work[4000] < 5 * work[1000]
+
+
+def test_links_inside_a_group_of_strangers_are_found(spark):
+    rows = template_rows(150, 40)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), block=8).collect()}
+    assert got == components(rows) and len(set(got.values())) == 150
+
+
 def test_near_filter_keeps_one_row_of_a_repeated_id(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (1, text), (1, text + " more"), (2, text), (3, "alone here"), (3, "alone here"), (None, "x"), (None, "x"), (4, None), (5, "")]

@@ -16,6 +16,8 @@ from timeloom.llm.components import connected_components
 WIDTH, PERCENT = 5, 75
 #: 32 bands of 4 rows: a pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
+#: Shingles are counted in so many slots, by leading bits of their hashes.
+SLOT_BITS = 20
 
 
 def shingle_sets(text: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -155,14 +157,65 @@ def _checked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "member").select(*names, "member", "hashes").groupBy(*names).applyInArrow(_verify(percent), "u long, v long")
 
 
-def _open_checks(groups: DataFrame, found: DataFrame, block: int) -> DataFrame:
-    """(leader, i, j, member): what is still to be checked in the groups of more than `block` members, after their blocks' own checks have given `found`.
+def _apart(members: DataFrame) -> DataFrame:
+    """The rows (leader, member, part) of groups that hold several components."""
+    several = members.groupBy("leader").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("leader")
+    return members.join(several, "leader", "left_semi")
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _shingle_counts(batches):
+    n = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        n += np.bincount(_slot(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)), minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["slot", "n"])
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """So many of the rarest shingles that two sets within `percent` have one of them in common: a set that shares none of these has too few others to share.
+
+    counts: how often each slot's shingles stand anywhere; any counts give right results, good ones small answers, and equal ones are settled by value.
+    """
+    enough = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    return shingles[np.lexsort((shingles, counts[_slot(shingles)]))[:enough]]
+
+
+def _may_link(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """member: those of `apart` that have one of their rarest shingles in common with a member of another component. All others can link with nothing that they aren't joined
+    with, so members of a template that differ in more than a quarter of their shingles need no check among themselves.
+
+    What goes to the driver and back is a table of 2**SLOT_BITS counters, whatever the input.
+    """
+    spark = apart.sparkSession
+    open_sets = sets.join(apart.select("member", "part").distinct(), "member")
+    total = open_sets.select("hashes").mapInArrow(_shingle_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[np.asarray(total.column("slot"))] = np.asarray(total.column("n"))
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            found = [rarest(np.frombuffer(raw, np.uint64), shared.value, percent).view(np.int64) for raw in batch.column("hashes").to_pylist()]
+            times = [len(f) for f in found]
+            part, member = (np.repeat(np.asarray(batch.column(n)), times) for n in ("part", "member"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(part), pa.array(member)], names=["shingle", "part", "member"])
+
+    rare = cut(open_sets.select("part", "member", "hashes").mapInArrow(run, "shingle long, part long, member long"))
+    shared.destroy()
+    meet = rare.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("shingle")
+    return rare.join(meet, "shingle", "left_semi").select("member").distinct()
+
+
+def _open_checks(large: DataFrame, block: int) -> DataFrame:
+    """(leader, i, j, member): what is still to be checked in the groups of more than `block` members; large: (leader, member, part), part being the component so far.
 
     In a group, members of one component need no check among themselves. Components of `block` members or more fill blocks of their own, numbered on; smaller ones share
-    blocks. Two blocks are checked together unless both are of one component. So a group that the first checks have joined leaves nothing, and one with a few outsiders
-    as many checks as it has blocks.
+    blocks. Two blocks are checked together unless both are of one component. So a group with a few outsiders needs as many checks as it has blocks.
     """
-    large = cut(groups.where("blocks > 1").join(found, F.col("member") == F.col("node"), "left").select("leader", "member", F.coalesce("component", "member").alias("part")))
     parts = large.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") >= block
     own = cut(parts.where(share).select("leader", "part", F.ceil(F.col("n") / block).cast("long").alias("blocks")))
@@ -195,7 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Texts of equal sets stand for each other as one representative. In each bucket of a band, the least representative leads; all that meet under one leader form a
     group, which holds every pair of its buckets. A group is cut into blocks of about `block` members, and each block is checked together with the leader, all pairs
-    exactly; only edges of a spanning forest leave a check. In groups of several blocks, whatever these checks haven't joined is then checked across blocks.
+    exactly; only edges of a spanning forest leave a check. In groups of several blocks, whatever these checks haven't joined and can still link by its rarest shingles is
+    then checked across blocks.
 
     Null and empty texts have no shingles and stand alone. Rows that share a doc_id are one node, rows without one stand alone. Texts may have any length. An empty table
     gives no rows; other columns, whatever their names, are ignored.
@@ -217,7 +271,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = connected_components(edges)
     if groups.where("blocks > 1").limit(1).count():
         found = cut(found)
-        rest = cut(_open_checks(groups, found, block))
+        large = groups.where("blocks > 1").join(found, F.col("member") == F.col("node"), "left").select("leader", "member", F.coalesce("component", "member").alias("part"))
+        apart = cut(_apart(large))
+        live = cut(_apart(apart.join(_may_link(apart, sets, percent), "member", "left_semi")))
+        rest = cut(_open_checks(live, block))
         again = cut(rest.select("member").distinct())  # what is still apart in large groups: Spark broadcasts these numbers if they are few, else the sets move
         later = _checked(rest, sets.join(again, "member", "left_semi"), percent)
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(later))
