@@ -227,6 +227,10 @@ def test_leaks_equal_the_check_of_all_windows(spark):
     assert sum((want & got).values()) >= 0.98 * sum(want.values()) and {g[:2] for g in got} <= {w[:2] for w in want}
     kept = decontam.drop_leaks(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {r.doc_id for r in decontam.find_leaks(df, bench).collect()}
+    several = decontam.find_leaks(df, bench, part_words=120)
+    assert decontam.part_count(bench, 120) > 3 and sorted(map(tuple, several.collect())) == sorted(map(tuple, decontam.find_leaks(df, bench).collect()))
+    left = decontam.drop_leaks(df, bench, part_words=120)
+    assert left.columns == df.columns and sorted(map(str, left.collect())) == sorted(map(str, kept.collect())) and decontam.drop_leaks(df.where("false"), bench, part_words=120).count() == 0
     assert decontam.find_leaks(df.where("false"), bench).count() == 0 and decontam.find_leaks(df, bench.where("false")).count() == 0
     assert decontam.drop_leaks(df.where("false"), bench).count() == 0 and decontam.drop_leaks(df, bench.where("false")).count() == len(docs)
 

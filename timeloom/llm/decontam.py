@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import LOWER, mix, ragged, slices, utf8, word_hashes
+from timeloom.llm.common import LOWER, cut, mix, ragged, slices, utf8, word_hashes
 
 #: A window is a leak if its edit distance to an item, in words, is at most RATE of the item's words. RUN: words in a run, see Index.screen.
 RATE, RUN = 0.2, 3
@@ -17,7 +20,7 @@ RATE, RUN = 0.2, 3
 COORDINATES, RECALL = 3, 0.995
 #: A walk of 2n steps passes n words on average; coordinates are sampled from the first 1.8n, where few walks have ended.
 STEPS = 1.8
-#: Items go to the executors in parts of at most so many words, each with a pass of its own over the documents.
+#: Items go to the executors in parts of about so many words, one at a time, each with a pass of its own over the documents.
 PART_WORDS = 1_000_000
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -295,36 +298,48 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, rate: float = RATE, part_words: int = PART_WORDS) -> list[Index]:
-    """The benchmark as indexes of bounded size. Items without words match nothing."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    parts, out = max(1, -(-words // part_words)), []
-    for p in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
-        h, at = word_ids(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-        every = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        out.append(Index(np.asarray(rows.column("item_id")), every, rate))
-    return out
+def item_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
+def part_count(benchmark: DataFrame, part_words: int) -> int:
+    words = item_rows(benchmark).agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+    return max(1, -(-words // part_words))
+
 
+def part_index(benchmark: DataFrame, rate: float, part: int, parts: int) -> Index:
+    """One of `parts` about equal parts of the benchmark. Items without words match nothing."""
+    rows = item_rows(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toArrow()
+    h, at = word_ids(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    return Index(np.asarray(rows.column("item_id")), [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], rate)
 
-def leak_columns(spark: SparkSession, parts: list[Index]) -> list[Column]:
-    """For each index a column function: text to an array of leaks."""
 
-    def column(index: Index):
-        shared = spark.sparkContext.broadcast(index)
+def leak_column(shared: Broadcast) -> Callable[[Column], Column]:
+    """Of a broadcast index a column function: text to an array of leaks."""
 
-        @F.arrow_udf("array<struct<item_id:long,first_word:long,n_words:long,distance:long>>")
-        def leaks(text: pa.Array) -> pa.Array:
-            found = [x for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], most=1 << 21) for x in shared.value.search(part.column("text"))]
-            return pa.array(found, pa.list_(OUT))
+    @F.arrow_udf("array<struct<item_id:long,first_word:long,n_words:long,distance:long>>")
+    def leaks(text: pa.Array) -> pa.Array:
+        found = [x for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], most=1 << 21) for x in shared.value.search(part.column("text"))]
+        return pa.array(found, pa.list_(OUT))
 
-        return leaks
+    return leaks
 
-    return [column(index) for index in parts]
 
+def over_parts(spark: SparkSession, benchmark: DataFrame, rate: float, parts: int, search: Callable[[Callable[[Column], Column]], DataFrame]) -> DataFrame:
+    """The rows that search(leaks) gives for each part of the benchmark. Of several parts, one is built, broadcast, searched for with its rows written, and released before the
+    next one is built: driver and executors hold one part at a time, however large the benchmark."""
+    out = []
+    for part in range(parts):
+        shared = spark.sparkContext.broadcast(part_index(benchmark, rate, part, parts))
+        rows = search(leak_column(shared))
+        if parts > 1:
+            rows = cut(rows)
+            shared.destroy()
+        out.append(rows)
+    return reduce(DataFrame.unionByName, out)
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, part_words: int = PART_WORDS) -> DataFrame:
     """A row for each (row of docs, item) with a leak: doc_id, item_id, first_word, n_words, distance; of an item's windows the nearest, then the first.
 
     Windows have the item's length in words, less where the text ends; a leak is one within an edit distance of `rate` of the item's words. Every window that can be
@@ -332,19 +347,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     distance, and is compared in full with each item it meets. So all rows are true, and a leak edited to the limit is missed with a chance of about 1 - RECALL.
 
     Null and empty texts and items have no leaks; a row or item that stands twice gives its leaks twice; items of equal text are found alike; texts may have any length;
-    an empty table gives no rows; other columns, whatever their names, are ignored. Rows of docs stay in their partitions; the benchmark reaches the executors in
-    parts of PART_WORDS.
+    an empty table gives no rows; other columns, whatever their names, are ignored. Rows of docs stay in their partitions; a benchmark of more than part_words words goes
+    in parts of about so many, one at a time.
     """
     text = F.coalesce("text", F.lit(""))
-    out = None
-    for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate)):
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(text)).alias("leak")).select("doc_id", "leak.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = part_count(benchmark, part_words)
+    return over_parts(docs.sparkSession, benchmark, rate, parts, lambda leaks: docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(leaks(text)).alias("leak")).select("doc_id", "leak.*"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without the rows that hold a leak, all columns and repeated rows as they are. Rows with null or empty text stay; with an empty benchmark all rows stay."""
-    for leaks in leak_columns(docs.sparkSession, indexes(benchmark, rate)):
-        docs = docs.where(F.size(leaks(F.coalesce("text", F.lit("")))) == 0)
-    return docs
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, part_words: int = PART_WORDS) -> DataFrame:
+    """docs without the rows that hold a leak, all columns and repeated rows as they are. Rows with null or empty text stay; with an empty benchmark all rows stay.
+
+    A benchmark of one part is one filter. Of several parts, each writes the digests of the texts that it leaks into, and all rows of such texts go by one join.
+    """
+    text, parts = F.coalesce("text", F.lit("")), part_count(benchmark, part_words)
+    if parts == 1:
+        return over_parts(docs.sparkSession, benchmark, rate, parts, lambda leaks: docs.where(F.size(leaks(text)) == 0))
+    found = over_parts(docs.sparkSession, benchmark, rate, parts, lambda leaks: docs.where(F.size(leaks(text)) > 0).select(F.sha2(text, 256).alias("__leaks_into")))
+    return docs.join(found.distinct(), F.sha2(text, 256) == F.col("__leaks_into"), "left_anti")
