@@ -194,3 +194,34 @@ def test_class_weights_and_smoothing_change_the_fit(spark):
     again = ml.train_perceptron(df.repartition(2), "v", "label", 2, [6], steps=3, smoothing=0.0)
     first = ml.train_perceptron(df, "v", "label", 2, [6], steps=3, smoothing=0.0)
     assert all(np.allclose(a, b, atol=1e-6) for p, q in zip(again.layers, first.layers, strict=True) for a, b in zip(p, q, strict=True))
+
+
+def brute_donors(bad, frames, weight):
+    out = {}
+    for (rec, f), pixels in bad.items():
+        scores = sorted((len(pixels & bad.get((rec, d), set())) / len(pixels) + weight * abs(f - d), d) for r, d in frames if r == rec and d != f)
+        for p in pixels:
+            free = [(score, d) for score, d in scores if p not in bad.get((rec, d), set())]
+            if free:
+                out[rec, f, p] = free[0]
+    return out
+
+
+@pytest.mark.parametrize(("weight", "first"), [(0.002, 8), (0.2, 2), (0.34, 1), (0.0, 3)])
+def test_ranked_donors_equal_the_check_of_all_frames(spark, weight, first):
+    """Recordings of up to 40 frames: at a weight of 0.2 only frames within 5 meet at first; pixel 64 is valid in far frames only, pixel 129 in none."""
+    rng = random.Random(7)
+    frames = [(r, f) for r, n in (("a", 40), ("b", 9), ("c", 1)) for f in range(n)]
+    bad = {}
+    for r, f in frames:
+        pixels = {p for p in range(0, 200, 3) if rng.random() < rng.choice([0.1, 0.7])} | {129}
+        bad[r, f] = pixels | ({64} if f < 30 else set()) if rng.random() < 0.9 else set()
+    bad = {k: v for k, v in bad.items() if v}
+    rows = [(r, f, p) for (r, f), pixels in bad.items() for p in pixels]
+    kind = "recording string, frame long, pixel long"
+    df = spark.createDataFrame([*rows, rows[0], (None, 1, 1), ("a", None, 1), ("a", 1, None)], kind)
+    every = spark.createDataFrame([*frames, frames[0], (None, 3)], "recording string, frame long")
+    out = sequence.ranked_donors(df, every, weight, first).collect()
+    want = brute_donors(bad, frames, weight)
+    assert len(out) == len(want) and {(r["recording"], r["frame"], r["pixel"]): (round(r["score"], 9), r["donor"]) for r in out} == {k: (round(s, 9), d) for k, (s, d) in want.items()}
+    assert sequence.ranked_donors(df.where("false"), every, weight, first).count() == sequence.ranked_donors(df, every.where("false"), weight, first).count() == 0

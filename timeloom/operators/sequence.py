@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -189,20 +190,71 @@ def nearest_clean_donor(df: DataFrame, keys: list[str], order: str, value: str,
     return n.withColumns({"donor": donor, "donor_at": pick["t"]}).drop("__v", "__prev", "__next")
 
 
-def ranked_donors(invalid: DataFrame, frames: DataFrame, weight: float = 0.002) -> DataFrame:
-    """For each (recording, target frame, pixel) that is invalid: the best donor frame in which the pixel is valid.
+def _near(frame: str, reach: int | None) -> tuple[Column, Column]:
+    """(cells that a target looks into, cell that a donor is in): frames at most `reach` apart meet by equality."""
+    if reach is None:
+        return F.array(F.lit(0)), F.lit(0)
+    cell = F.floor(F.col(frame) / reach)
+    return F.sequence(cell - 1, cell + 1), cell
 
-    invalid: recording, frame, pixel. frames: recording, frame. Donors rank by the share of the target's invalid pixels that are invalid there too plus
-    weight * distance, then by frame. Columns: recording, frame, pixel, donor, score. Donor candidates pair frames of one recording, which are bounded in number.
-    """
-    bad = invalid.groupBy("recording", "frame").agg(F.count(F.lit(1)).alias("n"))
-    pairs = bad.join(frames.withColumnRenamed("frame", "donor"), "recording").where("frame <> donor")
-    both = invalid.join(invalid.withColumnRenamed("frame", "donor"), ["recording", "pixel"]).groupBy("recording", "frame", "donor").agg(F.count(F.lit(1)).alias("both"))
+
+def _donor_ranks(targets: DataFrame, words: DataFrame, frames: DataFrame, weight: float, wanted: Column, reach: int | None) -> DataFrame:
+    """recording, frame, donor, score, rank: for the frames of `targets` (bitmaps) the donors for which `wanted` holds, best first. Overlaps are bit counts, summed by pair
+    before they move."""
+    looks, lies = _near("frame", reach)
+    sizes = targets.groupBy("recording", "frame").agg(F.sum(F.bit_count("bits")).alias("n")).withColumn("cell", F.explode(looks))
+    pairs = sizes.join(frames.select("recording", lies.alias("cell"), F.col("frame").alias("donor")), ["recording", "cell"]).where(wanted)
+    there = words.select("recording", "word", lies.alias("cell"), F.col("frame").alias("donor"), F.col("bits").alias("there"))
+    both = targets.withColumn("cell", F.explode(looks)).join(there, ["recording", "word", "cell"]).where(wanted)
+    both = both.groupBy("recording", "frame", "donor").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("there")))).alias("both"))
     score = F.coalesce(F.col("both"), F.lit(0)) / F.col("n") + weight * F.abs(F.col("frame") - F.col("donor"))
     scored = pairs.join(both, ["recording", "frame", "donor"], "left").select("recording", "frame", "donor", score.alias("score"))
-    free = invalid.join(scored, ["recording", "frame"]).join(invalid.withColumnRenamed("frame", "donor"), ["recording", "donor", "pixel"], "left_anti")
-    best = free.groupBy("recording", "frame", "pixel").agg(F.min(F.struct("score", "donor")).alias("best"))
-    return best.select("recording", "frame", "pixel", F.col("best.donor").alias("donor"), F.col("best.score").alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("recording", "frame").orderBy("score", "donor")))
+
+
+def _lend(asked: DataFrame, words: DataFrame, ranks: DataFrame) -> DataFrame:
+    """recording, frame, word, bit, best (score, donor): for each bit of `asked` the best of its frame's donors in which it is valid, null if it is in none."""
+    there = words.select("recording", "word", F.col("frame").alias("donor"), F.col("bits").alias("there"))
+    offers = asked.join(ranks.select("recording", "frame", "donor", "score"), ["recording", "frame"], "left").join(there, ["recording", "donor", "word"], "left")
+    offer = F.when(F.col("donor").isNotNull(), F.struct("score", "donor", F.coalesce("there", F.lit(0).cast("long")).alias("there")))
+    listed = offers.groupBy("recording", "frame", "word", "bits").agg(F.array_sort(F.collect_list(offer)).alias("offers"))
+    bits = listed.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1L) = 1L)")))
+    first = F.expr("get(filter(offers, o -> (shiftrightunsigned(o.there, bit) & 1L) = 0L), 0)")
+    return bits.select("recording", "frame", "word", "bit", first.alias("best")).withColumn("best", F.when(F.col("best").isNotNull(), F.struct("best.score", "best.donor")))
+
+
+def _bitmaps(bits: DataFrame) -> DataFrame:
+    return bits.groupBy("recording", "frame", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+
+
+def ranked_donors(invalid: DataFrame, frames: DataFrame, weight: float = 0.002, first: int = 8) -> DataFrame:
+    """For each (recording, target frame, pixel) that is invalid: the best donor frame in which the pixel is valid.
+
+    invalid: recording, frame, pixel (whole numbers but the recording). frames: recording, frame. Donors rank by the share of the target's invalid pixels that are invalid
+    there too plus weight * distance, then by frame. Columns: recording, frame, pixel, donor, score. Repeated rows count once, rows with a null not at all; pixels that are
+    valid nowhere else have no row.
+
+    Invalid pixels are bitmaps of 64 to a row, and shares bit counts of their intersections. A share is 1 at most, so frames more than 1 / weight apart only meet for pixels
+    that no nearer donor serves at a score under theirs. The `first` best donors are asked for all pixels, the others for what these leave.
+    """
+    reach = math.ceil(1 / weight) if weight > 0 else None
+    place = F.col("pixel").cast("long")
+    words = cut(_bitmaps(invalid.dropna(subset=["recording", "frame", "pixel"]).select("recording", "frame", F.floor(place / 64).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))))
+    every = frames.select("recording", "frame").dropna().distinct()
+    gap = F.abs(F.col("frame") - F.col("donor"))
+    ranks = cut(_donor_ranks(words, words, every, weight, gap > 0 if reach is None else gap.between(1, reach), reach))
+    served = cut(_lend(words, words, ranks.where(F.col("rank") <= first)))
+    more = cut(_lend(_bitmaps(served.where("best is null")), words, ranks.where(F.col("rank") > first)))
+    best = served.where("best is not null").unionByName(more)
+    if reach is not None:
+        settled = F.coalesce(F.col("best.score") < weight * (reach + 1), F.lit(False))
+        left = cut(best.where(~settled))
+        asked = _bitmaps(left)
+        of_frames = words.join(asked.select("recording", "frame").distinct(), ["recording", "frame"], "left_semi")
+        far = _lend(asked, words, _donor_ranks(of_frames, words, every, weight, gap > reach, None))
+        either = left.unionByName(far).groupBy("recording", "frame", "word", "bit").agg(F.min("best").alias("best"))
+        best = best.where(settled).unionByName(either)
+    return best.where("best is not null").select("recording", "frame", (F.col("word") * 64 + F.col("bit")).alias("pixel"), F.col("best.donor").alias("donor"), F.col("best.score").alias("score"))
 
 
 # Smoothing
