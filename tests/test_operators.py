@@ -492,3 +492,19 @@ def test_interval_labels_of_a_null_key(spark):
     f = spark.createDataFrame([(k, t) for k in ("a", None) for t in range(4)], "k string, t int")
     seg = spark.createDataFrame([(None, 1, 2, 7), ("a", 3, 9, 8)], "k string, s int, e int, label int")
     assert {(r["k"], r["t"]): r["label"] for r in joins.interval_labels(f, seg, ["k"], "t", "s", "e", "label", missing=-1).collect()} == {(k, t): 7 if k is None and 1 <= t <= 2 else 8 if k and t == 3 else -1 for k in ("a", None) for t in range(4)}
+
+
+def test_folds_tell_the_same_as_a_copy_of_every_row_for_each_group(spark):
+    rows = [(i, g) for i, g in enumerate(["b", "a", None, "b", "c", "b", None])]
+    df = spark.createDataFrame(rows, "i long, g string")
+    folds = {r["i"]: r["fold"] for r in sampling.fold_ids(df, "g").collect()}
+    assert folds == {0: 2, 1: 1, 2: 0, 3: 2, 4: 3, 5: 2, 6: 0}
+    copies = sampling.leave_one_group_out(df, "g")
+    want = sorted(map(str, copies.groupBy("holdout", "role").count().collect()))
+    assert copies.count() == 28 and sorted(map(str, sampling.fold_sizes(df, "g").withColumnRenamed("n", "count").collect())) == want
+    name = {2: "b", 1: "a", 0: None, 3: "c"}
+    for k in range(4):
+        roles = {r["i"]: r["role"] for r in sampling.fold_ids(df, "g").withColumn("role", sampling.fold_role(k)).collect()}
+        assert roles == {r["i"]: r["role"] for r in copies.where(F.col("holdout").eqNullSafe(F.lit(name[k]))).collect()}
+    assert sampling.fold_ids(df.where("false"), "g").count() == sampling.fold_sizes(df.where("false"), "g").count() == 0
+    assert [tuple(r) for r in sampling.fold_sizes(df.where("g = 'a'"), "g").collect()] == [("a", "validation", 1)]

@@ -95,10 +95,32 @@ def ordered_split(df: DataFrame, name: str, last: int) -> DataFrame:
     return df.join(F.broadcast(tail), name, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def fold_ids(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
+    """df with the number from 0 of each row's group, in order of the groups; null is a group of its own, the first. Every row stays once, however many groups there are:
+    fold_role() of the column gives the roles when a group is held out. Groups are numbered over ranges and joined, not collected."""
+    names = df.select(group).distinct().withColumns({"__one": F.lit(0), "__known": F.col(group).isNotNull()})
+    ids = numbered(names, ["__one"], ["__known", group], "__fold", "__folds").select(group, F.col("__fold").alias(fold))
+    return join_same(df, ids, [group])
+
+
+def fold_role(held: int | Column, fold: str = "fold") -> Column:
+    """validation for the rows of the fold that is held out, train for all others."""
+    return F.when(F.col(fold) == held, "validation").otherwise("train")
+
+
+def fold_sizes(df: DataFrame, group: str) -> DataFrame:
+    """holdout, role, n: how many rows train and validate when a group is held out, from the groups' counts; a role without rows has no row. Null is a group of its own."""
+    sizes = df.groupBy(F.col(group).alias("holdout")).agg(F.count(F.lit(1)).alias("own"))
+    both = sizes.join(F.broadcast(sizes.agg(F.sum("own").alias("every"))))  # one row
+    roles = F.array(F.struct(F.lit("validation").alias("role"), F.col("own").alias("n")), F.struct(F.lit("train").alias("role"), (F.col("every") - F.col("own")).alias("n")))
+    return both.select("holdout", F.explode(roles).alias("r")).select("holdout", "r.role", "r.n").where("n > 0")
+
+
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """Every row once for each group, with holdout and role (validation if it is of that group): a small dimension of groups times the rows."""
+    """Every row once for each group, with holdout and role (validation if it is of that group, null being one). The rows grow with the groups by definition: fold_ids() and
+    fold_sizes() tell the same without copies."""
     held = df.select(F.col(group).alias("holdout")).distinct()
-    return df.join(F.broadcast(held)).withColumn("role", F.when(F.col(group) == F.col("holdout"), "validation").otherwise("train"))
+    return df.join(held, how="inner").withColumn("role", F.when(F.col(group).eqNullSafe(F.col("holdout")), "validation").otherwise("train"))
 
 
 def next_free_id(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

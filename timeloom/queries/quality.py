@@ -184,7 +184,12 @@ def stratified_cap(spark, d):
 
 def leave_one_out(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    return sampling.leave_one_group_out(e, "label").groupBy("holdout", "role").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.fold_sizes(e, "label")
+
+
+def fold_ids(spark, d):
+    """Each vector's fold by label, and its role when the second label is held out."""
+    return sampling.fold_ids(table(spark, d, "embeddings").select("vec_id", "label"), "label").withColumn("role", sampling.fold_role(1))
 
 
 def next_free_id(spark, d):
@@ -257,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (check_segments, check_coverage, check_increasing, check_bundle, check_subset, check_nested, check_partition, check_domains, check_same, check_equal_fields, check_limits, check_units, check_count_is_integer, label_index,
               stride_filter, prefix_trim, exclude_by_label, status_filter, split_observations, dilate_pixels, depth_gates, ablation_boxes, ablation_shuffle, jitter_parameters, provenance, natural_top, spaced_top_k, balanced_cap,
-              evenly_spaced, stratified_cap, leave_one_out, next_free_id, manifest_upsert, annotation_json, stereo_rows, key_values, frame_index_rules, topic_counts, natural_frames, contact_index, policy_frames, union_results)
+              evenly_spaced, stratified_cap, leave_one_out, fold_ids, next_free_id, manifest_upsert, annotation_json, stereo_rows, key_values, frame_index_rules, topic_counts, natural_frames, contact_index, policy_frames, union_results)
 }
 NAT = r"array_to_string(list_transform(regexp_extract_all(lower({0}), '\d+|\D+'), lambda x: CASE WHEN regexp_full_match(x, '\d+') THEN lpad(x, 20, '0') ELSE x END), '')"
 SQL = {
@@ -306,6 +311,7 @@ s AS (SELECT b.*, rest, total, (rest * room) // greatest(total, 1) AS whole, (re
 take AS (SELECT source, n, CASE WHEN total <= rest THEN n ELSE own + whole + CASE WHEN k < 90 - given AND part > 0 THEN 1 ELSE 0 END END AS take FROM r),
 d AS (SELECT doc_id, d.source, n, take, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) - 1 AS i FROM documents d JOIN take ON take.source = d.source)
 SELECT doc_id, source FROM d WHERE n <= take OR i = 0 OR floor(i * (take - 1) / greatest(n - 1, 1) + 1e-9) > floor((i - 1) * (take - 1) / greatest(n - 1, 1) + 1e-9)""",
+    "fold_ids": "SELECT vec_id, label, dense_rank() OVER (ORDER BY label) - 1 AS fold, CASE WHEN dense_rank() OVER (ORDER BY label) = 2 THEN 'validation' ELSE 'train' END AS role FROM embeddings",
     "leave_one_out": "SELECT a.label AS holdout, CASE WHEN a.label = b.label THEN 'validation' ELSE 'train' END AS role, count(*) AS n FROM (SELECT DISTINCT label FROM embeddings) a, embeddings b GROUP BY ALL",
     "next_free_id": "SELECT greatest((SELECT max(page_id) FROM pages), (SELECT max(doc_id) FROM labels), 0) + 1 AS next_id",
     "manifest_upsert": "SELECT c_custkey, round(CASE WHEN c_custkey % 10 = 0 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END, 2) AS c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS updated_at FROM customer",
