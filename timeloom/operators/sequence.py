@@ -249,11 +249,12 @@ def ranked_donors(invalid: DataFrame, frames: DataFrame, weight: float = 0.002,
     if reach is not None:
         settled = F.coalesce(F.col("best.score") < weight * (reach + 1), F.lit(False))
         left = cut(best.where(~settled))
-        asked = _bitmaps(left)
-        of_frames = words.join(asked.select("recording", "frame").distinct(), ["recording", "frame"], "left_semi")
-        far = _lend(asked, words, _donor_ranks(of_frames, words, every, weight, gap > reach, None))
-        either = left.unionByName(far).groupBy("recording", "frame", "word", "bit").agg(F.min("best").alias("best"))
-        best = best.where(settled).unionByName(either)
+        best = best.where(settled)
+        if not left.isEmpty():
+            asked = _bitmaps(left)
+            of_frames = words.join(asked.select("recording", "frame").distinct(), ["recording", "frame"], "left_semi")
+            far = _lend(asked, words, _donor_ranks(of_frames, words, every, weight, gap > reach, None))
+            best = best.unionByName(left.unionByName(far).groupBy("recording", "frame", "word", "bit").agg(F.min("best").alias("best")))
     return best.where("best is not null").select("recording", "frame", (F.col("word") * 64 + F.col("bit")).alias("pixel"), F.col("best.donor").alias("donor"), F.col("best.score").alias("score"))
 
 
