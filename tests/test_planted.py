@@ -28,3 +28,10 @@ def test_check_bundle_with_a_short_last_recording(spark, tmp_path):
 def test_boxes_of_equal_score_all_count(spark, tmp_path):
     rows = [(o, n, float(n % 9 + 1), o * 3 + n * (n + o) % 5, 1000.0 + n % 3, o + n) for o in range(40) for n in range(8)]
     same(tmp_path, spark, ["box_nms", "topk_detections"], lineitem=(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long, l_extendedprice double, l_suppkey long"))
+
+
+def test_entries_just_at_a_threshold_are_not_above_it(spark, tmp_path):
+    at = [0.05, 0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.0]
+    rows = [(i, [at[(i * k + k // 8) % 8] for k in range(64)], i % 10) for i in range(60)]
+    names = ["bridge_mask_gaps", "split_observations", "ranked_donors", "ranked_donors_all", "mask_diff", "ablation_boxes", "pixel_components", "seeded_components", "check_subset", "dilate_pixels", "occupancy", "visible_fraction"]
+    same(tmp_path, spark, names, embeddings=(rows, VECTORS))

@@ -131,9 +131,9 @@ def mask_ab(spark, d):
 
 
 def sparse(spark, d, low):
-    """Pixels from embeddings: a vector is a frame, its 8 x 8 entries the image."""
+    """Pixels from embeddings: a vector is a frame, its 8 x 8 entries the image. The threshold is a float as the entries are: one just at it isn't above."""
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("recording"), (F.col("vec_id") % 50).alias("frame"), F.posexplode("embedding").alias("i", "v"))
-    return e.where(F.col("v") > low).select("recording", "frame", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("long").alias("x"), "v")
+    return e.where(F.col("v") > F.lit(low).cast("float")).select("recording", "frame", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("long").alias("x"), "v")
 
 
 PIXELS = "px AS (SELECT vec_id // 50 AS recording, vec_id % 50 AS frame, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i] AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"
