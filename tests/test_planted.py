@@ -35,3 +35,10 @@ def test_entries_just_at_a_threshold_are_not_above_it(spark, tmp_path):
     rows = [(i, [at[(i * k + k // 8) % 8] for k in range(64)], i % 10) for i in range(60)]
     names = ["bridge_mask_gaps", "split_observations", "ranked_donors", "ranked_donors_all", "mask_diff", "ablation_boxes", "pixel_components", "seeded_components", "check_subset", "dilate_pixels", "occupancy", "visible_fraction"]
     same(tmp_path, spark, names, embeddings=(rows, VECTORS))
+
+
+def test_frames_without_a_positive_area_have_no_verdict(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), i % 3, ("click", "view")[i % 2], (0.0, 30.0, float(i % 5 > 0) * i)[i % 3]) for i in range(100)]
+    same(tmp_path, spark, ["reliable_frames"], events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"))
