@@ -147,3 +147,14 @@ def test_experiment_summary_flags_unequal_support(spark):
     folds, deltas, bad = experiment_summary(r, "base", "new", "acc")
     assert folds.count() == 4 and bad.count() == 2
     assert {(x["fold"], x["n"], round(x["mean"], 6)) for x in deltas.collect()} == {("1_to_2", 1, 0.1), ("2_to_1", 1, 0.1)}
+
+
+def test_annotations_of_many_recordings_share_files(spark, tmp_path, monkeypatch):
+    from timeloom.queries import files
+
+    monkeypatch.setattr(files, "folder", lambda s, name: str(tmp_path / name))
+    users = spark.range(200).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 100 AS user_id", "if(id < 100, 'click', 'a\\n\"b\"') AS event_type", "1.0D AS value")
+    users.write.parquet(str(tmp_path / "events.parquet"))
+    got = files.annotations_read_back(spark, str(tmp_path)).collect()
+    assert sorted((int(r["episode"]), r["position"], r["start_frame"], r["end_frame"], r["label"]) for r in got) == sorted((u, p, p, p, label) for u in range(100) for p, label in ((0, "click"), (1, 'a\n"b"')))
+    assert len(list((tmp_path / "annotations").rglob("part-*"))) < 50

@@ -24,10 +24,10 @@ def source_path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_annotations(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
     """episode, num_frames, fps, position, start_frame, end_frame (included), label: a row for each segment; recordings without segments have one row with nulls. A missing
-    episode takes its folder's name."""
-    raw = spark.read.schema(ANNOTATION).option("multiLine", True).json(paths).withColumn("__path", source_path())
+    episode takes its folder's name. A file is a recording, or with lines each of its lines is one."""
+    raw = spark.read.schema(ANNOTATION).option("multiLine", not lines).json(paths).withColumn("__path", source_path())
     folder = F.element_at(F.split("__path", "/"), -2)
     rows = raw.select(F.coalesce("episode", folder).alias("episode"), "num_frames", "fps", F.posexplode_outer("segments").alias("position", "s"))
     return rows.select("episode", "num_frames", "fps", "position", "s.start_frame", "s.end_frame", "s.label")

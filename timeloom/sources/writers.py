@@ -13,8 +13,13 @@ def annotation_json(segments: DataFrame, recordings: DataFrame, keys: list[str],
     return body.select(*keys, F.to_json(F.struct(F.col(keys[0]).cast("string").alias("episode"), "num_frames", "fps", "segments", F.struct(F.lit(source).alias("source")).alias("provenance"))).alias("value"))
 
 
-def write_annotations(segments: DataFrame, recordings: DataFrame, keys: list[str], path: str) -> None:
-    annotation_json(segments, recordings, keys).write.mode("overwrite").partitionBy(*keys).text(path)
+def write_annotations(segments: DataFrame, recordings: DataFrame, keys: list[str], path: str, lines: bool = False) -> None:
+    """A folder and file for each recording; with lines a recording is a line, and there are as many files as tasks, however many the recordings are."""
+    out = annotation_json(segments, recordings, keys)
+    if lines:
+        out.select("value").write.mode("overwrite").text(path)
+    else:
+        out.write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def stereo_rows(pairs: DataFrame) -> DataFrame:
