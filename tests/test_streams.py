@@ -110,6 +110,44 @@ def test_decide_takes_the_earlier_of_two_and_the_least_of_equal_times():
     assert [(i, r, why) for i, _, r, _, why in streams.decide([(5, 1), (9, 2), (12, 3), (40, 4)], rights, 8)] == [(1, 9, None), (2, 4, None), (3, None, "right_non_unique"), (4, None, "right_delta")]
 
 
+def nearest(s, key="k", **more):
+    return streams.stream_nearest_pairs(*[s.where(f"x = {side}").select(key, F.col("n").alias("id"), "ts") for side in (0, 1)], key, "ts", "4 seconds", "5 seconds", **more)
+
+
+STATEFUL = {"rate": lambda s, **more: streams.stream_rate_limit(s, "k", "ts", "x", 0.5, 0.0, 9.0, "5 seconds", ["n"], **more), "nearest": nearest}
+
+
+@pytest.mark.parametrize("name", sorted(STATEFUL))
+def test_state_is_held_by_slices_not_by_keys(spark, tmp_path, name):
+    rows = [(f"k{i % 300}", i // 300, float(i // 300 % 2)) for i in range(1200)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, KIND).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(KIND).parquet(src).withColumn("ts", F.timestamp_seconds(F.col("n") + 1000))
+    q = STATEFUL[name](stream, slices=4).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(held) <= 3 * 4  # a slice's value and its timer, by key and by time
+
+
+@pytest.mark.parametrize("name", sorted(STATEFUL))
+def test_keys_beyond_doubles_beside_null_in_another_time_zone(spark, tmp_path, name):
+    keys, kind = [2**60, 2**60 + 1, None], "k long, n long, x double"
+    batches = [[(k, n, float(n % 2)) for k in keys for n in range(b, b + 6)] for b in (0, 6)] + [[(7, 900 + i + j, float(i)) for i in (0, 1)] for j in (0, 10)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = run_stream(spark, tmp_path, batches, kind, lambda s: STATEFUL[name](s, slices=1)).where("k IS NULL OR k <> 7").collect()
+        when = {"rate": "ts", "nearest": "left_time"}[name]
+        times = {(r["k"], r["n" if name == "rate" else "left_id"], r[when].timestamp()) for r in got}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    step = 1 if name == "rate" else 2
+    assert times == {(k, n, 1000.0 + n) for k in keys for n in range(0, 12, step)} and len(got) == len(times)
+    if name == "rate":
+        assert {r["limited"] for r in got if r["n"] % 2} == {0.5}
+    else:
+        assert {(r["k"], r["left_id"]): (r["right_id"], r["reason"]) for r in got} == {(k, n): (n - 1 if n else 1, None) if n != 2 else (None, "right_non_unique") for k in keys for n in range(0, 12, 2)}
+
+
 # Kernels
 
 

@@ -3,16 +3,15 @@ arrive within the delay, null, NaN and infinite values included."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import ArrayType, DataType, FractionalType, StructField, StructType
 
 from timeloom.operators import kernels
-from timeloom.streaming.ordered import in_order, keep_state, micros, timestamps, tuples
+from timeloom.streaming.ordered import SLICES, Slices, by_slice, in_order, keep_state, micros, one, packed
 
 
 def pair_streams(left: DataFrame, right: DataFrame, key: str, time: str, max_delta: str, delay: str) -> DataFrame:
@@ -43,49 +42,34 @@ def decide(lefts: list[tuple], rights: list[tuple], delta: int) -> list[tuple]:
     return out
 
 
-class NearestPairs(StatefulProcessor):
-    """Both sides of a key wait in buffers. A left row is decided once the watermark is max_delta past it, as no nearer right row can come then; right rows go when no left
-    row, here or to come, can reach them."""
-
-    def __init__(self, key: str, time: str, delta: int):
-        self.key, self.time, self.delta = key, time, delta
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.lefts, self.rights = handle.getListState("lefts", "t long, id long"), handle.getListState("rights", "t long, id long, taken boolean")
-
-    def _settle(self, key, fresh: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        limit = watermark_ms * 1000
-        held = lambda state: [tuple(r) for r in state.get()] if state.exists() else []
-        lefts = sorted(held(self.lefts) + [r[:2] for r in fresh if r[2]])
-        rights = sorted(held(self.rights) + [(*r[:2], False) for r in fresh if not r[2]])
-        ready, wait = [r for r in lefts if r[0] + self.delta <= limit], [r for r in lefts if r[0] + self.delta > limit]
-        out = decide(ready, rights, self.delta)
-        reach = min([limit, *[r[0] for r in wait]]) - self.delta
-        rights = [r for r in rights if r[0] >= reach]
-        self.lefts.put(wait) if wait else self.lefts.clear()
-        self.rights.put(rights) if rights else self.rights.clear()
-        due = [r[0] + self.delta for r in wait[:1]] + [r[0] + self.delta + 1000 for r in rights[:1]]
-        if due:
-            self.handle.registerTimer(max(watermark_ms + 1, -(-min(due) // 1000)))
-        if out:
-            ids, times, other, other_times, why = zip(*out, strict=True)
-            yield pd.DataFrame({
-                self.key: [key[0]] * len(out), "left_id": list(ids), "left_time": timestamps(list(times)), "right_id": pd.array(other, "Int64"),
-                "right_time": pd.to_datetime(pd.Series(pd.array(other_times, "Int64")), unit="us"), "reason": list(why),
-            })
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, [r for part in rows for r in tuples(part, self.time, ["id", "is_left"])], timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-
-def stream_nearest_pairs(left: DataFrame, right: DataFrame, key: str, time: str, max_delta: str, delay: str) -> DataFrame:
+class NearestPairs(Slices):
+    """Both sides of a key wait in its slice's state. A left row is decided once the watermark is max_delta past it, as no nearer right row can come then; right rows go when
+    no left row, here or to come, can reach them."""
+
+    def __init__(self, held: str, names: list[str], kinds: list[DataType], delta: int, odd_keys: bool):
+        super().__init__(3, held, names, kinds)
+        self.delta, self.odd_keys = delta, odd_keys
+
+    def settle(self, stored, fresh, limit):
+        sides = defaultdict(lambda: ([], []))
+        for t, key, i, is_left, taken in [*(zip(*stored, strict=True) if stored else []), *[(*r, False) for r in fresh]]:
+            left, right = sides[one(key) if self.odd_keys else key]
+            left.append((t, i)) if is_left else right.append((t, i, taken))
+        order = lambda r: (r[0], r[1] is not None, r[1])
+        out, kept, due = [], [], []
+        for key, (left, right) in sides.items():
+            left.sort(key=order)
+            right.sort(key=order)
+            ready, wait = [r for r in left if r[0] + self.delta <= limit], [r for r in left if r[0] + self.delta > limit]
+            out += [(key, *r) for r in decide(ready, right, self.delta)]
+            reach = min([limit, *[r[0] for r in wait[:1]]]) - self.delta
+            right = [r for r in right if r[0] >= reach]
+            due += [-(-(r[0] + self.delta) // 1000) for r in wait[:1]] + [-(-(r[0] + self.delta) // 1000) + 1 for r in right[:1]]
+            kept += [(t, key, i, True, False) for t, i in wait] + [(t, key, i, False, taken) for t, i, taken in right]
+        return packed(kept, 5) if kept else None, min(due, default=None), out
+
+
+def stream_nearest_pairs(left: DataFrame, right: DataFrame, key: str, time: str, max_delta: str, delay: str, slices: int = SLICES) -> DataFrame:
     """key, left_id, left_time, right_id, right_time, reason: each left row once, with its nearest right row within max_delta as joins.pair_nearest has it, or with a reason:
     right_delta (none so near) or right_non_unique (an earlier left row has it).
 
@@ -93,17 +77,20 @@ def stream_nearest_pairs(left: DataFrame, right: DataFrame, key: str, time: str,
     dropped. What a key holds is bounded by max_delta and delay.
     """
     keep_state(left)
-    side = lambda df, is_left: df.select(key, time, F.col("id").cast("long").alias("id"), F.lit(is_left).alias("is_left")).where(F.col(time).isNotNull()).withWatermark(time, delay)
-    both = side(left, True).union(side(right, False))
-    kind = left.schema[key].dataType.simpleString()
-    return both.groupBy(key).transformWithStateInPandas(NearestPairs(key, time, micros(max_delta)), f"{key} {kind}, left_id long, left_time timestamp, right_id long, right_time timestamp, reason string", "append", "EventTime")
+    side = lambda df, is_left: by_slice(df.select(key, time, F.col("id").cast("long").alias("id"), F.lit(is_left).alias("is_left")), [key], time, ["id", "is_left"], delay, slices)
+    kind = left.schema[key].dataType
+    held = f"t array<long>, key array<{kind.simpleString()}>, id array<long>, is_left array<boolean>, taken array<boolean>"
+    out = StructType([StructField(key, kind)]).add("left_id", "long").add("left_time", "long").add("right_id", "long").add("right_time", "long").add("reason", "string")
+    processor = NearestPairs(held, out.names, [f.dataType for f in out], micros(max_delta), isinstance(kind, FractionalType | ArrayType))
+    rows = side(left, True).union(side(right, False)).groupBy("slice").transformWithStateInPandas(processor, out, "append", "EventTime")
+    return rows.withColumns({n: F.timestamp_micros(n) for n in ("left_time", "right_time")})
 
 
 def numbers(rows: list[tuple], at: int = -1) -> np.ndarray:
     return np.array([np.nan if r[at] is None else r[at] for r in rows], float)
 
 
-def stream_hysteresis(df: DataFrame, key: str, time: str, value: str, on: float, off: float, min_on: int, hold: int, delay: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+def stream_hysteresis(df: DataFrame, key: str, time: str, value: str, on: float, off: float, min_on: int, hold: int, delay: str, carry: list[str] | None = None, ttl: str | None = None, slices: int = SLICES) -> DataFrame:
     """key, time, carry, active as they are settled: a row that isn't active is held back until it can't be filled any more, at most min_on - 1 rows of its key."""
     if off > on:
         raise ValueError("off must not be above on")
@@ -115,23 +102,23 @@ def stream_hysteresis(df: DataFrame, key: str, time: str, value: str, on: float,
         end = len(rows) - open_
         return (active, below, {"t": [r[0] for r in rows[end:]], "row": [r[1:] for r in rows[end:]]}), [(*r[: 1 + len(carry or [])], bool(a)) for r, a in zip(rows[:end], filled[:end].tolist(), strict=True)]
 
-    return _hysteresis_stream(df, key, time, value, advance, delay, carry or [], ttl)
+    return _hysteresis_stream(df, key, time, value, advance, delay, carry or [], ttl, slices)
 
 
-def _hysteresis_stream(df: DataFrame, key: str, time: str, value: str, advance, delay: str, carry: list[str], ttl: str | None) -> DataFrame:
+def _hysteresis_stream(df: DataFrame, key: str, time: str, value: str, advance, delay: str, carry: list[str], ttl: str | None, slices: int) -> DataFrame:
     """The rows held back are part of the state, column by column."""
     used = [*carry, value]
     kinds = ", ".join(f"w{i} array<{df.schema[c].dataType.simpleString()}>" for i, c in enumerate(used))
 
-    def packed(state, rows):
+    def by_columns(state, rows):
         active, below, t, *columns = state
         (active, below, waiting), out = advance((active, below, {"t": list(t), "row": list(zip(*columns, strict=True)) if columns else []}), rows)
         return (active, below, waiting["t"], *[[r[i] for r in waiting["row"]] for i in range(len(used))]), out
 
-    return in_order(df, [key], time, delay, used, [], f"active boolean, below long, t array<long>, {kinds}", lambda: (False, 0, [], *[[] for _ in used]), packed, "active boolean", carry, ttl)
+    return in_order(df, [key], time, delay, used, [], f"active boolean, below long, t array<long>, {kinds}", lambda: (False, 0, [], *[[] for _ in used]), by_columns, "active boolean", carry, ttl, slices)
 
 
-def stream_ema_switch(df: DataFrame, key: str, time: str, value: str, delay: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+def stream_ema_switch(df: DataFrame, key: str, time: str, value: str, delay: str, alpha: float = 0.65, on: float = 0.40, off: float = 0.28, carry: list[str] | None = None, ttl: str | None = None, slices: int = SLICES) -> DataFrame:
     """key, time, carry, ema, active as sequence.ema_dual_threshold has them."""
     carry = carry or []
 
@@ -139,10 +126,10 @@ def stream_ema_switch(df: DataFrame, key: str, time: str, value: str, delay: str
         ema, active = kernels.ema_switch_run(numbers(rows), np.zeros(len(rows), bool), alpha, on, off, *state)
         return (float(ema[-1]), bool(active[-1])), [(*r[: 1 + len(carry)], e, a) for r, e, a in zip(rows, ema.tolist(), active.tolist(), strict=True)]
 
-    return in_order(df, [key], time, delay, [*carry, value], [], "ema double, active boolean", lambda: (0.0, False), advance, "ema double, active boolean", carry, ttl)
+    return in_order(df, [key], time, delay, [*carry, value], [], "ema double, active boolean", lambda: (0.0, False), advance, "ema double, active boolean", carry, ttl, slices)
 
 
-def stream_rate_limit(df: DataFrame, key: str, time: str, value: str, step_limit: float, low: float, high: float, delay: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+def stream_rate_limit(df: DataFrame, key: str, time: str, value: str, step_limit: float, low: float, high: float, delay: str, carry: list[str] | None = None, ttl: str | None = None, slices: int = SLICES) -> DataFrame:
     """key, time, carry, limited as sequence.rate_limit has it."""
     carry = carry or []
 
@@ -150,10 +137,10 @@ def stream_rate_limit(df: DataFrame, key: str, time: str, value: str, step_limit
         out, last = kernels.rate_run(numbers(rows), step_limit, low, high, state[0])
         return (last,), [(*r[: 1 + len(carry)], y) for r, y in zip(rows, out, strict=True)]
 
-    return in_order(df, [key], time, delay, [*carry, value], [], "last_output double", lambda: (None,), advance, "limited double", carry, ttl)
+    return in_order(df, [key], time, delay, [*carry, value], [], "last_output double", lambda: (None,), advance, "limited double", carry, ttl, slices)
 
 
-def stream_trailing_window(df: DataFrame, key: str, time: str, vec: str, width: int, size: int, delay: str, carry: list[str] | None = None, ttl: str | None = None) -> DataFrame:
+def stream_trailing_window(df: DataFrame, key: str, time: str, vec: str, width: int, size: int, delay: str, carry: list[str] | None = None, ttl: str | None = None, slices: int = SLICES) -> DataFrame:
     """key, time, carry, window (flat, width * size numbers): the last rows' vectors as sequence.trailing_window has them, null ones left out, zeros in front."""
     carry = carry or []
 
@@ -165,7 +152,7 @@ def stream_trailing_window(df: DataFrame, key: str, time: str, vec: str, width:
             out.append((*r[: 1 + len(carry)], [0.0] * (size * (width - len(known))) + [x for v in known for x in v]))
         return (vectors[len(vectors) - width + 1 :] if width > 1 else [],), out
 
-    return in_order(df, [key], time, delay, [*carry, vec], [], "vectors array<array<double>>", lambda: ([],), advance, "window array<double>", carry, ttl)
+    return in_order(df, [key], time, delay, [*carry, vec], [], "vectors array<array<double>>", lambda: ([],), advance, "window array<double>", carry, ttl, slices)
 
 
 def stream_episodes(df: DataFrame, key: str, time: str, flag: str, gap: str, delay: str, least: int = 1) -> DataFrame:
