@@ -83,6 +83,34 @@ def test_token_counts_by_other_rules(spark, tmp_path, change):
         assert r.n_tokens == len(lib.encode(text, add_special_tokens=False).ids), text
 
 
+def test_slabs_are_compressed_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    known = np.array(["".join(rng.choice(list("etaoinsrhld"), rng.integers(2, 11))) for _ in range(20_000)])
+    texts = [" ".join(known[(20_000 ** rng.random(500)).astype(int) - 1]) for _ in range(1200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "n_bytes": list(map(len, texts))})
+    got = list(tokencount._slabs(P.path("word_bpe_49k.json"))([batch]))
+    assert sum(b.num_rows for b in got) > 1 and sum(b.nbytes for b in got) < 0.4 * sum(map(len, texts))  # 0.81 as plain lists
+
+
+def test_slab_files_are_cut_by_bytes(spark):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def noise(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield pa.RecordBatch.from_pydict({"x": [os.urandom(1 << 20)]})
+
+    table = tokencount.cut(spark.range(0, 64, 1, 1).mapInArrow(noise, "x binary"), **tokencount.SLAB_FILES)
+    sizes = [f.row_group(k).total_byte_size for p in table.inputFiles() for f in [pq.ParquetFile(p.removeprefix("file:")).metadata] for k in range(f.num_row_groups)]
+    assert sum(sizes) >= 64 << 20 and max(sizes) <= 24 << 20
+
+
 def test_empty_tables(spark):
     none = frame(spark).where("false")
     assert bpe.encode_documents(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == tokencount.count_tokens(none, P.path("word_bpe_49k.json")).count() == 0

@@ -11,12 +11,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import cut, slices
+from timeloom.llm.common import cut, pack, pack_small, slices, unpack, unpack_small, utf8
+from timeloom.llm.lm import squeeze, unsqueeze
 
 #: Broadcast: at most so many of the commonest pre-tokens, of at most so many bytes each. All others go through the join.
 COMMON, COMMON_BYTES = 1 << 18, 48
 #: Texts go through the first pass in slabs of about so many bytes, each with a dictionary of its own.
 SLAB_BYTES = 2 << 20
+#: Row groups of their table: a slab is half a megabyte in one row, and a reader takes a row group as a whole.
+SLAB_FILES = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 8}
 #: Texts of these characters alone are already in NFC, and both regular expression engines class them alike.
 PLAIN = regex.compile("[\t-\r -~ -¬®-ſ]*")
 #: The rules, beside the pattern of the split, for which plain texts are cut without the library.
@@ -91,14 +94,17 @@ def pre_tokenizer(path: str) -> PreTokenizer:
 
 
 SLAB = pa.schema([
-    ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())),
-    ("place", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("pieces", pa.list_(pa.string())),
+    ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())),
+    ("pairs", pa.binary()), ("times", pa.binary()), ("lengths", pa.binary()), ("letters", pa.binary()),
 ])
-SLAB_SQL = "doc_id array<long>, n_bytes array<long>, known array<long>, size array<int>, place array<int>, times array<int>, pieces array<string>"
+SLAB_SQL = "doc_id array<long>, n_bytes array<long>, known array<long>, pairs binary, times binary, lengths binary, letters binary"
 
 
 def _slabs(path: str):
-    """A row for each slab of documents: its dictionary of pre-tokens, and for each document the places there of its pre-tokens with their frequencies."""
+    """A row for each slab of documents: its dictionary of pre-tokens, and for each document the places there of its pre-tokens with their frequencies.
+
+    Both are compressed here, not by the file alone: all slabs of a task cross to Python in one Arrow batch, which is then no larger than the task's part of the file.
+    """
 
     def run(batches):
         own = pre_tokenizer(path)
@@ -109,13 +115,27 @@ def _slabs(path: str):
             index = dict(zip(dict.fromkeys(flat), range(len(flat)), strict=False))
             place = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
             pair, times = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(index)) + place, return_counts=True)
-            size = np.bincount(pair // max(1, len(index)), minlength=len(n))
-            columns = part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), [s for _, s in both], size, pair % max(1, len(index)), times, list(index)
+            letters, off = utf8(pa.array(list(index), pa.string()))
+            packed = pack(pair.astype(np.uint64)), pack_small(times), pack_small(np.diff(off)), letters.tobytes()
+            columns = part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), [s for _, s in both], *map(squeeze, packed)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(columns, SLAB, strict=True)], schema=SLAB)
 
     return run
 
 
+def _dictionary(batch: pa.RecordBatch, i: int) -> pa.Array:
+    """The pre-tokens of a slab."""
+    lengths, letters = (unsqueeze(batch.column(c)[i].as_py()) for c in ("lengths", "letters"))
+    off = np.concatenate([[0], np.cumsum(unpack_small(lengths))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(letters))
+
+
+def _dictionaries(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield pa.RecordBatch.from_arrays([_dictionary(batch, i)], ["piece"])
+
+
 def _pieces_of(path: str):
     kind = pa.schema([("piece", pa.string()), ("n", pa.int64()), ("tokens", pa.int64())])
 
@@ -135,16 +155,17 @@ def _frequencies(common):
         get = common.value.get
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_id, n_bytes, known, size, place, times, pieces = (batch.column(c).slice(i, 1).flatten() for c in SLAB.names)
-                size, place, times = (np.asarray(x).astype(np.int64) for x in (size, place, times))
+                doc_id, n_bytes, known = (batch.column(c).slice(i, 1).flatten() for c in ("doc_id", "n_bytes", "known"))
+                pieces, n = _dictionary(batch, i), len(known)
                 tokens = np.fromiter(map(get, pieces.to_pylist(), repeat(-1)), np.int64, len(pieces))
-                owner, found = np.repeat(np.arange(len(size)), size), tokens[place]
-                total = np.asarray(known) + np.bincount(owner, np.where(found < 0, 0, found) * times, len(size)).astype(np.int64)
+                owner, place = np.divmod(unpack(unsqueeze(batch.column("pairs")[i].as_py())).astype(np.int64), max(1, len(pieces)))
+                times, found = unpack_small(unsqueeze(batch.column("times")[i].as_py())), tokens[place]
+                total = np.asarray(known) + np.bincount(owner, np.where(found < 0, 0, found) * times, n).astype(np.int64)
                 other = np.flatnonzero(found < 0)
-                off = np.searchsorted(owner[other], np.arange(len(size) + 1)).astype(np.int32)
+                off = np.searchsorted(owner[other], np.arange(n + 1)).astype(np.int32)
                 rest = pa.StructArray.from_arrays([pieces.take(pa.array(place[other])), pa.array(times[other].astype(np.int32))], fields=list(entry))
-                rows = pa.array(np.arange(len(size), dtype=np.int32))
-                slab = pa.array(np.full(len(size), batch.column("slab")[i].as_py(), np.int64))
+                rows = pa.array(np.arange(n, dtype=np.int32))
+                slab = pa.array(np.full(n, batch.column("slab")[i].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([slab, rows, doc_id, n_bytes, pa.array(total), pa.ListArray.from_arrays(pa.array(off), rest)], schema=kind)
 
     return run
@@ -172,8 +193,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, common: int = CO
     that stands twice is counted twice. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    slabs = cut(small.mapInArrow(_slabs(path), SLAB_SQL).withColumn("slab", F.monotonically_increasing_id()))
-    found = slabs.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # n: in how many slabs
+    slabs = cut(small.mapInArrow(_slabs(path), SLAB_SQL).withColumn("slab", F.monotonically_increasing_id()), **SLAB_FILES)
+    found = slabs.select("lengths", "letters").mapInArrow(_dictionaries, "piece string").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # n: in how many slabs
     counts = cut(found.mapInArrow(_pieces_of(path), "piece string, n long, tokens long"))
     rows = commonest(counts.where(F.octet_length("piece") <= COMMON_BYTES), common).select("piece", "tokens").toArrow()
     table = dict(zip(rows.column("piece").to_pylist(), rows.column("tokens").to_pylist(), strict=True))

@@ -39,8 +39,8 @@ def scope(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a written table: later jobs start there, whichever executors are lost."""
+def cut(df: DataFrame, **options: int) -> DataFrame:
+    """df from a written table: later jobs start there, whichever executors are lost. options: of Parquet's writer."""
     path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
